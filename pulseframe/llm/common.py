@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import os
+import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,8 +53,25 @@ def held(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package's code to the executors once a session, where it isn't installed."""
+    sc = spark.sparkContext
+    root = Path(__file__).resolve().parents[1]
+    files = sorted(root.rglob("*.py"))
+    name = f"pulseframe-{hashlib.sha256(b''.join(f.read_bytes() for f in files)).hexdigest()[:16]}.zip"
+    if any(x.endswith(name) for x in sc.listFiles):
+        return
+    path = os.path.realpath(os.path.join(tempfile.mkdtemp(), name))
+    with zipfile.ZipFile(path, "w") as z:
+        for f in files:
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(path)
+
+
 def small_batches(spark: SparkSession) -> None:
-    """Whole texts go to Python in batches of a bounded number of rows."""
+    """Before Python work: executors get the code, and whole texts come in batches of a bounded
+    number of rows."""
+    ship(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 

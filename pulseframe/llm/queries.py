@@ -8,7 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, simhash, token_count
+from . import embedding_dedup, line_dedup, pii, quality, simhash, token_count, toxicity
 from .common import table
 
 #: Where the public tokenizers' files are; a parameter of the operator.
@@ -40,6 +40,14 @@ FROM f GROUP BY doc_id
 """
 
 
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_count.token_counts(docs, tokenizer_path("byte_bpe_50k.json")).drop("text")
@@ -50,8 +58,17 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", simhash.hex64("fp").alias("fingerprint"), "component_id")
 
 
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(table(spark, sf_dir, "documents"))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_line_dedup, op6_token_counts, op7_simhash_near_dedup)}
+    found = (op1_line_dedup, op3_embedding_near_dedup, op4_toxicity, op6_token_counts, op7_simhash_near_dedup, op8_personal_data, op10_quality)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
