@@ -20,11 +20,11 @@ from .common import held
 
 KINDS = ("email", "ip", "card", "phone")
 #: Base patterns, anchored at the only places where a leftmost match can begin and possessive, so that
-#: long runs cost one pass; they match what the plain patterns match.
+#: long runs cost one pass; they match what the plain patterns match (cards: of 13 digits at least).
 BASE = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}",
-    "card": r"(?<![0-9])[0-9]++(?:[ -][0-9]++)*+",
+    "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,}+",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
 AT = r" ?(?:[\[({<] ?(?i:at|@) ?[\])}>]| (?i:at|@) ) ?"
@@ -232,23 +232,32 @@ def personal_data(docs: DataFrame, text_col: str = "text") -> DataFrame:
     phone), start and end, in code points with the end exclusive.
 
     pii_base: what the base patterns find. pii_spans: those, and the candidates that the trees take and
-    that overlap no base span and no likelier candidate. Null and empty texts have no spans. Columns with
+    that overlap no base span; spans of different kinds may overlap. Null and empty texts have no spans. Columns with
     these names are replaced. No documents: no rows."""
     model = judge(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     names = {c.lower() for c in docs.columns}
-    tmp = [next(n for n in (f"__pii{k}{i or ''}" for i in range(99)) if n not in names) for k in range(2)]
-    apart = lambda a, b: (a["e"] <= b["s"]) | (b["e"] <= a["s"])
-    with_base = docs.withColumn("pii_base", F.concat(*[base_spans(text, k) for k in KINDS])).withColumn(tmp[0], candidates(text))
-    taken = F.transform(
-        F.filter(F.col(tmp[0]), lambda c: model.takes(c) & F.forall(F.col("pii_base"), lambda b: apart(b, c))),
-        lambda c: F.struct(model.probability(c["x"]).alias("p"), c["k"].alias("k"), c["s"].alias("s"), c["e"].alias("e")),
-    )
-    better = lambda a, b: (a["p"] > b["p"]) | ((a["p"] == b["p"]) & (a["k"] < b["k"]))
-    best = F.filter(F.col(tmp[1]), lambda c: F.forall(F.col(tmp[1]), lambda d: apart(c, d) | ~better(d, c)))
-    narrow = F.transform(best, lambda c: F.struct(c["k"].alias("k"), c["s"].alias("s"), c["e"].alias("e")))
-    out = with_base.withColumn(tmp[1], F.when(F.size(tmp[0]) > 0, taken).otherwise(F.array().cast("array<struct<p:double,k:int,s:int,e:int>>")))
-    return out.withColumn("pii_spans", F.array_sort(F.concat("pii_base", narrow))).drop(*tmp)
+    free = lambda stem: next(n for n in (f"__{stem}{i or ''}" for i in range(99)) if n not in names)
+    base, mask, wide = [free(f"base_{k}") for k in KINDS], [free(f"mask_{k}") for k in KINDS], free("wide")
+
+    def masked(name: str) -> Column:
+        """A 1 for each code point that the kind's spans cover and a 0 before it otherwise, so that an
+        overlap is one look-up however many spans there are."""
+        def part(x: Column, i: Column) -> Column:
+            before = F.when(i > 0, F.get(F.col(name), i - 1)["e"]).otherwise(0)
+            return F.concat(F.repeat(F.lit("0"), x["s"] - before), F.repeat(F.lit("1"), x["e"] - x["s"]))
+
+        return F.array_join(F.transform(F.col(name), part), "")
+
+    out = docs.withColumns({**{n: base_spans(text, k) for n, k in zip(base, KINDS, strict=True)}, wide: candidates(text)})
+    out = out.withColumns({m: F.when(F.size(wide) > 0, masked(b)) for m, b in zip(mask, base, strict=True)})
+
+    def apart(c: Column) -> Column:
+        return reduce(lambda x, y: x & y, [F.instr(F.substring(F.col(m), c["s"] + 1, c["e"] - c["s"]), F.lit("1")) == 0 for m in mask])
+
+    taken = F.transform(F.filter(F.col(wide), lambda c: model.takes(c) & apart(c)), lambda c: F.struct(c["k"].alias("k"), c["s"].alias("s"), c["e"].alias("e")))
+    more = F.when(F.size(wide) > 0, taken).otherwise(F.expr("cast(array() as array<struct<k:int,s:int,e:int>>)"))
+    return out.withColumns({"pii_base": F.concat(*base), "pii_spans": F.array_sort(F.concat(*base, more))}).drop(*base, *mask, wide)
 
 
 def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:

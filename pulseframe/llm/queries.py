@@ -8,7 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, line_dedup, pii, quality, simhash, token_count, toxicity
+from . import embedding_dedup, line_dedup, pii, quality, simhash, token_count, toxicity, warc
 from .common import table
 
 #: Where the public tokenizers' files are; a parameter of the operator.
@@ -40,6 +40,21 @@ FROM f GROUP BY doc_id
 """
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digest(table(spark, sf_dir, "pages"))
+
+
+OP2_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS payload_digest FROM p),
+g AS (SELECT payload_digest, max(page_id) AS first FROM d WHERE payload_bytes >= 1000 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN page_id < first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id < first THEN first END AS refers_to
+FROM d LEFT JOIN g USING (payload_digest)
+"""
+
+
 def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -67,9 +82,9 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = (op1_line_dedup, op3_embedding_near_dedup, op4_toxicity, op6_token_counts, op7_simhash_near_dedup, op8_personal_data, op10_quality)
+    found = (op1_line_dedup, op2_warc, op3_embedding_near_dedup, op4_toxicity, op6_token_counts, op7_simhash_near_dedup, op8_personal_data, op10_quality)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op2_warc": OP2_SQL}
