@@ -8,7 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, line_dedup, pii, quality, simhash, token_count, toxicity, warc
+from . import decontaminate, embedding_dedup, line_dedup, mixing, pii, quality, simhash, token_count, toxicity, warc
 from .common import table
 
 #: Where the public tokenizers' files are; a parameter of the operator.
@@ -63,6 +63,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_count.token_counts(docs, tokenizer_path("byte_bpe_50k.json")).drop("text")
@@ -77,14 +81,20 @@ def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents"))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mixed(table(spark, sf_dir, "documents"))
+    named = [F.coalesce(c, F.lit("")).alias(c) for c in ("source", "lang")]
+    return out.select("doc_id", *named, "topic", "tokens", F.round("prob", 6).alias("prob"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict:
-    found = (op1_line_dedup, op2_warc, op3_embedding_near_dedup, op4_toxicity, op6_token_counts, op7_simhash_near_dedup, op8_personal_data, op10_quality)
+    found = (op1_line_dedup, op2_warc, op3_embedding_near_dedup, op4_toxicity, op5_decontaminate, op6_token_counts, op7_simhash_near_dedup, op8_personal_data, op9_mixing, op10_quality)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1_SQL, "op2_warc": OP2_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op2_warc": OP2_SQL, "op9_mixing": mixing.oracle_sql()}
