@@ -1,6 +1,6 @@
 """All queries of the telemetry engine; importing a module registers its queries."""
 
-from . import series_queries
+from . import series_queries, session_queries
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "series_queries"]
+__all__ = ["ORACLES", "QUERIES", "series_queries", "session_queries"]

@@ -55,7 +55,7 @@ class Tables:
         origin = F.when(cumulative, F.when(xml, "health_xml")).when(F.col("event_id") % 2 == 0, "hae").otherwise("health_xml")
         error = F.col("type") == "error"
         return e.withColumn("origin", origin).where("origin is not null").select(
-            "event_id", "subject_id", "tz", "type", "source_id", F.col("ts").alias("start_ts"), F.timestamp_micros(F.unix_micros("ts") + F.col("k") * 1_000_000).alias("end_ts"),
+            "event_id", "subject_id", "tz", "type", "source_id", F.col("ts").alias("start_ts"), F.timestamp_micros(F.unix_micros("ts") + F.col("k").cast("long") * 1_000_000).alias("end_ts"),
             F.when(~error, F.col("v")).alias("value"), F.when(~error, quantise(F.col("v").cast("double"), 1000)).alias("value_key"), F.when(error, F.col("k") % 2).alias("category_value"), "origin",
         )
 
@@ -83,7 +83,7 @@ class Tables:
     def sleep_segments(self) -> DataFrame:
         return self.events.select(
             "subject_id", "tz", (F.col("event_id") % 2).cast("int").alias("source_id"), (F.col("k") % 6).alias("stage"), F.col("ts").alias("start_ts"),
-            F.timestamp_micros(F.unix_micros("ts") + (F.col("k") + 1) * 60_000_000).alias("end_ts"),
+            F.timestamp_micros(F.unix_micros("ts") + (F.col("k").cast("long") + 1) * 60_000_000).alias("end_ts"),
         )
 
     @cached_property
