@@ -19,7 +19,8 @@ def query(name: str, sql: str | None = None):
     def register(f: Callable[[Tables], DataFrame]):
         QUERIES[name] = lambda spark, sf_dir: plain(f(Tables(spark, sf_dir)))
         if sql is not None:
-            ORACLES[name] = f"WITH {CANON},\n{sql.strip()}" if sql.strip().startswith("q") else f"WITH {CANON}\n{sql.strip()}"
+            own = sql.strip()
+            ORACLES[name] = f"WITH {CANON}{'' if own.upper().startswith('SELECT') else ','}\n{own}"
         return f
 
     return register
