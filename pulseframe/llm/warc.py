@@ -23,7 +23,7 @@ def _record(kind: str | Column, rid: Column, uri: Column, fields: list[tuple[str
     """One record without its two closing line ends, which the text writer adds."""
     head = [
         F.lit(VERSION), F.concat(F.lit("WARC-Type: "), kind if isinstance(kind, Column) else F.lit(kind)), F.concat(F.lit("WARC-Record-ID: "), rid),
-        F.lit(f"WARC-Date: {DATE}"), F.concat(F.lit("WARC-Target-URI: "), F.regexp_replace(uri, r"[\\r\\n]+", " ")),
+        F.lit(f"WARC-Date: {DATE}"), F.concat(F.lit("WARC-Target-URI: "), F.regexp_replace(uri, r"[\r\n]+", " ")),
         *[F.when(v.isNotNull(), F.concat(F.lit(f"{k}: "), v)) for k, v in fields],
         F.lit(f"Content-Type: {content_type}"), F.concat(F.lit("Content-Length: "), F.octet_length(block).cast("string")),
     ]

@@ -33,6 +33,18 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.digest(pages.limit(0)).count() == 0
 
 
+def test_warc_urls_are_read_back(spark, tmp_path):
+    urls = {1: "http://www.example.org/index\\n", 2: "http://broken.example/a\r\n\r\nb"}
+    pages = spark.createDataFrame([(i, u, "<p>x") for i, u in urls.items()], "page_id long, url string, html string")
+    path = str(tmp_path / "u")
+    warc.write_warc(pages, path)
+    records = warc.read_warc(spark, path)
+    want = {1: urls[1], 2: "http://broken.example/a b"}
+    assert {r.uri for r in records.collect()} == set(want.values())
+    assert {r.page_id: r.uri for r in warc.assemble(records).collect()} == want
+    assert {r.payload_bytes for r in warc.digest(pages).collect()} == {4}
+
+
 def test_vectors_equal_brute_force(spark):
     rng = np.random.default_rng(5)
     rows, vec = [], rng.normal(size=(30, 24))
