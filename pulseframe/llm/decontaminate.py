@@ -1,9 +1,8 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words."""
+"""Benchmark decontamination: seeds of word pairs, then Smith-Waterman alignment of words."""
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,33 +14,16 @@ from pyspark.sql import functions as F
 from .common import small_batches
 
 WORDS = re.compile(r"\w+")
-#: Words of a seed; the share of documents that chance alone may give a seed (the product of its words'
-#: document frequencies); words of one block of the benchmark, which bounds what is broadcast.
-SEED, CHANCE, BLOCK_WORDS = 5, 1e-3, 200_000
+#: Words of one block of the benchmark, which bounds what is broadcast.
+BLOCK_WORDS = 200_000
 #: Scores of the alignment, and the least share of an item's own score that counts as a copy: with
 #: these, about 80 % of the item's words in place and the others changed.
 MATCH, MISMATCH, GAP, LEAST = 1.0, -0.5, -0.5, 0.65
-_MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], dtype=np.uint64)
-
 
 def words_of(text: str | None) -> list[str]:
     return WORDS.findall((text or "").lower())
 
 
-def _grams(ids: np.ndarray, n: int) -> np.ndarray:
-    """Hashes of all runs of n words."""
-    if len(ids) < n:
-        return np.empty(0, np.uint64)
-    x = ids.astype(np.uint64)
-    with np.errstate(over="ignore"):
-        out = np.zeros(len(ids) - n + 1, np.uint64)
-        for k in range(n):
-            y = (x[k : len(x) - n + 1 + k] + np.uint64(k + 1)) * _MULT[k % 5]
-            out ^= y ^ (y >> np.uint64(29))
-            out *= np.uint64(0xFF51AFD7ED558CCD)
-    return out
-
-
 class Block:
     """Some items of a benchmark: their words, and the seeds to find them by."""
 
@@ -52,24 +34,65 @@ class Block:
             for w in words:
                 self.vocabulary.setdefault(w, len(self.vocabulary) + 1)
         self.items = [np.array([self.vocabulary[w] for w in words], dtype=np.int64) for _, words in items]
-        self.seeds: dict[int, tuple[np.ndarray, list[list[tuple[int, int]]]]] = {}
-
-    def choose(self, share: np.ndarray) -> None:
-        """Seeds are the runs that chance gives to at most CHANCE of all documents; items that have no
-        such run are sought by all their runs. share: of the documents, by word."""
-        found: dict[int, dict[int, list[tuple[int, int]]]] = {}
-        for k, words in enumerate(self.items):
-            n = min(SEED, len(words))
-            if not n:
+        width = len(self.vocabulary) + 1
+        self.pairs = _postings([x[:-1] * width + x[1:] for x in self.items])
+        self.words = _postings(self.items)
+        self._needs: dict[float, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+
+    def needs(self, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """By item what every alignment of score ``least`` holds: pairs of neighbouring words, words, and
+        the most words of a text that it spans.
+
+        With f = (1 - least) * n to lose of n words, a lost neighbourhood costs half a word at least (an
+        insertion; a changed or missing word costs 1.5 for two, a missing end 1 for one), so n - 1 - 2 f
+        stay whole, and 2 f words at most are inserted. Items of which no pair need stay are sought by
+        words, of which at least the score is matched."""
+        if least not in self._needs:
+            n = np.array([len(x) for x in self.items], dtype=np.int64)
+            lost = np.floor(2 * (1 - least) * n + 1e-9).astype(np.int64)
+            words = np.maximum(np.ceil(least * n - 1e-9).astype(np.int64), 1)
+            self._needs[least] = np.maximum(n - 1 - lost, 0), words, n + lost
+        return self._needs[least]
+
+    def _regions(self, ids: np.ndarray, least: float) -> Iterator[tuple[int, int, int]]:
+        """(item, from, to): stretches of a text outside of which no alignment of score ``least`` lies."""
+        pairs, words, spans = self.needs(least)
+        width = len(self.vocabulary) + 1
+        both = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0))
+        found = [(pairs, both, ids[both] * width + ids[both + 1], self.pairs)]
+        if (pairs == 0).any():
+            known = np.flatnonzero(ids)
+            found.append((np.where(pairs == 0, words, 0), known, ids[known], self.words))
+        for need, where, codes, (keys, starts, members) in found:
+            if not len(codes) or not len(keys):
                 continue
-            hashes = _grams(words, n).tolist()
-            chance = np.array([share[words[p : p + n]].prod() for p in range(len(hashes))])
-            rare = chance <= CHANCE if (chance <= CHANCE).any() else np.ones(len(hashes), bool)
-            for p in np.flatnonzero(rare):
-                found.setdefault(n, {}).setdefault(hashes[p], []).append((k, int(p)))
-        for n, by_hash in found.items():
-            keys = np.array(sorted(by_hash), dtype=np.uint64)
-            self.seeds[n] = keys, [by_hash[int(h)] for h in keys.tolist()]
+            at = np.minimum(np.searchsorted(keys, codes), len(keys) - 1)
+            hit = np.flatnonzero(keys[at] == codes)
+            n = starts[at[hit] + 1] - starts[at[hit]]
+            if not n.sum():
+                continue
+            places = np.repeat(where[hit], n)
+            items = members[np.arange(n.sum()) + np.repeat(starts[at[hit]] - (np.cumsum(n) - n), n)]
+            counts = np.bincount(items, minlength=len(need))
+            enough = np.flatnonzero((need > 0) & (counts >= need))
+            if not len(enough):
+                continue
+            sought = np.zeros(len(need), bool)
+            sought[enough] = True
+            some = sought[items]
+            items, places = items[some], places[some]
+            order = np.argsort(items, kind="stable")
+            items, places = items[order], places[order]
+            ends = np.searchsorted(items, enough, side="right")
+            for k, a, b in zip(enough.tolist(), np.searchsorted(items, enough).tolist(), ends.tolist(), strict=True):
+                mine, more, span = places[a:b], int(need[k]) - 1, int(spans[k])
+                near = np.flatnonzero(mine[more:] - mine[: len(mine) - more] < span)
+                if not len(near):
+                    continue
+                lo, hi = np.maximum(mine[near] - span, 0), np.minimum(mine[near + more] + span + 1, len(ids))
+                cuts = np.flatnonzero(lo[1:] > hi[:-1]) + 1
+                for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(lo)], strict=True):
+                    yield k, int(lo[i]), int(hi[j - 1])
 
     def matches(self, text: str | None, least: float = LEAST) -> list[tuple[int, float, int, int]]:
         """(item id, score, first word, end word) of the items that a whole text holds a copy of; of
@@ -77,36 +100,23 @@ class Block:
         words = words_of(text)
         get = self.vocabulary.get
         ids = np.fromiter((get(w, 0) for w in words), np.int64, len(words))
-        hits: dict[int, list[int]] = {}
-        for n, (keys, places) in self.seeds.items():
-            known = ids > 0
-            if known.sum() < n:
+        best: dict[int, tuple[float, int, int]] = {}
+        for k, a, b in self._regions(ids, least):
+            if best.get(k, (0.0,))[0] >= 1.0:
                 continue
-            grams = _grams(ids, n)
-            at = np.searchsorted(keys, grams)
-            ok = np.flatnonzero(keys[np.minimum(at, len(keys) - 1)] == grams)
-            for p in ok.tolist():
-                for k, q in places[at[p]]:
-                    hits.setdefault(k, []).append(p - q)
-        out = []
-        for k, starts in hits.items():
-            item = self.items[k]
-            slack = 8 + len(item) // 2
-            best, last = (0.0, 0, 0), None
-            for s in sorted(set(starts)):
-                a, b = max(0, s - slack), min(len(ids), s + len(item) + slack)
-                if last and a <= last[1]:
-                    if s - last[2] <= slack // 2:
-                        continue  # within the window just aligned
-                score, first, end = align(item, ids[a:b])
-                if score > best[0]:
-                    best = score, a + first, a + end
-                last = a, b, s
-                if best[0] >= 1.0:
-                    break
-            if best[0] >= least:
-                out.append((self.ids[k], round(float(best[0]), 6), int(best[1]), int(best[2])))
-        return out
+            score, first, end = align(self.items[k], ids[a:b])
+            if score > best.get(k, (0.0,))[0]:
+                best[k] = score, a + first, a + end
+        return [(self.ids[k], round(float(s), 6), int(a), int(b)) for k, (s, a, b) in best.items() if s >= least]
+
+
+def _postings(items: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted codes, where the items of each begin, and the items that hold it."""
+    codes = [np.unique(x) for x in items]
+    code, item = np.concatenate(codes), np.repeat(np.arange(len(items)), [len(x) for x in codes])
+    order = np.argsort(code, kind="stable")
+    keys, starts = np.unique(code[order], return_index=True)
+    return keys, np.append(starts, len(code)), item[order]
 
 
 def align(item: np.ndarray, window: np.ndarray) -> tuple[float, int, int]:
@@ -142,9 +152,8 @@ def align(item: np.ndarray, window: np.ndarray) -> tuple[float, int, int]:
     return best / (MATCH * len(item)), *where
 
 
-def blocks(bench: DataFrame, docs: DataFrame, item_col: str = "item_id", text_col: str = "text", doc_text: str = "text", most_words: int = BLOCK_WORDS) -> Iterator[Block]:
-    """The benchmark's items in blocks of bounded size, one after another, with seeds chosen by word
-    frequencies over all documents. Items without an id or words are left out."""
+def blocks(bench: DataFrame, item_col: str = "item_id", text_col: str = "text", most_words: int = BLOCK_WORDS) -> Iterator[Block]:
+    """The benchmark's items in blocks of bounded size, one after another. Items without an id or words are left out."""
     got, size = [], 0
     rows = bench.where(f"{item_col} is not null").select(F.col(item_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t"))
     for r in rows.toLocalIterator():
@@ -152,37 +161,12 @@ def blocks(bench: DataFrame, docs: DataFrame, item_col: str = "item_id", text_co
         if not words:
             continue
         if got and size + len(words) > most_words:
-            yield _with_seeds(Block(got), docs, doc_text)
+            yield Block(got)
             got, size = [], 0
         got.append((r["i"], words))
         size += len(words)
     if got:
-        yield _with_seeds(Block(got), docs, doc_text)
-
-
-def _with_seeds(block: Block, docs: DataFrame, text_col: str) -> Block:
-    """Document frequencies of the block's words, counted over all documents by task, then summed."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    vocabulary = spark.sparkContext.broadcast(block.vocabulary)
-
-    def counted(batches):
-        counts, n, known = Counter(), 0, vocabulary.value.keys()
-        for batch in batches:
-            for t in batch.column(0).to_pylist():
-                n += 1
-                if t:
-                    counts.update(known & set(WORDS.findall(t.lower())))
-        pairs = [(0, n), *((vocabulary.value[w], c) for w, c in counts.items())]
-        yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in range(2)], names=["w", "n"])
-
-    df = docs.select(F.col(text_col).cast("string").alias("t")).mapInArrow(counted, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).collect()
-    share = np.zeros(len(block.vocabulary) + 1)
-    for r in df:  # one row for each word of the block
-        share[r["w"]] = r["n"]
-    total = max(share[0], 1.0)
-    block.choose(np.maximum(share, 1.0) / total)
-    return block
+        yield Block(got)
 
 
 def contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST, most_words: int = BLOCK_WORDS) -> DataFrame:
@@ -194,11 +178,12 @@ def contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text
     empty texts hold nothing; a row without an id gives rows without one. An empty benchmark or no
     documents: no rows."""
     spark = docs.sparkSession
+    small_batches(spark)
     kinds = {"doc_id": pa.int64(), "item_id": pa.int64(), "score": pa.float64(), "first_word": pa.int64(), "end_word": pa.int64()}
     schema = "doc_id long, item_id long, score double, first_word long, end_word long"
     out = spark.createDataFrame([], schema)
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    for block in blocks(bench, docs, doc_text=text_col, most_words=most_words):
+    for block in blocks(bench, most_words=most_words):
         shared = spark.sparkContext.broadcast(block)
 
         def found(batches, shared=shared):
@@ -220,8 +205,9 @@ def _is_clean(block, least: float):
 
 def decontaminated(docs: DataFrame, bench: DataFrame, text_col: str = "text", least: float = LEAST) -> DataFrame:
     """docs without the rows that hold a copy of a benchmark item; a map over them, without a shuffle."""
+    small_batches(docs.sparkSession)
     kept = docs
-    for block in blocks(bench, docs, doc_text=text_col):
+    for block in blocks(bench):
         clean = _is_clean(docs.sparkSession.sparkContext.broadcast(block), least)
         kept = kept.where(clean(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
     return kept

@@ -143,6 +143,34 @@ def test_copies_of_benchmark_items_are_found(spark):
 PLAIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(?:\.[0-9]+){3}", "card": r"[0-9](?:[ -]?[0-9])+", "phone": r"\+[0-9][ ().0-9-]+[0-9]"}
 
 
+def test_no_alignment_is_missed():
+    rng = random.Random(8)
+    words = [f"t{i}" for i in range(60)]
+    items = [[rng.choice(words) for _ in range(n)] for n in (1, 2, 3, 4, 5, 15, 15, 30, 58)]
+    block = decontaminate.Block(list(enumerate(items)))
+
+    def edited(item, kind, every):
+        out = []
+        for i, w in enumerate(item, 1):
+            hit = i % every == 0
+            out += [] if hit and kind == "cut" else ["new"] if hit and kind == "change" else [w, "new"] if hit and kind == "insert" else [w]
+        return out
+
+    def plain(text):
+        ids = np.array([block.vocabulary.get(w, 0) for w in text])
+        return {(k, round(s, 6)) for k, item in enumerate(block.items) if (s := decontaminate.align(item, ids)[0]) >= decontaminate.LEAST}
+
+    found = 0
+    for kind in ("change", "insert", "cut"):
+        for every in (2, 3, 4, 5):
+            for k, item in enumerate(items):
+                text = [rng.choice(words) for _ in range(40)] + edited(item, kind, every) + ["z"] * 100 + [rng.choice(words) for _ in range(40)]
+                got = {(i, s) for i, s, *_ in block.matches(" ".join(text))}
+                assert got == plain(text), (kind, every, k)
+                found += k >= 5 and k in {i for i, _ in got}
+    assert found >= 20
+
+
 def luhn(d):
     return sum(int(c) if i % 2 == 0 else (int(c) * 2 - (9 if int(c) > 4 else 0)) for i, c in enumerate(reversed(d))) % 10 == 0
 
