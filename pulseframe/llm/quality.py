@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,9 +13,9 @@ from pyspark.sql import functions as F
 from .common import fold, small_batches
 from .toxicity import labelled
 
-#: Most labelled rows that a fit takes, and bytes of each text that a dictionary's samples take;
-#: parameters of ``fit``. Scores read whole texts.
-MAX_FIT, SAMPLE_BYTES = 6_000, 8_000
+#: Most labelled rows that a fit takes, a parameter of ``fit``, and most pieces that teach a dictionary:
+#: those of the least hashes among all pieces of the rows' whole texts.
+MAX_FIT, MAX_PIECES = 6_000, 12_000
 #: Bytes of a dictionary; texts are compressed in pieces of this size, all of them.
 DICTIONARY, PIECE, LEVEL = 64 * 1024, 2_048, 3
 
@@ -49,8 +50,27 @@ class Packed:
         return [(b - g) / max(g, b), g / n] if n else [0.0, 1.0]
 
 
-def _dictionary(texts: list[str], size: int) -> bytes:
-    samples = [t.encode("utf-8", "replace")[k : k + PIECE] for t in texts for k in range(0, min(len(t), SAMPLE_BYTES), PIECE)]
+def pieces(rows: DataFrame) -> DataFrame:
+    """(label, piece) of rows (doc_id, text, label): whole texts as UTF-8, cut into pieces."""
+    small_batches(rows.sparkSession)
+
+    def cut(batches):
+        for batch in batches:
+            for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                data = (text or "").encode("utf-8", "replace")
+                found = [data[k : k + PIECE] for k in range(0, len(data), PIECE)]
+                yield pa.RecordBatch.from_arrays([pa.array([label] * len(found), pa.int32()), pa.array(found, pa.binary())], names=["label", "piece"])
+
+    return rows.select(F.col("label").cast("int"), "text").mapInArrow(cut, "label int, piece binary")
+
+
+def _sample(rows: DataFrame, label: int, most: int = MAX_PIECES) -> list[bytes]:
+    """The pieces of one label with the least hashes, wherever in a text they stand."""
+    mine = pieces(rows.where(F.col("label") == label))
+    return [bytes(r["piece"]) for r in mine.orderBy(F.xxhash64("piece", F.lit(29)), "piece").limit(most).select("piece").toLocalIterator()]
+
+
+def _dictionary(samples: list[bytes], size: int) -> bytes:
     samples = [s for s in samples if len(s) >= 16]
     if not samples:
         return b"\n" * 16
@@ -104,13 +124,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", limit: int =
     spark = docs.sparkSession
     small_batches(spark)
     rows = labelled(docs, labels, label, limit, id_col, text_col)
-    first = F.substring("text", 1, SAMPLE_BYTES)
-    train = rows.where("part in (0, 1)").select(first.alias("text"), "label").toPandas()
+    train = rows.where("part in (0, 1)")
     counts = rows.groupBy("label").count().collect()
     n = {r["label"]: r["count"] for r in counts}
-    if min(n.get(0, 0), n.get(1, 0)) < 20 or train["label"].nunique() < 2:
+    if min(n.get(0, 0), n.get(1, 0)) < 20 or train.select("label").distinct().count() < 2:
         return Model(spark, None, [n.get(1, 0) / sum(n.values()) if n else 0.5], [])
-    packed = Packed(*(_dictionary(list(train.loc[train["label"] == v, "text"].fillna("")), DICTIONARY) for v in (1, 0)))
+    packed = Packed(*(_dictionary(_sample(train, v), DICTIONARY) for v in (1, 0)))
     shared = spark.sparkContext.broadcast(packed)
 
     @F.pandas_udf("array<double>")

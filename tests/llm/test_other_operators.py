@@ -98,6 +98,22 @@ def test_held_out_accuracy(spark, score, label, least):
     assert score(docs.limit(0), labels).count() == 0
 
 
+def test_dictionaries_learn_from_whole_texts(spark):
+    rng = random.Random(4)
+    noise = lambda n: "".join(rng.choice("абвгдежзик ") for _ in range(n))
+    mark, rows = "the mark of a passage that stands behind the first pages", []
+    for i in range(160):
+        rows.append((i, noise(20_000) + mark * 40 if i % 2 else noise(3_000), i % 2, i % 2))
+    df = spark.createDataFrame(rows, "doc_id long, text string, quality int, label int")
+    whole = {}
+    for r in quality.pieces(df.orderBy("doc_id").coalesce(1)).collect():
+        whole[r.label] = whole.get(r.label, b"") + bytes(r.piece)
+    assert whole == {v: "".join(t for _, t, q, _ in rows if q == v).encode() for v in (0, 1)}
+    packed = quality.fit(df, df).packed.value
+    n, good, bad = packed.sizes(mark)
+    assert good < n / 2 < bad
+
+
 def test_isotonic_steps_rise():
     rng = np.random.default_rng(2)
     p = rng.random(500)
