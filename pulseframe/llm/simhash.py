@@ -162,8 +162,121 @@ def hex64(c: str):
     return F.lpad(F.lower(F.hex(F.col(c))), 16, "0")
 
 
-def near_copies_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the smallest id of each near-duplicate group; rows without an id stay."""
-    groups = simhash_groups(docs, id_col, text_col)
+def shingles(text: str | None, width: int) -> np.ndarray:
+    """Sorted distinct hashes of the runs of ``width`` words; fewer words are one run, no words none."""
+    words = (text or "").encode("utf-8", "replace").lower().split()
+    if not words:
+        return np.empty(0, np.int64)
+    runs = (b" ".join(words[k : k + width]) for k in range(max(1, len(words) - width + 1)))
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(r, SEED) for r in runs), np.uint64).view(np.int64))
+
+
+def _sets(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """(doc_id, digest, fp, n, items): the shingles of each text, their SimHash and a hash of them all."""
+    small_batches(docs.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for t in batch.column(1):
+                items = shingles(t.as_py(), width)
+                ones = np.zeros(64, dtype=np.int64)
+                for k in range(0, len(items), 50_000):
+                    ones += np.unpackbits(items[k : k + 50_000].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+                fp = np.packbits((2 * ones > len(items)).astype(np.uint8), bitorder="little").view(np.int64)[0]
+                rows.append((np.uint64(xxhash.xxh64_intdigest(items.tobytes(), SEED)).view(np.int64), fp, len(items), items))
+            ends = np.cumsum([0, *(r[2] for r in rows)])
+            items = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *(r[3] for r in rows)])))
+            cols = [pa.array([r[i] for r in rows], pa.int64()) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *cols, items], names=["doc_id", "digest", "fp", "n", "items"])
+
+    narrow = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return narrow.mapInArrow(run, "doc_id long, digest long, fp long, n long, items array<long>")
+
+
+def _met(batches, distance: int, least: float, all_pairs: bool):
+    """Pairs (a, b) of digests from groups of sorted rows (k, i, j, rep, digest, fp, n), rep the smallest
+    id of what is linked already: those of unlike reps that may be similar; each row with the first such
+    row before it, or with all."""
+    held: list[np.ndarray] = []
+
+    def pairs(rows: np.ndarray):
+        rep, fp, n = rows[:, 3], rows[:, 5].view(np.uint64), rows[:, 6]
+        near = (np.bitwise_count(fp[:, None] ^ fp[None, :]) <= distance) & (rep[:, None] > rep[None, :])
+        near &= np.minimum(n[:, None], n[None, :]) >= least * np.maximum(n[:, None], n[None, :]) - 1e-9
+        if all_pairs:
+            x, y = np.nonzero(near)
+        else:
+            x = np.flatnonzero(near.any(axis=1))
+            y = near[x].argmax(axis=1)
+        return rows[x, 4], rows[y, 4]
+
+    def out(found):
+        cols = [np.concatenate([np.empty(0, np.int64), *(f[i] for f in found)]) for i in range(2)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["a", "b"])
+
+    for batch in batches:
+        rows = np.stack([np.asarray(c) for c in batch.columns], axis=1).astype(np.int64)
+        rows = np.concatenate([*held, rows])
+        held = []
+        if not len(rows):
+            continue
+        groups = np.split(rows, np.flatnonzero((rows[1:, :3] != rows[:-1, :3]).any(axis=1)) + 1)
+        held = [groups[-1]]
+        yield out([pairs(g) for g in groups[:-1] if len(g) > 1])
+    if held and len(held[0]) > 1:
+        yield out([pairs(held[0])])
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, distance: int = 26, least: float = 0.8, chunk: int = CHUNK) -> DataFrame:
+    """(doc_id, component_id) of the ids that a chain of texts with a Jaccard similarity of at least
+    ``least`` links to another; every link is verified on the whole sets of shingles.
+
+    64 bits have no pigeonhole blocks for the distances that such texts show (10 bits on average at
+    0.8), so candidates meet by shingles: of n, the n - ceil(least n) + 1 of the least hashes, of which
+    similar sets always share one. SimHashes more than ``distance`` bits apart are then left out. By a
+    binomial estimate 26 bits leave out fewer than 1 in 10,000 of the similar pairs, those of few
+    shingles at most. Buckets are dealt in pairs of chunks. A first round verifies each row's first
+    candidate of a group, a second all candidates that the first left unlinked."""
+    spark = docs.sparkSession
+    rows = written(_sets(docs, id_col, text_col, width), "shingles")
+    reps = written(rows.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp"), F.first("n").alias("n")), "shingle-reps")
+    sets = rows.join(reps.select("digest", "rep"), "digest").where("doc_id = rep").dropDuplicates(["digest"]).select("digest", "items", "n")
+    sets = written(sets, "shingle-sets")
+    kept = F.expr(f"slice(items, 1, cast(n - ceil({least} * n - 1e-9) + 1 as int))")
+    first = sets.where("n > 0").select("digest", F.explode(kept).alias("k"))
+    shared = first.groupBy("k").agg(F.count("*").alias("m")).where("m > 1")
+    first = written(first.join(shared, "k").withColumn("g", F.ceil(F.col("m") / chunk)), "shingles-shared")
+    same = rows.join(reps, "digest").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ids = reps.select("digest", "rep")
+    side = lambda c: sets.select(F.col("digest").alias(c), F.col("items").alias(f"{c}_items"), F.col("n").alias(f"{c}_n"))
+    linked, edges = reps, None
+    for all_pairs in (False, True):
+        met = (
+            first.join(linked, "digest")
+            .withColumn("mine", F.pmod(F.xxhash64("digest"), F.col("g")))
+            .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1)))
+            .select("k", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "rep", "digest", "fp", "n")
+            .repartition(parts, "k", "i", "j")
+            .sortWithinPartitions("k", "i", "j", "rep", "digest")
+        )
+        pairs = met.mapInArrow(lambda batches, every=all_pairs: _met(batches, distance, least, every), "a long, b long").distinct()
+        both = F.size(F.array_intersect("a_items", "b_items"))
+        true = written(pairs.join(side("a"), "a").join(side("b"), "b").where(both / (F.col("a_n") + F.col("b_n") - both) >= least).select("a", "b"), "similar")
+        found = true.join(ids.toDF("a", "x"), "a").join(ids.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+        edges = written((same if edges is None else edges).unionByName(found), "similar-edges")
+        classes = components(edges)
+        linked = reps.join(classes, reps["rep"] == classes["node"], "left").select("digest", F.coalesce("component", "rep").alias("rep"), "fp", "n")
+    return classes.select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
+
+
+def near_copies_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, distance: int = 3, least: float | None = None) -> DataFrame:
+    """docs with the smallest id of each near-duplicate group; rows without an id stay. Groups are those
+    of fingerprints, or with ``least`` those of shingle sets of at least that similarity."""
+    if least is None:
+        groups = simhash_groups(docs, id_col, text_col, width, distance)
+    else:
+        groups = similar_groups(docs, id_col, text_col, width, distance, least)
     gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
     return docs.join(gone, id_col, "left_anti")

@@ -65,3 +65,28 @@ def test_stages_equal_plain_versions(spark, folder, tmp_path):
 def test_run_gives_the_last_stage(spark, folder):
     out = cp.run(spark, folder[0])
     assert {"topic", "tokens", "prob"} <= set(out.columns) and out.count() > 0
+
+
+def test_near_copies_with_edits_go(spark):
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(500)]
+    rows = []
+    for i in range(60):
+        w = [rng.choice(words) for _ in range(rng.choice([6, 30, 120, 400]))]
+        rows.append((len(rows), w))
+        for edits in (1, 2, 4, 8, 16):
+            copy = list(w)
+            for k in rng.sample(range(len(w)), min(edits, len(w) // 3)):
+                copy[k] = "edited"
+            rows.append((len(rows), copy))
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in rows}
+    group = {i: i for i in sets}
+    root = lambda i: i if group[i] == i else root(group[i])
+    for i in sets:
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                x, y = sorted((root(i), root(j)))
+                group[y] = x
+    docs = spark.createDataFrame([(i, " ".join(w), "en", "a", 1) for i, w in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id for r in cp.drop_near_copies(spark, docs, "").collect()}
+    assert got == {i for i in sets if root(i) == i} and len(got) < len(sets) - 60
