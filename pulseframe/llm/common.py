@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import hashlib
-import os
+import re
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in an Arrow batch handed to Python: with texts of 100 kB a batch stays near 50 MB.
-ARROW_ROWS = 500
+#: Masters that run in the driver's own process.
+LOCAL = re.compile(r"local(\[.*\])?")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,13 +18,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``. Only where that is
-    unset, as in tests on one machine, a folder of this session is set instead."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where that is unset, a
+    folder of this session is set on a single machine, as in tests; on a cluster it is an error, since
+    other machines would not see it."""
     own = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if own:
         return own
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(f"/tmp/checkpoints/{uuid.uuid4().hex}")
+        if not LOCAL.fullmatch(spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
     return spark.sparkContext.getCheckpointDir()
 
 
@@ -53,29 +53,6 @@ def held(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def ship(spark: SparkSession) -> None:
-    """Sends this package's code to the executors once a session, where it isn't installed."""
-    sc = spark.sparkContext
-    root = Path(__file__).resolve().parents[1]
-    files = sorted(root.rglob("*.py"))
-    name = f"pulseframe-{hashlib.sha256(b''.join(f.read_bytes() for f in files)).hexdigest()[:16]}.zip"
-    if any(x.endswith(name) for x in sc.listFiles):
-        return
-    path = os.path.realpath(os.path.join(tempfile.mkdtemp(), name))
-    with zipfile.ZipFile(path, "w") as z:
-        for f in files:
-            z.write(f, f.relative_to(root.parent))
-    sc.addPyFile(path)
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Before Python work: executors get the code, and whole texts come in batches of a bounded
-    number of rows."""
-    ship(spark)
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-
-
 def fold(doc_id: str = "doc_id"):
     """crc32 of the id as text, mod 3; rows at 1 are held out from every fit."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from ..shipping import ship
 
 WORDS = re.compile(r"\w+")
 #: Words of one block of the benchmark, which bounds what is broadcast.
@@ -178,7 +178,7 @@ def contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text
     empty texts hold nothing; a row without an id gives rows without one. An empty benchmark or no
     documents: no rows."""
     spark = docs.sparkSession
-    small_batches(spark)
+    ship(spark)
     kinds = {"doc_id": pa.int64(), "item_id": pa.int64(), "score": pa.float64(), "first_word": pa.int64(), "end_word": pa.int64()}
     schema = "doc_id long, item_id long, score double, first_word long, end_word long"
     out = spark.createDataFrame([], schema)
@@ -205,7 +205,7 @@ def _is_clean(block, least: float):
 
 def decontaminated(docs: DataFrame, bench: DataFrame, text_col: str = "text", least: float = LEAST) -> DataFrame:
     """docs without the rows that hold a copy of a benchmark item; a map over them, without a shuffle."""
-    small_batches(docs.sparkSession)
+    ship(docs.sparkSession)
     kept = docs
     for block in blocks(bench):
         clean = _is_clean(docs.sparkSession.sparkContext.broadcast(block), least)

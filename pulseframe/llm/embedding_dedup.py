@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, written
+from ..shipping import ship
+from .common import written
 from .graph import components
 
 #: Tables, lattice points in a key, cell size for projections that keep lengths on average, and
@@ -183,7 +184,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     Buckets give links enough to connect what lattice cells find; then the links within each class of
     connected vectors are counted exactly, chunk against chunk, so no pair leaves a task."""
     spark = vectors.sparkSession
-    small_batches(spark)
+    ship(spark)
     label = F.col(label_col).cast("string") if label_col else F.lit("")
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), label.alias("label"), F.col(vec_col).cast("array<double>").alias("vec")).where("vec_id is not null")
     if rows.groupBy("vec_id").count().where("count > 1").limit(1).count():

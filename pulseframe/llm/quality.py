@@ -10,7 +10,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, small_batches
+from ..shipping import ship
+from .common import fold
 from .toxicity import labelled
 
 #: Most labelled rows that a fit takes, a parameter of ``fit``, and most pieces that teach a dictionary:
@@ -52,7 +53,7 @@ class Packed:
 
 def pieces(rows: DataFrame) -> DataFrame:
     """(label, piece) of rows (doc_id, text, label): whole texts as UTF-8, cut into pieces."""
-    small_batches(rows.sparkSession)
+    ship(rows.sparkSession)
 
     def cut(batches):
         for batch in batches:
@@ -86,7 +87,7 @@ class Model:
 
     def score(self, docs: DataFrame, text_col: str = "text", out: str = "score") -> DataFrame:
         """docs with a score from 0 to 1; no shuffle."""
-        small_batches(docs.sparkSession)
+        ship(docs.sparkSession)
         packed, weights, bounds = self.packed, self.weights, self.bounds
 
         @F.pandas_udf("double")
@@ -122,7 +123,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", limit: int =
     """Half of at most ``limit`` labelled rows makes the dictionaries, half calibrates the difference by
     logistic regression. Without rows of both labels the score is the labels' rate (0.5 for none)."""
     spark = docs.sparkSession
-    small_batches(spark)
+    ship(spark)
     rows = labelled(docs, labels, label, limit, id_col, text_col)
     train = rows.where("part in (0, 1)")
     counts = rows.groupBy("label").count().collect()

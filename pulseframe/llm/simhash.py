@@ -10,7 +10,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, written
+from ..shipping import ship
+from .common import written
 from .graph import components
 
 #: Six blocks of 11 or 10 bits: two fingerprints at most 3 bits apart agree in at least 3 of them.
@@ -56,7 +57,7 @@ def fingerprint(text: str | None, width: int = 3) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
     """(doc_id, fp): one row per row of docs, fp a signed long. Runs without a shuffle."""
-    small_batches(docs.sparkSession)
+    ship(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
@@ -173,7 +174,7 @@ def shingles(text: str | None, width: int) -> np.ndarray:
 
 def _sets(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
     """(doc_id, digest, fp, n, items): the shingles of each text, their SimHash and a hash of them all."""
-    small_batches(docs.sparkSession)
+    ship(docs.sparkSession)
 
     def run(batches):
         for batch in batches:

@@ -12,7 +12,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from ..shipping import ship
 
 #: Fixed values of byte-level BPE: the pieces that a text is cut into before merging.
 PIECES = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
@@ -118,7 +118,7 @@ def token_counts(docs: DataFrame, vocabulary: str, text_col: str = "text", limit
     token each, nothing is added or cut off. Null and empty texts: 0 bytes, 0 tokens. Columns that
     are named like the new ones are replaced. No documents: no rows."""
     spark = docs.sparkSession
-    small_batches(spark)
+    ship(spark)
     name = vocabulary.rpartition("/")[2]
     if name not in {x.rpartition("/")[2] for x in spark.sparkContext.listFiles}:
         spark.sparkContext.addFile(vocabulary)

@@ -13,7 +13,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, held, small_batches
+from ..shipping import ship
+from .common import fold, held
 
 #: English and other insults that the labels need not teach, second-person words of
 #: four languages, and signs that stand for letters.
@@ -132,7 +133,7 @@ class Model:
     def score(self, docs: DataFrame, text_col: str = "text", out: str = "score") -> DataFrame:
         """docs with a score from 0 to 1 beside its columns; a column of that name is replaced. Map
         side only: features in Python by Arrow batches, trees and calibration in the JVM."""
-        small_batches(docs.sparkSession)
+        ship(docs.sparkSession)
         lex = self.lex
 
         @F.pandas_udf("array<double>")
@@ -194,7 +195,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int = M
     At most ``limit`` labelled rows are used, a bound on the driver's memory for the lexicon; the
     trees are fitted by Spark. Without rows of both labels the score is the labels' rate (0.5 for none)."""
     spark = docs.sparkSession
-    small_batches(spark)
+    ship(spark)
     rows = labelled(docs, labels, label, limit, id_col, text_col)
     counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(counts) < 2 or min(counts.values()) < 20:

@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_path, small_batches
+from ..shipping import ship
+from .common import scratch_path
 
 #: Fixed values of the format.
 VERSION, END = "WARC/1.1", "\r\n\r\n"
@@ -103,7 +104,7 @@ def parse_archive(data: bytes):
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """All records of the archives in a folder; Spark reads the files, each task parses its own."""
-    small_batches(spark)
+    ship(spark)
     fields = [b"warc-type", b"warc-record-id", b"warc-target-uri", b"warc-concurrent-to", b"warc-refers-to", b"warc-payload-digest", b"content-type"]
 
     def parsed(batches):

@@ -38,9 +38,19 @@ def test_line_dedup_equals_plain_version(spark):
     rows = [(d, "\n".join(rng.choice(pool + [f"own {d} {rng.random()} " * 3]) for _ in range(rng.randint(0, 6)))) for d in range(60)] + [(None, pool[0]), (7, pool[0]), (99, None), (100, "")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(map(tuple, line_dedup.digest(df).collect()), key=str) == plain_lines(rows)
-    parts = [df.where(f"coalesce(doc_id, 0) % 7 = {k}") for k in range(7)]
-    many = line_dedup.dedup_lines(df, batches=parts).selectExpr("doc_id", "n_lines", "n_dropped", "sha2(cast(kept_text as binary), 256)")
-    assert sorted(map(tuple, many.collect()), key=str) == plain_lines(rows)
+    for batches in (1, 7):
+        again = line_dedup.dedup_lines(df, batches=batches).selectExpr("doc_id", "n_lines", "n_dropped", "sha2(cast(kept_text as binary), 256)")
+        assert sorted(map(tuple, again.collect()), key=str) == plain_lines(rows)
+
+
+def test_repeated_ids_count_as_one_document(spark):
+    shared = "A line of more than forty signs that two documents hold."
+    rows = [(1, f"{shared}\nrow {k}") for k in range(5)] + [(2, shared)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, line_dedup.digest(df).collect()), key=str) == plain_lines(rows)
+    more = rows + [(d, shared) for d in (3, 4, 5)]
+    df = spark.createDataFrame(more, "doc_id long, text string")
+    assert sorted(map(tuple, line_dedup.digest(df).collect()), key=str) == plain_lines(more)
 
 
 def test_line_runs_compact_and_find_new_lines(spark):
@@ -52,6 +62,12 @@ def test_line_runs_compact_and_find_new_lines(spark):
     assert seen == [2, 1, 1, 1]
     assert {k: len(v) for k, v in runs.levels.items() if v} == {2: 1}
     assert runs.read().agg({"n_docs": "max"}).first()[0] == 8
+    runs.add(line_dedup.batch_run(line_dedup.long_lines(batch, "doc_id", "text", 40)))
+    owners = runs.read().where("owner is not null").groupBy("h1", "h2").count()
+    assert owners.count() == 5 and owners.agg({"count": "max"}).first()[0] == 1
+    found = runs.fresh(batch.selectExpr("doc_id as h1", "doc_id as h2", "doc_id as n_docs", "doc_id as owner"))
+    assert "LeftAnti" in found._jdf.queryExecution().executedPlan().toString()
+    runs.close()
 
 
 def test_dedup_keeps_extra_columns_and_empty_tables(spark, docs):
