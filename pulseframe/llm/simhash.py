@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -19,6 +20,8 @@ WIDTHS = (11, 11, 11, 11, 10, 10)
 #: Members of one bucket that one group of a task holds twice at most.
 CHUNK = 128
 SEED = 42
+#: Sets with fewer shingles are compared whatever their SimHashes: the estimate of distances is for many.
+SURE = 64
 
 
 def _masks(distance: int) -> list[int]:
@@ -168,49 +171,61 @@ def shingles(text: str | None, width: int) -> np.ndarray:
     words = (text or "").encode("utf-8", "replace").lower().split()
     if not words:
         return np.empty(0, np.int64)
-    runs = (b" ".join(words[k : k + width]) for k in range(max(1, len(words) - width + 1)))
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(r, SEED) for r in runs), np.uint64).view(np.int64))
+    line = b" ".join(words)
+    ends = list(accumulate(len(w) + 1 for w in words))
+    view, digest, width = memoryview(line), xxhash.xxh64_intdigest, min(width, len(words))
+    starts = [0, *ends[:-width]]
+    hashes = (digest(view[a : b - 1], SEED) for a, b in zip(starts, ends[width - 1 :], strict=True))
+    return np.unique(np.fromiter(hashes, np.uint64, len(starts)).view(np.int64))
+
+
+def _least(n: int, least: float) -> int:
+    """Of n shingles in a fixed order, so many of the first that two sets of similarity ``least`` always
+    share one of them."""
+    return n - math.ceil(least * n - 1e-9) + 1 if n else 0
 
 
-def _sets(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(doc_id, digest, fp, n, items): the shingles of each text, their SimHash and a hash of them all."""
+def _sets(docs: DataFrame, id_col: str, text_col: str, width: int, least: float) -> DataFrame:
+    """(doc_id, mark, digest, fp, n, first) of rows with an id: hash of the text, hash of the set of its
+    shingles, the set's SimHash and size, and the least of its hashes that similar sets must share."""
     ship(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
-            rows = []
-            for t in batch.column(1):
+            rows, first = [], [np.empty(0, np.int64)]
+            for t in batch.column(2):
                 items = shingles(t.as_py(), width)
                 ones = np.zeros(64, dtype=np.int64)
                 for k in range(0, len(items), 50_000):
                     ones += np.unpackbits(items[k : k + 50_000].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
                 fp = np.packbits((2 * ones > len(items)).astype(np.uint8), bitorder="little").view(np.int64)[0]
-                rows.append((np.uint64(xxhash.xxh64_intdigest(items.tobytes(), SEED)).view(np.int64), fp, len(items), items))
-            ends = np.cumsum([0, *(r[2] for r in rows)])
-            items = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *(r[3] for r in rows)])))
+                first.append(items[: _least(len(items), least)])
+                rows.append((np.uint64(xxhash.xxh64_intdigest(items.tobytes(), SEED)).view(np.int64), fp, len(items), len(first[-1])))
+            ends = np.cumsum([0, *(r[3] for r in rows)])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(first)))
             cols = [pa.array([r[i] for r in rows], pa.int64()) for i in range(3)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *cols, items], names=["doc_id", "digest", "fp", "n", "items"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols, lists], names=["doc_id", "mark", "digest", "fp", "n", "first"])
 
-    narrow = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return narrow.mapInArrow(run, "doc_id long, digest long, fp long, n long, items array<long>")
+    return _marked(docs, id_col, text_col).mapInArrow(run, "doc_id long, mark long, digest long, fp long, n long, first array<long>")
 
 
-def _met(batches, distance: int, least: float, all_pairs: bool):
-    """Pairs (a, b) of digests from groups of sorted rows (k, i, j, rep, digest, fp, n), rep the smallest
-    id of what is linked already: those of unlike reps that may be similar; each row with the first such
-    row before it, or with all."""
+def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.col(text_col).cast("string")
+    return docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), text.alias("text"))
+
+
+def _met(batches, distance: int, least: float):
+    """Pairs (a, b) of digests, a > b, from groups of sorted rows (k, i, j, digest, class, fp, n): those of
+    unlike classes that may be similar."""
     held: list[np.ndarray] = []
 
     def pairs(rows: np.ndarray):
-        rep, fp, n = rows[:, 3], rows[:, 5].view(np.uint64), rows[:, 6]
-        near = (np.bitwise_count(fp[:, None] ^ fp[None, :]) <= distance) & (rep[:, None] > rep[None, :])
+        digest, mine, fp, n = rows[:, 3], rows[:, 4], rows[:, 5].view(np.uint64), rows[:, 6]
+        near = (mine[:, None] != mine[None, :]) & (digest[:, None] > digest[None, :])
         near &= np.minimum(n[:, None], n[None, :]) >= least * np.maximum(n[:, None], n[None, :]) - 1e-9
-        if all_pairs:
-            x, y = np.nonzero(near)
-        else:
-            x = np.flatnonzero(near.any(axis=1))
-            y = near[x].argmax(axis=1)
-        return rows[x, 4], rows[y, 4]
+        near &= (np.bitwise_count(fp[:, None] ^ fp[None, :]) <= distance) | (np.minimum(n[:, None], n[None, :]) < SURE)
+        x, y = np.nonzero(near)
+        return digest[x], digest[y]
 
     def out(found):
         cols = [np.concatenate([np.empty(0, np.int64), *(f[i] for f in found)]) for i in range(2)]
@@ -229,47 +244,81 @@ def _met(batches, distance: int, least: float, all_pairs: bool):
         yield out([pairs(held[0])])
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, distance: int = 26, least: float = 0.8, chunk: int = CHUNK) -> DataFrame:
+def _verified(pairs: DataFrame, reps: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
+    """The pairs (a, b) of digests whose sets have a Jaccard similarity of at least ``least``. Only texts
+    that are in a pair are dealt to it, each read in whole."""
+    both = pairs.select(F.col("a").alias("digest")).union(pairs.select("b")).distinct()
+    wanted = reps.join(both, "digest").select("digest", F.col("at.doc_id").alias("doc_id"), F.col("at.mark").alias("mark"))
+    texts = written(texts.join(wanted, ["doc_id", "mark"]).select("digest", "text").dropDuplicates(["digest"]), "similar-texts")
+
+    def run(batches):
+        last, of_last = None, None
+        for batch in batches:
+            kept = []
+            a, b, x, y = (batch.column(i) for i in range(4))
+            for k in range(len(batch)):
+                if b[k] != last:
+                    last, of_last = b[k], shingles(y[k].as_py(), width)
+                mine = shingles(x[k].as_py(), width)
+                common = len(np.intersect1d(mine, of_last, assume_unique=True))
+                if common >= least * (len(mine) + len(of_last) - common) - 1e-9:
+                    kept.append(k)
+            rows = pa.array(kept, pa.int64())
+            yield pa.RecordBatch.from_arrays([a.take(rows), b.take(rows)], names=["a", "b"])
+
+    side = lambda c: texts.select(F.col("digest").alias(c), F.col("text").alias(f"{c}_text"))
+    met = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_text", "b_text")
+    return written(met.mapInArrow(run, "a long, b long"), "similar")
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, distance: int = 22, least: float = 0.8, chunk: int = CHUNK) -> DataFrame:
     """(doc_id, component_id) of the ids that a chain of texts with a Jaccard similarity of at least
     ``least`` links to another; every link is verified on the whole sets of shingles.
 
     64 bits have no pigeonhole blocks for the distances that such texts show (10 bits on average at
-    0.8), so candidates meet by shingles: of n, the n - ceil(least n) + 1 of the least hashes, of which
-    similar sets always share one. SimHashes more than ``distance`` bits apart are then left out. By a
-    binomial estimate 26 bits leave out fewer than 1 in 10,000 of the similar pairs, those of few
-    shingles at most. Buckets are dealt in pairs of chunks. A first round verifies each row's first
-    candidate of a group, a second all candidates that the first left unlinked."""
+    0.8), so candidates meet by shingles: of a set's n, the n - ceil(least n) + 1 of the least hashes, of
+    which similar sets always share one. SimHashes more than ``distance`` bits apart are then left out,
+    but for sets of fewer than SURE shingles; by a binomial estimate 22 bits leave out fewer than 1 in
+    10,000 of the pairs at 0.8, and fewer above.
+
+    First each set is compared with one of each bucket, the least; a group of near copies falls into one
+    class by that, however large, with work in proportion to its size. Then sets of buckets that still hold
+    several classes are compared with those of other classes, in pairs of chunks."""
     spark = docs.sparkSession
-    rows = written(_sets(docs, id_col, text_col, width), "shingles")
-    reps = written(rows.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp"), F.first("n").alias("n")), "shingle-reps")
-    sets = rows.join(reps.select("digest", "rep"), "digest").where("doc_id = rep").dropDuplicates(["digest"]).select("digest", "items", "n")
-    sets = written(sets, "shingle-sets")
-    kept = F.expr(f"slice(items, 1, cast(n - ceil({least} * n - 1e-9) + 1 as int))")
-    first = sets.where("n > 0").select("digest", F.explode(kept).alias("k"))
-    shared = first.groupBy("k").agg(F.count("*").alias("m")).where("m > 1")
-    first = written(first.join(shared, "k").withColumn("g", F.ceil(F.col("m") / chunk)), "shingles-shared")
-    same = rows.join(reps, "digest").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    texts = _marked(docs, id_col, text_col)
+    rows = written(_sets(docs, id_col, text_col, width, least), "shingles")
+    reps = written(rows.groupBy("digest").agg(F.min(F.struct("doc_id", "mark")).alias("at"), F.first("fp").alias("fp"), F.first("n").alias("n")), "shingle-reps")
+    ids = reps.select("digest", F.col("at.doc_id").alias("rep"))
+    same = rows.select("digest", "doc_id").join(ids, "digest").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    one = reps.select("digest", F.col("at.doc_id").alias("doc_id"), F.col("at.mark").alias("mark"))
+    posts = rows.join(one, ["digest", "doc_id", "mark"], "left_semi").select("digest", F.explode("first").alias("k"))
+    least_of = posts.groupBy("k").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo <> hi").select("k", "lo")
+    shared = written(posts.join(least_of, "k"), "shingles-shared")
+    size = lambda c: reps.select(F.col("digest").alias(c), F.col("fp").alias(f"{c}_fp"), F.col("n").alias(f"{c}_n"))
+    close = f"least(a_n, b_n) >= {least} * greatest(a_n, b_n) - 1e-9 and (bit_count(a_fp ^ b_fp) <= {distance} or least(a_n, b_n) < {SURE})"
+    stars = shared.where("digest <> lo").select(F.col("digest").alias("a"), F.col("lo").alias("b")).distinct()
+    stars = written(stars.join(size("a"), "a").join(size("b"), "b").where(close).select("a", "b"), "stars")
+    edges = lambda true: true.join(ids.toDF("a", "x"), "a").join(ids.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    found = written(same.unionByName(edges(_verified(stars, reps, texts, width, least))), "similar-edges")
+    classes = components(found)
+    linked = reps.select("digest", "fp", "n", F.col("at.doc_id").alias("rep"))
+    linked = linked.join(classes, linked["rep"] == classes["node"], "left").select("digest", "fp", "n", F.coalesce("component", "rep").alias("c"))
+    rest = shared.select("digest", "k").join(linked, "digest")
+    mixed = rest.groupBy("k").agg(F.count("*").alias("m"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("k", F.ceil(F.col("m") / chunk).alias("g"))
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ids = reps.select("digest", "rep")
-    side = lambda c: sets.select(F.col("digest").alias(c), F.col("items").alias(f"{c}_items"), F.col("n").alias(f"{c}_n"))
-    linked, edges = reps, None
-    for all_pairs in (False, True):
-        met = (
-            first.join(linked, "digest")
-            .withColumn("mine", F.pmod(F.xxhash64("digest"), F.col("g")))
-            .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1)))
-            .select("k", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "rep", "digest", "fp", "n")
-            .repartition(parts, "k", "i", "j")
-            .sortWithinPartitions("k", "i", "j", "rep", "digest")
-        )
-        pairs = met.mapInArrow(lambda batches, every=all_pairs: _met(batches, distance, least, every), "a long, b long").distinct()
-        both = F.size(F.array_intersect("a_items", "b_items"))
-        true = written(pairs.join(side("a"), "a").join(side("b"), "b").where(both / (F.col("a_n") + F.col("b_n") - both) >= least).select("a", "b"), "similar")
-        found = true.join(ids.toDF("a", "x"), "a").join(ids.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-        edges = written((same if edges is None else edges).unionByName(found), "similar-edges")
-        classes = components(edges)
-        linked = reps.join(classes, reps["rep"] == classes["node"], "left").select("digest", F.coalesce("component", "rep").alias("rep"), "fp", "n")
-    return classes.select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
+    met = (
+        rest.join(mixed, "k")
+        .withColumn("mine", F.pmod(F.xxhash64("digest"), F.col("g")))
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1)))
+        .select("k", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "digest", "c", "fp", "n")
+        .repartition(parts, "k", "i", "j")
+        .sortWithinPartitions("k", "i", "j")
+    )
+    pairs = met.mapInArrow(lambda batches: _met(batches, distance, least), "a long, b long").distinct()
+    # A set has met the least of its buckets before.
+    pairs = written(pairs.join(stars, ["a", "b"], "left_anti"), "pairs")
+    more = written(found.unionByName(edges(_verified(pairs, reps, texts, width, least))), "similar-edges")
+    return components(more).select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
 
 
 def near_copies_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, distance: int = 3, least: float | None = None) -> DataFrame:
