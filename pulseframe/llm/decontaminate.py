@@ -1,4 +1,4 @@
-"""Benchmark decontamination: seeds of word pairs, then Smith-Waterman alignment of words."""
+"""Benchmark decontamination: rare word pairs join passages to items, then Smith-Waterman alignment of words."""
 
 from __future__ import annotations
 
@@ -6,16 +6,25 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..shipping import ship
+from .common import written
 
 WORDS = re.compile(r"\w+")
-#: Words of one block of the benchmark, which bounds what is broadcast.
-BLOCK_WORDS = 200_000
+#: Seeds that a text must share with an item, or all that must stay whole if those are fewer.
+SEEDS = 3
+#: Bits of the broadcast sketch of the benchmark's seeds, as a power of two: 8 MB whatever the benchmark.
+SKETCH = 26
+#: Rows whose keys are broadcast at most (8 bytes each); more of them are joined by a shuffle.
+MOST_KEYS = 1_000_000
+#: Words whose hashes, and items whose blocks, a worker remembers before it starts anew.
+MEMO, MEMO_ITEMS = 300_000, 2_000
+SEED = ("key", "goal", "hits", "code", "times", "by_word")
 #: Scores of the alignment, and the least share of an item's own score that counts as a copy: with
 #: these, about 80 % of the item's words in place and the others changed.
 MATCH, MISMATCH, GAP, LEAST = 1.0, -0.5, -0.5, 0.65
@@ -49,7 +58,7 @@ class Block:
         words, of which at least the score is matched."""
         if least not in self._needs:
             n = np.array([len(x) for x in self.items], dtype=np.int64)
-            lost = np.floor(2 * (1 - least) * n + 1e-9).astype(np.int64)
+            lost = _lost(n, least)
             words = np.maximum(np.ceil(least * n - 1e-9).astype(np.int64), 1)
             self._needs[least] = np.maximum(n - 1 - lost, 0), words, n + lost
         return self._needs[least]
@@ -152,62 +161,147 @@ def align(item: np.ndarray, window: np.ndarray) -> tuple[float, int, int]:
     return best / (MATCH * len(item)), *where
 
 
-def blocks(bench: DataFrame, item_col: str = "item_id", text_col: str = "text", most_words: int = BLOCK_WORDS) -> Iterator[Block]:
-    """The benchmark's items in blocks of bounded size, one after another. Items without an id or words are left out."""
-    got, size = [], 0
-    rows = bench.where(f"{item_col} is not null").select(F.col(item_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t"))
-    for r in rows.toLocalIterator():
-        words = words_of(r["t"])
-        if not words:
-            continue
-        if got and size + len(words) > most_words:
-            yield Block(got)
-            got, size = [], 0
-        got.append((r["i"], words))
-        size += len(words)
-    if got:
-        yield Block(got)
-
-
-def contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST, most_words: int = BLOCK_WORDS) -> DataFrame:
-    """(doc_id, item_id, score, first_word, end_word): one row for each row of docs and item of the
-    benchmark that it holds a copy of, exact, edited or paraphrased in few words.
+def _lost(n: np.ndarray | int, least: float):
+    """Neighbourhoods of an item of n words that an alignment of score ``least`` can break at most."""
+    return np.floor(2 * (1 - least) * np.asarray(n) + 1e-9).astype(np.int64)
+
+
+def _hashes(words: list[str], memo: dict[str, int]) -> np.ndarray:
+    out = [memo.get(w) for w in words]
+    if None in out:
+        for i, h in enumerate(out):
+            if h is None:
+                if len(memo) >= MEMO:
+                    memo.clear()
+                out[i] = memo[words[i]] = xxhash.xxh64_intdigest(words[i].encode("utf-8", "replace"))
+    return np.array(out, dtype=np.uint64)
+
+
+def _pair_codes(h: np.ndarray) -> np.ndarray:
+    return h[:-1] * np.uint64(0x9E3779B97F4A7C15) + (h[1:] ^ (h[1:] >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)
+
+
+def _seed_rows(batches, least: float):
+    """From (key, text) of items (key, goal, hits, code, times, by_word): each distinct seed of an item, with how often
+    it comes in it, the places that the item's seeds are to cover, and how many of them a copy holds.
+
+    Of n - 1 pairs all but ``lost`` stay whole in a copy. So of the rarest pairs that cover lost + s places
+    it holds s. Items of which no pair need stay are sought by words."""
+    memo: dict[str, int] = {}
+    for batch in batches:
+        out = []
+        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            h = _hashes(words_of(text), memo)
+            n = len(h)
+            if not n:
+                continue
+            codes, whole = _pair_codes(h), n - 1 - int(_lost(n, least))
+            by_word = whole <= 0
+            if by_word:
+                codes, whole = h, max(int(np.ceil(least * n - 1e-9)), 1)
+            hits = min(SEEDS, whole)
+            for code, times in zip(*np.unique(codes.view(np.int64), return_counts=True), strict=True):
+                out.append((key, len(codes) - whole + hits, hits, int(code), int(times), int(by_word)))
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(6)], names=list(SEED))
+
+
+def _sketch(seeds: DataFrame) -> np.ndarray:
+    """One bit for each seed, by the first bits of its code. What comes to the driver is bounded by the
+    sketch's own size."""
+    at = F.shiftrightunsigned("code", 64 - SKETCH).alias("at")
+    words = seeds.select(at).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits"))
+    out = np.zeros(1 << (SKETCH - 6), dtype=np.uint64)
+    for r in words.toLocalIterator():
+        out[r["word"]] = np.uint64(r["bits"] & (1 << 64) - 1)
+    return out
+
 
-    Each block of the benchmark is compared with all documents in one map over them, however many
-    documents hold a passage. Words are runs of letters, digits and underscores in lower case. Null and
-    empty texts hold nothing; a row without an id gives rows without one. An empty benchmark or no
-    documents: no rows."""
+def _hit_rows(batches, sketch, by_words: bool):
+    """From (row, text): the distinct codes of a text that the sketch holds, of texts with any."""
+    memo: dict[str, int] = {}
+    for batch in batches:
+        bits, rows, found = sketch.value, [], [np.empty(0, np.int64)]
+        for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            h = _hashes(words_of(text), memo)
+            codes = np.concatenate([_pair_codes(h), h]) if by_words else _pair_codes(h)
+            at = codes >> np.uint64(64 - SKETCH)
+            hit = (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)
+            codes = np.unique(codes[hit.astype(bool)].view(np.int64))
+            if len(codes):
+                rows.append(row)
+                found.append(codes)
+        ends = np.cumsum([0, *map(len, found[1:])])
+        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found)))], names=["row", "codes"])
+
+
+def _aligned(batches, least: float):
+    """From (row, doc_id, text, item_id, item) the items that the text holds a copy of."""
+    known: dict[str, Block] = {}
+    for batch in batches:
+        out = []
+        for row, doc, text, item_id, item in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if item not in known:
+                if len(known) >= MEMO_ITEMS:
+                    known.clear()
+                known[item] = Block([(0, words_of(item))])
+            out += [(row, doc, item_id, *m[1:]) for m in known[item].matches(text, least)]
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=["row", "doc_id", "item_id", "score", "first_word", "end_word"])
+
+
+def _bounded(keys: DataFrame) -> DataFrame:
+    """A written frame of keys, to be broadcast if its rows are few enough."""
+    return F.broadcast(keys) if keys.count() <= MOST_KEYS else keys
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(row, doc_id, text); row is a hash of both others, so that equal rows share it."""
+    doc, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
+    return docs.select(_row(id_col, text_col).alias("row"), doc.alias("doc_id"), text.alias("text"))
+
+
+def _row(id_col: str, text_col: str):
+    return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
+
+
+def _found(docs: DataFrame, bench: DataFrame, id_col: str, text_col: str, least: float, item_col: str = "item_id") -> DataFrame:
     spark = docs.sparkSession
     ship(spark)
-    kinds = {"doc_id": pa.int64(), "item_id": pa.int64(), "score": pa.float64(), "first_word": pa.int64(), "end_word": pa.int64()}
-    schema = "doc_id long, item_id long, score double, first_word long, end_word long"
-    out = spark.createDataFrame([], schema)
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    for block in blocks(bench, most_words=most_words):
-        shared = spark.sparkContext.broadcast(block)
-
-        def found(batches, shared=shared):
-            for batch in batches:
-                rows = [(d, *m) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for m in shared.value.matches(t, least)]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds.values())], names=list(kinds))
-
-        out = out.unionByName(narrow.mapInArrow(found, schema))
-    return out
+    items = bench.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("long").alias("item_id"), F.col("text").cast("string").alias("item")).distinct()
+    items = written(items.withColumn("key", F.xxhash64("item_id", "item")), "items")
+    seeds = written(items.select("key", "item").mapInArrow(lambda b: _seed_rows(b, least), ", ".join(f"{c} long" for c in SEED)), "seeds")
+    by_words = bool(seeds.where("by_word = 1").limit(1).count())
+    sketch = spark.sparkContext.broadcast(_sketch(seeds))
+    rows = _rows(docs, id_col, text_col)
+    hits = written(rows.select("row", "text").mapInArrow(lambda b: _hit_rows(b, sketch, by_words), "row long, codes array<long>"), "hits")
+    codes = hits.select("row", F.explode("codes").alias("code"))
+    # The rarest seeds of each item until they cover as many places as a copy must hold some of.
+    often = codes.join(seeds.select("code").distinct(), "code").groupBy("code").agg(F.count("*").alias("texts"))
+    by_rarity = Window.partitionBy("key").orderBy(F.coalesce("texts", F.lit(0)), "code")
+    before = F.sum("times").over(by_rarity.rowsBetween(Window.unboundedPreceding, -1))
+    rare = written(seeds.join(often, "code", "left").withColumn("before", F.coalesce(before, F.lit(0))).where("before < goal").select("key", "hits", "code", "times"), "rare")
+    near = codes.join(rare, "code").groupBy("row", "key").agg(F.sum("times").alias("held"), F.first("hits").alias("hits")).where("held >= hits")
+    near = written(near.select("row", "key").join(items, "key").select("row", "item_id", "item"), "near")
+    texts = rows.join(_bounded(written(near.select("row").distinct(), "near-rows")), "row", "left_semi")
+    met = texts.join(near, "row").select("row", "doc_id", "text", "item_id", "item")
+    best = met.mapInArrow(lambda b: _aligned(b, least), "row long, doc_id long, item_id long, score double, first_word long, end_word long")
+    return best
 
 
-def _is_clean(block, least: float):
-    @F.pandas_udf("boolean")
-    def clean(texts: pd.Series) -> pd.Series:
-        return pd.Series([not block.value.matches(t, least) for t in texts], dtype=bool)
+def contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:
+    """(doc_id, item_id, score, first_word, end_word): one row for each row of docs and item of the
+    benchmark that it holds a copy of, exact, edited or paraphrased in few words.
 
-    return clean
+    The documents are read once against a sketch of the benchmark's word pairs, of fixed size; the pairs
+    that they share join them to the items by their rarest seeds, and texts that share enough with an item
+    are aligned with it, each read in whole. No alignment of score ``least`` is missed. Words are runs of
+    letters, digits and underscores in lower case. Null and empty texts hold nothing; a row without an id
+    gives rows without one. Items without an id or words are left out; items that share an id are
+    items of their own, equal ones one. An empty benchmark or no documents: no rows."""
+    return _found(docs, bench, id_col, text_col, least).drop("row")
 
 
-def decontaminated(docs: DataFrame, bench: DataFrame, text_col: str = "text", least: float = LEAST) -> DataFrame:
-    """docs without the rows that hold a copy of a benchmark item; a map over them, without a shuffle."""
-    ship(docs.sparkSession)
-    kept = docs
-    for block in blocks(bench):
-        clean = _is_clean(docs.sparkSession.sparkContext.broadcast(block), least)
-        kept = kept.where(clean(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
-    return kept
+def decontaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:
+    """docs without the rows that hold a copy of a benchmark item."""
+    gone = written(_found(docs, bench, id_col, text_col, least).select(F.col("row").alias("__row")).distinct(), "contaminated")
+    return docs.join(_bounded(gone), _row(id_col, text_col) == F.col("__row"), "left_anti")
