@@ -52,7 +52,7 @@ def words_in(token: str) -> tuple[list[str], int]:
     if core.isalpha():
         return [core], 0
     joined = "".join(WORD.findall(core.translate(LOOKS)))
-    if len(core) <= 40 and joined.isalpha() and joined != core and any(map(str.isalpha, core)):
+    if joined.isalpha() and joined != core and any(map(str.isalpha, core)):
         return [joined], 1
     return WORD.findall(core), 0
 
@@ -104,24 +104,28 @@ def features(text: str | None, lex: Lexicon) -> list[float]:
                 near += 1
     marks = len(text) - len(tokens) + 1
     return [
-        min(insults, 50.0), 100.0 * insults / n, min(learned, 50.0), 100.0 * learned / n, 100.0 * mild / n, 100.0 * near / n,
+        float(insults), 100.0 * insults / n, float(learned), 100.0 * learned / n, 100.0 * mild / n, 100.0 * near / n,
         100.0 * capitals / marks, 100.0 * signs / marks, 100.0 * disguised / n, 100.0 * repeated / n, 100.0 * exclaims / n, math.log1p(n),
     ]
 
 
-def learn_lexicon(rows: pd.DataFrame) -> Lexicon:
-    """From labelled texts: terms in at least LEAST_ROWS toxic rows, by their ratio of frequencies."""
-    toxic: dict[str, int] = {}
-    clean: dict[str, int] = {}
-    for text, label in zip(rows["text"], rows["label"], strict=True):
-        into = toxic if label else clean
-        for t in _terms(set(words_of(text or ""))):
-            into[t] = into.get(t, 0) + 1
-    n1, n0 = max(1, int(rows["label"].sum())), max(1, int((rows["label"] == 0).sum()))
-    ratio = {t: (c / n1) / ((clean.get(t, 0) + 0.5) / n0) for t, c in toxic.items() if c >= LEAST_ROWS}
-    best = sorted(ratio, key=lambda t: (-toxic[t] * math.log(max(ratio[t], 1.0)), t))
-    strong = [t for t in best if ratio[t] >= 8][:MOST_TERMS]
-    return Lexicon(set(strong), {t for t in best if 3 <= ratio[t] < 8 and t[0] != "^"} & set(best[:MOST_TERMS]))
+def learn_lexicon(rows: DataFrame) -> Lexicon:
+    """From labelled rows (text, label): terms in at least LEAST_ROWS toxic rows, by their ratio of
+    frequencies. Spark counts the rows that hold each term; only the lists chosen, of at most MOST_TERMS
+    terms each, come to the driver."""
+
+    @F.pandas_udf("array<string>")
+    def terms(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: sorted(_terms(set(words_of(t or "")))))
+
+    n1, n0 = (max(1, x or 0) for x in rows.agg(F.sum("label"), F.sum(1 - F.col("label"))).first())
+    counts = rows.select("label", F.explode(terms("text")).alias("term")).groupBy("term").agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean"))
+    ratio = (F.col("toxic") / F.lit(float(n1))) / ((F.col("clean") + 0.5) / F.lit(float(n0)))
+    ranked = held(counts.where(F.col("toxic") >= LEAST_ROWS).select("term", "toxic", ratio.alias("ratio")))
+    order = [(F.col("toxic") * F.log(F.greatest("ratio", F.lit(1.0)))).desc(), F.col("term")]
+    strong = ranked.where("ratio >= 8").orderBy(*order).limit(MOST_TERMS).select("term").collect()
+    best = ranked.orderBy(*order).limit(MOST_TERMS).collect()
+    return Lexicon({r["term"] for r in strong}, {r["term"] for r in best if 3 <= r["ratio"] < 8 and r["term"][0] != "^"})
 
 
 class Model:
@@ -192,8 +196,8 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, limit: int, id_col:
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int = MAX_FIT, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Three quarters of the labelled rows teach lexicon and trees, one quarter the calibration.
 
-    At most ``limit`` labelled rows are used, a bound on the driver's memory for the lexicon; the
-    trees are fitted by Spark. Without rows of both labels the score is the labels' rate (0.5 for none)."""
+    At most ``limit`` labelled rows are used, whole texts; the lexicon is counted and the trees are
+    fitted by Spark. Without rows of both labels the score is the labels' rate (0.5 for none)."""
     spark = docs.sparkSession
     ship(spark)
     rows = labelled(docs, labels, label, limit, id_col, text_col)
@@ -201,7 +205,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int = M
     if len(counts) < 2 or min(counts.values()) < 20:
         n = sum(counts.values())
         return Model(spark, Lexicon(set(), set()), None, [(0.0, counts.get(1, 0) / n if n else 0.5)])
-    lex = learn_lexicon(lexicon_rows(rows))
+    lex = learn_lexicon(rows.where("part <> 0"))
     shared = spark.sparkContext.broadcast(lex)
 
     @F.pandas_udf("array<double>")
@@ -214,16 +218,6 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int = M
     return Model(spark, lex, trees, isotonic_steps(cal["p"].to_numpy(), cal["label"].to_numpy()))
 
 
-def lexicon_rows(rows: DataFrame) -> pd.DataFrame:
-    """The learning rows, at most three quarters of ``limit``: lists of distinct words, not whole texts."""
-
-    @F.pandas_udf("string")
-    def distinct(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: " ".join(sorted(set(words_of(t or "")))))
-
-    return rows.where("part <> 0").select(distinct("text").alias("text"), "label").toPandas()
-
-
 def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, score, predicted) per row of docs; null and empty texts are scored like any
     other, an id that is null counts as not held out. No documents: no rows."""
