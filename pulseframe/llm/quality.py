@@ -17,8 +17,18 @@ from .toxicity import labelled
 #: Most labelled rows that a fit takes, a parameter of ``fit``, and most pieces that teach a dictionary:
 #: those of the least hashes among all pieces of the rows' whole texts.
 MAX_FIT, MAX_PIECES = 6_000, 12_000
-#: Bytes of a dictionary; texts are compressed in pieces of this size, all of them.
+#: Bytes of a dictionary, bytes of a piece that teaches one, and the level of compression.
 DICTIONARY, PIECE, LEVEL = 64 * 1024, 2_048, 3
+#: Fixed value: how trained dictionaries begin.
+TRAINED = b"\x37\xa4\x30\xec"
+
+
+def _compressor(content: bytes) -> zstandard.ZstdCompressor:
+    """A compressor of whole texts that starts from a dictionary, trained or plain text."""
+    kind = zstandard.DICT_TYPE_FULLDICT if content.startswith(TRAINED) else zstandard.DICT_TYPE_RAWCONTENT
+    d = zstandard.ZstdCompressionDict(content, dict_type=kind)
+    d.precompute_compress(level=LEVEL)
+    return zstandard.ZstdCompressor(dict_data=d, level=LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False)
 
 
 class Packed:
@@ -34,15 +44,9 @@ class Packed:
     def sizes(self, text: str | None) -> tuple[int, int, int]:
         """Bytes of the text, and compressed with either dictionary."""
         if self._made is None:
-            self._made = [
-                zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT if not d.startswith(b"\x37\xa4\x30\xec") else zstandard.DICT_TYPE_AUTO), level=LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False)
-                for d in (self.good, self.bad)
-            ]
+            self._made = [_compressor(d) for d in (self.good, self.bad)]
         data = (text or "").encode("utf-8", "replace")
-        good, bad = self._made
-        view = memoryview(data)
-        pieces = [view[k : k + PIECE] for k in range(0, len(data), PIECE)]
-        return len(data), sum(len(good.compress(p)) for p in pieces), sum(len(bad.compress(p)) for p in pieces)
+        return len(data), *(len(c.compress(data)) for c in self._made)
 
     def features(self, text: str | None) -> list[float]:
         """The normalised difference (positive: the good dictionary packs better), and the share that
