@@ -2,62 +2,81 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import written
 
 MARGINS = ("source", "lang", "topic")
 #: Powers of a margin's token shares that its target shares are proportional to (1: as they are, 0:
-#: all alike), the share of all tokens to keep, and the sweeps over the margins.
+#: all alike), and the share of all tokens to keep.
 POWERS = {"source": 0.7, "lang": 0.7, "topic": 0.7}
-RATE, SWEEPS = 0.6, 8
+RATE = 0.6
+#: Sweeps go on until no margin's value is off its target by more than this share of it, or until the
+#: largest such error stops falling, as where targets contradict each other.
+TOLERANCE = 1e-12
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def topic(text: Column) -> Column:
-    """A coarse topic from what a text holds: the first of these signs, else prose."""
+    """The topic of documents that name none, by what kind of text they are: the first of these signs,
+    else prose."""
     return (
         F.when(F.contains(text, F.lit(" | ")), "table").when(F.contains(text, F.lit("icense")), "licensed").when(F.contains(text, F.lit("@")), "contact")
         .when(text.rlike("[0-9]"), "numbers").otherwise("prose")
     )
 
 
-def with_cell(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with their cell as __source, __lang and __topic; null is a class of its own, written ''."""
+def with_cell(docs: DataFrame, text_col: str = "text", topic_of: Column | None = None) -> DataFrame:
+    """docs with their cell as __source, __lang and __topic; null is a class of its own, written '', as is
+    a column that there isn't. topic_of: the topic, where documents have one."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.withColumns({
-        "__source": F.coalesce(F.col("source").cast("string"), F.lit("")), "__lang": F.coalesce(F.col("lang").cast("string"), F.lit("")), "__topic": topic(text),
-    })
+    names = {c.lower() for c in docs.columns}
+    plain = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in names else F.lit("")
+    own = topic(text) if topic_of is None else F.coalesce(topic_of.cast("string"), F.lit(""))
+    return docs.withColumns({"__source": plain("source"), "__lang": plain("lang"), "__topic": own})
 
 
-def raked(cells: DataFrame, powers: dict[str, float] | None = None, targets: dict[str, dict[str, float]] | None = None, sweeps: int = SWEEPS) -> DataFrame:
-    """cells (source, lang, topic, n) with w: shares that sum to 1 and, after the sweeps, have nearly
-    the target margins. targets: explicit weights of some margins by value, others follow ``powers``;
-    values that an explicit margin doesn't name get no weight.
+def raked(cells: DataFrame, powers: dict[str, float] | None = None, targets: dict[str, dict[str, float]] | None = None, tolerance: float = TOLERANCE) -> DataFrame:
+    """cells (source, lang, topic, n) with w: shares that sum to 1 and have the target margins, as near as
+    ``tolerance`` (``residual`` measures it). targets: explicit weights of some margins by value, others
+    follow ``powers``; values that an explicit margin doesn't name get no weight.
 
-    Each step scales a margin by its target over its sum, a window over the cells; the cells' number
-    is that of classes, not of documents."""
+    A sweep scales each margin in turn by its target over its sum: a partial aggregate joined back, so that
+    a value with most of the cells is no group of one task. Each sweep is written in the shared folder."""
     powers = POWERS | (powers or {})
-    out = cells.where("n > 0").withColumn("w", F.col("n") / F.sum("n").over(Window.partitionBy()))
+    some = cells.where("n > 0")
+    total = some.agg(F.sum("n")).first()[0]
+    out = some.withColumn("w", F.col("n") / F.lit(float(total or 1)))
     for m in MARGINS:
         given = (targets or {}).get(m)
-        if given is not None:
-            share = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in given.items() for x in kv]), F.col(m)).cast("double"), F.lit(0.0)) if given else F.lit(0.0)
-            out = out.withColumn(f"t_{m}", share)
+        sums = some.groupBy(m).agg((F.sum("n") / F.lit(float(total or 1))).alias("s"))
+        if given is None:
+            share = F.pow("s", F.lit(float(powers[m])))
         else:
-            size = F.sum("w").over(Window.partitionBy(m))
-            out = out.withColumn(f"t_{m}", F.pow(size, F.lit(float(powers[m]))))
-        # The sum of a margin's targets over its values: each cell adds its share of its value's.
-        out = out.withColumn(f"s_{m}", F.sum("w").over(Window.partitionBy(m)))
-        each = F.sum(F.col(f"t_{m}") * F.col("w") / F.col(f"s_{m}")).over(Window.partitionBy())
-        out = out.withColumn(f"all_{m}", each)
-        out = out.withColumn(f"t_{m}", F.col(f"t_{m}") / F.nullif(F.col(f"all_{m}"), F.lit(0.0))).drop(f"s_{m}", f"all_{m}")
-    for _ in range(sweeps):
+            named = F.create_map(*[F.lit(x) for kv in given.items() for x in kv]) if given else None
+            share = F.lit(0.0) if named is None else F.coalesce(F.element_at(named, F.col(m)).cast("double"), F.lit(0.0))
+        sums = sums.select(m, share.alias("t"))
+        whole = sums.agg(F.sum("t")).first()[0] or 1.0
+        out = out.join(sums.select(m, (F.col("t") / F.lit(float(whole))).alias(f"t_{m}")), m)
+    out, error = written(out, "raked"), float("inf")
+    while (now := residual(out)) > tolerance and now < error:
+        error = now
         for m in MARGINS:
-            out = out.withColumn("w", F.coalesce(F.col("w") * F.col(f"t_{m}") / F.nullif(F.sum("w").over(Window.partitionBy(m)), F.lit(0.0)), F.lit(0.0)))
-    return out.select(*MARGINS, "n", "w")
+            sums = out.groupBy(m).agg(F.sum("w").alias("s"))
+            scaled = F.coalesce(F.col("w") * F.col(f"t_{m}") / F.nullif("s", F.lit(0.0)), F.lit(0.0))
+            out = out.join(sums, m).withColumn("w", scaled).drop("s")
+        out = written(out, "raked")
+    return out
+
+
+def residual(cells: DataFrame) -> float:
+    """The largest error of raked cells: how far a value of a margin is off its target, as a share of it."""
+    off = F.abs(F.sum("w") / F.first(F.nullif("t", F.lit(0.0))) - 1).alias("off")
+    margins = [cells.select(F.col(m), "w", F.col(f"t_{m}").alias("t")).groupBy(m).agg(off).select("off") for m in MARGINS]
+    return reduce(DataFrame.unionAll, margins).agg(F.max("off")).first()[0] or 0.0
 
 
 def calibrated(cells: DataFrame, rate: float = RATE) -> DataFrame:
@@ -83,20 +102,20 @@ def chance(id_col: str) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), 1, 13), 16, 10).cast("long") / F.lit(float(16**13))
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: float = RATE, powers: dict[str, float] | None = None, targets: dict[str, dict[str, float]] | None = None) -> DataFrame:
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: float = RATE, powers: dict[str, float] | None = None, targets: dict[str, dict[str, float]] | None = None, topic_of: Column | None = None) -> DataFrame:
     """The sampled rows of docs, with ``topic``, ``tokens`` and ``prob`` beside their columns.
 
     Tokens are runs of other than white space. A row stays if the number that a hash of its id gives is
     under its cell's probability, so the same rows stay on any cluster. Rows of cells without tokens stay.
-    Null source or language is a class of its own; null and empty texts have no tokens; rows that share
+    Null source or language is a class of its own, as is a column that isn't there; topic_of names the
+    topic, else ``topic`` does. Null and empty texts have no tokens; rows that share
     an id share its number; rows without an id share one number. Columns named like the new ones are
     replaced. No documents: no rows."""
     tokens = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = with_cell(docs, text_col).withColumn("__tokens", tokens)
+    rows = with_cell(docs, text_col, topic_of).withColumn("__tokens", tokens)
     by = rows.groupBy("__source", "__lang", "__topic").agg(F.sum("__tokens").alias("n"))
     cells = written(by.select(F.col("__source").alias("source"), F.col("__lang").alias("lang"), F.col("__topic").alias("topic"), "n"), "cells")
-    cells = written(raked(cells, powers, targets), "raked")
-    probs = written(calibrated(cells, rate), "probs")
+    probs = written(calibrated(raked(cells, powers, targets), rate), "probs")
     probs = probs.select(*[F.col(m).alias(f"__p_{m}") for m in MARGINS], F.col("prob").alias("__prob"))
     on = [F.col(f"__{m}") == F.col(f"__p_{m}") for m in MARGINS]
     out = rows.join(probs, on, "left").withColumn("__prob", F.coalesce("__prob", F.lit(1.0)))
@@ -105,8 +124,8 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate:
     return out.select(*names, F.col("__topic").alias("topic"), F.col("__tokens").alias("tokens"), F.col("__prob").alias("prob"))
 
 
-def oracle_sql(docs: str = "documents", rate: float = RATE, sweeps: int = SWEEPS, powers: dict[str, float] | None = None) -> str:
-    """The same in DuckDB SQL, with the scale found by ordering cells by how soon they reach 1."""
+def oracle_sql(docs: str = "documents", rate: float = RATE, sweeps: int = 30, powers: dict[str, float] | None = None) -> str:
+    """The same in DuckDB SQL after so many sweeps as bring the fixture tables to the tolerance, with the scale found by ordering cells by how soon they reach 1."""
     powers = POWERS | (powers or {})
     ctes = [
         f"""d AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang,
