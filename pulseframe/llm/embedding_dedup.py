@@ -186,10 +186,12 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     spark = vectors.sparkSession
     ship(spark)
     label = F.col(label_col).cast("string") if label_col else F.lit("")
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), label.alias("label"), F.col(vec_col).cast("array<double>").alias("vec")).where("vec_id is not null")
+    # Single precision is dealt as it is and compared in double precision.
+    kind = "array<float>" if vectors.select(vec_col).dtypes[0][1] == "array<float>" else "array<double>"
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), label.alias("label"), F.col(vec_col).cast(kind).alias("vec")).where("vec_id is not null")
     if rows.groupBy("vec_id").count().where("count > 1").limit(1).count():
         rows = rows.groupBy("vec_id").agg(F.min(F.struct("label", "vec")).alias("x")).select("vec_id", "x.*")
-    fit = F.expr("label is not null and size(vec) > 0 and forall(vec, x -> x is not null and not isnan(x) and abs(x) < double('inf')) and exists(vec, x -> x <> 0)")
+    fit = F.expr("label is not null and size(vec) > 0 and forall(vec, x -> x is not null and not isnan(x) and abs(double(x)) < double('inf')) and exists(vec, x -> x <> 0)")
     rows = rows.withColumn("fit", F.coalesce(fit, F.lit(False))).withColumn("h1", F.xxhash64("vec")).withColumn("h2", F.xxhash64(F.lit(1), "vec"))
     narrow = rows.select("vec_id", "fit", "label", F.size("vec").alias("dim"), "h1", "h2")
     same = ["label", "dim", "h1", "h2"]
