@@ -21,10 +21,12 @@ def day_axis(subjects: DataFrame, from_day: str, to_day: str) -> DataFrame:
 
 
 def in_window(df: DataFrame, ts: str, from_day: str, to_day: str) -> DataFrame:
-    """Rows whose local day is in [from_day, to_day), with that day. The coarse bounds in UTC reach
-    the scan; the exact test follows in each subject's zone."""
+    """Rows whose local day is in [from_day, to_day), with that day. Coarse bounds in UTC reach the scan,
+    and the partitions where rows are kept by UTC day; the exact test follows in each subject's zone."""
     lo, hi = F.lit(from_day).cast("timestamp"), F.lit(to_day).cast("timestamp")
     coarse = (F.col(ts) >= lo - F.expr("INTERVAL 15 HOURS")) & (F.col(ts) < hi + F.expr("INTERVAL 15 HOURS"))
+    if "utc_day" in df.columns:
+        coarse = coarse & F.col("utc_day").between(F.date_sub(F.lit(from_day), 1), F.lit(to_day).cast("date"))
     day = local_day(F.col(ts), F.col("tz"))
     return df.where(coarse).withColumn("day", day).where((F.col("day") >= from_day) & (F.col("day") < to_day))
 
@@ -43,8 +45,10 @@ def value_of(aggregation: str) -> Column:
 
 
 def daily_discrete(obs: DataFrame, axis: DataFrame, type_: str, aggregation: str, from_day: str, to_day: str) -> DataFrame:
-    """(subject_id, day, value, min, max, n) for each day of the axis; days without values are null."""
-    rows = in_window(obs.where((F.col("type") == type_) & F.col("value").isNotNull()), "start_ts", from_day, to_day)
+    """(subject_id, day, value, min, max, n) for each day of the axis; days without values are null. n
+    counts measured rows; latest takes the newest row, measured or not, of equal instants the largest
+    event_id."""
+    rows = in_window(obs.where(F.col("type") == type_), "start_ts", from_day, to_day)
     agg = rows.groupBy("subject_id", "day").agg(value_of(aggregation).alias("value"), F.min("value").cast("double").alias("min"), F.max("value").cast("double").alias("max"), F.count("value").alias("n"))
     return axis.select("subject_id", "day").join(agg, ["subject_id", "day"], "left")
 
@@ -92,33 +96,49 @@ def build_rollup(obs: DataFrame, minutes: DataFrame, cutovers: DataFrame, priori
     partial = xml.groupBy("subject_id", "type", F.date_trunc("hour", "start_ts").alias("hour_utc"), "source_id").agg(F.sum("value").alias("v"))
     won = winners(partial, ["hour_utc"], priorities, sources).select("subject_id", "type", "hour_utc", "v")
     live = with_cutover(minutes.where(F.col("type").isin(*cumulative)), cutovers).where("minute_ts >= cutover_ts").select("subject_id", "type", F.date_trunc("hour", "minute_ts").alias("hour_utc"), F.col("value").alias("v"))
-    return d.unionByName(won).unionByName(live).groupBy("subject_id", "type", "hour_utc").agg(F.count("*").alias("n"), F.sum("v").alias("sum"), F.min("v").alias("min"), F.max("v").alias("max"))
+    return d.unionByName(won).unionByName(live).groupBy("subject_id", "type", "hour_utc").agg(*state())
+
+
+def build_edges(obs: DataFrame, minutes: DataFrame, cutovers: DataFrame, priorities: DataFrame, sources: DataFrame, subjects: DataFrame, cumulative: list[str], discrete: list[str]) -> DataFrame:
+    """rollup_edges (subject_id, type, hour_utc, day, n, sum, min, max): the pieces of the hours that a local
+    midnight cuts, one for each of its two days, as the rollup holds whole hours. Each piece of a
+    cumulative type has a winner of its own."""
+    cut = lambda df, ts: df.withColumn("hour_utc", F.date_trunc("hour", ts)).where(split_hours(df, F.date_trunc("hour", ts)))
+    day = lambda ts: local_day(F.col(ts), F.col("tz")).alias("day")
+    cols = ["subject_id", "type", "hour_utc"]
+    d = cut(obs.where(F.col("type").isin(*discrete) & F.col("value").isNotNull()), "start_ts").select(*cols, day("start_ts"), F.col("value").alias("v"))
+    xml = with_cutover(cut(obs.where(F.col("type").isin(*cumulative) & (F.col("origin") == "health_xml") & F.col("value").isNotNull()), "start_ts"), cutovers)
+    partial = xml.where("start_ts < cutover_ts").groupBy(*cols, day("start_ts"), "source_id").agg(F.sum("value").alias("v"))
+    won = winners(partial, ["hour_utc", "day"], priorities, sources).select(*cols, "day", "v")
+    live = with_cutover(cut(minutes.where(F.col("type").isin(*cumulative)), "minute_ts"), cutovers).where("minute_ts >= cutover_ts").select(*cols, day("minute_ts"), F.col("value").alias("v"))
+    return d.unionByName(won).unionByName(live).groupBy(*cols, "day").agg(*state())
+
+
+def state() -> list[Column]:
+    """What a rollup keeps of values v."""
+    return [F.count("*").alias("n"), F.sum("v").alias("sum"), F.min("v").alias("min"), F.max("v").alias("max")]
 
 
-def split_hours(df: DataFrame, hour: str) -> Column:
+def split_hours(df: DataFrame, hour: str | Column) -> Column:
     """True for UTC hours that a local midnight cuts, as in zones that are not whole hours off UTC."""
-    h = F.col(hour)
+    h = F.col(hour) if isinstance(hour, str) else hour
     return local_day(h, F.col("tz")) != local_day(h + F.expr("INTERVAL 3599 SECONDS"), F.col("tz"))
 
 
-def daily_hybrid(rollup: DataFrame, obs: DataFrame, parts: DataFrame | None, subjects: DataFrame, type_: str, aggregation: str, from_day: str, to_day: str, today: str) -> DataFrame:
-    """Daily values from the rollup's whole hours, with raw rows for hours that a local midnight cuts
-    and for the days from ``today`` on. Averages are sums over counts, never means of means.
-
-    parts: the pieces of a cumulative type; None for a discrete type."""
-    hours = rollup.where(F.col("type") == type_).join(subjects, "subject_id")
-    whole = in_window(hours, "hour_utc", from_day, min(to_day, today)).where(~split_hours(hours, "hour_utc"))
-    state = whole.select("subject_id", "day", F.col("sum").alias("s"), "n", "min", "max")
-    if parts is None:
-        raw = in_window(obs.where((F.col("type") == type_) & F.col("value").isNotNull()), "start_ts", from_day, to_day).withColumn("ts", F.date_trunc("hour", "start_ts")).withColumn("v", F.col("value"))
-    else:
-        raw = parts.where(F.col("type") == type_).join(subjects, "subject_id").withColumn("ts", F.date_trunc("hour", "ts"))
-    edge = raw.where(split_hours(raw, "ts") | (F.col("day") >= today))
-    state = state.unionByName(edge.select("subject_id", "day", F.col("v").alias("s"), F.lit(1).cast("long").alias("n"), F.col("v").alias("min"), F.col("v").alias("max")))
-    total, n = F.sum("s").cast("double"), F.sum("n")
+def daily_hybrid(rollup: DataFrame, edges: DataFrame, tail: DataFrame, subjects: DataFrame, aggregation: str, from_day: str, to_day: str, today: str) -> DataFrame:
+    """Daily values of one type from the kept rollup's whole hours and the pieces of hours that a local
+    midnight cuts, with raw rows (subject_id, day, v) for the days from ``today`` on. Averages are sums
+    over counts, never means of means."""
+    last, cols = min(to_day, today), ["subject_id", "day", "sum", "n", "min", "max"]
+    hours = rollup.join(subjects, "subject_id")
+    whole = in_window(hours.where(~split_hours(hours, "hour_utc")), "hour_utc", from_day, last).select(*cols)
+    pieces = edges.where((F.col("day") >= from_day) & (F.col("day") < last)).select(*cols)
+    live = tail.groupBy("subject_id", "day").agg(*state()).select(*cols)
+    total, n = F.sum("sum").cast("double"), F.sum("n")
     value = total if aggregation == "sum" else total / F.nullif(n, F.lit(0))
-    cols = [value.alias("value")] + ([] if aggregation == "sum" else [F.min("min").cast("double").alias("min"), F.max("max").cast("double").alias("max")]) + [n.alias("n")]
-    return day_axis(subjects, from_day, to_day).select("subject_id", "day").join(state.groupBy("subject_id", "day").agg(*cols), ["subject_id", "day"], "left")
+    out = [value.alias("value")] + ([] if aggregation == "sum" else [F.min("min").cast("double").alias("min"), F.max("max").cast("double").alias("max")]) + [n.alias("n")]
+    days = whole.unionByName(pieces).unionByName(live).groupBy("subject_id", "day").agg(*out)
+    return day_axis(subjects, from_day, to_day).select("subject_id", "day").join(days, ["subject_id", "day"], "left")
 
 
 def bucket_axis(subjects: DataFrame, from_day: str, to_day: str, width_s: int) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.timefns import local_day, night_date, seconds, since_noon
+from ..functions.timefns import local_day, night_date, percent_delta, seconds, since_noon
 
 #: Codes of sleep stages.
 IN_BED, ASLEEP, AWAKE, CORE, DEEP, REM = range(6)
@@ -80,13 +80,27 @@ def monthly_silhouette(workouts: DataFrame) -> DataFrame:
     return axis.join(m, ["subject_id", "month"], "left").select("subject_id", F.date_format("month", "yyyy-MM").alias("month"), F.round(F.coalesce("minutes", F.lit(0.0)), 9).alias("minutes"))
 
 
+#: Least metres for records of pace and speed, the sport that is judged by speed, and the
+#: kinds of record in their order.
+PACE_M, SPEED_M, WHEELED = 5_000, 20_000, "Cycling"
+KINDS = ("longest_distance", "longest_duration", "best_speed", "best_pace", "biggest_climb")
+
+
 def record_values(workouts: DataFrame) -> DataFrame:
-    """(… , kind, value): distance and duration, and seconds per kilometre where there is a distance;
-    score grows with what is better."""
-    pace = F.when(F.col("distance_m") > 0, F.col("duration_s") / (F.col("distance_m") / 1000))
-    kinds = F.array(F.struct(F.lit("distance").alias("kind"), F.col("distance_m").alias("value"), F.lit(1).alias("sign")), F.struct(F.lit("duration").alias("kind"), F.col("duration_s").cast("double").alias("value"), F.lit(1).alias("sign")), F.struct(F.lit("pace").alias("kind"), pace.alias("value"), F.lit(-1).alias("sign")))
-    out = workouts.select("subject_id", "tz", "activity", "workout_id", "start_ts", F.explode(kinds).alias("x")).where("x.value is not null")
-    return out.select("subject_id", "tz", "activity", "workout_id", "start_ts", "x.kind", "x.value", (F.col("x.value") * F.col("x.sign")).alias("score"))
+    """(… , kind, place, value, score): what a session can hold records of. Pace counts on foot from 5 km and
+    speed on wheels from 20 km, so that short sprints set none; score grows with what is better."""
+    far, long, wheeled = F.col("distance_m"), F.col("duration_s").cast("double"), F.col("activity") == WHEELED
+    value = {
+        "longest_distance": F.when(far > 0, far),
+        "longest_duration": F.when(long > 0, long),
+        "best_speed": F.when(wheeled & (far >= SPEED_M) & (long > 0), far / 1000 / (long / 3600)),
+        "best_pace": F.when(~wheeled & (far >= PACE_M) & (long > 0), long / (far / 1000)),
+        "biggest_climb": F.when(F.col("elevation_up_m") > 0, F.col("elevation_up_m")),
+    }
+    rows = [F.struct(F.lit(k).alias("kind"), F.lit(i).alias("place"), value[k].alias("value")) for i, k in enumerate(KINDS)]
+    own = ["subject_id", "tz", "activity", "workout_id", "start_ts"]
+    out = workouts.select(*own, F.explode(F.array(*rows)).alias("x")).where("x.value is not null").select(*own, "x.*")
+    return out.withColumn("score", F.when(F.col("kind") == "best_pace", -F.col("value")).otherwise(F.col("value")))
 
 
 def record_events(workouts: DataFrame) -> DataFrame:
@@ -94,32 +108,75 @@ def record_events(workouts: DataFrame) -> DataFrame:
     an equal one are no event."""
     w = Window.partitionBy("subject_id", "activity", "kind").orderBy("start_ts", "workout_id").rowsBetween(Window.unboundedPreceding, -1)
     v = record_values(workouts).withColumn("best", F.max("score").over(w))
-    return v.where("best is not null and score > best").select("subject_id", "activity", "kind", "workout_id", "start_ts", "value", F.abs("best").alias("previous"))
+    return v.where("score > best").select("subject_id", "tz", "activity", "kind", "place", "workout_id", "start_ts", "value", F.abs("best").alias("previous"))
 
 
-def sport_records(workouts: DataFrame, today: str) -> DataFrame:
-    """For each sport and kind: the best value and session, and the best of the last 365 days and of
-    the 365 days before; recent if the best is under 90 days old."""
-    v = record_values(workouts).withColumn("day", local_day(F.col("start_ts"), F.col("tz")))
-    age = F.datediff(F.lit(today).cast("date"), "day")
-    v = v.withColumn("age", age)
+def sport_records(workouts: DataFrame, now: str) -> DataFrame:
+    """For each sport and kind: the best value and the first session with it, the change in per cent from
+    the best of the 365 days before last to that of the last 365 days, and whether the best is under 90
+    days old, all counted back from an instant."""
+    v = record_values(workouts).withColumn("age", F.unix_seconds(F.lit(now).cast("timestamp")) - F.unix_seconds("start_ts"))
     first = F.max(F.struct("score", (-F.unix_seconds("start_ts")).alias("o"), (-F.col("workout_id")).alias("i"), "value", "age"))
-    last = F.max(F.when((F.col("age") >= 0) & (F.col("age") < 365), F.col("score")))
-    before = F.max(F.when((F.col("age") >= 365) & (F.col("age") < 730), F.col("score")))
+    year = 365 * 86_400
+    last, before = F.max(F.when(F.col("age") < year, F.col("score"))), F.max(F.when((F.col("age") >= year) & (F.col("age") < 2 * year), F.col("score")))
     out = v.groupBy("subject_id", "activity", "kind").agg(first.alias("b"), F.abs(last).alias("last_year"), F.abs(before).alias("year_before"), F.count("*").alias("sessions"))
-    return out.select("subject_id", "activity", "kind", F.col("b.value").alias("best"), (-F.col("b.i")).alias("workout_id"), "last_year", "year_before", "sessions", (F.col("b.age") < 90).alias("recent"))
+    delta = percent_delta(F.col("last_year"), F.col("year_before"))
+    return out.select("subject_id", "activity", "kind", F.col("b.value").alias("best"), (-F.col("b.i")).alias("workout_id"), delta.alias("delta"), "sessions", (F.col("b.age") < 90 * 86_400).alias("recent"))
 
 
-def yearly_progression(workouts: DataFrame) -> DataFrame:
-    """(… , progression): the best of each year from first to last as an ordered list, null in years
-    without a session."""
-    v = record_values(workouts).withColumn("year", F.year(local_day(F.col("start_ts"), F.col("tz"))))
+def yearly_progression(workouts: DataFrame, now: str) -> DataFrame:
+    """(… , year, value): the best of each UTC year from the first to that of ``now``, null in years without
+    a session."""
+    v = record_values(workouts).withColumn("year", F.year("start_ts"))
     key = ["subject_id", "activity", "kind"]
     best = v.groupBy(*key, "year").agg(F.abs(F.max("score")).alias("value"))
-    axis = best.groupBy(*key).agg(F.min("year").alias("a"), F.max("year").alias("b")).select(*key, F.explode(F.sequence("a", "b")).alias("year"))
+    axis = best.groupBy(*key).agg(F.min("year").alias("a")).select(*key, F.explode(F.sequence(F.col("a"), F.year(F.lit(now).cast("timestamp")))).alias("year"))
     return axis.join(best, [*key, "year"], "left")
 
 
+def featured(progression: DataFrame, records: DataFrame, least: int = 5, most: int = 6) -> DataFrame:
+    """(subject_id, activity, kind, measured, place): of each sport with at least ``least`` sessions the
+    kind whose progression has the most measured years, in the kinds' order on ties; at most ``most`` sports,
+    those with the most sessions first."""
+    order = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
+    sports = records.groupBy("subject_id", "activity").agg(F.max("sessions").alias("sessions")).where(F.col("sessions") >= least)
+    dense = progression.groupBy("subject_id", "activity", "kind").agg(F.count("value").alias("measured"))
+    pick = Window.partitionBy("subject_id", "activity").orderBy(F.col("measured").desc(), order)
+    one = dense.withColumn("rn", F.row_number().over(pick)).where("rn = 1").drop("rn").join(sports, ["subject_id", "activity"])
+    place = F.row_number().over(Window.partitionBy("subject_id").orderBy(F.col("sessions").desc(), "activity"))
+    return one.withColumn("place", place).where(F.col("place") <= most).select("subject_id", "activity", "kind", "measured", "sessions", "place")
+
+
+def emblematic(records: DataFrame) -> DataFrame:
+    """One record for each sport: pace for running and speed for cycling where there are such, else
+    distance, else duration."""
+    own = F.when((F.col("activity") == "Running") & (F.col("kind") == "best_pace"), 0).when((F.col("activity") == WHEELED) & (F.col("kind") == "best_speed"), 0)
+    rank = F.coalesce(own, F.when(F.col("kind") == "longest_distance", 1), F.when(F.col("kind") == "longest_duration", 2))
+    w = Window.partitionBy("subject_id", "activity").orderBy("rank")
+    return records.withColumn("rank", rank).where("rank is not null").withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn", "rank")
+
+
+def session_list(workouts: DataFrame, activity: str | None = None, page: int = 1, size: int = 50) -> DataFrame:
+    """A page of each subject's sessions, newest first, of one sport or all. A page past the end is the
+    last one. (place, pages) tell where a row stands."""
+    some = workouts if activity is None else workouts.where(F.col("activity") == activity)
+    own = Window.partitionBy("subject_id")
+    out = some.withColumn("place", F.row_number().over(own.orderBy(F.col("start_ts").desc(), "workout_id"))).withColumn("pages", F.ceil(F.count("*").over(own) / size))
+    at = F.least(F.greatest(F.lit(page), F.lit(1)), F.col("pages"))
+    return out.where((F.col("place") > (at - 1) * size) & (F.col("place") <= at * size))
+
+
+def identical_sessions(workouts: DataFrame, children: DataFrame, keys: list[str]) -> DataFrame:
+    """(…keys, ids, keep): groups of sessions alike in all their business columns, null equal to null. The
+    keeper is the one with child rows, or the first id as text where none has; groups in which several have
+    some are not redundant and have no keeper."""
+    rows = workouts.join(children.select("workout_id").distinct().withColumn("__kids", F.lit(1)), "workout_id", "left")
+    text = F.col("workout_id").cast("string")
+    g = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(text)).alias("ids"), F.count("__kids").alias("with_kids"), F.max(F.when(F.col("__kids") == 1, text)).alias("kid"))
+    keep = F.when(F.col("with_kids") == 1, F.col("kid")).when(F.col("with_kids") == 0, F.element_at("ids", 1))
+    return g.where(F.size("ids") > 1).withColumn("keep", keep).drop("with_kids", "kid")
+
+
 def kilometre_splits(points: DataFrame) -> DataFrame:
     """(workout_id, km, seconds): time of each full kilometre; crossings are interpolated within their
     minute, and rounded to whole seconds. points: metres for each minute of a session."""
@@ -133,19 +190,37 @@ def kilometre_splits(points: DataFrame) -> DataFrame:
     return c.select("workout_id", "km", F.floor(each + 0.5).cast("long").alias("seconds"))
 
 
-def timeline(workouts: DataFrame, nights: DataFrame, records: DataFrame, budget: int = 10) -> DataFrame:
-    """Per subject at most 10 sessions, 5 nights and 4 records, newest first; records always stay and
-    the others fill up to max(budget, records). truncated tells whether entries were left out."""
-    tagged = (
-        workouts.select("subject_id", F.lit("workout").alias("kind"), local_day(F.col("start_ts"), F.col("tz")).alias("day"), F.unix_seconds("start_ts").alias("ts"), F.col("workout_id").alias("ref"))
-        .unionByName(nights.select("subject_id", F.lit("night").alias("kind"), F.col("night").alias("day"), F.coalesce(F.unix_seconds("sleep_end"), F.lit(0)).alias("ts"), F.lit(0).cast("long").alias("ref")))
-        .unionByName(records.select("subject_id", F.lit("record").alias("kind"), F.to_date("start_ts").alias("day"), F.unix_seconds("start_ts").alias("ts"), F.col("workout_id").alias("ref")).distinct())
-    )
-    newest = [F.col("day").desc(), F.col("ts").desc(), F.col("kind"), F.col("ref")]
-    most = F.when(F.col("kind") == "workout", 10).when(F.col("kind") == "night", 5).otherwise(4)
-    t = tagged.withColumn("rn", F.row_number().over(Window.partitionBy("subject_id", "kind").orderBy(*newest)))
+def timeline(workouts: DataFrame, nights: DataFrame, events: DataFrame, from_day: str, to_day: str, most: int = 10, most_nights: int = 5, most_records: int = 4) -> DataFrame:
+    """Per subject the window's newest sessions, nights and records in one stream, newest first.
+
+    Each kind is cut to its own number before they meet; the stream to ``most``, where records always stay.
+    A session can hold several records, each an entry. truncated: the merged entries were more. Days are
+    local; a night without an end stands at the start of its day in UTC. events: record events of the
+    whole history."""
+    day = local_day(F.col("start_ts"), F.col("tz"))
+    inside = (F.col("day") >= from_day) & (F.col("day") < to_day)
+    cols = ["subject_id", "kind", "day", "ts", "ref", "what", "tie"]
+    none = F.lit(None).cast("string")
+    s = workouts.select("subject_id", F.lit("workout").alias("kind"), day.alias("day"), F.unix_seconds("start_ts").alias("ts"), F.col("workout_id").alias("ref"), none.alias("what"), F.lit(0).alias("tie"))
+    woke = F.coalesce(F.unix_seconds("sleep_end"), F.unix_seconds(F.col("night").cast("timestamp")))
+    n = nights.select("subject_id", F.lit("night").alias("kind"), F.col("night").alias("day"), woke.alias("ts"), F.lit(0).cast("long").alias("ref"), none.alias("what"), F.lit(0).alias("tie"))
+    r = events.select("subject_id", F.lit("record").alias("kind"), day.alias("day"), F.unix_seconds("start_ts").alias("ts"), F.col("workout_id").alias("ref"), F.col("kind").alias("what"), F.col("place").alias("tie"))
+    newest = [F.col("day").desc(), F.col("ts").desc()]
+    order = F.when(F.col("kind") == "workout", 0).when(F.col("kind") == "night", 1).otherwise(2)
+
+    def cut(df: DataFrame, k: int) -> DataFrame:
+        w = Window.partitionBy("subject_id").orderBy(*newest, "ref", "tie")
+        return df.where(inside).withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k).select(*cols)
+
+    merged = cut(s, most).unionByName(cut(n, most_nights)).unionByName(cut(r, most_records))
     all_ = Window.partitionBy("subject_id")
-    t = t.withColumn("total", F.count("*").over(all_)).where(F.col("rn") <= most)
-    t = t.withColumn("slot", F.row_number().over(all_.orderBy(F.when(F.col("kind") == "record", 0).otherwise(1), *newest))).withColumn("recs", F.count_if(F.col("kind") == "record").over(all_))
-    t = t.where(F.col("slot") <= F.greatest(F.lit(budget), "recs"))
-    return t.withColumn("truncated", F.count("*").over(all_) < F.col("total")).select("subject_id", "kind", "day", "ts", "ref", "truncated")
+    first = F.when(F.col("kind") == "record", 0).otherwise(1)
+    t = merged.withColumn("slot", F.row_number().over(all_.orderBy(first, *newest, order, "ref", "tie"))).withColumn("records", F.count_if(F.col("kind") == "record").over(all_)).withColumn("total", F.count("*").over(all_))
+    budget = F.greatest(F.lit(most), F.col("records"))
+    return t.where(F.col("slot") <= budget).select("subject_id", "kind", "day", "ts", "ref", "what", (F.col("total") > budget).alias("truncated"))
+
+
+def by_day(entries: DataFrame) -> DataFrame:
+    """(subject_id, day, entries): a stream's entries of each day, newest first."""
+    newest = F.array_sort(F.collect_list(F.struct((-F.col("ts")).alias("before"), "kind", "ref", "what")))
+    return entries.groupBy("subject_id", "day").agg(F.transform(newest, lambda e: F.struct((-e["before"]).alias("ts"), e["kind"].alias("kind"), e["ref"].alias("ref"), e["what"].alias("what"))).alias("entries"))

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from ..functions.timefns import freshness, local_day
 from ..operators import catalogue as C
 from ..operators import series as S
+from ..operators.sessions import identical_sessions
 from ..sources.canonical import FROM_DAY, TO_DAY, Tables
 from .registry import query
 from .series_queries import DAY, RAW, raw_daily
@@ -74,10 +75,10 @@ def inventory_summary(t: Tables):
     return C.inventory_summary(C.coverage(t.observations, t.minutes), "2024-03-29")
 
 
-@query("top_types", COV + """, q3 AS (SELECT subject_id, type, measures, round(100 * measures / sum(measures) OVER (PARTITION BY subject_id), 6) AS share, row_number() OVER (PARTITION BY subject_id ORDER BY measures DESC, type) AS place FROM q2) SELECT * FROM q3 WHERE place <= 3""")
+@query("top_types", COV + """, q3 AS (SELECT subject_id, type, measures, round(100 * measures / sum(measures) OVER (PARTITION BY subject_id), 6) AS share, row_number() OVER (PARTITION BY subject_id ORDER BY measures DESC, type) AS place FROM q2) SELECT * FROM q3 WHERE place <= 8""")
 def top_types(t: Tables):
     """D24, F04."""
-    return C.top_types(C.coverage(t.observations, t.minutes), 3)
+    return C.top_types(C.coverage(t.observations, t.minutes), 8)
 
 
 @query("subject_catalog", "SELECT DISTINCT subject_id, type FROM obs WHERE type <> 'error' AND value IS NOT NULL UNION SELECT DISTINCT subject_id, 'derived:training_time' FROM wk UNION SELECT DISTINCT subject_id, 'derived:sleep_asleep' FROM seg")
@@ -135,12 +136,22 @@ def data_totals(t: Tables):
     return t.subjects.select("subject_id").join(agg, "subject_id", "left").na.fill(0)
 
 
-@query("duplicate_workouts", "q1 AS (SELECT subject_id, activity, duration_s // 60 AS m, CAST(start_ts AS DATE) AS day, list(workout_id ORDER BY workout_id) AS ids FROM wk GROUP BY 1, 2, 3, 4 HAVING count(*) > 1) SELECT subject_id, activity, m, strftime(day, '%Y-%m-%d') AS day, array_to_string(ids, ',') AS ids, ids[1] AS keep FROM q1")
+ALIKE = ["subject_id", "activity", "start_ts", "end_ts", "duration_s", "distance_m", "energy_kj", "elevation_up_m"]
+
+
+@query("duplicate_workouts", f"""c1 AS (SELECT * FROM wk UNION ALL SELECT * REPLACE (workout_id + 10000000 AS workout_id) FROM wk WHERE workout_id % 50 = 0 UNION ALL SELECT * REPLACE (workout_id + 20000000 AS workout_id) FROM wk WHERE workout_id % 100 = 0),
+c2 AS (SELECT workout_id FROM pts WHERE workout_id % 7 <> 0 UNION SELECT workout_id + 10000000 FROM pts WHERE workout_id % 150 = 0),
+c3 AS (SELECT {", ".join(f"c1.{c}" for c in ALIKE)}, list(CAST(c1.workout_id AS VARCHAR) ORDER BY CAST(c1.workout_id AS VARCHAR)) AS ids, count(c2.workout_id) AS kids, max(CAST(c2.workout_id AS VARCHAR)) AS kid FROM c1 LEFT JOIN c2 USING (workout_id) GROUP BY ALL HAVING count(*) > 1)
+SELECT subject_id, activity, {TSF.format("start_ts")} AS start_ts, array_to_string(ids, ',') AS ids, CASE kids WHEN 1 THEN kid WHEN 0 THEN ids[1] END AS keep FROM c3""")
 def duplicate_workouts(t: Tables):
-    """Groups of sessions alike in their business columns, with ordered ids and the one to keep."""
-    w = t.workouts.withColumn("m", F.floor(F.col("duration_s") / 60)).withColumn("day", F.to_date("start_ts"))
-    g = w.groupBy("subject_id", "activity", "m", "day").agg(F.array_sort(F.collect_list("workout_id")).alias("ids")).where(F.size("ids") > 1)
-    return g.select("subject_id", "activity", "m", "day", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"), F.element_at("ids", 1).alias("keep"))
+    """Groups of sessions alike in all business columns, and the one to keep. A fiftieth of the sessions
+    is doubled, some with rows of their own."""
+    w, p = t.workouts, t.points.select("workout_id")
+    for n, every in ((10_000_000, 50), (20_000_000, 100)):
+        w = w.unionByName(t.workouts.where(F.col("workout_id") % every == 0).withColumn("workout_id", F.col("workout_id") + n))
+    kids = p.where("workout_id % 7 <> 0").union(p.where("workout_id % 150 = 0").select(F.col("workout_id") + 10_000_000))
+    found = identical_sessions(w, kids, ALIKE)
+    return found.select("subject_id", "activity", "start_ts", F.array_join("ids", ",").alias("ids"), "keep")
 
 
 @query("dual_origin_types", f"""q1 AS (SELECT subject_id, type, count(*) FILTER (WHERE origin = 'hae') AS hae, count(*) FILTER (WHERE origin = 'health_xml') AS xml, min(start_ts) FILTER (WHERE origin = 'hae') AS a1, max(start_ts) FILTER (WHERE origin = 'hae') AS b1, min(start_ts) FILTER (WHERE origin = 'health_xml') AS a2, max(start_ts) FILTER (WHERE origin = 'health_xml') AS b2 FROM obs GROUP BY 1, 2)

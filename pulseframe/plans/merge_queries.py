@@ -10,7 +10,7 @@ from ..operators import merge as M
 from ..operators import series as S
 from ..sources.canonical import CUMULATIVE, Tables
 from .registry import query
-from .series_queries import ROLLUP_SQL, rollup
+from .series_queries import ROLLUP_SQL, built
 
 
 @query("unit_conversion", """SELECT event_id, round(CAST(v AS DOUBLE) * 1.609344, 9) AS km, round(CAST(v AS DOUBLE) * 4.184, 9) AS kj, round((CAST(v AS DOUBLE) - 32) / 1.8, 9) AS celsius, CAST(NULL AS DOUBLE) AS nothing FROM ev""")

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.timefns import percent_delta
+from ..functions.timefns import local_day, percent_delta
+from ..operators import sessions as X
 from ..operators import series as S
-from ..sources.canonical import CUMULATIVE, FROM_DAY, TO_DAY, Tables
+from ..sources.canonical import CUMULATIVE, FROM_DAY, METRICS, TO_DAY, Tables
 from .registry import query
+from .windows import Range, parse_day, source_plan
 
 TODAY = "2024-01-30"
+WINDOW = Range(parse_day(FROM_DAY), parse_day(TO_DAY))
 L = "CAST(timezone(tz, timezone('UTC', {0})) AS DATE)"
 DAY = L.format("start_ts")
 IN = f"BETWEEN DATE '{FROM_DAY}' AND DATE '{TO_DAY}' - 1"
@@ -25,13 +28,45 @@ def parts(t: Tables, grain: str = "hour"):
     return S.cumulative_parts(t.observations, t.minutes, t.cutovers, t.priorities, t.sources, list(CUMULATIVE), FROM_DAY, TO_DAY, grain)
 
 
-def rollup(t: Tables):
-    return S.build_rollup(t.observations, t.minutes, t.cutovers, t.priorities, t.sources, list(CUMULATIVE), ["purchase", "signup"])
+def built(t: Tables, obs=None):
+    return S.build_rollup(t.observations if obs is None else obs, t.minutes, t.cutovers, t.priorities, t.sources, list(CUMULATIVE), ["purchase", "signup"])
 
 
-def discrete_sql(type_: str, value: str) -> str:
+def rollup(t: Tables):
+    """The kept hourly rollup, by type."""
+    return t.kept("rollup_hourly", built(t), "type")
+
+
+def edges(t: Tables):
+    """The kept pieces of hours that local midnights cut, by type."""
+    made = S.build_edges(t.observations, t.minutes, t.cutovers, t.priorities, t.sources, t.subjects, list(CUMULATIVE), ["purchase", "signup"])
+    return t.kept("rollup_edges", made, "type")
+
+
+def daily_series(t: Tables, type_: str, window: Range, today: str, source: str | None = None):
+    """(subject_id, day, value, n) of one metric for any window: the plan reads the kept rollup for long
+    windows of sums and averages, and raw rows else, or as ``source`` says. Both give the same numbers."""
+    regime, aggregation = METRICS[type_]
+    a, b = window.start.isoformat(), window.end.isoformat()
+    rows = t.observations.where(F.col("type") == type_)
+    if regime == "category":
+        return S.occurrence_days(rows, S.day_axis(t.subjects, a, b), type_, "count", a, b).withColumn("n", F.col("value").cast("long"))
+    pieces = lambda first: S.cumulative_parts(t.observations, t.minutes, t.cutovers, t.priorities, t.sources, [type_], first, b)
+    if source_plan(window, aggregation, source) == "rollup":
+        first = min(max(a, today), b)
+        tail = pieces(first) if regime == "cumulative" else S.in_window(rows.where("value is not null"), "start_ts", first, b).withColumn("v", F.col("value"))
+        of = lambda kept: kept.where(F.col("type") == type_)
+        out = S.daily_hybrid(of(rollup(t)), of(edges(t)), tail.select("subject_id", "day", "v"), t.subjects, aggregation, a, b, today)
+    elif regime == "cumulative":
+        out = S.daily_cumulative(pieces(a), S.day_axis(t.subjects, a, b), type_)
+    else:
+        out = S.daily_discrete(rows, S.day_axis(t.subjects, a, b), type_, aggregation, a, b)
+    return out.select("subject_id", "day", "value", *[c for c in ("min", "max") if c in out.columns], "n")
+
+
+def discrete_sql(type_: str, value: str, rows: str = "obs") -> str:
     return f"""q AS (SELECT subject_id, {DAY} AS day, {value} AS value, CAST(min(value) AS DOUBLE) AS min, CAST(max(value) AS DOUBLE) AS max, count(value) AS n
- FROM obs WHERE type = '{type_}' AND value IS NOT NULL AND {DAY} {IN} GROUP BY 1, 2)
+ FROM {rows} WHERE type = '{type_}' AND {DAY} {IN} GROUP BY 1, 2)
 SELECT days.subject_id, {FMT.format('day')}, value, min, max, n FROM days LEFT JOIN q USING (subject_id, day)"""
 
 
@@ -41,10 +76,14 @@ def daily_average(t: Tables):
     return S.daily_discrete(t.observations, axis(t), "purchase", "average", FROM_DAY, TO_DAY)
 
 
-@query("daily_latest", discrete_sql("signup", "CAST(arg_max(value, (start_ts, event_id)) AS DOUBLE)"))
+HOLES = "(SELECT * REPLACE (CASE WHEN event_id % 7 <> 0 THEN value END AS value) FROM obs)"
+
+
+@query("daily_latest", discrete_sql("signup", "CAST((array_agg(value ORDER BY start_ts DESC, event_id DESC))[1] AS DOUBLE)", HOLES))
 def daily_latest(t: Tables):
-    """The day's last state."""
-    return S.daily_discrete(t.observations, axis(t), "signup", "latest", FROM_DAY, TO_DAY)
+    """The day's newest row, also where it was not measured: a seventh of the values is taken out."""
+    rows = t.observations.withColumn("value", F.when(F.col("event_id") % 7 != 0, F.col("value")))
+    return S.daily_discrete(rows, axis(t), "signup", "latest", FROM_DAY, TO_DAY)
 
 
 def parts_sql(grain: str) -> str:
@@ -84,7 +123,7 @@ def rollup_hourly(t: Tables):
 @query("hybrid_daily_average", discrete_sql("purchase", "CAST(sum(value) AS DOUBLE) / count(value)"))
 def hybrid_daily_average(t: Tables):
     """The same numbers as the raw series, from the rollup and its edges."""
-    return S.daily_hybrid(rollup(t), t.observations, None, t.subjects, "purchase", "average", FROM_DAY, TO_DAY, TODAY)
+    return daily_series(t, "purchase", WINDOW, TODAY, "rollup")
 
 
 @query("hybrid_daily_sum", parts_sql("hour") + f""",
@@ -92,7 +131,50 @@ q4 AS (SELECT subject_id, day, CAST(sum(v) AS DOUBLE) AS value, count(*) AS n FR
 SELECT days.subject_id, {FMT.format('day')}, value, n FROM days LEFT JOIN q4 USING (subject_id, day)""")
 def hybrid_daily_sum(t: Tables):
     """The cumulative series from the rollup and its edges."""
-    return S.daily_hybrid(rollup(t), t.observations, parts(t), t.subjects, "view", "sum", FROM_DAY, TO_DAY, TODAY)
+    return daily_series(t, "view", WINDOW, TODAY, "rollup")
+
+
+LONG = Range(parse_day("2023-12-20"), parse_day("2024-02-03"))
+LONG_DAYS = "ld AS (SELECT subject_id, CAST(d AS DATE) AS day FROM subj, range(DATE '2023-12-20', DATE '2024-02-03', INTERVAL 1 DAY) r(d))"
+LONG_IN = "BETWEEN DATE '2023-12-20' AND DATE '2024-02-02'"
+RAW_DAY = f"SELECT subject_id, type, {DAY} AS day, {{0}} AS value, count(value) AS n FROM obs WHERE type = '{{1}}' AND {DAY} {LONG_IN} GROUP BY 1, 2, 3"
+
+
+@query("daily_series_planned", parts_sql("hour").replace(IN, LONG_IN) + f""",
+{LONG_DAYS}, s AS (SELECT subject_id, type, day, CAST(sum(v) AS DOUBLE) AS value, count(*) AS n FROM q3 GROUP BY 1, 2, 3 UNION ALL {RAW_DAY.format("CAST(sum(value) AS DOUBLE) / count(value)", "purchase")}
+ UNION ALL {RAW_DAY.format("CAST(arg_max(value, (start_ts, event_id)) AS DOUBLE)", "signup")} UNION ALL {RAW_DAY.format("CAST(count(*) AS DOUBLE)", "error").replace("count(value)", "count(*)")}),
+kinds(type, plan) AS (VALUES ('click', 'rollup'), ('view', 'rollup'), ('purchase', 'rollup'), ('signup', 'raw'), ('error', 'raw'))
+SELECT k.type, plan, ld.subject_id, strftime(ld.day, '%Y-%m-%d') AS day, round(value, 9) AS value, n FROM ld CROSS JOIN kinds k LEFT JOIN s ON s.subject_id = ld.subject_id AND s.day = ld.day AND s.type = k.type""")
+def daily_series_planned(t: Tables):
+    """Every metric over 45 days, each by the plan that its window and aggregation choose."""
+    out = None
+    for type_, (_, aggregation) in METRICS.items():
+        plan = F.lit(source_plan(LONG, aggregation)).alias("plan")
+        one = daily_series(t, type_, LONG, TODAY).select(F.lit(type_).alias("type"), plan, "subject_id", "day", F.round("value", 9).alias("value"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+NIGHT = "CAST(timezone(tz, timezone('UTC', start_ts)) + INTERVAL 12 HOUR AS DATE)"
+
+
+@query("derived_daily", f"""wd AS (SELECT subject_id, {DAY} AS day, sum(duration_s) / 60.0 AS value FROM wk GROUP BY 1, 2),
+n1 AS (SELECT *, {NIGHT} AS night, epoch_us(end_ts) / 1e6 - epoch_us(start_ts) / 1e6 AS sec FROM seg),
+n2 AS (SELECT subject_id, night, source_id, CAST(round(sum(sec) FILTER (WHERE stage IN (1, 3, 4, 5))) AS BIGINT) AS asleep_s FROM n1 WHERE night {IN} GROUP BY 1, 2, 3),
+n3 AS (SELECT n2.*, row_number() OVER (PARTITION BY subject_id, night ORDER BY regexp_matches(name, '(?i)watch') DESC NULLS LAST, asleep_s DESC NULLS LAST, source_id) AS rn FROM n2 LEFT JOIN src USING (source_id)),
+n4 AS (SELECT subject_id, night, CASE WHEN asleep_s > 0 THEN asleep_s ELSE core_s + deep_s + rem_s END AS asleep_s FROM sday WHERE night {IN}),
+nn AS (SELECT * FROM n4 UNION ALL SELECT subject_id, night, asleep_s FROM n3 WHERE rn = 1 AND (subject_id, night) NOT IN (SELECT subject_id, night FROM n4))
+SELECT 'derived:training_time' AS type, days.subject_id, strftime(days.day, '%Y-%m-%d') AS day, round(value, 9) AS value FROM days LEFT JOIN wd ON wd.subject_id = days.subject_id AND wd.day = days.day
+UNION ALL SELECT 'derived:sleep_asleep', days.subject_id, strftime(days.day, '%Y-%m-%d'), round(asleep_s / 3600.0, 9) FROM days LEFT JOIN nn ON nn.subject_id = days.subject_id AND night = days.day""")
+def derived_daily(t: Tables):
+    """Minutes of training by local day and hours asleep by the day of waking; days without are null."""
+    day = local_day(F.col("start_ts"), F.col("tz"))
+    train = t.workouts.groupBy("subject_id", day.alias("day")).agg((F.sum("duration_s") / 60).alias("value"))
+    nights = X.sleep_nights(t.sleep_segments, t.sleep_daily, t.sources, FROM_DAY, TO_DAY)
+    asleep = nights.select("subject_id", F.col("night").alias("day"), (F.col("asleep_s") / 3600).alias("value"))
+    days = axis(t).select("subject_id", "day")
+    of = lambda name, rows: days.join(rows, ["subject_id", "day"], "left").select(F.lit(name).alias("type"), "subject_id", "day", F.round("value", 9).alias("value"))
+    return of("derived:training_time", train).unionByName(of("derived:sleep_asleep", asleep))
 
 
 def bucket_sql(from_day: str, to_day: str, width: int, rows: str) -> str:

@@ -9,6 +9,7 @@ from ..functions.timefns import local_day
 from ..operators import sessions as X
 from ..sources.canonical import Tables
 from .registry import query
+from .windows import Range, parse_day, timeline_window
 
 FROM, TO, NOW = "2024-01-01", "2024-01-31", "2001-08-01"
 WDAY = "CAST(timezone(tz, timezone('UTC', start_ts)) AS DATE)"
@@ -108,32 +109,89 @@ def monthly_silhouette(t: Tables):
     return X.monthly_silhouette(t.history)
 
 
-RECORDS = f"""q1 AS (SELECT subject_id, tz, activity, workout_id, start_ts, kind, value, value * sign AS score FROM (
- SELECT *, 'distance' AS kind, distance_m AS value, 1 AS sign FROM wh UNION ALL SELECT *, 'duration', CAST(duration_s AS DOUBLE), 1 FROM wh
- UNION ALL SELECT *, 'pace', CASE WHEN distance_m > 0 THEN duration_s / (distance_m / 1000) END, -1 FROM wh) WHERE value IS NOT NULL)"""
+def records_sql(rows: str) -> str:
+    """Record candidates of sessions, by the rules of the five kinds."""
+    return f"""q1 AS (SELECT subject_id, tz, activity, workout_id, start_ts, kind, place, value, CASE WHEN kind = 'best_pace' THEN -value ELSE value END AS score FROM (
+ SELECT *, 'longest_distance' AS kind, 0 AS place, CASE WHEN distance_m > 0 THEN distance_m END AS value FROM {rows}
+ UNION ALL SELECT *, 'longest_duration', 1, CASE WHEN duration_s > 0 THEN CAST(duration_s AS DOUBLE) END FROM {rows}
+ UNION ALL SELECT *, 'best_speed', 2, CASE WHEN activity = 'Cycling' AND distance_m >= 20000 AND duration_s > 0 THEN distance_m / 1000 / (duration_s / 3600) END FROM {rows}
+ UNION ALL SELECT *, 'best_pace', 3, CASE WHEN activity <> 'Cycling' AND distance_m >= 5000 AND duration_s > 0 THEN duration_s / (distance_m / 1000) END FROM {rows}
+ UNION ALL SELECT *, 'biggest_climb', 4, CASE WHEN elevation_up_m > 0 THEN elevation_up_m END FROM {rows}) WHERE value IS NOT NULL),
+ev1 AS (SELECT *, max(score) OVER (PARTITION BY subject_id, activity, kind ORDER BY start_ts, workout_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM q1)"""
 
 
-@query("record_events", RECORDS + """, q2 AS (SELECT *, max(score) OVER (PARTITION BY subject_id, activity, kind ORDER BY start_ts, workout_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM q1)
-SELECT subject_id, activity, kind, workout_id, strftime(start_ts, '%Y-%m-%d %H:%M:%S') AS start_ts, round(value, 9) AS value, round(abs(best), 9) AS previous FROM q2 WHERE score > best""")
+RECORDS = records_sql("wh")
+
+
+@query("record_events", RECORDS + """
+SELECT subject_id, activity, kind, workout_id, strftime(start_ts, '%Y-%m-%d %H:%M:%S') AS start_ts, round(value, 9) AS value, round(abs(best), 9) AS previous FROM ev1 WHERE score > best""")
 def record_events(t: Tables):
-    """Replay of the running best."""
-    return X.record_events(t.history).withColumns({"value": F.round("value", 9), "previous": F.round("previous", 9)})
+    """Replay of the running best, in five kinds."""
+    return X.record_events(t.history).drop("tz", "place").withColumns({"value": F.round("value", 9), "previous": F.round("previous", 9)})
+
+
+AGES = f"q2 AS (SELECT *, epoch(TIMESTAMP '{NOW}') - epoch(start_ts) AS age FROM q1)"
+BEST = "(score, -epoch(start_ts), -workout_id)"
+SPORT_RECORDS = RECORDS + f""", {AGES}, q3 AS (SELECT subject_id, activity, kind, arg_max(value, {BEST}) AS best, arg_max(workout_id, {BEST}) AS workout_id, abs(max(score) FILTER (WHERE age < 365 * 86400)) AS ly,
+ abs(max(score) FILTER (WHERE age >= 365 * 86400 AND age < 730 * 86400)) AS lb, count(*) AS sessions, arg_max(age, {BEST}) < 90 * 86400 AS recent FROM q2 GROUP BY 1, 2, 3)"""
 
 
-@query("sport_records", RECORDS + f""", q2 AS (SELECT *, DATE '{NOW}' - {WDAY} AS age FROM q1)
-SELECT subject_id, activity, kind, round(arg_max(value, (score, -epoch(start_ts), -workout_id)), 9) AS best, arg_max(workout_id, (score, -epoch(start_ts), -workout_id)) AS workout_id, round(abs(max(score) FILTER (WHERE age >= 0 AND age < 365)), 9) AS last_year,
- round(abs(max(score) FILTER (WHERE age >= 365 AND age < 730)), 9) AS year_before, count(*) AS sessions, arg_max(age, (score, -epoch(start_ts), -workout_id)) < 90 AS recent FROM q2 GROUP BY 1, 2, 3""")
+@query("sport_records", SPORT_RECORDS + """
+SELECT subject_id, activity, kind, round(best, 9) AS best, workout_id, round((ly - lb) / nullif(abs(lb), 0) * 100, 6) AS delta, sessions, recent FROM q3""")
 def sport_records(t: Tables):
-    """E08."""
-    return X.sport_records(t.history, NOW).withColumns({c: F.round(c, 9) for c in ("best", "last_year", "year_before")})
+    """The best of each sport and kind."""
+    return X.sport_records(t.history, NOW).withColumns({"best": F.round("best", 9), "delta": F.round("delta", 6)})
+
+
+@query("emblematic_records", SPORT_RECORDS + """, q4 AS (SELECT *, CASE WHEN (activity, kind) IN (('Running', 'best_pace'), ('Cycling', 'best_speed')) THEN 0 WHEN kind = 'longest_distance' THEN 1 WHEN kind = 'longest_duration' THEN 2 END AS rank FROM q3)
+SELECT subject_id, activity, arg_min(kind, rank) AS kind, round(arg_min(best, rank), 9) AS best FROM q4 WHERE rank IS NOT NULL GROUP BY 1, 2""")
+def emblematic_records(t: Tables):
+    """One record for each sport."""
+    return X.emblematic(X.sport_records(t.history, NOW)).select("subject_id", "activity", "kind", F.round("best", 9).alias("best"))
+
 
+PROGRESSION = f"""y2 AS (SELECT subject_id, activity, kind, year(start_ts) AS year, abs(max(score)) AS value FROM q1 GROUP BY 1, 2, 3, 4),
+y3 AS (SELECT subject_id, activity, kind, unnest(range(min(year), {NOW[:4]} + 1)) AS year FROM y2 GROUP BY 1, 2, 3),
+yp AS (SELECT subject_id, activity, kind, year, value FROM y3 LEFT JOIN y2 USING (subject_id, activity, kind, year))"""
 
-@query("yearly_progression", RECORDS + f""", q2 AS (SELECT subject_id, activity, kind, year({WDAY}) AS year, abs(max(score)) AS value FROM q1 GROUP BY 1, 2, 3, 4),
-q3 AS (SELECT subject_id, activity, kind, unnest(range(min(year), max(year) + 1)) AS year FROM q2 GROUP BY 1, 2, 3)
-SELECT subject_id, activity, kind, year, round(value, 9) AS value FROM q3 LEFT JOIN q2 USING (subject_id, activity, kind, year)""")
+
+@query("yearly_progression", RECORDS + f""", {PROGRESSION}
+SELECT subject_id, activity, kind, year, round(value, 9) AS value FROM yp""")
 def yearly_progression(t: Tables):
     """Dense years with gaps."""
-    return X.yearly_progression(t.history).withColumn("value", F.round("value", 9))
+    return X.yearly_progression(t.history, NOW).withColumn("value", F.round("value", 9))
+
+
+PLACE = "list_position(['longest_distance', 'longest_duration', 'best_speed', 'best_pace', 'biggest_climb'], kind)"
+
+
+@query("featured_records", RECORDS + f""", {PROGRESSION}, f1 AS (SELECT subject_id, activity, kind, count(value) AS measured FROM yp GROUP BY 1, 2, 3),
+f2 AS (SELECT *, row_number() OVER (PARTITION BY subject_id, activity ORDER BY measured DESC, {PLACE}) AS rn FROM f1), f3 AS (SELECT subject_id, activity, max(n) AS sessions FROM (SELECT subject_id, activity, kind, count(*) AS n FROM q1 GROUP BY 1, 2, 3) GROUP BY 1, 2 HAVING max(n) >= 5),
+f4 AS (SELECT f2.subject_id, f2.activity, kind, measured, sessions, row_number() OVER (PARTITION BY f2.subject_id ORDER BY sessions DESC, f2.activity) AS place FROM f2 JOIN f3 USING (subject_id, activity) WHERE rn = 1)
+SELECT * FROM f4 WHERE place <= 6""")
+def featured_records(t: Tables):
+    """Sports with five sessions or more, each by its densest progression."""
+    return X.featured(X.yearly_progression(t.history, NOW), X.sport_records(t.history, NOW))
+
+
+def page_sql(rows: str, size: int, page: int) -> str:
+    return f"""p1 AS (SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY start_ts DESC, workout_id) AS place, CAST(ceil(count(*) OVER (PARTITION BY subject_id) / {size}.0) AS BIGINT) AS pages FROM {rows})
+SELECT subject_id, workout_id, activity, strftime(start_ts, '%Y-%m-%d %H:%M:%S') AS start_ts, place, pages FROM p1 WHERE place > (least({page}, pages) - 1) * {size} AND place <= least({page}, pages) * {size}"""
+
+
+PAGE = ("subject_id", "workout_id", "activity", "start_ts", "place", "pages")
+
+
+@query("recent_workouts", page_sql("wk", 5, 1))
+def recent_workouts(t: Tables):
+    """the newest five sessions."""
+    return X.session_list(t.workouts, size=5).select(*PAGE)
+
+
+@query("workout_page", page_sql("(SELECT * FROM wk WHERE activity = 'Running')", 2, 3))
+def workout_page(t: Tables):
+    """A page of one sport; pages past the end are the last."""
+    return X.session_list(t.workouts, "Running", page=3, size=2).select(*PAGE)
 
 
 @query("kilometre_splits", """q1 AS (SELECT *, sum(value) OVER w AS s, row_number() OVER w AS i FROM pts WINDOW w AS (PARTITION BY workout_id ORDER BY minute)),
@@ -145,18 +203,59 @@ def kilometre_splits(t: Tables):
     return X.kilometre_splits(t.points)
 
 
-@query("activity_timeline", NIGHTS + f""", r1 AS (SELECT subject_id, activity, workout_id, start_ts, tz, kind, value * sign AS score FROM (SELECT *, 'distance' AS kind, distance_m AS value, 1 AS sign FROM wk UNION ALL SELECT *, 'duration', CAST(duration_s AS DOUBLE), 1 FROM wk
-  UNION ALL SELECT *, 'pace', CASE WHEN distance_m > 0 THEN duration_s / (distance_m / 1000) END, -1 FROM wk) WHERE value IS NOT NULL),
-r2 AS (SELECT *, max(score) OVER (PARTITION BY subject_id, activity, kind ORDER BY start_ts, workout_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM r1),
-t1 AS (SELECT subject_id, 'workout' AS kind, {WDAY} AS day, CAST(epoch(start_ts) AS BIGINT) AS ts, workout_id AS ref FROM wk UNION ALL SELECT subject_id, 'night', night, CAST(coalesce(floor(epoch(sleep_end)), 0) AS BIGINT), 0 FROM nights
- UNION ALL SELECT DISTINCT subject_id, 'record', CAST(start_ts AS DATE), CAST(epoch(start_ts) AS BIGINT), workout_id FROM r2 WHERE score > best),
-t2 AS (SELECT *, row_number() OVER (PARTITION BY subject_id, kind ORDER BY day DESC, ts DESC, ref) AS rn, count(*) OVER (PARTITION BY subject_id) AS total FROM t1),
-t3 AS (SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY kind <> 'record', day DESC, ts DESC, kind, ref) AS slot, count(*) FILTER (WHERE kind = 'record') OVER (PARTITION BY subject_id) AS recs FROM t2 WHERE rn <= CASE kind WHEN 'workout' THEN 10 WHEN 'night' THEN 5 ELSE 4 END),
-t4 AS (SELECT * FROM t3 WHERE slot <= greatest(10, recs))
-SELECT subject_id, kind, strftime(day, '%Y-%m-%d') AS day, ts, ref, count(*) OVER (PARTITION BY subject_id) < total AS truncated FROM t4""")
+#: A period that reaches past today, so that the window is cut: 30 days that end with today.
+TODAY = "2024-01-25"
+SPAN = timeline_window(Range(parse_day(FROM), parse_day(TO)), parse_day(TODAY))
+BOUNDS = f"BETWEEN DATE '{SPAN.start}' AND DATE '{SPAN.end}' - 1"
+ALL_SESSIONS = "wa AS (SELECT * FROM wh WHERE workout_id % 2 = 0 UNION ALL SELECT * FROM wk WHERE workout_id % 2 = 1)"
+
+
+def all_sessions(t: Tables):
+    """Half of the sessions in January and half in the years before, so that some January ones are records."""
+    return t.history.where("workout_id % 2 = 0").unionByName(t.workouts.where("workout_id % 2 = 1"))
+
+
+TIMELINE = NIGHTS.replace(f"night >= DATE '{FROM}' AND night < DATE '{TO}'", f"night {BOUNDS}").replace(f"WHERE night < DATE '{TO}'", f"WHERE night {BOUNDS}").replace("q1 AS", "n1 AS").replace("FROM q1", "FROM n1") + f""", {ALL_SESSIONS}, {records_sql("wa")},
+s1 AS (SELECT subject_id, 'workout' AS kind, {WDAY} AS day, CAST(epoch(start_ts) AS BIGINT) AS ts, workout_id AS ref, CAST(NULL AS VARCHAR) AS what, 0 AS tie FROM wa),
+s2 AS (SELECT subject_id, 'night' AS kind, night AS day, CAST(floor(epoch(coalesce(sleep_end, CAST(night AS TIMESTAMP)))) AS BIGINT) AS ts, 0 AS ref, CAST(NULL AS VARCHAR) AS what, 0 AS tie FROM nights),
+s3 AS (SELECT subject_id, 'record' AS kind, {WDAY} AS day, CAST(epoch(start_ts) AS BIGINT) AS ts, workout_id AS ref, kind AS what, place AS tie FROM ev1 WHERE score > best),
+s4 AS (SELECT *, row_number() OVER (PARTITION BY subject_id, kind ORDER BY day DESC, ts DESC, ref, tie) AS rn FROM (SELECT * FROM s1 UNION ALL SELECT * FROM s2 UNION ALL SELECT * FROM s3) WHERE day {BOUNDS}),
+s5 AS (SELECT * FROM s4 WHERE rn <= CASE kind WHEN 'workout' THEN 10 WHEN 'night' THEN 5 ELSE 4 END),
+s6 AS (SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY kind <> 'record', day DESC, ts DESC, CASE kind WHEN 'workout' THEN 0 WHEN 'night' THEN 1 ELSE 2 END, ref, tie) AS slot,
+ greatest(10, count(*) FILTER (WHERE kind = 'record') OVER (PARTITION BY subject_id)) AS budget, count(*) OVER (PARTITION BY subject_id) AS total FROM s5)"""
+
+
+def entries(t: Tables):
+    night = X.sleep_nights(t.sleep_segments, t.sleep_daily, t.sources, str(SPAN.start), str(SPAN.end))
+    every = all_sessions(t)
+    return X.timeline(every, night, X.record_events(every), str(SPAN.start), str(SPAN.end))
+
+
+@query("activity_timeline", TIMELINE + """
+SELECT subject_id, kind, strftime(day, '%Y-%m-%d') AS day, ts, ref, what, total > budget AS truncated FROM s6 WHERE slot <= budget""")
 def activity_timeline(t: Tables):
-    """A budgeted merge of sessions, nights and records."""
-    return X.timeline(t.workouts, nights(t), X.record_events(t.workouts))
+    """A budgeted merge of sessions, nights and records."""
+    return entries(t)
+
+
+@query("timeline_days", TIMELINE + """
+SELECT subject_id, strftime(day, '%Y-%m-%d') AS day, count(*) AS entries, max(ts) AS newest, string_agg(kind || ':' || ref, ',' ORDER BY ts DESC, kind, ref, what) AS stream FROM s6 WHERE slot <= budget GROUP BY 1, 2""")
+def timeline_days(t: Tables):
+    """The stream by day."""
+    line = F.array_join(F.transform("entries", lambda e: F.concat(e["kind"], F.lit(":"), e["ref"].cast("string"))), ",")
+    return X.by_day(entries(t)).select("subject_id", "day", F.size("entries").alias("entries"), F.element_at("entries", 1)["ts"].alias("newest"), line.alias("stream"))
+
+
+@query("timeline_sessions", f"""{ALL_SESSIONS}, h1 AS (SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY start_ts DESC, workout_id) AS place FROM wa WHERE {WDAY} {BOUNDS}),
+h2 AS (SELECT h1.subject_id, h1.workout_id, place, CAST(sum(o.value) AS DOUBLE) / nullif(count(o.value), 0) AS avg_hr FROM h1 LEFT JOIN obs o ON o.subject_id = h1.subject_id AND o.type = 'purchase' AND o.start_ts >= h1.start_ts AND o.start_ts < h1.end_ts WHERE place <= 10 GROUP BY 1, 2, 3)
+SELECT subject_id, workout_id, place, round(avg_hr, 9) AS avg_hr FROM h2""")
+def timeline_sessions(t: Tables):
+    """The window's newest ten sessions with their mean rate."""
+    day = local_day(F.col("start_ts"), F.col("tz"))
+    inside = all_sessions(t).where((day >= str(SPAN.start)) & (day < str(SPAN.end)))
+    newest = X.session_list(inside, size=10)
+    rated = X.interval_rate(newest, t.observations.where("type = 'purchase'"))
+    return rated.select("subject_id", "workout_id", "place", F.round("avg_hr", 9).alias("avg_hr"))
 
 
 @query("session_detail", HR + f""", q3 AS (SELECT *, {WDAY} AS day FROM q2)

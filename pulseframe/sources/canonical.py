@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.timefns import night_date, quantise
+from ..store import kept, utc_day
 
 #: Fixed values of the fixture.
 ZONES = ("UTC", "Asia/Kolkata", "Europe/Paris", "Asia/Kathmandu")
@@ -16,11 +17,15 @@ SOURCES = ("Apple Watch", "iPhone", "Scale", "Pod")
 CUMULATIVE, CUTOVER = ("click", "view"), "2024-01-16 00:07:00"
 FROM_DAY, TO_DAY = "2024-01-01", "2024-01-31"
 SPORTS = ("Running", "Cycling", "Walking", "Hiking", "Rowing")
+#: Regime and aggregation of each metric type of the fixture.
+METRICS = {"click": ("cumulative", "sum"), "view": ("cumulative", "sum"), "purchase": ("raw", "average"), "signup": ("raw", "latest"), "error": ("category", "none")}
 
 
 @dataclass
 class Tables:
-    """Canonical tables of one folder; each is a lazy DataFrame with only the columns it needs."""
+    """Canonical tables of one folder. Observations and minutes are derived once and kept by type and
+    UTC day, and the dimensions as small tables, so that queries read the partitions that they ask for
+    and dimensions are broadcast where their size allows; the others are lazy."""
 
     spark: SparkSession
     sf_dir: str
@@ -43,12 +48,18 @@ class Tables:
     def zone(user):
         return F.element_at(F.array(*map(F.lit, ZONES)), (user % 4 + 1).cast("int"))
 
+    def kept(self, name: str, df: DataFrame, *partitions: str) -> DataFrame:
+        return kept(df, self.sf_dir, name, partitions)
+
     @cached_property
     def subjects(self) -> DataFrame:
-        return self.events.select("subject_id", "tz").distinct()
+        return self.kept("subjects", self.events.select("subject_id", "tz").distinct())
 
     @cached_property
     def observations(self) -> DataFrame:
+        return self.kept("observations", self._observations().withColumn("utc_day", utc_day("start_ts")), "type", "utc_day")
+
+    def _observations(self) -> DataFrame:
         e = self.events
         xml = (F.col("subject_id") % 2 == 1) | (F.col("ts") < F.lit(CUTOVER).cast("timestamp")) | (F.col("event_id") % 3 == 0)
         cumulative = F.col("type").isin(*CUMULATIVE)
@@ -61,6 +72,9 @@ class Tables:
 
     @cached_property
     def minutes(self) -> DataFrame:
+        return self.kept("minutes", self._minutes().withColumn("utc_day", utc_day("minute_ts")), "type", "utc_day")
+
+    def _minutes(self) -> DataFrame:
         e = self.events.where(F.col("type").isin(*CUMULATIVE) & (F.col("subject_id") % 2 == 0) & (F.col("ts") >= F.lit(CUTOVER).cast("timestamp")) & (F.col("event_id") % 3 != 0))
         top = F.max(F.struct("v", "source_id"))
         return e.groupBy("subject_id", "tz", "type", F.date_trunc("minute", "ts").alias("minute_ts")).agg(top.alias("t")).select("subject_id", "tz", "type", "minute_ts", F.col("t.v").alias("value"), F.col("t.source_id").alias("source_id"))
@@ -68,12 +82,12 @@ class Tables:
     @cached_property
     def cutovers(self) -> DataFrame:
         s = self.subjects.where("subject_id % 2 = 0").select("subject_id", F.explode(F.array(*map(F.lit, CUMULATIVE))).alias("type"))
-        return s.withColumn("cutover_ts", F.lit(CUTOVER).cast("timestamp"))
+        return self.kept("cutovers", s.withColumn("cutover_ts", F.lit(CUTOVER).cast("timestamp")))
 
     @cached_property
     def priorities(self) -> DataFrame:
         s = self.subjects.where("subject_id % 5 = 0").select("subject_id", F.explode(F.array(*map(F.lit, CUMULATIVE))).alias("type"))
-        return s.select("subject_id", "type", F.lit(1).alias("source_id"), F.lit(1).alias("rank"))
+        return self.kept("priorities", s.select("subject_id", "type", F.lit(1).alias("source_id"), F.lit(1).alias("rank")))
 
     @cached_property
     def sources(self) -> DataFrame:
