@@ -9,56 +9,37 @@ from pyspark.sql import functions as F
 
 #: Factor of each unit to its dimension's base.
 UNITS = {
-    "energy": {"kJ": 1.0, "kcal": 4.184, "Cal": 4.184, "J": 0.001},
-    "ratio": {"%": 0.01, "ratio": 1.0},
-    "distance": {"m": 1.0, "km": 1000.0, "mi": 1609.344, "yd": 0.9144, "ft": 0.3048, "cm": 0.01},
-    "speed": {"m/s": 1.0, "km/h": 1 / 3.6, "mi/h": 0.44704},
-    "duration": {"s": 1.0, "min": 60.0, "hr": 3600.0, "ms": 0.001},
-    "volume": {"mL": 1.0, "L": 1000.0, "fl_oz_us": 29.5735295625},
-    "mass": {"g": 1.0, "kg": 1000.0, "lb": 453.59237, "oz": 28.349523125, "mg": 0.001},
+    "energy": {"kJ": 1.0, "kcal": 4.184, "Cal": 4.184, "cal": 0.004184, "J": 0.001},
+    "ratio": {"fraction": 1.0, "%": 0.01},
+    "distance": {"m": 1.0, "km": 1000.0, "cm": 0.01, "mm": 0.001, "mi": 1609.344, "ft": 0.3048, "in": 0.0254},
+    "speed": {"m/s": 1.0, "km/hr": 1 / 3.6, "mph": 0.44704},
+    "duration": {"s": 1.0, "min": 60.0, "hr": 3600.0, "ms": 0.001, "d": 86400.0},
+    "volume": {"L": 1.0, "mL": 0.001, "dL": 0.1, "fl_oz_us": 0.0295735},
+    "mass": {"kg": 1.0, "g": 0.001, "mg": 0.000001, "lb": 0.45359237},
 }
 #: Spellings of units.
-ALIASES = {"kilocalorie": "kcal", "meter": "m", "metre": "m", "min.": "min", "hour": "hr", "h": "hr", "kph": "km/h", "mph": "mi/h", "degC": "C", "degF": "F", "°C": "C", "°F": "F"}
-GROUPS = [
-    ("heart", r"(?i)heart|pulse|hrv"), ("sleep", r"(?i)sleep"), ("body", r"(?i)mass|weight|height|fat|bmi"), ("activity", r"(?i)step|distance|energy|exercise|stand|flight"),
-    ("nutrition", r"(?i)dietary|water|caffeine"), ("breath", r"(?i)oxygen|respirat|vo2"), ("environment", r"(?i)audio|uv|light"),
-]
+ALIASES = {"bpm": "count/min", "steps": "count", "sec": "s", "second": "s", "minute": "min", "hour": "hr", "h": "hr"}
 
 
-def _map(d: dict) -> Column:
-    return F.create_map(*[F.lit(x) for x in chain.from_iterable(d.items())])
+def lookup(table: dict, key: Column) -> Column:
+    """The value of a key in a small fixed table, else null."""
+    return F.element_at(F.create_map(*[F.lit(x) for x in chain.from_iterable(table.items())]), key)
 
 
 def convert(value: Column, unit: Column, to: Column) -> Column:
     """value in another unit of its dimension; null for unknown units or across dimensions.
-    Temperatures go between C and F."""
-    alias = _map(ALIASES)
-    a, b = (F.coalesce(F.element_at(alias, u), u) for u in (unit, to))
+    Temperatures go between degC and degF."""
+    a, b = (F.coalesce(lookup(ALIASES, u), u) for u in (unit, to))
     factor = {f"{d}:{u}": f for d, us in UNITS.items() for u, f in us.items()}
-    dim = _map({u: d for d, us in UNITS.items() for u in us})
-    da, db = F.element_at(dim, a), F.element_at(dim, b)
-    table = _map(factor)
-    linear = F.when(da == db, value * F.element_at(table, F.concat(da, F.lit(":"), a)) / F.element_at(table, F.concat(db, F.lit(":"), b)))
+    dim = {u: d for d, us in UNITS.items() for u in us}
+    da, db = lookup(dim, a), lookup(dim, b)
+    linear = F.when(da == db, value * lookup(factor, F.concat(da, F.lit(":"), a)) / lookup(factor, F.concat(db, F.lit(":"), b)))
     return (
-        F.when(a == b, value).when((a == "F") & (b == "C"), (value - 32) / 1.8).when((a == "C") & (b == "F"), value * 1.8 + 32).otherwise(linear)
+        F.when(a == b, value).when((a == "degF") & (b == "degC"), (value - 32) / 1.8).when((a == "degC") & (b == "degF"), value * 1.8 + 32)
+        .otherwise(linear)
     )
 
 
-def metric_group(name: Column) -> Column:
-    """The first group whose pattern a metric's name matches, else other."""
-    out = F.lit("other")
-    for group, pattern in reversed(GROUPS):
-        out = F.when(name.rlike(pattern), group).otherwise(out)
-    return out
-
-
-def label(identifier: Column) -> Column:
-    """An identifier as words: prefix off, camel case split, first letter large."""
-    core = F.regexp_replace(identifier, r"^HK(?:Quantity|Category)TypeIdentifier", "")
-    words = F.lower(F.regexp_replace(core, r"(?<=[a-z0-9])(?=[A-Z])", " "))
-    return F.concat(F.upper(F.left(words, F.lit(1))), F.substring(words, 2, 10_000))
-
-
 def source_name(name: Column) -> Column:
     """No-break spaces and control blanks become spaces; ends are trimmed; composites stay as they are."""
     return F.trim(F.translate(name, " \t\r\n", "    "))

@@ -7,17 +7,15 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..shipping import ship
+from ..store import kept_table
 from .series import hour_runs
 
 KEY = ["subject_id", "type", "source_id", "start_ts", "end_ts"]
-#: Candidates of one group that are matched together at most pair by pair: times are cut where no
-#: candidate pair can cross, so a group is a short run of samples near each other.
+#: Seconds within which samples are close, and seconds that a channel may cut off.
 NEAR_S, TRUNCATED_S = 1.0, 60.0
 
 
@@ -45,56 +43,65 @@ def outside_coverage(rows: DataFrame, other: DataFrame) -> DataFrame:
     return out.where(F.col("__a").isNull() | (F.col("start_ts") < F.col("__a")) | (F.col("start_ts") > F.col("__b"))).drop("__a", "__b")
 
 
-def _greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One-to-one pairs of a group, closest first. Where equally close pairs share an end, all of that
-    distance that touch each other are ambiguous."""
-    state: dict[tuple[str, int], str] = {}
-    pairs = sorted(zip(pdf["dt"], pdf["in_id"], pdf["ex_id"], strict=True))
-    i = 0
-    while i < len(pairs):
-        j = i
-        while j < len(pairs) and pairs[j][0] == pairs[i][0]:
-            j += 1
-        tier = [(a, b) for _, a, b in pairs[i:j] if ("i", a) not in state and ("e", b) not in state]
-        ends: dict[tuple[str, int], int] = {}
-        for a, b in tier:
-            ends[("i", a)] = ends.get(("i", a), 0) + 1
-            ends[("e", b)] = ends.get(("e", b), 0) + 1
-        for a, b in tier:
-            what = "matched" if ends[("i", a)] == 1 and ends[("e", b)] == 1 else "ambiguous"
-            state[("i", a)] = what
-            state[("e", b)] = what
-        i = j
-    return pd.DataFrame([(a, s) for (side, a), s in state.items() if side == "i"], columns=["in_id", "outcome"])
+def candidate_pairs(incoming: DataFrame, existing: DataFrame, truncated_side: str = "existing") -> DataFrame:
+    """(subject_id, type, source_id, value_key, in_id, ex_id, dt): pairs of equal keys that are close within
+    a second, or where one side's channel cuts seconds off: its instant is at :00 and the other's lies
+    within that minute. An equi-join on the key and a bucket of time; samples without a value never match."""
+    key = ["subject_id", "type", "source_id", "value_key"]
+    us, minute_us = F.unix_micros, 60_000_000
+    minute = lambda c, d=0: F.floor((us(c) + d) / F.lit(minute_us)).cast("long")
+    i = incoming.where("value_key is not null").select(*key, F.col("id").alias("in_id"), F.col("start_ts").alias("it")).withColumn("b", minute(F.col("it")))
+    e = existing.where("value_key is not null").select(*key, F.col("id").alias("ex_id"), F.col("start_ts").alias("et"))
+    buckets = F.array(*[minute(F.col("et"), d) for d in (0, -int(NEAR_S * 1e6), int(NEAR_S * 1e6))])
+    e = e.withColumn("b", F.explode(F.array_distinct(buckets)))
+    cut, full = ("et", "it") if truncated_side == "existing" else ("it", "et")
+    near = F.abs(us("it") - us("et")) <= int(NEAR_S * 1e6)
+    at_zero = (us(cut) % minute_us == 0) & (us(full) >= us(cut)) & (us(full) < us(cut) + int(TRUNCATED_S * 1e6))
+    return i.join(e, [*key, "b"]).where(near | at_zero).select(*key, "in_id", "ex_id", F.abs(us("it") - us("et")).alias("dt")).distinct()
+
+
+def _settled(pairs: DataFrame) -> DataFrame:
+    """pairs with (in_settles, ex_settles, outcome): which ends are settled by the distances as they stand.
+
+    Of an end only its least distance counts. That is certain once the other ends of the pairs at it have no
+    closer pair themselves; an end with several such pairs is ambiguous then, one with a single pair waits
+    until the other end is certain too."""
+    ends = {"in": Window.partitionBy("in_id"), "ex": Window.partitionBy("ex_id")}
+    for e, w in ends.items():
+        pairs = pairs.withColumn(f"{e}_least", F.min("dt").over(w))
+    pairs = pairs.withColumn("ready", (F.col("dt") == F.col("in_least")) & (F.col("dt") == F.col("ex_least")))
+    for e, w in ends.items():
+        at = F.col("dt") == F.col(f"{e}_least")
+        pairs = pairs.withColumns({f"{e}_n": F.count_if(at).over(w), f"{e}_sure": F.bool_and(F.col("ready") | ~at).over(w)})
+    for (e, w), other in zip(ends.items(), ("ex", "in"), strict=True):
+        met = F.bool_or(F.col("ready") & F.col(f"{other}_sure")).over(w)
+        pairs = pairs.withColumn(f"{e}_settles", F.col(f"{e}_sure") & ((F.col(f"{e}_n") > 1) | met))
+    single = (F.col("in_n") == 1) & (F.col("ex_n") == 1)
+    return pairs.withColumn("outcome", F.when(single, "matched").otherwise("ambiguous"))
 
 
 def match_across(incoming: DataFrame, existing: DataFrame, truncated_side: str = "existing") -> DataFrame:
     """(in_id, outcome): incoming samples that an existing one of the same type, source and value
     accounts for (matched), or that cannot be told apart (ambiguous); others have no row.
 
-    A pair is close within a second, or where one side's channel cuts seconds off: its instant is at :00
-    and the other's lies within that minute. Pairs come from an equi-join on the value and a bucket of
-    time; samples without a value never match. Pairs are grouped by runs of instants with gaps of over a
-    minute, so a constant value that fills a whole history still splits into many small groups."""
-    ship(incoming.sparkSession)
-    key = ["subject_id", "type", "source_id", "value_key"]
-    us = lambda c: F.unix_micros(c)
-    minute = lambda c: F.floor(us(c) / F.lit(60_000_000)).cast("long")
-    i = incoming.where("value_key is not null").select(*key, F.col("id").alias("in_id"), F.col("start_ts").alias("it")).withColumn("b", minute(F.col("it")))
-    e = existing.where("value_key is not null").select(*key, F.col("id").alias("ex_id"), F.col("start_ts").alias("et"))
-    e = e.withColumn("b", F.explode(F.array_distinct(F.array(minute(F.col("et")), F.floor((us(F.col("et")) - 1_000_000) / F.lit(60_000_000)).cast("long"), F.floor((us(F.col("et")) + 1_000_000) / F.lit(60_000_000)).cast("long")))))
-    cut, full = ("et", "it") if truncated_side == "existing" else ("it", "et")
-    near = F.abs(us(F.col("it")) - us(F.col("et"))) <= int(NEAR_S * 1e6)
-    at_zero = (us(F.col(cut)) % 60_000_000 == 0) & (us(F.col(full)) >= us(F.col(cut))) & (us(F.col(full)) < us(F.col(cut)) + int(TRUNCATED_S * 1e6))
-    pairs = i.join(e, [*key, "b"]).where(near | at_zero).select(*key, "in_id", "ex_id", "it", F.abs(us(F.col("it")) - us(F.col("et"))).alias("dt")).distinct()
-    # Pairs whose ends meet no other candidate are matched as they are; only contested ones go on.
-    of = lambda side: F.count("*").over(Window.partitionBy(*key, side))
-    pairs = pairs.withColumn("lone", (of("in_id") == 1) & (of("ex_id") == 1))
-    lone, pairs = pairs.where("lone").select("in_id", F.lit("matched").alias("outcome")), pairs.where("not lone")
-    w = Window.partitionBy(*key).orderBy("it")
-    new = F.coalesce((us(F.col("it")) - us(F.lag("it").over(w)) > 125_000_000).cast("int"), F.lit(1))
-    runs = pairs.withColumn("new", new).withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return runs.groupBy(*key, "run").applyInPandas(_greedy, "in_id long, outcome string").unionByName(lone)
+    Pairs are one to one, closest first; where equally close pairs share an end, all that touch are
+    ambiguous. Each round settles every end whose least distance can't change any more, and drops its
+    farther pairs: the result is that of one pass from the closest to the farthest pair. Pairs at the same
+    distance stay until both ends are settled, as they count for both. Windows are over an end's pairs, whose
+    number the rules of closeness bound, so a constant value that fills a whole history is no group of
+    its own."""
+    left = candidate_pairs(incoming, existing, truncated_side).select("in_id", "ex_id", "dt")
+    left, done = left.withColumns({"in_done": F.lit(False), "ex_done": F.lit(False)}), None
+    while True:
+        now = kept_table(_settled(left), "pairs")
+        if not now.limit(1).count():
+            break
+        part = now.where("in_settles and not in_done and dt = in_least").select("in_id", "outcome").distinct()
+        done = part if done is None else done.unionByName(part)
+        now = now.withColumns({f"{e}_done": F.col(f"{e}_done") | F.col(f"{e}_settles") for e in ("in", "ex")})
+        farther = (F.col("in_done") & (F.col("dt") > F.col("in_least"))) | (F.col("ex_done") & (F.col("dt") > F.col("ex_least")))
+        left = now.where(~farther & ~(F.col("in_done") & F.col("ex_done"))).select("in_id", "ex_id", "dt", "in_done", "ex_done")
+    return incoming.sparkSession.createDataFrame([], "in_id long, outcome string") if done is None else done
 
 
 def merge_raw(incoming: DataFrame, history: DataFrame, other: DataFrame, reaggregated: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -182,8 +189,83 @@ def dirty_ranges(changed: DataFrame, category_types: list[str], ts: str = "start
     return hour_runs(h.select("subject_id", "type", F.date_trunc("hour", ts).alias("hour_utc")), ["subject_id", "type"])
 
 
-def apply_rollup(old: DataFrame, rebuilt: DataFrame, ranges: DataFrame) -> DataFrame:
-    """The rollup with the hours of ranges replaced by the rebuilt ones; hours without rows vanish."""
-    hours = ranges.select("subject_id", "type", F.explode(F.sequence("from_ts", F.col("to_ts") - F.expr("INTERVAL 1 HOUR"), F.expr("INTERVAL 1 HOUR"))).alias("hour_utc"))
-    key = ["subject_id", "type", "hour_utc"]
-    return old.join(hours, key, "left_anti").unionByName(rebuilt.join(hours, key, "left_semi"))
+def hours_of(ranges: DataFrame) -> DataFrame:
+    """(subject_id, type, hour_utc): the hours of half-open ranges, each once."""
+    hours = F.sequence("from_ts", F.col("to_ts") - F.expr("INTERVAL 1 HOUR"), F.expr("INTERVAL 1 HOUR"))
+    return ranges.select("subject_id", "type", F.explode(hours).alias("hour_utc")).distinct()
+
+
+def of_hours(rows: DataFrame, hours: DataFrame, ts: str) -> DataFrame:
+    """Source rows of some hours."""
+    return rows.withColumn("hour_utc", F.date_trunc("hour", ts)).join(hours, ["subject_id", "type", "hour_utc"], "left_semi").drop("hour_utc")
+
+
+def pass_of(queue: DataFrame, most: int = 100, batch: int | None = None) -> DataFrame:
+    """The ranges that one pass over the queue takes: the first ``most`` by their order of arrival, of one
+    batch or all."""
+    some = queue if batch is None else queue.where(F.col("batch") == batch)
+    return some.orderBy("id").limit(most)
+
+
+def apply_rollup(old: DataFrame, rebuilt: DataFrame, hours: DataFrame) -> DataFrame:
+    """The rollup with some hours replaced by their rebuilt states; hours without rows vanish."""
+    return old.join(hours, ["subject_id", "type", "hour_utc"], "left_anti").unionByName(rebuilt)
+
+
+def cutover_ranges(new_cutovers: DataFrame, exported: DataFrame) -> DataFrame:
+    """(subject_id, type, from_ts, to_ts): what a new cutover invalidates, from its hour to an hour after the
+    last exported row, since those rows no longer count; nothing where no exported row follows."""
+    last = exported.groupBy("subject_id", "type").agg(F.max("start_ts").alias("last"))
+    hour = F.date_trunc("hour", "cutover_ts").alias("from_ts")
+    to = (F.date_trunc("hour", "last") + F.expr("INTERVAL 1 HOUR")).alias("to_ts")
+    return new_cutovers.join(last, ["subject_id", "type"]).where("last >= cutover_ts").select("subject_id", "type", hour, to)
+
+
+def upsert_daily_sleep(incoming: DataFrame, existing: DataFrame) -> DataFrame:
+    """The nights after a batch: of a subject, night and channel the last one written counts."""
+    key = ["subject_id", "night", "channel"]
+    last = first_of_batch(incoming, key, [F.col("id").desc()])
+    return existing.join(last.select(*key), key, "left_anti").unionByName(last.select(existing.columns))
+
+
+def merge_sleep(incoming: DataFrame, history: DataFrame) -> DataFrame:
+    """Segments to insert: the last of each uuid in the batch that the history knows neither by uuid nor as an
+    equal segment."""
+    batch = first_of_batch(incoming, ["subject_id", "uuid"], [F.col("id").desc()])
+    fresh = not_in_history(batch, history.where("uuid is not null"), ["subject_id", "uuid"])
+    exact = ["subject_id", "source_id", "stage", "start_ts", "end_ts"]
+    return not_in_history(first_of_batch(fresh, exact, [F.col("id").desc()]), history, exact)
+
+
+def dimension(names: DataFrame, known: DataFrame, name: str = "name", key: str = "id") -> DataFrame:
+    """The dimension with a row for each name that it lacked. Keys are hashes of names, so that no counter
+    is shared and a batch that comes again makes none."""
+    new = names.where(F.col(name).isNotNull()).select(name).distinct().join(known, name, "left_anti")
+    return known.select(key, name).unionByName(new.select(F.xxhash64(name).alias(key), name))
+
+
+def seed_taxonomy(known: DataFrame, contract: DataFrame, keys: list[str]) -> DataFrame:
+    """A taxonomy after an idempotent upsert of its contract: rows of the contract replace those of their
+    keys, others stay."""
+    return known.join(contract.select(*keys), keys, "left_anti").unionByName(contract)
+
+
+def types_to_import(types: DataFrame, exported: DataFrame, only: list[str] | None = None) -> DataFrame:
+    """The types of an import: those asked for, or those without an exported row yet."""
+    return types.where(F.col("type").isin(*only)) if only is not None else types.join(exported.select("type").distinct(), "type", "left_anti")
+
+
+def device_pushes(devices: DataFrame, batches: DataFrame) -> DataFrame:
+    """devices with the number of batches they pushed and the last one's instant."""
+    g = batches.groupBy("device_id").agg(F.count("*").alias("pushes"), F.max("received_at").alias("last_push"))
+    return devices.join(g, "device_id", "left").withColumn("pushes", F.coalesce("pushes", F.lit(0)))
+
+
+def settle(attempts: DataFrame, now, most: int = 5) -> DataFrame:
+    """Batches (…, error, permanent, attempt) with a state: done, failed for good where the error is one of
+    validation or the attempts are used up, else retry with the instant of the next attempt, after 30 s that
+    double up to half an hour."""
+    wait = F.least(F.lit(30) * F.pow(F.lit(2.0), F.col("attempt") - 1), F.lit(1800.0))
+    state = F.when(F.col("error").isNull(), "done").when(F.col("permanent") | (F.col("attempt") >= most), "failed").otherwise("retry")
+    out = attempts.withColumn("state", state)
+    return out.withColumn("retry_at", F.when(F.col("state") == "retry", F.timestamp_seconds(F.unix_seconds(now) + wait)))

@@ -8,7 +8,7 @@ from ..functions import units as U
 from ..functions.timefns import iso_date, push_date
 from ..operators import merge as M
 from ..operators import series as S
-from ..sources.canonical import CUMULATIVE, Tables
+from ..sources.canonical import CUMULATIVE, METRICS, Tables
 from .registry import query
 from .series_queries import ROLLUP_SQL, built
 
@@ -17,7 +17,7 @@ from .series_queries import ROLLUP_SQL, built
 def unit_conversion(t: Tables):
     """H17."""
     c = lambda a, b: F.round(U.convert(F.col("v").cast("double"), F.lit(a), F.lit(b)), 9)
-    return t.events.select("event_id", c("mi", "km").alias("km"), c("kilocalorie", "kJ").alias("kj"), c("degF", "C").alias("celsius"), c("kg", "km").alias("nothing"))
+    return t.events.select("event_id", c("mi", "km").alias("km"), c("kcal", "kJ").alias("kj"), c("degF", "degC").alias("celsius"), c("kg", "km").alias("nothing"))
 
 
 @query("batch_dedup", "SELECT subject_id, type, source_id, k, min(event_id) AS event_id FROM ev GROUP BY 1, 2, 3, 4")
@@ -67,18 +67,28 @@ def device_authority(t: Tables):
 
 @query("rollup_drain", ROLLUP_SQL + """ SELECT subject_id, type, strftime(hour_utc, '%Y-%m-%d %H:%M:%S') AS hour_utc, n, CAST(sum AS DOUBLE) AS sum, CAST(min AS DOUBLE) AS min, CAST(max AS DOUBLE) AS max FROM q4""")
 def rollup_drain(t: Tables):
-    """A rollup built before the last tenth of the rows came, brought up to date by ranges."""
-    late = t.observations.where("event_id % 10 = 9")
-    old = S.build_rollup(t.observations.where("event_id % 10 <> 9"), t.minutes, t.cutovers, t.priorities, t.sources, list(CUMULATIVE), ["purchase", "signup"])
-    return M.apply_rollup(old, rollup(t), M.dirty_ranges(late, ["error"]))
+    """A rollup built before the last tenth of the rows came, brought up to date by ranges; only the
+    rows of their hours are read into the rebuild."""
+    ranges = t.kept("drain_queue", M.dirty_ranges(t.observations.where("event_id % 10 = 9"), ["error"]))
+    old = t.kept("rollup_before", built(t, t.observations.where("event_id % 10 <> 9")), "type")
+    hours = M.hours_of(ranges)
+    obs, minutes = M.of_hours(t.observations, hours, "start_ts"), M.of_hours(t.minutes, hours, "minute_ts")
+    rebuilt = S.build_rollup(obs, minutes, t.cutovers, t.priorities, t.sources, list(CUMULATIVE), ["purchase", "signup"])
+    return M.apply_rollup(old, rebuilt, hours)
+
+
+def matchable(t: Tables):
+    """Incoming and existing samples whose values are coarse, so that many share one."""
+    o = t.observations.where("type in ('purchase', 'signup')").withColumn("id", F.col("event_id")).withColumn("value_key", F.floor(F.col("value_key") / 100_000))
+    far = o.withColumn("start_ts", F.date_trunc("minute", "start_ts"))
+    return o.where("origin = 'hae'"), far.where("event_id % 3 <> 0")
 
 
 @query("channel_match")
 def channel_match(t: Tables):
     """One-to-one closest matches across channels; compared with a plain version in the tests."""
-    o = t.observations.where("type in ('purchase', 'signup')").withColumn("id", F.col("event_id")).withColumn("value_key", F.floor(F.col("value_key") / 100_000))
-    far = o.withColumn("start_ts", F.date_trunc("minute", "start_ts"))
-    return M.match_across(o.where("origin = 'hae'"), far.where("event_id % 3 <> 0"), "existing")
+    incoming, existing = matchable(t)
+    return M.match_across(incoming, existing, "existing")
 
 
 @query("workout_identity", """k AS (SELECT workout_id, subject_id FROM wk WHERE workout_id % 4 = 0),
@@ -101,3 +111,64 @@ def date_parsing(t: Tables):
     a, b = F.concat(F.date_format(local, "yyyy-MM-dd HH:mm:ss"), F.lit(" +0530")), F.concat(F.date_format(local, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+05:30"))
     (p, po), (i, io), bad = push_date(a), iso_date(b), iso_date(F.lit("2024-01-01 10:00"))[0]
     return t.events.select("event_id", F.unix_seconds(p).alias("push_s"), po.cast("long").alias("push_offset"), F.unix_seconds(i).alias("iso_s"), io.cast("long").alias("iso_offset"), F.unix_seconds(bad).alias("bad"))
+
+
+@query("cutover_ranges", """c AS (SELECT * FROM cut), x AS (SELECT subject_id, type, max(start_ts) AS last FROM obs WHERE origin = 'health_xml' GROUP BY 1, 2)
+SELECT subject_id, type, strftime(date_trunc('hour', cutover_ts), '%Y-%m-%d %H:%M:%S') AS from_ts, strftime(date_trunc('hour', last) + INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S') AS to_ts FROM c JOIN x USING (subject_id, type) WHERE last >= cutover_ts""")
+def cutover_ranges(t: Tables):
+    """What new cutovers invalidate."""
+    return M.cutover_ranges(t.cutovers, t.observations.where("origin = 'health_xml'"))
+
+
+@query("sleep_daily_upsert", """i AS (SELECT subject_id, night, asleep_s + core_s AS asleep_s, core_s FROM sday WHERE core_s % 2 = 0)
+SELECT subject_id, strftime(s.night, '%Y-%m-%d') AS night, coalesce(i.asleep_s, s.asleep_s) AS asleep_s FROM sday s LEFT JOIN i USING (subject_id, night)""")
+def sleep_daily_upsert(t: Tables):
+    """Nights that come again replace those that are there; of two in a batch the last counts."""
+    old = t.sleep_daily.select("subject_id", "night", F.lit("hae").alias("channel"), "asleep_s")
+    again = t.sleep_daily.where("core_s % 2 = 0").select("subject_id", "night", F.lit("hae").alias("channel"), (F.col("asleep_s") + F.col("core_s")).alias("asleep_s"))
+    batch = again.withColumn("id", F.lit(2)).unionByName(again.withColumn("asleep_s", F.lit(-1).cast("long")).withColumn("id", F.lit(1)))
+    return M.upsert_daily_sleep(batch, old).select("subject_id", "night", "asleep_s")
+
+
+@query("sleep_merge", """h AS (SELECT *, row_number() OVER (PARTITION BY subject_id, source_id, stage, start_ts, end_ts ORDER BY start_ts) AS rn FROM seg WHERE CAST(floor(epoch(start_ts)) AS BIGINT) % 2 = 0)
+SELECT DISTINCT subject_id, source_id, stage, strftime(start_ts, '%Y-%m-%d %H:%M:%S') AS start_ts FROM seg s WHERE CAST(floor(epoch(start_ts)) AS BIGINT) % 3 <> 0 AND NOT EXISTS (SELECT 1 FROM h WHERE h.subject_id = s.subject_id AND h.source_id = s.source_id AND h.stage = s.stage AND h.start_ts = s.start_ts AND h.end_ts = s.end_ts)""")
+def sleep_merge(t: Tables):
+    """Segments that come again under a new uuid or the old one are not inserted."""
+    s = t.sleep_segments.withColumn("at", F.floor(F.unix_seconds("start_ts")))
+    uuid = F.concat_ws("-", "subject_id", "source_id", "stage", F.unix_micros("start_ts").cast("string"), F.unix_micros("end_ts").cast("string"))
+    history = s.where("at % 2 = 0").withColumn("uuid", F.when(F.col("at") % 4 == 0, uuid))
+    batch = s.where("at % 3 <> 0").withColumn("uuid", uuid).withColumn("id", F.col("at"))
+    return M.merge_sleep(batch, history).select("subject_id", "source_id", "stage", "start_ts")
+
+
+@query("new_dimension_rows", """n AS (SELECT DISTINCT 'k' || k AS name FROM ev) SELECT name, CASE WHEN CAST(substr(name, 2) AS INTEGER) < 50 THEN 'known' ELSE 'new' END AS state FROM n""")
+def new_dimension_rows(t: Tables):
+    """Names that the dimension lacks get a row, once."""
+    names = t.events.select(F.concat(F.lit("k"), F.col("k")).alias("name"))
+    known = names.where("cast(substr(name, 2) as int) < 50").distinct().select(F.col("name"), F.substring("name", 2, 9).cast("long").alias("id"))
+    out = M.dimension(names, M.dimension(names, known))
+    return out.select("name", F.when(F.col("id") == F.xxhash64("name"), "new").otherwise("known").alias("state"))
+
+
+@query("types_to_import", "SELECT type FROM (VALUES ('click'), ('view'), ('purchase'), ('signup'), ('error'), ('weight')) v(type) WHERE type NOT IN (SELECT type FROM obs WHERE origin = 'health_xml' AND type <> 'signup')")
+def types_to_import(t: Tables):
+    """Types without an exported row yet."""
+    types = t.spark.createDataFrame([(x,) for x in (*METRICS, "weight")], "type string")
+    return M.types_to_import(types, t.observations.where("origin = 'health_xml' and type <> 'signup'"))
+
+
+@query("device_pushes", "d AS (SELECT * FROM (VALUES (0), (1), (2), (9)) v(device_id)), b AS (SELECT subject_id % 3 AS device_id, CAST(ts AS DATE) AS day, subject_id, min(ts) AS r FROM ev GROUP BY 1, 2, 3) SELECT d.device_id, count(b.device_id) AS pushes, strftime(max(r), '%Y-%m-%d %H:%M:%S') AS last_push FROM d LEFT JOIN b USING (device_id) GROUP BY 1")
+def device_pushes(t: Tables):
+    """Batches of each device."""
+    devices = t.spark.createDataFrame([(i,) for i in (0, 1, 2, 9)], "device_id long")
+    return M.device_pushes(devices, t.batches.withColumn("device_id", F.col("subject_id") % 3))
+
+
+@query("batch_retries", """b AS (SELECT subject_id, CAST(ts AS DATE) AS day, min(ts) AS r, count(*) AS n FROM ev GROUP BY 1, 2), s AS (SELECT *, n % 6 + 1 AS attempt, n % 4 = 0 AS permanent, n % 3 <> 0 AS bad FROM b),
+x AS (SELECT *, CASE WHEN NOT bad THEN 'done' WHEN permanent OR attempt >= 5 THEN 'failed' ELSE 'retry' END AS state FROM s)
+SELECT subject_id, strftime(day, '%Y-%m-%d') AS day, state, CASE WHEN state = 'retry' THEN strftime(TIMESTAMP '2024-02-01' + to_seconds(CAST(least(30 * pow(2, attempt - 1), 1800) AS BIGINT)), '%Y-%m-%d %H:%M:%S') END AS retry_at FROM x""")
+def batch_retries(t: Tables):
+    """Permanent failures and retries that back off."""
+    n = F.col("body_bytes") / 100
+    b = t.batches.select("subject_id", "day", (n % 6 + 1).cast("int").alias("attempt"), (n % 4 == 0).alias("permanent"), F.when(n % 3 != 0, F.lit("broken")).alias("error"))
+    return M.settle(b, F.lit("2024-02-01").cast("timestamp")).select("subject_id", "day", "state", "retry_at")

@@ -2,74 +2,96 @@
 
 from __future__ import annotations
 
+import hashlib
+import zlib
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.timefns import iso_date, push_date, quantise
 from ..functions.units import convert, elevation_m, source_name
+from ..shipping import ship
+from .normalise import UUID
 
 POINT = "date string, qty double, Min double, Avg double, Max double, systolic double, diastolic double, asleep double, core double, deep double, rem double, awake double, inBed double, sleepStart string, sleepEnd string, source string"
 QTY = "struct<qty:double,units:string>"
 SERIES = "array<struct<date:string,qty:double,units:string,source:string>>"
-WORKOUT = f"id string, name string, start string, end string, duration double, isIndoor boolean, distance {QTY}, activeEnergyBurned {QTY}, elevationUp {QTY}, walkingAndRunningDistance {SERIES}, stepCount {SERIES}, activeEnergy {SERIES}, route array<struct<timestamp:string,latitude:double,longitude:double,altitude:double,speed:double,course:double,horizontalAccuracy:double>>"
+QUANTITIES = "distance activeEnergyBurned totalEnergy elevationUp flightsClimbed stepCadence temperature humidity intensity".split()
+ROUTE = "array<struct<timestamp:string,latitude:double,longitude:double,altitude:double,speed:double,course:double,horizontalAccuracy:double>>"
+WORKOUT = ", ".join([
+    "id string, name string, start string, end string, duration double, isIndoor boolean, location string", *[f"{q} {QTY}" for q in QUANTITIES],
+    *[f"{s} {SERIES}" for s in ("activeEnergy", "basalEnergy", "stepCount", "walkingAndRunningDistance")], f"route {ROUTE}",
+])
 PUSH = f"data struct<metrics:array<struct<name:string,units:string,data:array<struct<{POINT.replace(' ', ':').replace(',:', ',')}>>>>,workouts:array<struct<{WORKOUT.replace(', ', ',').replace(' ', ':')}>>>"
 NATIVE = "format string, app_version string, exported_at string, samples array<struct<uuid:string,type:string,start:string,end:string,value:double,unit:string,category:int,source:string>>, minutes array<struct<type:string,minute:string,value:double,unit:string>>, workouts array<struct<uuid:string,activity:string,start:string,end:string,duration_s:double,distance_m:double,energy_kj:double,elevation_up_m:double,indoor:boolean,source:string>>"
-UUID = r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"
-
-
-def read_batches(spark: SparkSession, path: str, ledger: DataFrame | None = None) -> DataFrame:
-    """(path, sha256, body, error): one row for each spooled JSON body; gzip by the file name's end.
+#: Bytes that a body may have when it is unpacked; larger ones are refused.
+MOST_BYTES = 256 << 20
+
+
+def read_batches(spark: SparkSession, path: str, ledger: DataFrame | None = None, most: int = MOST_BYTES) -> DataFrame:
+    """(path, sha256, body, error): one row for each spooled JSON body, packed by gzip or not. Each file is read
+    once; the checksum is that of the file as it lies there.
+
+    error: gunzip_failed, too_large or not_text, and no body. ledger: (path, sha256) as received; a missing
+    file or another checksum fails the batch."""
+    ship(spark)
+
+    def unpacked(data: bytes) -> tuple[str | None, str | None]:
+        if data[:2] == b"\x1f\x8b":
+            try:
+                unpack = zlib.decompressobj(wbits=31)
+                data = unpack.decompress(data, most + 1)
+                if len(data) <= most and not unpack.eof:
+                    return None, "gunzip_failed"
+            except zlib.error:
+                return None, "gunzip_failed"
+        if len(data) > most:
+            return None, "too_large"
+        try:
+            return data.decode("utf-8"), None
+        except UnicodeDecodeError:
+            return None, "not_text"
+
+    def read(batches):
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                data = content.as_py()
+                body, error = unpacked(data)
+                yield pa.RecordBatch.from_arrays([pa.array([x], pa.string()) for x in (name, hashlib.sha256(data).hexdigest(), body, error)], names=["path", "sha256", "body", "error"])
 
-    ledger: (path, sha256) as received; another checksum fails the batch."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    texts = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("body"))
-    plain = files.select(F.regexp_replace("path", "^file:/+", "file:///").alias("path"), F.sha2("content", 256).alias("sha256"))
-    out = plain.join(texts, "path", "left")
-    if ledger is not None:
-        out = out.join(ledger.select("path", F.col("sha256").alias("__want")), "path", "full")
-    else:
-        out = out.withColumn("__want", F.col("sha256"))
-    return out.withColumn("error", F.when(F.col("sha256").isNull(), "raw_file_missing").when(~F.col("sha256").eqNullSafe(F.col("__want")), "sha256_mismatch")).drop("__want")
+    out = files.mapInArrow(read, "path string, sha256 string, body string, error string")
+    if ledger is None:
+        return out
+    out = out.join(ledger.select("path", F.col("sha256").alias("__want")), "path", "full")
+    error = F.when(F.col("sha256").isNull(), "raw_file_missing").when(~F.col("sha256").eqNullSafe(F.col("__want")), "sha256_mismatch")
+    return out.withColumn("error", F.coalesce(error, "error")).drop("__want")
 
 
 def parsed(batches: DataFrame, schema: str, fits: Column) -> DataFrame:
-    """batches with ``doc``; json_invalid or shape_invalid where the body is not such a document."""
+    """batches with ``doc`` in place of their body; json_invalid or shape_invalid where it is not such a
+    document."""
     out = batches.withColumn("doc", F.from_json("body", schema, {"mode": "PERMISSIVE"}))
     bad = F.try_parse_json("body").isNull()
     return out.withColumn("error", F.coalesce("error", F.when(bad, "json_invalid").when(~F.coalesce(fits, F.lit(False)), "shape_invalid"))).drop("body")
 
 
-def push_points(batches: DataFrame) -> DataFrame:
-    """(path, name, units, point fields, ts, tz_offset_min, skip_reason) of push batches."""
-    docs = parsed(batches, PUSH, F.col("doc.data").isNotNull()).where("error is null")
-    m = docs.select("path", F.explode("doc.data.metrics").alias("m")).select("path", "m.name", "m.units", F.posexplode("m.data").alias("idx", "p"))
-    ts, off = push_date(F.col("date"))
-    rows = m.select("path", "name", "units", "idx", "p.*").withColumn("ts", ts).withColumn("tz_offset_min", off)
-    heart = (F.col("name") == "heart_rate") & F.col("Avg").isNotNull()
-    same = (F.col("Min") == F.col("Avg")) & (F.col("Avg") == F.col("Max"))
-    fine = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
-    value = F.when(heart, F.col("Avg")).otherwise(F.col("qty"))
-    reason = F.when(F.col("ts").isNull(), "bad_date").when(heart & ~same, "skipped_aggregated").when(~fine(value) & F.col("systolic").isNull() & F.col("inBed").isNull() & F.col("asleep").isNull(), "bad_value")
-    return rows.withColumn("value", value).withColumn("skip_reason", reason).withColumn("source", source_name(F.col("source")))
-
-
-def blood_pressure(points: DataFrame) -> DataFrame:
-    """Fused points as two types."""
-    both = F.explode(F.array(F.struct(F.lit("systolic").alias("t"), F.col("systolic").alias("v")), F.struct(F.lit("diastolic").alias("t"), F.col("diastolic").alias("v"))))
-    return points.where("systolic is not null").select("path", "idx", "ts", "source", both.alias("x")).select("path", "idx", "ts", "source", F.concat(F.lit("blood_pressure_"), "x.t").alias("name"), F.col("x.v").alias("value"))
+def push_documents(batches: DataFrame) -> DataFrame:
+    """The batches that hold a document of the push format."""
+    return parsed(batches, PUSH, F.col("doc.data").isNotNull()).where("error is null")
 
 
-def counters(rows: DataFrame, name: str = "name") -> DataFrame:
-    """(name, counts): refused rows by reason, and accepted ones, as a map."""
-    g = rows.groupBy(name, F.coalesce("skip_reason", F.lit("accepted")).alias("reason")).agg(F.count("*").alias("n"))
-    return g.groupBy(name).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("reason", "n")))).alias("counts"))
+def native_documents(batches: DataFrame) -> DataFrame:
+    """The batches that hold a document of the native format."""
+    return parsed(batches, NATIVE, F.col("doc.format").endswith("native/1")).where("error is null")
 
 
 def native_samples(batches: DataFrame, units: DataFrame, categories: DataFrame, minute_types: list[str]) -> DataFrame:
-    """Samples of native batches with a skip_reason: bad_uuid, bad_date, minute_type, unknown_type,
-    unit_mismatch, bad_category, bad_value."""
-    docs = parsed(batches, NATIVE, F.col("doc.format").endswith("native/1")).where("error is null")
-    s = docs.select("path", F.posexplode("doc.samples").alias("idx", "s")).select("path", "idx", "s.*")
+    """Samples of native batches (subject_id, batch, body, error) with a skip_reason: bad_uuid, bad_date,
+    minute_type, unknown_type, unit_mismatch, bad_category, bad_value."""
+    docs = native_documents(batches)
+    s = docs.select("subject_id", "batch", F.posexplode("doc.samples").alias("idx", "s")).select("subject_id", "batch", "idx", "s.*")
     (a, off), (b, _) = iso_date(F.col("start")), iso_date(F.col("end"))
     s = s.join(units.select("type", F.col("unit").alias("__unit"), "kind"), "type", "left").join(categories.select("type", F.col("category").alias("category"), F.lit(True).alias("__known")), ["type", "category"], "left")
     cat = F.col("kind") == "category"

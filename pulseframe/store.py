@@ -54,6 +54,13 @@ def kept(df: DataFrame, source: str, name: str, partitions: tuple[str, ...] = ()
     return spark.read.schema(schema).parquet(_KEPT[key]).select(*df.columns)
 
 
+def kept_table(df: DataFrame, name: str) -> DataFrame:
+    """df as a new Parquet table: cuts lineage in loops and survives lost executors."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def utc_day(ts: str):
     """The partition of an instant."""
     return F.to_date(F.col(ts)).alias("utc_day")

@@ -1,5 +1,6 @@
 """Small hand-written cases."""
 
+import gzip
 import json
 from datetime import datetime as D
 from datetime import timezone
@@ -7,6 +8,7 @@ from datetime import timezone
 import pytest
 from pyspark.sql import functions as F
 
+from pulseframe.functions import names as N
 from pulseframe.functions import timefns as T
 from pulseframe.functions import units as U
 from pulseframe.operators import merge as M
@@ -56,8 +58,8 @@ def test_half_hour_zone_and_dst(spark):
 
 def test_scalars(spark):
     r = spark.range(1).select(
-        T.quantise(F.lit(-2.5), 1).alias("q"), T.percent_delta(F.lit(3.0), F.lit(0.0)).alias("d"), U.convert(F.lit(1.0), F.lit("km"), F.lit("kg")).alias("u"), U.label(F.lit("HKQuantityTypeIdentifierHeartRate")).alias("l"),
-        U.metric_group(F.lit("RestingHeartRate")).alias("g"), U.elevation_m(F.lit("1710 cm")).alias("e"), U.source_name(F.lit(" My Watch\t")).alias("s"), T.trend_quality(F.lit(3.0), True).alias("t"),
+        T.quantise(F.lit(-2.5), 1).alias("q"), T.percent_delta(F.lit(3.0), F.lit(0.0)).alias("d"), U.convert(F.lit(1.0), F.lit("km"), F.lit("kg")).alias("u"), N.label(F.lit("HKQuantityTypeIdentifierHeartRate")).alias("l"),
+        N.metric_group(F.lit("HKQuantityTypeIdentifierRestingHeartRate")).alias("g"), U.elevation_m(F.lit("1710 cm")).alias("e"), U.source_name(F.lit(" My Watch\t")).alias("s"), T.trend_quality(F.lit(3.0), True).alias("t"),
     ).first()
     assert (r.q, r.d, r.u, r.l, r.g, round(r.e, 6), r.s, r.t) == (-2, None, None, "Heart rate", "heart", 17.1, "My Watch", "bad")
 
@@ -92,19 +94,29 @@ def test_replay_inserts_nothing(spark):
 
 
 def test_wire_and_spool(spark, tmp_path):
-    from pulseframe.sources import wire
+    from pulseframe.sources import normalise, wire
     from pulseframe.streaming.spool import Spool
 
-    good = {"data": {"metrics": [{"name": "heart_rate", "units": "bpm", "data": [{"date": "2024-01-10 10:00:00 +0530", "Min": 60, "Avg": 60, "Max": 60}, {"date": "2024-01-10 10:01:00 +0530", "Min": 60, "Avg": 61, "Max": 62}, {"date": "x", "qty": 1}]}]}}
-    (tmp_path / "in").mkdir()
-    (tmp_path / "in" / "a.json").write_text(json.dumps(good))
-    (tmp_path / "in" / "b.json").write_text("{not json")
-    b = wire.read_batches(spark, str(tmp_path / "in"))
-    pts = wire.push_points(b)
-    assert sorted((r.idx, r.skip_reason) for r in pts.collect()) == [(0, None), (1, "skipped_aggregated"), (2, "bad_date")]
+    point = lambda minute, lo, mid, hi: {"date": f"2024-01-10 10:0{minute}:00 +0530", "Min": lo, "Avg": mid, "Max": hi}
+    good = {"data": {"metrics": [
+        {"name": "heart_rate", "units": "bpm", "data": [point(0, 60, 60, 60), point(1, 60, 61, 62), {"date": "x", "qty": 1}]},
+        {"name": "blood_pressure", "units": "mmHg", "data": [{"date": "2024-01-10 10:00:00 +0530", "systolic": 120, "diastolic": 80}]},
+    ]}}
+    folder = tmp_path / "in put"
+    folder.mkdir()
+    (folder / "a b.json").write_text(json.dumps(good))
+    (folder / "b.json").write_text("{not json")
+    (folder / "c.json.gz").write_bytes(gzip.compress(json.dumps(good).encode()))
+    (folder / "d.json.gz").write_bytes(gzip.compress(b"{}")[:-9])
+    (folder / "e.json").write_text('{"data": null}')
+    b = wire.read_batches(spark, str(folder)).withColumns({"subject_id": F.lit(1), "batch": F.lit(0)})
     errors = {r.path.rsplit("/", 1)[1]: r.error for r in wire.parsed(b, wire.PUSH, F.col("doc.data").isNotNull()).collect()}
-    assert errors == {"a.json": None, "b.json": "json_invalid"}
-    assert {r["name"]: r["counts"] for r in wire.counters(pts).collect()} == {"heart_rate": {"accepted": 1, "skipped_aggregated": 1, "bad_date": 1}}
+    assert errors == {"a%20b.json": None, "b.json": "json_invalid", "c.json.gz": None, "d.json.gz": "gunzip_failed", "e.json": "shape_invalid"} or errors == {"a b.json": None, "b.json": "json_invalid", "c.json.gz": None, "d.json.gz": "gunzip_failed", "e.json": "shape_invalid"}
+    assert {r.error for r in wire.read_batches(spark, str(folder), most=20).collect()} == {None, "too_large", "gunzip_failed"}
+    types = spark.createDataFrame([("HKQuantityTypeIdentifierHeartRate", "raw", "count/min", False)] + [(f"HKQuantityTypeIdentifierBloodPressure{s}", "raw", "mmHg", False) for s in ("Systolic", "Diastolic")], "type string, regime string, unit string, opted_out boolean")
+    pts = normalise.push_metrics(wire.push_documents(b.where("path like '%b.json'")), types)
+    assert {r["name"]: r["counts"] for r in normalise.counters(pts, "name").collect()} == {"heart_rate": {"accepted": 1, "skipped_aggregated": 1, "skipped_bad_point": 1}, "blood_pressure": {"accepted": 2}}
+    assert wire.read_batches(spark, str(folder), spark.createDataFrame([("gone", "0")], "path string, sha256 string")).where("error = 'raw_file_missing'").count() == 1
 
     land = tmp_path / "land"
     land.mkdir()
