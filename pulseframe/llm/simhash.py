@@ -20,8 +20,12 @@ WIDTHS = (11, 11, 11, 11, 10, 10)
 #: Members of one bucket that one group of a task holds twice at most.
 CHUNK = 128
 SEED = 42
-#: Sets with fewer shingles are compared whatever their SimHashes: the estimate of distances is for many.
+#: Sets with fewer shingles are told apart by their parities alone: the estimate of SimHashes' distances is
+#: for many.
 SURE = 64
+#: Columns of 64 parities each.
+ODD = tuple(f"odd{k}" for k in range(8))
+SKETCH = ("digest", "fp", "n", *ODD)
 
 
 def _masks(distance: int) -> list[int]:
@@ -186,8 +190,9 @@ def _least(n: int, least: float) -> int:
 
 
 def _sets(docs: DataFrame, id_col: str, text_col: str, width: int, least: float) -> DataFrame:
-    """(doc_id, mark, digest, fp, n, first) of rows with an id: hash of the text, hash of the set of its
-    shingles, the set's SimHash and size, and the least of its hashes that similar sets must share."""
+    """(doc_id, mark, digest, fp, n, odd…, first) of rows with an id: hash of the text, hash of the set of its
+    shingles, the set's SimHash, its size, the parities of its hashes by their last 9 bits, and the least of
+    its hashes that similar sets must share."""
     ship(docs.sparkSession)
 
     def run(batches):
@@ -199,14 +204,15 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, width: int, least: float)
                 for k in range(0, len(items), 50_000):
                     ones += np.unpackbits(items[k : k + 50_000].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
                 fp = np.packbits((2 * ones > len(items)).astype(np.uint8), bitorder="little").view(np.int64)[0]
+                odd = np.packbits((np.bincount(items & (64 * len(ODD) - 1), minlength=64 * len(ODD)) & 1).astype(np.uint8), bitorder="little").view(np.int64)
                 first.append(items[: _least(len(items), least)])
-                rows.append((np.uint64(xxhash.xxh64_intdigest(items.tobytes(), SEED)).view(np.int64), fp, len(items), len(first[-1])))
-            ends = np.cumsum([0, *(r[3] for r in rows)])
+                rows.append((np.uint64(xxhash.xxh64_intdigest(items.tobytes(), SEED)).view(np.int64), fp, len(items), *odd, len(first[-1])))
+            ends = np.cumsum([0, *(r[-1] for r in rows)])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(first)))
-            cols = [pa.array([r[i] for r in rows], pa.int64()) for i in range(3)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols, lists], names=["doc_id", "mark", "digest", "fp", "n", "first"])
+            cols = [pa.array([r[i] for r in rows], pa.int64()) for i in range(3 + len(ODD))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols, lists], names=["doc_id", "mark", *SKETCH, "first"])
 
-    return _marked(docs, id_col, text_col).mapInArrow(run, "doc_id long, mark long, digest long, fp long, n long, first array<long>")
+    return _marked(docs, id_col, text_col).mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", "mark", *SKETCH)) + ", first array<long>")
 
 
 def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -215,14 +221,16 @@ def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _met(batches, distance: int, least: float):
-    """Pairs (a, b) of digests, a > b, from groups of sorted rows (k, i, j, digest, class, fp, n): those of
+    """Pairs (a, b) of digests, a > b, from groups of sorted rows (k, i, j, class, digest, fp, n, odd…): those of
     unlike classes that may be similar."""
     held: list[np.ndarray] = []
 
     def pairs(rows: np.ndarray):
-        digest, mine, fp, n = rows[:, 3], rows[:, 4], rows[:, 5].view(np.uint64), rows[:, 6]
+        mine, digest, fp, n, odd = rows[:, 3], rows[:, 4], rows[:, 5].view(np.uint64), rows[:, 6], rows[:, 7:].view(np.uint64)
         near = (mine[:, None] != mine[None, :]) & (digest[:, None] > digest[None, :])
         near &= np.minimum(n[:, None], n[None, :]) >= least * np.maximum(n[:, None], n[None, :]) - 1e-9
+        unlike = sum(np.bitwise_count(odd[:, None, k] ^ odd[None, :, k]).astype(np.int16) for k in range(odd.shape[1]))
+        near &= unlike <= (1 - least) / (1 + least) * (n[:, None] + n[None, :]) + 1e-9
         near &= (np.bitwise_count(fp[:, None] ^ fp[None, :]) <= distance) | (np.minimum(n[:, None], n[None, :]) < SURE)
         x, y = np.nonzero(near)
         return digest[x], digest[y]
@@ -277,9 +285,11 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     64 bits have no pigeonhole blocks for the distances that such texts show (10 bits on average at
     0.8), so candidates meet by shingles: of a set's n, the n - ceil(least n) + 1 of the least hashes, of
-    which similar sets always share one. SimHashes more than ``distance`` bits apart are then left out,
-    but for sets of fewer than SURE shingles; by a binomial estimate 22 bits leave out fewer than 1 in
-    10,000 of the pairs at 0.8, and fewer above.
+    which similar sets always share one. Two filters follow. A shingle that one set of a pair lacks flips one
+    of its 512 parities, so more unlike parities than the similarity allows such shingles rule a pair out,
+    without an error. SimHashes more than ``distance`` bits apart do so but for sets of fewer than SURE
+    shingles; by a binomial estimate 22 bits leave out fewer than 1 in 10,000 of the pairs at 0.8, and
+    fewer above.
 
     First each set is compared with one of each bucket, the least; a group of near copies falls into one
     class by that, however large, with work in proportion to its size. Then sets of buckets that still hold
@@ -287,30 +297,34 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     texts = _marked(docs, id_col, text_col)
     rows = written(_sets(docs, id_col, text_col, width, least), "shingles")
-    reps = written(rows.groupBy("digest").agg(F.min(F.struct("doc_id", "mark")).alias("at"), F.first("fp").alias("fp"), F.first("n").alias("n")), "shingle-reps")
+    reps = written(rows.groupBy("digest").agg(F.min(F.struct("doc_id", "mark")).alias("at"), *[F.first(c).alias(c) for c in SKETCH[1:]]), "shingle-reps")
     ids = reps.select("digest", F.col("at.doc_id").alias("rep"))
     same = rows.select("digest", "doc_id").join(ids, "digest").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     one = reps.select("digest", F.col("at.doc_id").alias("doc_id"), F.col("at.mark").alias("mark"))
     posts = rows.join(one, ["digest", "doc_id", "mark"], "left_semi").select("digest", F.explode("first").alias("k"))
     least_of = posts.groupBy("k").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo <> hi").select("k", "lo")
     shared = written(posts.join(least_of, "k"), "shingles-shared")
-    size = lambda c: reps.select(F.col("digest").alias(c), F.col("fp").alias(f"{c}_fp"), F.col("n").alias(f"{c}_n"))
-    close = f"least(a_n, b_n) >= {least} * greatest(a_n, b_n) - 1e-9 and (bit_count(a_fp ^ b_fp) <= {distance} or least(a_n, b_n) < {SURE})"
+    size = lambda c: reps.select(F.col("digest").alias(c), *[F.col(x).alias(f"{c}_{x}") for x in SKETCH[1:]])
+    unlike = " + ".join(f"bit_count(a_{x} ^ b_{x})" for x in ODD)
+    close = (
+        f"least(a_n, b_n) >= {least} * greatest(a_n, b_n) - 1e-9 and {unlike} <= {(1 - least) / (1 + least)} * (a_n + b_n) + 1e-9"
+        f" and (bit_count(a_fp ^ b_fp) <= {distance} or least(a_n, b_n) < {SURE})"
+    )
     stars = shared.where("digest <> lo").select(F.col("digest").alias("a"), F.col("lo").alias("b")).distinct()
     stars = written(stars.join(size("a"), "a").join(size("b"), "b").where(close).select("a", "b"), "stars")
     edges = lambda true: true.join(ids.toDF("a", "x"), "a").join(ids.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     found = written(same.unionByName(edges(_verified(stars, reps, texts, width, least))), "similar-edges")
     classes = components(found)
-    linked = reps.select("digest", "fp", "n", F.col("at.doc_id").alias("rep"))
-    linked = linked.join(classes, linked["rep"] == classes["node"], "left").select("digest", "fp", "n", F.coalesce("component", "rep").alias("c"))
+    linked = ids.join(classes, ids["rep"] == classes["node"], "left").select("digest", F.coalesce("component", "rep").alias("c"))
     rest = shared.select("digest", "k").join(linked, "digest")
     mixed = rest.groupBy("k").agg(F.count("*").alias("m"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("k", F.ceil(F.col("m") / chunk).alias("g"))
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     met = (
         rest.join(mixed, "k")
+        .join(reps.select(*SKETCH), "digest")
         .withColumn("mine", F.pmod(F.xxhash64("digest"), F.col("g")))
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1)))
-        .select("k", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "digest", "c", "fp", "n")
+        .select("k", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "c", *SKETCH)
         .repartition(parts, "k", "i", "j")
         .sortWithinPartitions("k", "i", "j")
     )
