@@ -272,10 +272,41 @@ def test_personal_data_equals_plain_patterns(spark):
         assert set(base) <= set(r.s.split(",") if r.s else [])
     last = {r.doc_id: r.s for r in out}
     assert [last[len(texts) - k] for k in (3, 2, 1)] == ["email:9:35", "phone:5:19", "ip:5:19"]
+    many = "".join(f"x{i}@y.de, 1.2.3.{i % 256} or a{i} at b dot com and " for i in range(4000))
+    (r,) = pii.personal_data(spark.createDataFrame([(1, many, "x")], "doc_id long, text string, pii_base string")).select(pii.listed("pii_base").alias("b"), F.size("pii_spans").alias("n")).collect()
+    assert r.b == ",".join(plain_spans(many)) and 12_000 <= r.n <= 12_100
+    assert pii.personal_data(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     clean = pii.redacted(spark.createDataFrame([(1, "mail a@b.de or +49 30 1234567 é"), (2, None)], "doc_id long, text string")).orderBy("doc_id").collect()
     assert [r.text for r in clean] == ["mail [EMAIL] or [PHONE] é", None]
 
 
+#: Hand-made texts with what the wide candidates should and should not take.
+WIDE_YES = [
+    ("email", "you can reach anna.k at posteo dot de any day", "anna.k at posteo dot de"), ("email", "Mail: sam(at)mail.example.org please", "sam(at)mail.example.org"), ("email", "ping dev_ops [at] corp [dot] io now", "dev_ops [at] corp [dot] io"),
+    ("ip", "the server 192[.]168[.]4[.]20 is down", "192[.]168[.]4[.]20"), ("ip", "host at 10 . 20 . 30 . 40 again", "10 . 20 . 30 . 40"), ("card", "pay with visa 4111.1111.1111.1111 today", "4111.1111.1111.1111"), ("card", "card 5555/5555/5555/4444, thanks", "5555/5555/5555/4444"),
+    ("phone", "call (415) 555-0132 after six", "(415) 555-0132"), ("phone", "tel. 212-555-0187 or later", "212-555-0187"), ("phone", "phone: 303.555.0101 works", "303.555.0101"),
+]
+WIDE_NO = ["They met at noon. Then they left", "sold at 3.50 each", "see section 1. 2. 3. 4 of the text", "ratio 1234/5678/9012/3456 of parts", "version 2 . 10. 3. 7 came out", "the order 4111.1111.1111.1112 was late", "page 120/340.560 of the book", "look at him. she said"]
+
+
+def test_added_spans_on_hand_made_texts(spark):
+    texts = [t for _, t, _ in WIDE_YES] + WIDE_NO
+    out = pii.personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).select("doc_id", pii.listed("pii_spans").alias("s")).collect()
+    got = {r.doc_id: set(r.s.split(",")) - {""} for r in out}
+    want = {i: f"{k}:{t.index(x)}:{t.index(x) + len(x)}" for i, (k, t, x) in enumerate(WIDE_YES)}
+    found = sum(want[i] in got[i] for i in want)
+    wrong = sum(len(s - {want.get(i)}) for i, s in got.items())
+    assert found >= 9 and wrong <= 1, (found, wrong, got)
+
+
+def test_overlapping_candidates_keep_the_surer(spark):
+    spans = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(s).alias("s"), F.lit(e).alias("e"), F.lit(d).alias("d")) for k, s, e, d in ((0, 2, 9, "7"), (0, 70, 75, "5"))])
+    mask = pii._mask(spans, lambda x: x["d"])
+    at = lambda s, e: pii._highest(mask, F.struct(F.lit(s).alias("s"), F.lit(e).alias("e")))
+    (r,) = spark.range(1).select(at(0, 2), at(0, 3), at(9, 70), at(60, 71), at(8, 200), at(74, 76), at(75, 99)).collect()
+    assert tuple(r) == ("0", "7", "0", "5", "7", "5", "0")
+
+
 def test_mixing(spark, docs):
     out = mixing.mixed(docs, rate=1.0)
     assert out.count() == docs.count() and "score" in out.columns
