@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.formats import metric_value, shown_unit, shown_value
+from ..functions.names import label, metric_group, slug
 from ..functions.timefns import local_day, seconds
 
 #: Fixed value: the labels of the category contract.
@@ -95,3 +97,41 @@ def ingest_by_day(batches: DataFrame, from_day: str, to_day: str, subjects: Data
 def sync_overview(batches: DataFrame) -> DataFrame:
     visible = F.col("status").isin("normalized", "rollups_ready")
     return batches.groupBy("subject_id").agg(F.count_if(F.col("status") == "received").alias("pending"), F.count_if(F.col("status") == "failed").alias("failed"), F.max(F.when(visible, F.col("received_at"))).alias("last_visible"))
+
+
+def totals(tables: dict[str, DataFrame], obs: DataFrame, subjects: DataFrame) -> DataFrame:
+    """Rows of each table, types with data, and days from the first to the last observation, by subject: one
+    union of aggregates. Subjects without rows have zeros, and no days."""
+    parts = [df.groupBy("subject_id").agg(F.count("*").alias("n")).withColumn("kind", F.lit(k)) for k, df in tables.items()]
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part)
+    agg = rows.groupBy("subject_id").agg(*[F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(k) for k in tables])
+    day = local_day(F.col("start_ts"), F.col("tz"))
+    span = obs.groupBy("subject_id", "type").agg(F.min(day).alias("a"), F.max(day).alias("b")).groupBy("subject_id").agg(F.count("*").alias("types"), (F.datediff(F.max("b"), F.min("a")) + 1).alias("coverage_days"))
+    out = subjects.select("subject_id").join(agg, "subject_id", "left").join(span, "subject_id", "left")
+    return out.na.fill(0, [*tables, "types"])
+
+
+def catalogue_rows(cov: DataFrame, daily: DataFrame, types: DataFrame, today: str, spark_days: int = 30, dormant_days: int = 60) -> DataFrame:
+    """A row of the catalogue for each subject and type: labels, coverage as text, the value of the last
+    measured day, the values of the days up to the type's own last day as a list with gaps, a flag for types
+    that have been silent, and the text that a search looks in.
+
+    cov: ``coverage``; daily: (subject_id, type, day, value); types: (type, identifier, unit, aggregation)."""
+    i = F.col("identifier")
+    rows = cov.join(types.withColumnRenamed("unit", "canonical"), "type")
+    back = rows.select("subject_id", "type", "last_day", F.explode(F.sequence(F.date_sub("last_day", spark_days - 1), F.col("last_day"))).alias("day"))
+    shown = back.join(daily.select("subject_id", "type", "day", "value"), ["subject_id", "type", "day"], "left")
+    listed = F.array_sort(F.collect_list(F.struct("day", "value")))
+    spark = shown.groupBy("subject_id", "type").agg(F.transform(listed, lambda x: x["value"]).alias("spark"), F.max(F.when(F.col("value").isNotNull(), F.struct("day", "value"))).alias("last"))
+    month = lambda c: F.date_format(c, "MMM yyyy")
+    covered = F.when(month("first_day") == month("last_day"), month("first_day")).otherwise(F.concat(month("first_day"), F.lit(" - "), month("last_day")))
+    unit, group = shown_unit(F.col("canonical")), metric_group(i)
+    text = F.lower(F.concat_ws(" ", label(i), i, slug(i), unit, group))
+    value = metric_value(F.col("last.value"), F.col("aggregation"), F.col("canonical"), F.col("last.value"))
+    out = rows.join(spark, ["subject_id", "type"])
+    return out.select(
+        "subject_id", "type", label(i).alias("label"), group.alias("group"), unit.alias("unit"), "measures", covered.alias("coverage"), value.alias("last_value"), F.col("last.day").alias("last_value_day"),
+        F.transform("spark", lambda v: shown_value(v, F.col("canonical"))).alias("spark"), (F.datediff(F.lit(today).cast("date"), "last_day") > dormant_days).alias("dormant"), text.alias("haystack"),
+    )

@@ -198,3 +198,25 @@ def hour_runs(hours: DataFrame, keys: list[str], hour: str = "hour_utc") -> Data
     x = hours.select(*keys, hour).distinct().withColumn("island", F.unix_seconds(hour) / 3600 - F.row_number().over(w))
     out = x.groupBy(*keys, "island").agg(F.min(hour).alias("from_ts"), F.max(hour).alias("last"), F.count("*").alias("hours"))
     return out.withColumn("to_ts", F.col("last") + F.expr("INTERVAL 1 HOUR")).drop("island", "last")
+
+
+def scale_plan(series: DataFrame, units: DataFrame) -> DataFrame:
+    """(subject_id, key, mode, axis): series of one unit share an axis, two series have one each, more of unlike
+    units are normalised on one. series: (subject_id, key, …); units: (key, unit)."""
+    keys = series.select("subject_id", "key").distinct().join(units, "key", "left")
+    own = Window.partitionBy("subject_id")
+    kinds, n = F.size(F.collect_set(F.coalesce("unit", F.lit(""))).over(own)), F.count("*").over(own)
+    place = F.row_number().over(own.orderBy("key")) - 1
+    plan = keys.withColumns({"kinds": kinds, "series": n, "place": place})
+    mode = F.when((F.col("kinds") == 1) | (F.col("series") == 2), "absolute").otherwise("normalized")
+    axis = F.when((F.col("kinds") > 1) & (F.col("series") == 2), F.col("place")).otherwise(0)
+    return plan.select("subject_id", "key", mode.alias("mode"), axis.alias("axis"))
+
+
+def normalised(series: DataFrame) -> DataFrame:
+    """series with ``scaled``: values between the series' own least and largest as 0 to 1; 0.5 where all are
+    equal, null where nothing was measured."""
+    own = Window.partitionBy("subject_id", "key")
+    low, high = F.min("value").over(own), F.max("value").over(own)
+    scaled = F.when(F.col("value").isNotNull(), F.when(high > low, (F.col("value") - low) / (high - low)).otherwise(0.5))
+    return series.withColumn("scaled", scaled)

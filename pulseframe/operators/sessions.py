@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.formats import clock_since_noon
 from ..functions.timefns import local_day, night_date, percent_delta, seconds, since_noon
 
 #: Codes of sleep stages.
@@ -224,3 +225,39 @@ def by_day(entries: DataFrame) -> DataFrame:
     """(subject_id, day, entries): a stream's entries of each day, newest first."""
     newest = F.array_sort(F.collect_list(F.struct((-F.col("ts")).alias("before"), "kind", "ref", "what")))
     return entries.groupBy("subject_id", "day").agg(F.transform(newest, lambda e: F.struct((-e["before"]).alias("ts"), e["kind"].alias("kind"), e["ref"].alias("ref"), e["what"].alias("what"))).alias("entries"))
+
+
+def night_view(nights: DataFrame, subjects: DataFrame) -> DataFrame:
+    """Nights with time asleep as hours by phase, a phase that is not given as none, and the bedtime as text."""
+    hours = lambda c: F.round(F.coalesce(c, F.lit(0)) / 3600, 9).alias(f"{c[:-2]}_h")
+    bed = clock_since_noon(since_noon(F.col("sleep_start"), F.col("tz")))
+    some = nights.where("asleep_s is not null").join(subjects, "subject_id")
+    return some.select("subject_id", "night", *map(hours, ("deep_s", "core_s", "rem_s", "awake_s", "asleep_s")), F.when(F.col("sleep_start").isNotNull(), bed).alias("bedtime"))
+
+
+def missing_nights(nights: DataFrame, subjects: DataFrame, days: int, elapsed: int) -> DataFrame:
+    """Nights of a window's days so far that were not measured."""
+    measured = nights.where("asleep_s is not null").groupBy("subject_id").agg(F.count("*").alias("measured"))
+    out = subjects.select("subject_id").join(measured, "subject_id", "left")
+    return out.select("subject_id", F.coalesce("measured", F.lit(0)).alias("measured"), (F.lit(min(days, elapsed)) - F.coalesce("measured", F.lit(0))).alias("missing"))
+
+
+def session_summary(workouts: DataFrame, by: list[str]) -> DataFrame:
+    """Sessions, seconds, metres, energy and the mean of sessions' mean rates."""
+    return workouts.groupBy(*by).agg(F.count("*").alias("sessions"), F.sum("duration_s").alias("duration_s"), F.sum("distance_m").alias("distance_m"), F.sum("energy_kj").alias("energy_kj"), F.avg("avg_hr").alias("avg_hr"))
+
+
+def sport_tiles(workouts: DataFrame, subjects: DataFrame, window: tuple[str, str], before: tuple[str, str]) -> DataFrame:
+    """(subject_id, tile, value, delta): five figures of a window's sessions, each with its change in per cent
+    from the window before. workouts: with avg_hr. Both windows come from one pass."""
+    day = local_day(F.col("start_ts"), F.col("tz"))
+    of = lambda w: (day >= w[0]) & (day < w[1])
+    part = F.when(of(window), "now").when(of(before), "before")
+    g = session_summary(workouts.withColumn("part", part).where("part is not null"), ["subject_id", "part"])
+    names = ("sessions", "duration_s", "distance_m", "energy_kj", "avg_hr")
+    rows = g.select("subject_id", "part", F.explode(F.array(*[F.struct(F.lit(n).alias("tile"), F.col(n).cast("double").alias("v")) for n in names])).alias("x")).select("subject_id", "part", "x.*")
+    both = rows.groupBy("subject_id", "tile").agg(*[F.max(F.when(F.col("part") == p, F.col("v"))).alias(p) for p in ("now", "before")])
+    all_ = subjects.select("subject_id", F.explode(F.array(*map(F.lit, names))).alias("tile")).join(both, ["subject_id", "tile"], "left")
+    zero = F.col("tile").isin("sessions", "duration_s")
+    now, then = (F.when(zero, F.coalesce(c, F.lit(0.0))).otherwise(F.col(c)) for c in ("now", "before"))
+    return all_.select("subject_id", "tile", now.alias("value"), percent_delta(now, then).alias("delta"))

@@ -124,16 +124,49 @@ def ingest_comparison(t: Tables):
     return b.groupBy("subject_id").agg(F.sum(F.when(late, F.col("points"))).alias("now"), F.sum(F.when(~late, F.col("points"))).alias("before"))
 
 
-@query("data_totals", "SELECT subj.subject_id, (SELECT count(*) FROM obs o WHERE o.subject_id = subj.subject_id) AS observations, (SELECT count(*) FROM mins o WHERE o.subject_id = subj.subject_id) AS minutes, (SELECT count(*) FROM seg o WHERE o.subject_id = subj.subject_id) AS segments, (SELECT count(*) FROM wk o WHERE o.subject_id = subj.subject_id) AS workouts FROM subj")
+@query("data_totals", f"""n(kind, subject_id, n) AS (SELECT 'observations', subject_id, count(*) FROM obs GROUP BY 2 UNION ALL SELECT 'minutes', subject_id, count(*) FROM mins GROUP BY 2 UNION ALL SELECT 'segments', subject_id, count(*) FROM seg GROUP BY 2 UNION ALL SELECT 'workouts', subject_id, count(*) FROM wk GROUP BY 2),
+c AS (SELECT subject_id, count(DISTINCT type) AS types, max({DAY}) - min({DAY}) + 1 AS coverage_days FROM obs GROUP BY 1)
+SELECT subj.subject_id, {", ".join(f"coalesce(sum(n) FILTER (WHERE kind = '{k}'), 0) AS {k}" for k in ("observations", "minutes", "segments", "workouts"))}, coalesce(any_value(types), 0) AS types, any_value(coverage_days) AS coverage_days
+FROM subj LEFT JOIN n USING (subject_id) LEFT JOIN c USING (subject_id) GROUP BY 1""")
 def data_totals(t: Tables):
-    """Counts of four tables from one union and one aggregate."""
+    """Rows of four tables, types with data and days covered."""
     tables = {"observations": t.observations, "minutes": t.minutes, "segments": t.sleep_segments, "workouts": t.workouts}
-    rows = None
-    for name, df in tables.items():
-        part = df.groupBy("subject_id").agg(F.count("*").alias("n")).withColumn("kind", F.lit(name))
-        rows = part if rows is None else rows.unionByName(part)
-    agg = rows.groupBy("subject_id").agg(*[F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(k) for k in tables])
-    return t.subjects.select("subject_id").join(agg, "subject_id", "left").na.fill(0)
+    return C.totals(tables, t.observations, t.subjects)
+
+
+CATALOGUE = [("purchase", "HKQuantityTypeIdentifierHeartRate", "count/min", "average"), ("signup", "HKQuantityTypeIdentifierActiveEnergyBurned", "kJ", "latest")]
+LAST = "CAST(arg_max(value, (start_ts, event_id)) AS DOUBLE)"
+FIXED = "printf(CASE WHEN abs({0}) >= 100 THEN '%.0f' WHEN abs({0}) >= 10 THEN '%.1f' ELSE '%.2f' END, {0})"
+
+
+@query("catalogue_rows", f"""dv AS (SELECT subject_id, type, {DAY} AS day, CASE type WHEN 'purchase' THEN CAST(sum(value) AS DOUBLE) / count(value) ELSE {LAST} / 4.184 END AS value FROM obs WHERE type IN ('purchase', 'signup') GROUP BY 1, 2, 3),
+cv AS (SELECT subject_id, type, min({DAY}) AS a, max({DAY}) AS b, count(*) AS measures FROM obs WHERE type IN ('purchase', 'signup') GROUP BY 1, 2),
+sp AS (SELECT cv.*, (SELECT arg_max(value, day) FROM dv WHERE dv.subject_id = cv.subject_id AND dv.type = cv.type) AS v, (SELECT count(*) FROM dv WHERE dv.subject_id = cv.subject_id AND dv.type = cv.type AND dv.day > cv.b - 30) AS points FROM cv)
+SELECT subject_id, type, CASE type WHEN 'purchase' THEN 'Heart rate' ELSE 'Active energy burned' END AS label, CASE type WHEN 'purchase' THEN 'heart' ELSE 'activity' END AS "group", CASE type WHEN 'purchase' THEN '/min' ELSE 'kcal' END AS unit, measures,
+ CASE WHEN strftime(a, '%b %Y') = strftime(b, '%b %Y') THEN strftime(a, '%b %Y') ELSE strftime(a, '%b %Y') || ' - ' || strftime(b, '%b %Y') END AS coverage, {D.format('b')} AS last_value_day, round(v, 9) AS last_shown, points, 30 AS slots, DATE '2024-03-29' - b > 60 AS dormant,
+ CASE type WHEN 'purchase' THEN 'heart rate hkquantitytypeidentifierheartrate heart-rate /min heart' ELSE 'active energy burned hkquantitytypeidentifieractiveenergyburned active-energy-burned kcal activity' END AS haystack FROM sp""")
+def catalogue_rows(t: Tables):
+    """Rows of the metric catalogue."""
+    types = t.spark.createDataFrame(CATALOGUE, "type string, identifier string, unit string, aggregation string")
+    obs = t.observations.where("type in ('purchase', 'signup')").withColumn("day", local_day(F.col("start_ts"), F.col("tz")))
+    value = F.when(F.col("type") == "purchase", S.value_of("average")).otherwise(S.value_of("latest"))
+    daily = obs.groupBy("subject_id", "type", "day").agg(value.alias("value"))
+    rows = C.catalogue_rows(C.coverage(obs, t.minutes.limit(0)), daily, types, "2024-03-29")
+    points = F.size(F.filter("spark", lambda v: v.isNotNull()))
+    return rows.withColumns({"last_shown": F.round(F.element_at("spark", -1), 9), "points": points, "slots": F.size("spark")}).drop("spark", "last_value")
+
+
+@query("overlay_scales", RAW + f""", s AS (SELECT subject_id, 'a' AS key, day, value FROM q0 UNION ALL SELECT subject_id, 'b', day, value * 2 + 1 FROM q0 UNION ALL SELECT subject_id, 'c', day, CASE WHEN day > DATE '2024-01-10' THEN value END FROM q0 WHERE subject_id % 2 = 0)
+SELECT subject_id, key, {D.format('day')} AS day, CASE WHEN subject_id % 2 = 0 THEN 'normalized' ELSE 'absolute' END AS mode, CASE WHEN subject_id % 2 = 1 AND key = 'b' THEN 1 ELSE 0 END AS axis,
+ round(CASE WHEN value IS NOT NULL THEN coalesce((value - min(value) OVER w) / nullif(max(value) OVER w - min(value) OVER w, 0), 0.5) END, 9) AS scaled FROM s WINDOW w AS (PARTITION BY subject_id, key)""")
+def overlay_scales(t: Tables):
+    """Two series have an axis each, three of unlike units are normalised."""
+    r = raw_daily(t)
+    one = lambda key, v, rows=r: rows.select("subject_id", F.lit(key).alias("key"), "day", v.alias("value"))
+    s = one("a", F.col("value")).unionByName(one("b", F.col("value") * 2 + 1)).unionByName(one("c", F.when(F.col("day") > "2024-01-10", F.col("value")), r.where("subject_id % 2 = 0")))
+    units = t.spark.createDataFrame([("a", "bpm"), ("b", "m"), ("c", None)], "key string, unit string")
+    scaled = S.normalised(s).join(S.scale_plan(s, units), ["subject_id", "key"])
+    return scaled.select("subject_id", "key", "day", "mode", "axis", F.round("scaled", 9).alias("scaled"))
 
 
 ALIKE = ["subject_id", "activity", "start_ts", "end_ts", "duration_s", "distance_m", "energy_kj", "elevation_up_m"]

@@ -269,3 +269,29 @@ def session_detail(t: Tables):
     span = Window.partitionBy("subject_id", "activity").orderBy("n").rangeBetween(-90, -1)
     fine = F.col("distance_m") > 0
     return w.select("workout_id", F.round(F.avg("avg_hr").over(span), 6).alias("usual_hr"), F.when(fine, F.round(F.col("duration_s") / (F.col("distance_m") / 1000), 6)).alias("pace"), F.when(fine, F.round(F.col("distance_m") / F.col("duration_s") * 3.6, 6)).alias("speed"))
+
+
+@query("night_views", NIGHTS + """
+SELECT n.subject_id, strftime(night, '%Y-%m-%d') AS night, round(coalesce(deep_s, 0) / 3600.0, 9) AS deep_h, round(coalesce(core_s, 0) / 3600.0, 9) AS core_h, round(coalesce(rem_s, 0) / 3600.0, 9) AS rem_h, round(coalesce(awake_s, 0) / 3600.0, 9) AS awake_h, round(asleep_s / 3600.0, 9) AS asleep_h,
+ strftime(timezone(tz, timezone('UTC', sleep_start)), '%H:%M') AS bedtime FROM nights n JOIN subj USING (subject_id) WHERE asleep_s IS NOT NULL""")
+def night_views(t: Tables):
+    """Hours by phase and the bedtime."""
+    return X.night_view(nights(t), t.subjects)
+
+
+@query("missing_nights", NIGHTS + " SELECT subj.subject_id, count(asleep_s) AS measured, 25 - count(asleep_s) AS missing FROM subj LEFT JOIN nights USING (subject_id) GROUP BY 1")
+def missing_nights(t: Tables):
+    """Of a window of 30 days, 25 have passed."""
+    return X.missing_nights(nights(t), t.subjects, 30, 25)
+
+
+@query("sport_tiles", HR + f""", w2 AS (SELECT *, CASE WHEN {WDAY} >= DATE '2024-01-16' AND {WDAY} < DATE '2024-01-31' THEN 'now' WHEN {WDAY} >= DATE '2024-01-01' AND {WDAY} < DATE '2024-01-16' THEN 'before' END AS part FROM q2),
+s2 AS (SELECT subject_id, part, count(*) AS sessions, sum(duration_s) AS duration_s, sum(distance_m) AS distance_m, sum(energy_kj) AS energy_kj, avg(avg_hr) AS avg_hr FROM w2 WHERE part IS NOT NULL GROUP BY 1, 2),
+t2(subject_id, part, tile, v) AS ({" UNION ALL ".join(f"SELECT subject_id, part, '{c}', CAST({c} AS DOUBLE) FROM s2" for c in ("sessions", "duration_s", "distance_m", "energy_kj", "avg_hr"))}),
+b2 AS (SELECT subj.subject_id, k.tile, CASE WHEN k.tile IN ('sessions', 'duration_s') THEN coalesce(max(v) FILTER (WHERE part = 'now'), 0) ELSE max(v) FILTER (WHERE part = 'now') END AS now, CASE WHEN k.tile IN ('sessions', 'duration_s') THEN coalesce(max(v) FILTER (WHERE part = 'before'), 0) ELSE max(v) FILTER (WHERE part = 'before') END AS before
+ FROM subj CROSS JOIN (VALUES ('sessions'), ('duration_s'), ('distance_m'), ('energy_kj'), ('avg_hr')) k(tile) LEFT JOIN t2 ON t2.subject_id = subj.subject_id AND t2.tile = k.tile GROUP BY 1, 2)
+SELECT subject_id, tile, round(now, 6) AS value, round((now - before) / nullif(abs(before), 0) * 100, 6) AS delta FROM b2""")
+def sport_tiles(t: Tables):
+    """Five figures of two adjacent windows."""
+    tiles = X.sport_tiles(with_hr(t), t.subjects, ("2024-01-16", "2024-01-31"), ("2024-01-01", "2024-01-16"))
+    return tiles.withColumns({"value": F.round("value", 6), "delta": F.round("delta", 6)})

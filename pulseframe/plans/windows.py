@@ -5,6 +5,7 @@ from __future__ import annotations
 import calendar
 from dataclasses import dataclass
 from datetime import date, timedelta
+from urllib.parse import urlencode
 
 #: Presets, the longest custom window, and the bounds of each granularity in days.
 ROLLING = {"24h": 1, "7d": 7, "30d": 30}
@@ -124,3 +125,57 @@ def backoff_s(attempt: int) -> int:
 def timeline_window(r: Range, today: date) -> Range:
     end = min(r.end, today + timedelta(days=1))
     return Range(end - timedelta(days=30), end)
+
+
+#: The parameters that make up the time state of a request, in their order.
+TIME_KEYS = ("p", "a", "from", "to", "compare")
+
+
+def time_query(params: dict[str, str]) -> str:
+    """The time state of a request as a query, without its other parameters or empty ones."""
+    return urlencode([(k, params[k]) for k in TIME_KEYS if params.get(k)])
+
+
+def axis_labels(days: list[date], slots: int) -> list[date]:
+    """At most ``slots`` different days, evenly apart from the first to the last; of one slot the last."""
+    count = min(slots, len(days))
+    if count < 1:
+        return []
+    last = len(days) - 1
+    at = [last] if count == 1 else [int(i / (count - 1) * last + 0.5) for i in range(count)]
+    return [days[i] for i in dict.fromkeys(at)]
+
+
+def axis_bounds(low: float | None, high: float | None, share: float = 0.08) -> tuple[float, float] | None:
+    """The ends of an axis with room at both, never under zero where no value is; one apart for one value."""
+    if low is None or high is None:
+        return None
+    if low == high:
+        return low - 1, high + 1
+    room = (high - low) * share
+    return (max(0.0, low - room) if low >= 0 else low - room), high + room
+
+
+def range_label(r: Range) -> str:
+    """A window's first and last day, or the one there is."""
+    last = r.end - timedelta(days=1)
+    text = lambda d: f"{d.day} {d:%b %Y}"
+    return text(r.start) if r.start == last else f"{text(r.start)} - {text(last)}"
+
+
+def month_start(d: date) -> date:
+    return d.replace(day=1)
+
+
+def next_month(d: date) -> date:
+    return add_months(month_start(d), 1)
+
+
+def months(r: Range) -> list[Range]:
+    """A window cut at the starts of months, for rebuilds month by month."""
+    out, at = [], r.start
+    while at < r.end:
+        end = min(next_month(at), r.end)
+        out.append(Range(at, end))
+        at = end
+    return out

@@ -127,6 +127,21 @@ def test_wire_and_spool(spark, tmp_path):
     (land / "2.json").write_text(json.dumps(row) + "\n" + json.dumps(row | {"uuid": "u2", "value": 61.0}))
     spool.run(str(land), str(tmp_path / "cp")).awaitTermination(60)
     assert sorted(r.uuid for r in spool.observations.collect()) == ["u1", "u2"]
+    (land / "3.json").write_text((land / "1.json").read_text())
+    spool.run(str(land), str(tmp_path / "cp")).awaitTermination(60)
+    assert [(r.batch, r.received, r.valid, r.inserted, r.status) for r in spool.ledger.orderBy("batch").collect()] == [(0, 2, 2, 1, "normalized"), (1, 2, 2, 1, "normalized"), (2, 2, 0, 0, "duplicate")]
+    spool.drained(1)
+    assert {r.batch: r.status for r in spool.ledger.collect()} == {0: "normalized", 1: "rollups_ready", 2: "duplicate"}
+
+
+def test_minute_counters_take_late_and_repeated_events_once(spark, tmp_path):
+    from pulseframe.streaming import spool
+
+    store, event = str(tmp_path / "minutes"), "event_id long, subject_id long, type string, ts timestamp, value double"
+    batches = [[(1, at("10:00:05"), 2.0), (2, at("10:00:50"), 3.0)], [(3, at("12:00:00"), 1.0), (2, at("10:00:50"), 3.0)], [(4, at("10:00:59"), 5.0)]]
+    for n, rows in [*enumerate(batches), (2, batches[2])]:
+        spool.minute_counters(spark, store, spark.createDataFrame([(i, 1, "steps", t, v) for i, t, v in rows], event), n)
+    assert {(r.minute_ts.strftime("%H:%M"), r.value, r.n) for r in spool.minutes(spark, store).collect()} == {("10:00", 10.0, 3), ("12:00", 1.0, 1)}
 
 
 def test_export(spark, tmp_path):

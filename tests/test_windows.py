@@ -47,3 +47,13 @@ def test_plan_and_small_rules():
     assert [W.rolling_size("dashboard", n) for n in (900, 8, 40)] == [4, 2, 7]
     assert W.rolling_size("metric", 21) is None and W.rolling_size("explorer", 120) == 2
     assert [W.backoff_s(n) for n in (1, 2, 10)] == [30, 60, 1800]
+
+
+def test_time_state_axes_and_months():
+    assert W.time_query({"m": "x", "a": "2024-01-02", "p": "30d", "from": ""}) == "p=30d&a=2024-01-02"
+    days = [date(2024, 1, d) for d in range(1, 11)]
+    assert W.axis_labels(days, 4) == [days[0], days[3], days[6], days[9]]
+    assert W.axis_labels(days[:2], 5) == days[:2] and W.axis_labels(days, 1) == [days[9]] and W.axis_labels([], 3) == []
+    assert W.axis_bounds(1.0, 101.0) == (0.0, 109.0) and W.axis_bounds(-10.0, 90.0) == (-18.0, 98.0) and W.axis_bounds(5.0, 5.0) == (4.0, 6.0) and W.axis_bounds(None, None) is None
+    assert [(r.start, r.end) for r in W.months(W.Range(date(2023, 12, 20), date(2024, 2, 3)))] == [(date(2023, 12, 20), date(2024, 1, 1)), (date(2024, 1, 1), date(2024, 2, 1)), (date(2024, 2, 1), date(2024, 2, 3))]
+    assert W.range_label(W.Range(date(2024, 1, 1), date(2024, 1, 2))) == "1 Jan 2024"
