@@ -74,9 +74,10 @@ def _settled(pairs: DataFrame) -> DataFrame:
         at = F.col("dt") == F.col(f"{e}_least")
         pairs = pairs.withColumns({f"{e}_n": F.count_if(at).over(w), f"{e}_sure": F.bool_and(F.col("ready") | ~at).over(w)})
     for (e, w), other in zip(ends.items(), ("ex", "in"), strict=True):
-        met = F.bool_or(F.col("ready") & F.col(f"{other}_sure")).over(w)
+        met = F.bool_or(F.col("ready") & (F.col(f"{other}_sure") | F.col(f"{other}_done"))).over(w)
         pairs = pairs.withColumn(f"{e}_settles", F.col(f"{e}_sure") & ((F.col(f"{e}_n") > 1) | met))
-    single = (F.col("in_n") == 1) & (F.col("ex_n") == 1)
+    # An end that is settled while the other is not had several pairs at that distance.
+    single = (F.col("in_n") == 1) & (F.col("ex_n") == 1) & ~F.col("in_done") & ~F.col("ex_done")
     return pairs.withColumn("outcome", F.when(single, "matched").otherwise("ambiguous"))
 
 
