@@ -78,3 +78,9 @@ def trend_quality(delta: Column, lower_is_better: bool | None) -> Column:
 
 def freshness(last: Column, now: Column, failed: Column, pending: Column) -> Column:
     return F.when(failed > 0, "error").when(pending > 0, "syncing").when(last.isNull(), "never").when(seconds(last, now) < 26 * 3600, "fresh").otherwise("stale")
+
+
+def iso_week(day: Column) -> Column:
+    """The ISO week of a day as 2024-W05; its year is that of the week's Thursday."""
+    thursday = F.date_add(F.trunc(day, "week"), 3)
+    return F.concat(F.year(thursday).cast("string"), F.lit("-W"), F.lpad(F.weekofyear(day).cast("string"), 2, "0"))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.timefns import bin_start, local_day, local_midnight, seconds
+from ..functions.timefns import bin_start, local_day, local_midnight, percent_delta, seconds, trend_quality
 
 FAR = "9999-12-31"
 
@@ -220,3 +220,27 @@ def normalised(series: DataFrame) -> DataFrame:
     low, high = F.min("value").over(own), F.max("value").over(own)
     scaled = F.when(F.col("value").isNotNull(), F.when(high > low, (F.col("value") - low) / (high - low)).otherwise(0.5))
     return series.withColumn("scaled", scaled)
+
+
+def scoped(rows: DataFrame, grants: DataFrame, viewer: int) -> DataFrame:
+    """The rows of the subjects that a viewer may see; grants: (viewer_id, subject_id)."""
+    return rows.join(grants.where(F.col("viewer_id") == viewer).select("subject_id"), "subject_id", "left_semi")
+
+
+def within(rows: DataFrame, ts: str, from_day: str, to_day: str) -> DataFrame:
+    """Rows of UTC days, by partition where rows are kept by day."""
+    lo, hi = F.lit(from_day).cast("timestamp"), F.lit(to_day).cast("timestamp")
+    some = rows.where((F.col(ts) >= lo) & (F.col(ts) < hi))
+    return some.where((F.col("utc_day") >= from_day) & (F.col("utc_day") < to_day)) if "utc_day" in rows.columns else some
+
+
+def window_stats(series: DataFrame, aggregation: str, window: tuple[str, str], before: tuple[str, str], lower_is_better: bool | None) -> DataFrame:
+    """One row for each subject: a window's value by its aggregation with the one of the window before, the
+    change in per cent and whether it is good, the first days of the lowest and highest value, and the
+    measured days. series: (subject_id, day, value) over both windows, read once."""
+    inside = lambda w: series.where((F.col("day") >= w[0]) & (F.col("day") < w[1]))
+    now, then = reduce_window(inside(window), aggregation), reduce_window(inside(before), aggregation).select("subject_id", F.col("value").alias("before"))
+    days = inside(window).where("value is not null").groupBy("subject_id").agg(F.min(F.struct("value", "day")).alias("lo"), F.max(F.struct("value", (-F.datediff("day", F.lit("1970-01-01"))).alias("early"), "day")).alias("hi"))
+    out = now.join(then, "subject_id", "left").join(days, "subject_id", "left")
+    delta = percent_delta(F.col("value"), F.col("before"))
+    return out.select("subject_id", "value", "before", delta.alias("delta"), trend_quality(delta, lower_is_better).alias("quality"), "low", F.col("lo.day").alias("low_day"), "high", F.col("hi.day").alias("high_day"), "measured")

@@ -197,14 +197,19 @@ def dual_origin_types(t: Tables):
     return g.select("subject_id", "type", "hae", "xml", (F.col("a") - F.expr("INTERVAL 1 SECOND")).alias("from_ts"), (F.col("b") + F.expr("INTERVAL 1 SECOND")).alias("to_ts"))
 
 
-@query("heatmap", f"""q1 AS (SELECT subject_id, {WDAY} AS day, sum(duration_s) / 60.0 AS m FROM wk GROUP BY 1, 2), q2 AS (SELECT DISTINCT subject_id, {DAY} AS day FROM obs WHERE type = 'click')
-SELECT days.subject_id, {D.format('days.day')} AS day, round(coalesce(m, CASE WHEN q2.day IS NOT NULL THEN 0 END), 9) AS cell, isodow(days.day) - 1 AS weekday FROM days LEFT JOIN q1 ON q1.subject_id = days.subject_id AND q1.day = days.day LEFT JOIN q2 ON q2.subject_id = days.subject_id AND q2.day = days.day""")
+@query("heatmap", f"""q1 AS (SELECT subject_id, {WDAY} AS day, sum(duration_s) / 60.0 AS m FROM wk GROUP BY 1, 2), q2 AS (SELECT DISTINCT subject_id, {DAY} AS day FROM obs WHERE type = 'click'),
+g AS (SELECT subject_id, CAST(d AS DATE) AS day FROM subj, range(DATE '2024-01-01', DATE '2024-02-05', INTERVAL 1 DAY) r(d))
+SELECT g.subject_id, {D.format('g.day')} AS day, CASE WHEN g.day <= DATE '2024-01-30' THEN round(coalesce(m, CASE WHEN q2.day IS NOT NULL THEN 0 END), 9) END AS cell, isodow(g.day) - 1 AS weekday, g.day <= DATE '2024-01-30' AS inside
+FROM g LEFT JOIN q1 ON q1.subject_id = g.subject_id AND q1.day = g.day LEFT JOIN q2 ON q2.subject_id = g.subject_id AND q2.day = g.day""")
 def heatmap(t: Tables):
-    """Minutes of training, 0 on days with steps only, else null."""
+    """Minutes of training, 0 on days with steps only, else null; whole weeks, with empty cells around."""
     m = t.workouts.groupBy("subject_id", local_day(F.col("start_ts"), F.col("tz")).alias("day")).agg((F.sum("duration_s") / 60).alias("m"))
     steps = t.observations.where("type = 'click'").select("subject_id", local_day(F.col("start_ts"), F.col("tz")).alias("day"), F.lit(True).alias("steps")).distinct()
-    out = S.day_axis(t.subjects, FROM_DAY, TO_DAY).join(m, ["subject_id", "day"], "left").join(steps, ["subject_id", "day"], "left")
-    return out.select("subject_id", "day", F.round(F.coalesce("m", F.when(F.col("steps"), F.lit(0.0))), 9).alias("cell"), F.weekday("day").alias("weekday"))
+    first, last = F.trunc(F.lit(FROM_DAY).cast("date"), "week"), F.date_add(F.trunc(F.date_sub(F.lit(TO_DAY).cast("date"), 1), "week"), 6)
+    out = t.subjects.select("subject_id", F.explode(F.sequence(first, last)).alias("day")).join(m, ["subject_id", "day"], "left").join(steps, ["subject_id", "day"], "left")
+    inside = (F.col("day") >= FROM_DAY) & (F.col("day") < TO_DAY)
+    cell = F.round(F.coalesce("m", F.when(F.col("steps"), F.lit(0.0))), 9)
+    return out.select("subject_id", "day", F.when(inside, cell).alias("cell"), F.weekday("day").alias("weekday"), inside.alias("inside"))
 
 
 @query("metric_card", RAW + """ SELECT subject_id, round(avg(value), 9) AS headline, arg_max(value, day) FILTER (WHERE value IS NOT NULL) AS last_value, strftime(max(day) FILTER (WHERE value IS NOT NULL), '%Y-%m-%d') AS last_day, round(least(greatest(arg_max(value, day) FILTER (WHERE value IS NOT NULL) / avg(value), 0), 1), 9) AS gauge FROM q0 GROUP BY 1""")

@@ -172,3 +172,21 @@ def batch_retries(t: Tables):
     n = F.col("body_bytes") / 100
     b = t.batches.select("subject_id", "day", (n % 6 + 1).cast("int").alias("attempt"), (n % 4 == 0).alias("permanent"), F.when(n % 3 != 0, F.lit("broken")).alias("error"))
     return M.settle(b, F.lit("2024-02-01").cast("timestamp")).select("subject_id", "day", "state", "retry_at")
+
+
+@query("first_channel_wins", """o AS (SELECT * FROM obs WHERE type IN ('purchase', 'signup')), s AS (SELECT subject_id, type, greatest(min(start_ts) FILTER (WHERE origin = 'hae'), min(start_ts) FILTER (WHERE origin = 'health_xml')) - INTERVAL 1 SECOND AS lo,
+ least(max(start_ts) FILTER (WHERE origin = 'hae'), max(start_ts) FILTER (WHERE origin = 'health_xml')) + INTERVAL 1 SECOND AS hi, CASE WHEN subject_id % 2 = 0 THEN 'health_xml' ELSE 'hae' END AS later FROM o GROUP BY 1, 2 HAVING count(DISTINCT origin) = 2)
+SELECT o.subject_id, o.type, o.origin, count(*) AS rows_replaced FROM o JOIN s ON s.subject_id = o.subject_id AND s.type = o.type AND s.later = o.origin WHERE start_ts BETWEEN lo AND hi GROUP BY 1, 2, 3""")
+def first_channel_wins(t: Tables):
+    """Rows of the later channel that a repair replaces."""
+    first = F.when(F.col("subject_id") % 2 == 0, "hae").otherwise("health_xml")
+    since = F.when(F.col("origin") == first, F.lit("2024-02-01")).otherwise("2024-02-02").cast("timestamp")
+    return M.first_channel_wins(t.observations.where("type in ('purchase', 'signup')").withColumn("ingested_at", since))
+
+
+@query("taxonomy_seed", "SELECT * FROM (VALUES ('bpm', 'count/min'), ('steps', 'count'), ('old', 'x'), ('m', 'metre')) v(code, name)")
+def taxonomy_seed(t: Tables):
+    """Rows of the contract replace those there are, others stay, and a second run changes nothing."""
+    known = t.spark.createDataFrame([("old", "x"), ("bpm", "wrong")], "code string, name string")
+    contract = t.spark.createDataFrame([("bpm", "count/min"), ("steps", "count"), ("m", "metre")], "code string, name string")
+    return M.seed_taxonomy(M.seed_taxonomy(known, contract, ["code"]), contract, ["code"])

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.timefns import local_day, percent_delta
+from ..functions.timefns import iso_week, local_day, local_midnight, percent_delta
 from ..operators import sessions as X
 from ..operators import series as S
 from ..sources.canonical import CUMULATIVE, FROM_DAY, METRICS, TO_DAY, Tables
 from .registry import query
-from .windows import Range, parse_day, source_plan
+from .windows import Range, comparison, granularity, months, parse_day, source_plan
 
 TODAY = "2024-01-30"
 WINDOW = Range(parse_day(FROM_DAY), parse_day(TO_DAY))
@@ -290,3 +290,82 @@ def dirty_hour_runs(t: Tables):
     """Changed hours as minimal ranges; categories have no rollup."""
     h = t.observations.where("type <> 'error'").select("subject_id", "type", F.date_trunc("hour", "start_ts").alias("hour_utc"))
     return S.hour_runs(h, ["subject_id", "type"])
+
+
+WIDTHS = {"minute": 60, "hour": 3600}
+
+
+def explore_chart(t: Tables, type_: str, window: Range, today: str):
+    """(subject_id, bucket, value, n): a metric at the grain that suits the window, minutes up to two days, hours
+    up to three weeks, else local days, on a dense axis; a bucket is named by the instant it begins at."""
+    regime, aggregation = METRICS[type_]
+    grain, a, b = granularity(window), window.start.isoformat(), window.end.isoformat()
+    if grain == "day":
+        s = daily_series(t, type_, window, today).join(t.subjects, "subject_id")
+        return s.select("subject_id", local_midnight(F.col("day"), F.col("tz")).alias("bucket"), "value", "n")
+    if regime == "cumulative":
+        rows = S.cumulative_parts(t.observations, t.minutes, t.cutovers, t.priorities, t.sources, [type_], a, b, grain).join(t.subjects, "subject_id")
+        return S.bucket_series(rows, t.subjects, a, b, WIDTHS[grain], "ts", F.sum("v").cast("double"), [F.count("*").alias("n")])
+    rows = t.observations.where(F.col("type") == type_)
+    return S.bucket_series(rows, t.subjects, a, b, WIDTHS[grain], "start_ts", S.value_of(aggregation), [F.count("value").alias("n")])
+
+
+def days(a: str, b: str) -> Range:
+    return Range(parse_day(a), parse_day(b))
+
+
+@query("explore_hours", parts_sql("hour").replace(IN, "BETWEEN DATE '2024-01-12' AND DATE '2024-01-18'") + ",\n" + bucket_sql("2024-01-12", "2024-01-19", 3600, f"""qb AS (SELECT q3.subject_id, {bin_sql('ts', '2024-01-12', 3600)} AS bucket, CAST(sum(v) AS DOUBLE) AS value, count(*) AS n FROM q3 JOIN subj USING (subject_id) WHERE type = 'view' GROUP BY 1, 2)"""))
+def explore_hours(t: Tables):
+    """L: a week of a cumulative metric, by hours."""
+    return explore_chart(t, "view", days("2024-01-12", "2024-01-19"), TODAY)
+
+
+@query("explore_minutes", bucket_sql("2024-01-10", "2024-01-12", 60, f"""qb AS (SELECT subject_id, {bin_sql('start_ts', '2024-01-10', 60)} AS bucket, CAST(arg_max(value, (start_ts, event_id)) AS DOUBLE) AS value, count(value) AS n
+ FROM obs WHERE type = 'signup' AND {DAY} BETWEEN DATE '2024-01-10' AND DATE '2024-01-11' GROUP BY 1, 2)"""))
+def explore_minutes(t: Tables):
+    """L: two days of a state, by minutes."""
+    return explore_chart(t, "signup", days("2024-01-10", "2024-01-12"), TODAY)
+
+
+PAIR = days("2024-01-16", TO_DAY)
+
+
+@query("metric_window_stats", RAW + """, n AS (SELECT * FROM q0 WHERE day >= DATE '2024-01-16'), b AS (SELECT subject_id, avg(value) AS before FROM q0 WHERE day < DATE '2024-01-16' GROUP BY 1),
+s AS (SELECT n.subject_id, avg(value) AS value, any_value(before) AS before, min(value) AS low, arg_min(n.day, (value, n.day)) FILTER (WHERE value IS NOT NULL) AS ld, max(value) AS high, arg_max(n.day, (value, -epoch(n.day))) FILTER (WHERE value IS NOT NULL) AS hd, count(value) AS measured FROM n JOIN b USING (subject_id) GROUP BY 1),
+d AS (SELECT *, (value - before) / nullif(abs(before), 0) * 100 AS delta FROM s)
+SELECT subject_id, round(value, 9) AS value, round(before, 9) AS before, round(delta, 6) AS delta, CASE WHEN delta IS NULL THEN 'off' WHEN abs(delta) < 0.5 THEN 'flat' WHEN delta < 0 THEN 'good' ELSE 'bad' END AS quality, low, strftime(ld, '%Y-%m-%d') AS low_day, high, strftime(hd, '%Y-%m-%d') AS high_day, measured FROM d""")
+def metric_window_stats(t: Tables):
+    """L, D28-D30, H31: the figures over a chart, from one read of both windows."""
+    before = comparison(PAIR, PAIR.end)
+    both = daily_series(t, "purchase", Range(before.start, PAIR.end), TODAY)
+    text = lambda r: (r.start.isoformat(), r.end.isoformat())
+    out = S.window_stats(both, "average", text(PAIR), text(before), True)
+    return out.withColumns({"value": F.round("value", 9), "before": F.round("before", 9), "delta": F.round("delta", 6)})
+
+
+@query("rollup_by_month", ROLLUP_SQL + f"""
+SELECT subject_id, type, {TS.format('hour_utc')}, n, CAST(sum AS DOUBLE) AS sum, CAST(min AS DOUBLE) AS min, CAST(max AS DOUBLE) AS max FROM q4""")
+def rollup_by_month(t: Tables):
+    """The whole rollup rebuilt month by month."""
+    out = None
+    for r in months(LONG):
+        a, b = r.start.isoformat(), r.end.isoformat()
+        part = S.build_rollup(S.within(t.observations, "start_ts", a, b), S.within(t.minutes, "minute_ts", a, b), t.cutovers, t.priorities, t.sources, list(CUMULATIVE), ["purchase", "signup"])
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("granted_daily", "g AS (SELECT subject_id FROM subj WHERE subject_id % 3 = 1), " + discrete_sql("purchase", "CAST(sum(value) AS DOUBLE) / count(value)") + " WHERE subject_id IN (SELECT subject_id FROM g)")
+def granted_daily(t: Tables):
+    """A viewer sees the subjects that were granted."""
+    grants = t.subjects.select((F.col("subject_id") % 3).alias("viewer_id"), "subject_id")
+    rows, axis_ = S.scoped(t.observations, grants, 1), S.scoped(axis(t), grants, 1)
+    return S.daily_discrete(rows, axis_, "purchase", "average", FROM_DAY, TO_DAY)
+
+
+@query("iso_weeks", f"SELECT DISTINCT strftime({DAY}, '%Y-%m-%d') AS day, strftime({DAY}, '%G-W%V') AS week FROM obs UNION SELECT '2024-12-30', '2025-W01' UNION SELECT '2023-01-01', '2022-W52'")
+def iso_weeks(t: Tables):
+    """H13."""
+    day = t.observations.select(local_day(F.col("start_ts"), F.col("tz")).alias("day")).distinct()
+    edge = t.spark.createDataFrame([("2024-12-30",), ("2023-01-01",)], "day string").select(F.col("day").cast("date").alias("day"))
+    return day.unionByName(edge).select("day", iso_week(F.col("day")).alias("week"))

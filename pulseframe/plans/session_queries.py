@@ -295,3 +295,10 @@ def sport_tiles(t: Tables):
     """Five figures of two adjacent windows."""
     tiles = X.sport_tiles(with_hr(t), t.subjects, ("2024-01-16", "2024-01-31"), ("2024-01-01", "2024-01-16"))
     return tiles.withColumns({"value": F.round("value", 6), "delta": F.round("delta", 6)})
+
+
+@query("sessions_with_points", "SELECT workout_id, EXISTS (SELECT 1 FROM pts WHERE pts.workout_id = wk.workout_id AND minute >= 5) AS has_points FROM wk")
+def sessions_with_points(t: Tables):
+    """Whether a session has rows of its own, without counting them."""
+    some = t.points.where("minute >= 5").select("workout_id").distinct().withColumn("has_points", F.lit(True))
+    return t.workouts.select("workout_id").join(some, "workout_id", "left").na.fill(False)
