@@ -156,3 +156,9 @@ def test_export(spark, tmp_path):
     assert [r.value for r in rows.collect()] == [60.0]
     w = workouts.first()
     assert (w.activity, w.duration_s, w.distance_m, w.indoor, round(w.elevation_up_m, 6)) == ("Running", 1800.0, 5000.0, False, 17.1)
+    types = spark.createDataFrame([("HR", "count/s", "quantity")], "type string, unit string, kind string")
+    assert [(r.value, r.skip_reason) for r in wire.read_export(spark, str(tmp_path / "export.xml"), types)[0].collect()] == [(None, "unit_mismatch")]
+    assert [r.skip_reason for r in wire.read_export(spark, str(tmp_path / "export.xml"), types.limit(0))[0].collect()] == ["unknown_type"]
+    for _ in range(2):
+        wire.write_rows(rows.withColumn("day", F.to_date("start_ts")), str(tmp_path / "sink"), "type", "day")
+    assert spark.read.parquet(str(tmp_path / "sink")).where("type = 'HR' and day = '2024-01-10'").count() == 2
