@@ -26,6 +26,8 @@ SURE = 64
 #: Columns of 64 parities each.
 ODD = tuple(f"odd{k}" for k in range(8))
 SKETCH = ("digest", "fp", "n", *ODD)
+#: Columns of the hashes before a bucket's in a set's own order, 0 for none.
+BEFORE = ("p1", "p2", "p3", "p4")
 
 
 def _masks(distance: int) -> list[int]:
@@ -221,18 +223,23 @@ def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _met(batches, distance: int, least: float):
-    """Pairs (a, b) of digests, a > b, from groups of sorted rows (k, i, j, class, digest, fp, n, odd…): those of
-    unlike classes that may be similar."""
+    """Pairs (a, b) of digests, a > b, from groups of sorted rows (k, i, j, class, digest, fp, n, odd…, p…):
+    those of unlike classes that may be similar. A pair that shares one of the hashes before k met in that
+    bucket already, so it is left to it; at the first hash that two sets share they share none before."""
     held: list[np.ndarray] = []
 
     def pairs(rows: np.ndarray):
-        mine, digest, fp, n, odd = rows[:, 3], rows[:, 4], rows[:, 5].view(np.uint64), rows[:, 6], rows[:, 7:].view(np.uint64)
+        mine, digest, fp, n, odd = rows[:, 3], rows[:, 4], rows[:, 5].view(np.uint64), rows[:, 6], rows[:, 7:-len(BEFORE)].view(np.uint64)
         near = (mine[:, None] != mine[None, :]) & (digest[:, None] > digest[None, :])
         near &= np.minimum(n[:, None], n[None, :]) >= least * np.maximum(n[:, None], n[None, :]) - 1e-9
         unlike = sum(np.bitwise_count(odd[:, None, k] ^ odd[None, :, k]).astype(np.int16) for k in range(odd.shape[1]))
         near &= unlike <= (1 - least) / (1 + least) * (n[:, None] + n[None, :]) + 1e-9
         near &= (np.bitwise_count(fp[:, None] ^ fp[None, :]) <= distance) | (np.minimum(n[:, None], n[None, :]) < SURE)
         x, y = np.nonzero(near)
+        if len(x):
+            a, b = rows[x, -len(BEFORE) :], rows[y, -len(BEFORE) :]
+            first = ~((a[:, :, None] == b[:, None, :]) & (a[:, :, None] != 0)).any(axis=(1, 2))
+            x, y = x[first], y[first]
         return digest[x], digest[y]
 
     def out(found):
@@ -301,7 +308,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ids = reps.select("digest", F.col("at.doc_id").alias("rep"))
     same = rows.select("digest", "doc_id").join(ids, "digest").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     one = reps.select("digest", F.col("at.doc_id").alias("doc_id"), F.col("at.mark").alias("mark"))
-    posts = rows.join(one, ["digest", "doc_id", "mark"], "left_semi").select("digest", F.explode("first").alias("k"))
+    posts = rows.join(one, ["digest", "doc_id", "mark"], "left_semi").select("digest", "first", F.posexplode("first").alias("at", "k"))
+    posts = posts.select("digest", "k", *[F.coalesce(F.get("first", F.col("at") - d), F.lit(0)).alias(c) for d, c in enumerate(BEFORE, 1)])
     least_of = posts.groupBy("k").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo <> hi").select("k", "lo")
     shared = written(posts.join(least_of, "k"), "shingles-shared")
     size = lambda c: reps.select(F.col("digest").alias(c), *[F.col(x).alias(f"{c}_{x}") for x in SKETCH[1:]])
@@ -316,7 +324,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = written(same.unionByName(edges(_verified(stars, reps, texts, width, least))), "similar-edges")
     classes = components(found)
     linked = ids.join(classes, ids["rep"] == classes["node"], "left").select("digest", F.coalesce("component", "rep").alias("c"))
-    rest = shared.select("digest", "k").join(linked, "digest")
+    rest = shared.select("digest", "k", *BEFORE).join(linked, "digest")
     mixed = rest.groupBy("k").agg(F.count("*").alias("m"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("k", F.ceil(F.col("m") / chunk).alias("g"))
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     met = (
@@ -324,7 +332,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         .join(reps.select(*SKETCH), "digest")
         .withColumn("mine", F.pmod(F.xxhash64("digest"), F.col("g")))
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1)))
-        .select("k", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "c", *SKETCH)
+        .select("k", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "c", *SKETCH, *BEFORE)
         .repartition(parts, "k", "i", "j")
         .sortWithinPartitions("k", "i", "j")
     )
