@@ -2,49 +2,19 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Masters that run in the driver's own process.
-LOCAL = re.compile(r"local(\[.*\])?")
+from ..store import kept_table, scratch_path, shared_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where that is unset, a
-    folder of this session is set on a single machine, as in tests; on a cluster it is an error, since
-    other machines would not see it."""
-    own = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if own:
-        return own
-    if spark.sparkContext.getCheckpointDir() is None:
-        if not LOCAL.fullmatch(spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
-    return spark.sparkContext.getCheckpointDir()
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; it goes when the session's JVM ends."""
-    path = f"{shared_dir(spark)}/pulseframe-{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return path
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage and survives lost executors."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return kept_table(df, name)
 
 
 def held(df: DataFrame) -> DataFrame:
@@ -56,3 +26,6 @@ def held(df: DataFrame) -> DataFrame:
 def fold(doc_id: str = "doc_id"):
     """crc32 of the id as text, mod 3; rows at 1 are held out from every fit."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3
+
+
+__all__ = ["fold", "held", "scratch_path", "shared_dir", "table", "written"]
