@@ -14,9 +14,9 @@ MARGINS = ("source", "lang", "topic")
 #: all alike), and the share of all tokens to keep.
 POWERS = {"source": 0.7, "lang": 0.7, "topic": 0.7}
 RATE = 0.6
-#: Sweeps go on until no margin's value is off its target by more than this share of it, or until the
-#: largest such error stops falling, as where targets contradict each other.
-TOLERANCE = 1e-12
+#: Sweeps go on until no margin's value is off its target by more than this share of it, or until a sweep
+#: takes less than a twentieth off the largest such error, as where targets contradict each other.
+TOLERANCE, SLOW = 1e-12, 0.95
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -62,7 +62,7 @@ def raked(cells: DataFrame, powers: dict[str, float] | None = None, targets: dic
         whole = sums.agg(F.sum("t")).first()[0] or 1.0
         out = out.join(sums.select(m, (F.col("t") / F.lit(float(whole))).alias(f"t_{m}")), m)
     out, error = written(out, "raked"), float("inf")
-    while (now := residual(out)) > tolerance and now < error:
+    while (now := residual(out)) > tolerance and now < SLOW * error:
         error = now
         for m in MARGINS:
             sums = out.groupBy(m).agg(F.sum("w").alias("s"))
