@@ -45,7 +45,8 @@ def raked(cells: DataFrame, powers: dict[str, float] | None = None, targets: dic
     follow ``powers``; values that an explicit margin doesn't name get no weight.
 
     A sweep scales each margin in turn by its target over its sum: a partial aggregate joined back, so that
-    a value with most of the cells is no group of one task. Each sweep is written in the shared folder."""
+    a value with most of the cells is no group of one task. Each sweep is written in the shared folder, with
+    the errors that it met."""
     powers = POWERS | (powers or {})
     some = cells.where("n > 0")
     total = some.agg(F.sum("n")).first()[0]
@@ -61,15 +62,19 @@ def raked(cells: DataFrame, powers: dict[str, float] | None = None, targets: dic
         sums = sums.select(m, share.alias("t"))
         whole = sums.agg(F.sum("t")).first()[0] or 1.0
         out = out.join(sums.select(m, (F.col("t") / F.lit(float(whole))).alias(f"t_{m}")), m)
-    out, error = written(out, "raked"), float("inf")
-    while (now := residual(out)) > tolerance and now < SLOW * error:
-        error = now
+    out, error = written(out.withColumn("off", F.lit(0.0)), "raked"), float("inf")
+    while True:
+        out = out.withColumn("off", F.lit(0.0))
         for m in MARGINS:
             sums = out.groupBy(m).agg(F.sum("w").alias("s"))
+            off = F.coalesce(F.abs(F.col("s") / F.nullif(F.col(f"t_{m}"), F.lit(0.0)) - 1), F.lit(0.0))
             scaled = F.coalesce(F.col("w") * F.col(f"t_{m}") / F.nullif("s", F.lit(0.0)), F.lit(0.0))
-            out = out.join(sums, m).withColumn("w", scaled).drop("s")
+            out = out.join(sums, m).withColumns({"off": F.greatest("off", off), "w": scaled}).drop("s")
         out = written(out, "raked")
-    return out
+        now = out.agg(F.max("off")).first()[0] or 0.0
+        if now <= tolerance or now >= SLOW * error:
+            return out.drop("off")
+        error = now
 
 
 def residual(cells: DataFrame) -> float:
