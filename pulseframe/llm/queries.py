@@ -8,7 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embedding_dedup, line_dedup, mixing, pii, quality, simhash, token_count, toxicity, warc
+from . import collocations, conversations, decontaminate, embedding_dedup, line_dedup, mixing, pii, quality, sharding, simhash, token_count, toxicity, warc
 from .common import table
 
 #: Where the public tokenizers' files are; a parameter of the operator.
@@ -91,10 +91,54 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = """
+WITH p AS (SELECT coalesce(lang, 'und') AS lang,
+                  unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS w FROM p),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM w, range(1, 4) r(k)),
+c AS (SELECT lang, k, phrase, count(*)::HUGEINT AS f FROM g GROUP BY ALL),
+t AS (SELECT lang, sum(f) AS n FROM c WHERE k = 1 GROUP BY lang),
+cand AS (SELECT lang, k AS m, phrase, f AS a, string_split(phrase, ' ') AS w FROM c WHERE k >= 2 AND f >= 10),
+cut AS (SELECT cand.*, k, array_to_string(w[1:k], ' ') AS x, array_to_string(w[k + 1:], ' ') AS y FROM cand, range(1, 3) r(k) WHERE k < m),
+s AS (SELECT cut.lang, m, cut.phrase, a, cut.k, l.f AS l, r.f AS r, (1000000 * a * a) // (l.f * r.f) AS score FROM cut
+      JOIN c l ON l.lang = cut.lang AND l.phrase = x JOIN c r ON r.lang = cut.lang AND r.phrase = y),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+o AS (SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM cand z WHERE z.lang = b.lang AND z.m = 3 AND b.m = 2 AND 100 * z.a >= 50 * b.a
+      AND b.phrase IN (array_to_string(z.w[1:2], ' '), array_to_string(z.w[2:3], ' '))))
+SELECT o.lang, row_number() OVER (PARTITION BY o.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM o JOIN t ON o.lang = t.lang QUALIFY rank <= 2000
+"""
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.digest(table(spark, sf_dir, "conversations"))
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.digest(table(spark, sf_dir, "documents"))
+
+
+#: The checksum is a fold over a text's bytes; its table follows from the polynomial.
+OP13_SQL = """
+WITH t AS (SELECT list_transform(range(256), lambda n: list_reduce([n] || range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t),
+h AS (SELECT doc_id, strlen(coalesce(text, '')) + 16 AS size, hex(encode(coalesce(text, ''))) AS h FROM documents),
+b AS (SELECT doc_id, size, list_transform(range(1, size - 15), lambda i: ('0x' || h[2 * i - 1:2 * i])::BIGINT) AS b FROM h),
+c AS (SELECT doc_id, size, xor(4294967295, list_reduce([4294967295] || b, lambda c, x: xor(c >> 8, t[xor(c & 255, x) + 1]))) AS crc FROM b, t),
+o AS (SELECT *, sum(size) OVER (ORDER BY doc_id, size, crc) - size AS before, sum(size) OVER () AS total FROM c),
+s AS (SELECT *, ((2 * before + size) * 40) // (2 * total) AS shard FROM o)
+SELECT doc_id, size, crc AS text_crc32, 'bytes' AS law, shard::INTEGER AS shard, row_number() OVER (PARTITION BY shard ORDER BY before) - 1 AS slot, NULL::INTEGER AS grown_shard FROM s
+"""
+
+
 def queries() -> dict:
-    found = (op1_line_dedup, op2_warc, op3_embedding_near_dedup, op4_toxicity, op5_decontaminate, op6_token_counts, op7_simhash_near_dedup, op8_personal_data, op9_mixing, op10_quality)
+    found = (op1_line_dedup, op2_warc, op3_embedding_near_dedup, op4_toxicity, op5_decontaminate, op6_token_counts, op7_simhash_near_dedup, op8_personal_data, op9_mixing, op10_quality,
+             op11_collocations, op12_conversation_repair, op13_sharding)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1_SQL, "op2_warc": OP2_SQL, "op9_mixing": mixing.oracle_sql()}
+    return {"op1_line_dedup": OP1_SQL, "op2_warc": OP2_SQL, "op9_mixing": mixing.oracle_sql(), "op11_collocations": OP11_SQL, "op13_sharding": OP13_SQL}
