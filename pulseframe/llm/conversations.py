@@ -114,14 +114,15 @@ class Conversation:
     """Repairs a conversation whose rows come in order, block by block: at a block's end there is one way for
     each state, with the hash of what it keeps, so texts are held for one block only."""
 
-    def __init__(self):
+    def __init__(self, block_rows: int = BLOCK_ROWS):
+        self.block_rows = block_rows
         self.ways: list[tuple[int, Path]] = [(0, Path())]
         self.rows: list[tuple[str, str]] = []
         self.codes: list[tuple[str, int]] = []
         self.signs = 0
 
     def add(self, role: str, text: str, fault: int) -> None:
-        if len(self.rows) >= BLOCK_ROWS or self.signs >= BLOCK_SIGNS:
+        if len(self.rows) >= self.block_rows or self.signs >= BLOCK_SIGNS:
             self._block(False)
         self.rows.append((role, text))
         self.codes.append((role[:1], fault))

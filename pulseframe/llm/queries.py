@@ -126,7 +126,7 @@ def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP13_SQL = """
 WITH t AS (SELECT list_transform(range(256), lambda n: list_reduce([n] || range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t),
 h AS (SELECT doc_id, strlen(coalesce(text, '')) + 16 AS size, hex(encode(coalesce(text, ''))) AS h FROM documents),
-b AS (SELECT doc_id, size, list_transform(range(1, size - 15), lambda i: ('0x' || h[2 * i - 1:2 * i])::BIGINT) AS b FROM h),
+b AS (SELECT doc_id, size, list_transform(regexp_extract_all(h, '..'), lambda x: ('0x' || x)::BIGINT) AS b FROM h),
 c AS (SELECT doc_id, size, xor(4294967295, list_reduce([4294967295] || b, lambda c, x: xor(c >> 8, t[xor(c & 255, x) + 1]))) AS crc FROM b, t),
 o AS (SELECT *, sum(size) OVER (ORDER BY doc_id, size, crc) - size AS before, sum(size) OVER () AS total FROM c),
 s AS (SELECT *, ((2 * before + size) * 40) // (2 * total) AS shard FROM o)
