@@ -27,7 +27,8 @@ ROLES = {"u": "user", "a": "assistant"}
 
 
 def _step(state: int, initial: str) -> int | None:
-    return STEPS.get((state, initial))
+    """An empty role has no initial, and so leads nowhere else."""
+    return STEPS.get((state, initial)) if initial else state
 
 
 @dataclass
@@ -250,8 +251,10 @@ def repaired_rows(convs: DataFrame, conv_col: str = "conv_id", turn_col: str = "
     rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("conv").orderBy(F.col("turn").asc_nulls_first(), "role", "text")))
     both = letters.join(rows.drop("turn"), letters["conv"].eqNullSafe(rows["conv"]) & (letters["place"] == rows["place"]), "left").drop(rows["conv"]).drop("place")
     both = both.where("edit <> 'D'").withColumn("position", F.row_number().over(own).cast("long") - 1)
-    system = F.max((F.col("edit") == "K") & (F.col("position") == 0) & F.startswith("role", F.lit("s"))).over(Window.partitionBy("conv"))
-    turn = F.col("position") - F.coalesce(system, F.lit(False)).cast("int")
+    counted = (F.col("edit") != "K") | (F.col("role") != "")
+    both = both.withColumn("turn", F.count_if(counted).over(own) - 1)
+    system = F.bool_or(counted & (F.col("edit") == "K") & (F.col("turn") == 0) & F.startswith("role", F.lit("s"))).over(Window.partitionBy("conv"))
+    turn = F.col("turn") - system.cast("int")
     role = F.when(F.col("edit") == "K", F.col("role")).when(turn % 2 == 0, "user").otherwise("assistant")
     return both.select(F.col("conv").cast(convs.schema[conv_col].dataType).alias(conv_col), "position", role.alias("role"), F.coalesce("text", F.lit("")).alias("text"), "edit")
 

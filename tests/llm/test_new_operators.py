@@ -68,7 +68,7 @@ def test_suffix_array_orders_suffixes():
     assert [k for k in keys if len(k) == 6] == sorted(k for k in keys if len(k) == 6)
     some = order[ids[order] > 0]
     lcp = collocations.common_prefixes(ids, some, 4)
-    for a, b, n in zip(some, some[1:], lcp[1:], strict=True):
+    for (a, b), n in zip(itertools.pairwise(some), lcp[1:], strict=True):
         same = itertools.takewhile(lambda xy: xy[0] == xy[1] and xy[0] > 0, zip(ids[a : a + 4], ids[b : b + 4], strict=True))
         assert n == len(list(same))
 
@@ -182,7 +182,7 @@ def test_a_long_conversation_takes_linear_work():
 
 
 def test_repaired_rows_have_the_hash(spark):
-    rows = [(c, k, r, t) for k, (c, r, t) in enumerate([(1, "system", "S."), (1, "assistant", "A."), (1, "user", "B."), (1, "user", ""), (1, "user", "C."), (2, "user", "Q?"), (2, "assistant", "no end"), (None, "tool", "x."), (None, "assistant", "y."), (3, "user", " ")])]
+    rows = [(c, k, r, t) for k, (c, r, t) in enumerate([(1, "system", "S."), (1, "assistant", "A."), (1, "user", "B."), (1, "user", ""), (1, "user", "C."), (2, "user", "Q?"), (2, "assistant", "no end"), (None, "tool", "x."), (None, "assistant", "y."), (3, "user", " "), (4, "", "e."), (4, "system", "S."), (4, "", "f."), (4, "tool", "u."), (4, "assistant", "a.")])]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     want = {r.conv_id: r.repaired_sha256 for r in conversations.repaired(df).collect()}
     by = defaultdict(list)
