@@ -20,7 +20,7 @@ from .common import written
 #: swallows it, and phrases of a language in the report.
 WIDEST, LEAST, SWALLOWED, TOP = 3, 10, 50, 2000
 #: Words whose suffix array a task holds at a time.
-SHARD_WORDS = 2_000_000
+SHARD_WORDS = 1_500_000
 #: Bits of the filter of frequent pairs (2 to this power, 16 MB). The fuller it is the more phrases go to the
 #: shuffle; it changes no count.
 FILTER = 27
@@ -56,7 +56,9 @@ class Shard:
 
     def array(self, ahead: int) -> np.ndarray:
         """The ids, with 0 behind for those that look ahead."""
-        return np.concatenate([*self.parts, np.zeros(ahead, np.int64)])
+        whole = np.concatenate([*self.parts, np.zeros(ahead, np.int64)])
+        self.parts = []
+        return whole
 
 
 def suffix_array(ids: np.ndarray, depth: int) -> np.ndarray:
