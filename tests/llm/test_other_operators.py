@@ -316,6 +316,10 @@ def test_mixing(spark, docs):
     odd = spark.createDataFrame([("a", "en", "x", 5), ("b", "de", "x", 5)], "source string, lang string, topic string, n long")
     stuck = mixing.raked(odd, targets={"source": {"a": 1, "b": 1}, "lang": {"en": 3, "de": 1}})
     assert stuck.count() == 2 and mixing.residual(stuck) > 0.1
+    warned = spark.createDataFrame([(1, "w " * 5, "a", "en"), (2, "w " * 5, "b", "de")], "doc_id long, text string, source string, lang string")
+    with pytest.warns(UserWarning, match="contradict"):
+        off = mixing.mixed(warned, rate=1.0, targets={"source": {"a": 1, "b": 1}, "lang": {"en": 3, "de": 1}}).first().residual
+    assert off > 0.1
     cells = spark.createDataFrame([(s, l, t, n) for s, l, t, n in (("a", "en", "x", 900), ("a", "de", "x", 50), ("b", "en", "x", 30), ("b", "de", "y", 20), ("c", "en", "y", 0))], "source string, lang string, topic string, n long")
     raked = mixing.raked(cells, targets={"source": {"a": 1, "b": 1}}, powers={"lang": 1.0, "topic": 1.0})
     assert mixing.residual(raked) <= 1e-9
@@ -323,3 +327,36 @@ def test_mixing(spark, docs):
     assert raked.groupby("source")["w"].sum().to_dict() == pytest.approx({"a": 0.5, "b": 0.5}, abs=1e-9)
     probs = mixing.calibrated(spark.createDataFrame(raked), 0.5).toPandas().merge(raked)
     assert probs["prob"].max() <= 1 and (probs["prob"] * probs["n"]).sum() == pytest.approx(500)
+
+
+def plain_raking(cells, targets, sweeps=20_000):
+    """cells: (margin values…, n); targets: shares of each margin's values."""
+    w = np.array([c[-1] for c in cells], float) / sum(c[-1] for c in cells)
+    at = [np.unique([c[m] for c in cells], return_inverse=True) for m in range(3)]
+    share = [np.array([t[v] for v in names]) for (names, _), t in zip(at, targets, strict=True)]
+    for _ in range(sweeps):
+        for (names, ids), t in zip(at, share, strict=True):
+            w = w * (t / np.bincount(ids, w, len(names)))[ids]
+    return w
+
+
+def test_raking_reaches_feasible_targets(spark):
+    rows = [("A", "x", "p", 100_000), ("B", "y", "p", 100_000), ("A", "y", "p", 10)]
+    raked = mixing.raked(spark.createDataFrame(rows, "source string, lang string, topic string, n long"), targets={"source": {"A": 6, "B": 4}, "lang": {"x": 1, "y": 1}})
+    assert mixing.residual(raked) <= 1e-9
+    assert {(r.source, r.lang): round(r.w, 8) for r in raked.collect()} == {("A", "x"): 0.5, ("A", "y"): 0.1, ("B", "y"): 0.4}
+
+
+def test_raking_of_sparse_cells_equals_a_plain_version(spark):
+    rng = random.Random(8)
+    rows = sorted({(f"s{k}", rng.choice("abcd"), rng.choice("pqr")): rng.randrange(1, 10**6) for k in range(150) for _ in range(rng.choice((1, 2)))}.items())
+    rows = [(*k, n) for k, n in rows]
+    raked = mixing.raked(spark.createDataFrame(rows, "source string, lang string, topic string, n long"))
+    assert mixing.residual(raked) <= 1e-9
+    total, targets = sum(r[3] for r in rows), []
+    for m in range(3):
+        sums = {v: (sum(r[3] for r in rows if r[m] == v) / total) ** 0.7 for v in {r[m] for r in rows}}
+        targets.append({v: s / sum(sums.values()) for v, s in sums.items()})
+    want = plain_raking(rows, targets)
+    got = {(r.source, r.lang, r.topic): r.w for r in raked.collect()}
+    assert [got[r[:3]] for r in rows] == pytest.approx(want.tolist(), rel=1e-6)
