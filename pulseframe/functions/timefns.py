@@ -35,9 +35,9 @@ def bin_start(ts: Column, origin: Column, width_s: int) -> Column:
     return F.timestamp_micros(F.unix_micros(origin) + n * F.lit(width_s * 1_000_000))
 
 
-def quantise(value: Column, scale: float) -> Column:
+def quantise(value: Column, scale: float | Column) -> Column:
     """Halves go up, also below zero: -2.5 becomes -2."""
-    return F.floor(value * F.lit(scale) + F.lit(0.5))
+    return F.floor(value * (scale if isinstance(scale, Column) else F.lit(scale)) + F.lit(0.5))
 
 
 def percent_delta(now: Column, before: Column) -> Column:

@@ -45,15 +45,21 @@ def push_batches(t: Tables):
         F.concat(series, F.slice(series, 1, 1)).alias("walkingAndRunningDistance"), route.alias("route"),
     )
     sessions = w.groupBy("subject_id").agg(F.collect_list(session).alias("workouts"))
-    e, value = t.events.where("type in ('click', 'purchase')"), F.col("v").cast("double")
-    heart = F.col("type") == "purchase"
-    averaged = heart & (F.col("k") % 5 == 0)
+    e, value = t.events.where("type in ('click', 'purchase', 'signup')"), F.col("v").cast("double")
+    steps, heart, pressure = (F.col("type") == x for x in ("click", "purchase", "signup"))
+    digit = F.col("k") % 10
+    # Counts beside which a mean stands, heart rates that are means or lack their least value, and half a pressure.
+    least = F.when(heart & (digit != 3), F.when(F.col("k") % 5 == 0, value - 1).otherwise(value))
     point = F.struct(
-        F.when(F.col("k") % 10 == 7, F.lit("never")).otherwise(wired(F.col("ts"))).alias("date"), F.when(~heart, value).alias("qty"), F.when(heart, F.when(averaged, value - 1).otherwise(value)).alias("Min"), F.when(heart, value).alias("Avg"),
-        F.when(heart, value).alias("Max"), F.lit(" W ").alias("source"),
+        F.when(digit == 7, F.lit("never")).otherwise(wired(F.col("ts"))).alias("date"), F.when(~pressure, value).alias("qty"), least.alias("Min"),
+        F.when(heart, value).when(steps & (digit == 4), value + 5).alias("Avg"), F.when(heart, value).alias("Max"),
+        F.when(pressure, value).alias("systolic"), F.when(pressure & (digit != 5), value - 1).alias("diastolic"), F.lit(" W ").alias("source"),
     )
     metrics = e.groupBy("subject_id", "type").agg(F.collect_list(point).alias("data"))
-    metrics = metrics.select("subject_id", F.struct(F.when(F.col("type") == "click", "step_count").otherwise("heart_rate").alias("name"), F.when(F.col("type") == "click", "steps").otherwise("bpm").alias("units"), "data").alias("m"))
+    metrics = metrics.select("subject_id", F.struct(
+        F.when(steps, "step_count").when(heart, "heart_rate").otherwise("blood_pressure").alias("name"),
+        F.when(steps, "steps").when(heart, "bpm").otherwise("mmHg").alias("units"), "data",
+    ).alias("m"))
     metrics = metrics.groupBy("subject_id").agg(F.to_json(F.collect_list("m")).alias("m"))
     hours = lambda c: (F.col(c) / 3600).alias(c[:-2])
     night = F.struct(F.concat(F.date_format("night", "yyyy-MM-dd"), F.lit(" 07:00:00 +0530")).alias("date"), hours("core_s"), hours("deep_s"), hours("rem_s"), wired(F.col("sleep_start")).alias("sleepStart"))
@@ -71,10 +77,11 @@ def push(t: Tables):
 
 def types(t: Tables):
     rows = [("HKQuantityTypeIdentifierStepCount", "cumulative", "count", False), ("HKQuantityTypeIdentifierHeartRate", "raw", "count/min", False)]
+    rows += [(f"HKQuantityTypeIdentifierBloodPressure{side}", "raw", "mmHg", False) for side in ("Systolic", "Diastolic")]
     return t.spark.createDataFrame(rows, "type string, regime string, unit string, opted_out boolean")
 
 
-PW = "pw AS (SELECT * FROM wk WHERE subject_id IN (SELECT subject_id FROM ev WHERE type IN ('click', 'purchase')))"
+PW = "pw AS (SELECT * FROM wk WHERE subject_id IN (SELECT subject_id FROM ev WHERE type IN ('click', 'purchase', 'signup')))"
 
 
 @query("push_sessions", f"""{PW} SELECT subject_id, 'w' || workout_id AS external_id, CASE WHEN workout_id % 11 = 0 THEN 'Other' ELSE activity END AS activity, CASE WHEN workout_id IN (SELECT workout_id FROM pts) THEN 'My Watch' ELSE '' END AS source,
@@ -104,8 +111,11 @@ def push_routes(t: Tables):
     return R.push_routes(push(t)).select("subject_id", "external_id", "ts", F.round("lat", 6).alias("lat"), "lon", "altitude_m", "skip_reason")
 
 
-METRIC = """m1 AS (SELECT subject_id, CASE type WHEN 'click' THEN 'step_count' ELSE 'heart_rate' END AS name, CAST(v AS DOUBLE) AS value, k, ts, type,
- CASE WHEN k % 10 = 7 THEN 'skipped_bad_point' WHEN type = 'purchase' AND k % 5 = 0 THEN 'skipped_aggregated' END AS skip_reason FROM ev WHERE type IN ('click', 'purchase'))"""
+METRIC = """m0 AS (SELECT subject_id, CASE type WHEN 'click' THEN 'step_count' WHEN 'purchase' THEN 'heart_rate' ELSE 'blood_pressure' END AS name, CAST(v AS DOUBLE) AS value, k, ts, type,
+ CASE WHEN type = 'purchase' AND k % 10 = 3 THEN 'skipped_bad_point' WHEN type = 'purchase' AND k % 5 = 0 THEN 'skipped_aggregated' WHEN k % 10 = 7 THEN 'skipped_bad_point'
+ WHEN type = 'signup' AND k % 10 = 5 THEN 'skipped_bad_point' END AS skip_reason FROM ev WHERE type IN ('click', 'purchase', 'signup')),
+m1 AS (SELECT subject_id, name, CASE WHEN type = 'signup' AND k % 10 = 5 THEN NULL ELSE value END AS value, k, ts, type, skip_reason FROM m0
+ UNION ALL SELECT subject_id, name, value - 1, k, ts, type, skip_reason FROM m0 WHERE type = 'signup' AND k % 10 <> 5)"""
 
 
 @query("push_metric_points", METRIC + """ SELECT subject_id, name, coalesce(skip_reason, 'accepted') AS outcome, count(*) AS n, round(sum(value), 4) AS total, CAST(sum(CASE WHEN k % 10 <> 7 THEN CAST(floor(epoch(ts)) AS BIGINT) % 86400 END) AS BIGINT) AS seconds FROM m1 GROUP BY 1, 2, 3""")
@@ -121,7 +131,7 @@ def push_minutes(t: Tables):
     return R.minute_rows(R.push_metrics(push(t), types(t))).select("subject_id", "minute_ts", F.lit(1).alias("one"))
 
 
-@query("push_nights", "SELECT s.subject_id, strftime(night, '%Y-%m-%d') AS night, CAST(core_s AS BIGINT) AS core_s, CAST(deep_s AS BIGINT) AS deep_s, CAST(NULL AS BIGINT) AS awake_s, strftime(sleep_start, '%Y-%m-%d %H:%M:%S') AS sleep_start FROM sday s WHERE subject_id IN (SELECT subject_id FROM ev WHERE type IN ('click', 'purchase'))")
+@query("push_nights", "SELECT s.subject_id, strftime(night, '%Y-%m-%d') AS night, CAST(core_s AS BIGINT) AS core_s, CAST(deep_s AS BIGINT) AS deep_s, CAST(NULL AS BIGINT) AS awake_s, strftime(sleep_start, '%Y-%m-%d %H:%M:%S') AS sleep_start FROM sday s WHERE subject_id IN (SELECT subject_id FROM ev WHERE type IN ('click', 'purchase', 'signup'))")
 def push_nights(t: Tables):
     """Reported nights, in whole seconds under their local date."""
     return R.push_nights(push(t)).select("subject_id", "night", "core_s", "deep_s", "awake_s", "sleep_start")

@@ -88,27 +88,40 @@ def push_routes(docs: DataFrame) -> DataFrame:
 
 
 def push_metrics(docs: DataFrame, types: DataFrame) -> DataFrame:
-    """(subject_id, batch, name, type, regime, ts, tz_offset_min, value, value_key, source, skip_reason): the
-    points of push metrics in their types' units. A fused blood pressure point is two rows.
-
-    types: (type, regime, unit, opted_out). Unknown names, types that the subject opted out of, bad dates,
-    averaged heart rates, values that are no number or in no convertible unit are kept with the reason."""
+    """(subject_id, batch, name, place, type, regime, ts, tz_offset_min, value, value_key, source, skip_reason): the
+    points of push metrics in their types' units. A fused blood pressure point is two rows, or one refused row where
+    either side is no number.
+
+    A heart rate of the raw regime counts if its least, mean and largest value are given and equal: others are averages.
+    All other points count by their quantity alone, whatever else they hold. types: (type, regime, unit, opted_out), and
+    scale where values are not quantised by 1,000. Unknown names, types that the subject opted out of, bad dates, values
+    that are no number or in no convertible unit are kept with the reason."""
     m = docs.select("subject_id", "batch", F.explode("doc.data.metrics").alias("m")).where("m.name <> 'sleep_analysis'")
     p = m.select("subject_id", "batch", "m.name", "m.units", F.posexplode("m.data").alias("place", "p"))
-    single = F.array(F.struct(N.metric_identifier(F.col("name")).alias("type"), F.coalesce("p.Avg", "p.qty").alias("v")))
-    fused = F.array(*[F.struct(F.lit(t).alias("type"), F.col(f"p.{side}").alias("v")) for side, t in N.PRESSURE.items()])
-    rows = p.select("subject_id", "batch", "name", "units", "place", "p", F.explode(F.when(F.col("name") == "blood_pressure", fused).otherwise(single)).alias("x"))
+    whole = reduce(lambda a, b: a & b, [finite(F.col(f"p.{side}")) for side in N.PRESSURE])
+    fused = [F.struct(F.lit(t).alias("type"), F.when(whole, F.col(f"p.{side}")).alias("v")) for side, t in N.PRESSURE.items()]
+    single = F.struct(N.metric_identifier(F.col("name")).alias("type"), F.col("p.qty").alias("v"))
+    parts = F.when(F.col("name") != "blood_pressure", F.array(single)).when(whole, F.array(*fused)).otherwise(F.array(fused[0]))
     ts, offset = push_date(F.col("p.date"))
-    rows = rows.select("subject_id", "batch", "name", "units", "place", "x.type", "x.v", ts.alias("ts"), offset.alias("tz_offset_min"), F.coalesce(source_name(F.col("p.source")), F.lit("")).alias("source"), F.col("p.Min").alias("lo"), F.col("p.Avg").alias("mid"), F.col("p.Max").alias("hi"))
-    rows = rows.join(F.broadcast(types.select("type", "regime", F.col("unit").alias("to"), "opted_out")), "type", "left")
-    value = F.when(finite(F.col("v")), convert(F.col("v"), F.col("units"), F.col("to")))
-    averaged = F.col("mid").isNotNull() & ~((F.col("lo") == F.col("mid")) & (F.col("mid") == F.col("hi")))
+    rows = p.withColumn("x", F.explode(parts)).select(
+        "subject_id", "batch", "name", "units", "place", "x.type", "x.v", ts.alias("ts"), offset.alias("tz_offset_min"),
+        F.coalesce(source_name(F.col("p.source")), F.lit("")).alias("source"), F.col("p.Min").alias("lo"), F.col("p.Avg").alias("mid"), F.col("p.Max").alias("hi"),
+    )
+    scale = F.col("scale").cast("double") if "scale" in types.columns else F.lit(1000.0)
+    # A row for each type of the contract.
+    known = types.select("type", "regime", F.col("unit").alias("to"), "opted_out", scale.alias("scale"))
+    rows = rows.join(F.broadcast(known), "type", "left")
+    heart = (F.col("name") == "heart_rate") & (F.col("regime") == "raw")
+    rows = rows.withColumn("v", F.when(heart, F.col("mid")).otherwise(F.col("v")))
+    value = F.when(finite(F.col("v")), convert(F.col("v"), F.col("units"), F.coalesce("to", "units")))
+    given = finite(F.col("lo")) & finite(F.col("mid")) & finite(F.col("hi"))
+    averaged = heart & ~((F.col("lo") == F.col("mid")) & (F.col("mid") == F.col("hi")))
     reason = (
-        F.when(F.col("regime").isNull(), "unknown_metric").when(F.col("opted_out"), "opted_out").when(F.col("ts").isNull(), "skipped_bad_point")
-        .when(averaged, "skipped_aggregated").when(~finite(F.col("v")), "skipped_bad_point").when(value.isNull(), "skipped_unit")
+        F.when(F.col("regime").isNull(), "unknown_metric").when(F.col("opted_out"), "opted_out").when(heart & ~given, "skipped_bad_point")
+        .when(averaged, "skipped_aggregated").when(F.col("ts").isNull() | ~finite(F.col("v")), "skipped_bad_point").when(value.isNull(), "skipped_unit")
     )
-    out = rows.withColumn("value", value).withColumn("skip_reason", reason).withColumn("value_key", quantise(F.col("value"), 1000))
-    return out.drop("v", "lo", "mid", "hi", "to", "units", "opted_out")
+    out = rows.withColumn("value", value).withColumn("skip_reason", reason).withColumn("value_key", quantise(F.col("value"), F.col("scale")))
+    return out.drop("v", "lo", "mid", "hi", "to", "units", "opted_out", "scale")
 
 
 def minute_rows(points: DataFrame) -> DataFrame:
@@ -150,17 +163,23 @@ def native_sessions(docs: DataFrame) -> DataFrame:
     return out.withColumn("skip_reason", F.when(~F.coalesce(fine, F.lit(False)), "skipped_invalid"))
 
 
-def native_minutes(docs: DataFrame, types: DataFrame) -> DataFrame:
-    """(subject_id, type, minute_ts, value, skip_reason) of native batches: whole minutes of cumulative types in
-    their own unit."""
+def native_minute_points(docs: DataFrame, types: DataFrame) -> DataFrame:
+    """(subject_id, batch, place, type, minute_ts, value, skip_reason): whole minutes of cumulative types in their own
+    unit."""
     m = docs.select("subject_id", "batch", F.posexplode("doc.minutes").alias("place", "m")).select("subject_id", "batch", "place", "m.*")
+    # A row for each type of the contract.
     m = m.join(F.broadcast(types.select("type", "regime", F.col("unit").alias("to"), "opted_out")), "type", "left")
     ts = iso_date(F.col("minute"))[0]
     reason = (
         F.when(F.col("regime").isNull(), "unknown_metric").when(F.col("opted_out"), "opted_out").when(F.col("regime") != "cumulative", "not_a_minute_type").when(ts.isNull(), "bad_date")
         .when(F.col("to").isNotNull() & ~F.col("unit").eqNullSafe(F.col("to")), "unit_mismatch").when(~finite(F.col("value")), "bad_value")
     )
-    rows = m.select("subject_id", "batch", "place", "type", F.date_trunc("minute", ts).alias("minute_ts"), "value", reason.alias("skip_reason"))
+    return m.select("subject_id", "batch", "place", "type", F.date_trunc("minute", ts).alias("minute_ts"), "value", reason.alias("skip_reason"))
+
+
+def native_minutes(docs: DataFrame, types: DataFrame) -> DataFrame:
+    """(subject_id, type, minute_ts, value, skip_reason) of native batches; of a minute the last counts."""
+    rows = native_minute_points(docs, types)
     fine = first_of_batch(rows.where("skip_reason is null"), ["subject_id", "type", "minute_ts"], [F.col("batch").desc(), F.col("place").desc()])
     return fine.unionByName(rows.where("skip_reason is not null")).drop("batch", "place")
 

@@ -29,39 +29,58 @@ NATIVE = "format string, app_version string, exported_at string, samples array<s
 MOST_BYTES = 256 << 20
 
 
-def read_batches(spark: SparkSession, path: str, ledger: DataFrame | None = None, most: int = MOST_BYTES) -> DataFrame:
-    """(path, sha256, body, error): one row for each spooled JSON body, packed by gzip or not. Each file is read
-    once; the checksum is that of the file as it lies there.
-
-    error: gunzip_failed, too_large or not_text, and no body. ledger: (path, sha256) as received; a missing
-    file or another checksum fails the batch."""
-    ship(spark)
-
-    def unpacked(data: bytes) -> tuple[str | None, str | None]:
-        if data[:2] == b"\x1f\x8b":
-            try:
-                unpack = zlib.decompressobj(wbits=31)
-                data = unpack.decompress(data, most + 1)
-                if len(data) <= most and not unpack.eof:
-                    return None, "gunzip_failed"
-            except zlib.error:
-                return None, "gunzip_failed"
-        if len(data) > most:
-            return None, "too_large"
+def _unzipped(data: bytes, most: int) -> tuple[bytes, str | None]:
+    """The content of all gzip members of data, which zeros may follow."""
+    parts, size = [], 0
+    while data:
         try:
-            return data.decode("utf-8"), None
-        except UnicodeDecodeError:
-            return None, "not_text"
+            unpack = zlib.decompressobj(wbits=31)
+            parts.append(unpack.decompress(data, most + 1 - size))
+        except zlib.error:
+            return b"", "gunzip_failed"
+        size += len(parts[-1])
+        if size > most:
+            return b"", "too_large"
+        if not unpack.eof:
+            return b"", "gunzip_failed"
+        data = unpack.unused_data.lstrip(b"\0")
+    return b"".join(parts), None
+
+
+def _body(data: bytes, most: int) -> tuple[str | None, str | None]:
+    error = "too_large" if len(data) > most else None
+    if data[:2] == b"\x1f\x8b":
+        data, error = _unzipped(data, most)
+    if error:
+        return None, error
+    try:
+        return data.decode("utf-8"), None
+    except UnicodeDecodeError:
+        return None, "not_text"
+
+
+def unpacked_files(files: DataFrame, most: int = MOST_BYTES) -> DataFrame:
+    """(path, sha256, body, error) of files (path, content); see ``read_batches``."""
+    ship(files.sparkSession)
 
     def read(batches):
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 data = content.as_py()
-                body, error = unpacked(data)
-                yield pa.RecordBatch.from_arrays([pa.array([x], pa.string()) for x in (name, hashlib.sha256(data).hexdigest(), body, error)], names=["path", "sha256", "body", "error"])
+                row = (name, hashlib.sha256(data).hexdigest(), *_body(data, most))
+                yield pa.RecordBatch.from_arrays([pa.array([x], pa.string()) for x in row], names=["path", "sha256", "body", "error"])
+
+    return files.select("path", "content").mapInArrow(read, "path string, sha256 string, body string, error string")
 
+
+def read_batches(spark: SparkSession, path: str, ledger: DataFrame | None = None, most: int = MOST_BYTES) -> DataFrame:
+    """(path, sha256, body, error): one row for each spooled JSON body, packed by gzip, in one member or several, or not. Each
+    file is read once; the checksum is that of the file as it lies there.
+
+    error: gunzip_failed, too_large or not_text, and no body. ledger: (path, sha256) as received; a missing
+    file or another checksum fails the batch."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    out = files.mapInArrow(read, "path string, sha256 string, body string, error string")
+    out = unpacked_files(files, most)
     if ledger is None:
         return out
     out = out.join(ledger.select("path", F.col("sha256").alias("__want")), "path", "full")

@@ -134,6 +134,49 @@ def test_wire_and_spool(spark, tmp_path):
     assert {r.batch: r.status for r in spool.ledger.collect()} == {0: "normalized", 1: "rollups_ready", 2: "duplicate"}
 
 
+def test_batches_of_repeated_rows_are_not_taken_for_each_other(spark, tmp_path):
+    from pulseframe.streaming.spool import SAMPLE, Spool
+
+    spool = Spool(spark, str(tmp_path / "store"))
+    row = lambda u: (u, 1, "hr", 0, at("10:00:00"), None, float(u[1:]), None)
+    for n, ids in enumerate((["u1", "u1", "u2", "u2"], ["u3", "u3", "u4", "u4"], ["u4", "u3", "u4", "u3"])):
+        spool.ingest(spark.createDataFrame([row(u) for u in ids], SAMPLE), n)
+    assert sorted(r.uuid for r in spool.observations.collect()) == ["u1", "u2", "u3", "u4"]
+    assert [r.status for r in spool.ledger.orderBy("batch").collect()] == ["normalized", "normalized", "duplicate"]
+
+
+def test_gzip_members_are_read_whole(spark, tmp_path):
+    from pulseframe.sources import wire
+
+    z, body = gzip.compress, b'{"data":{"metrics":[]}}'
+    cases = {"one": z(body), "two": z(body[:9]) + z(body[9:]), "padded": z(body) + b"\0" * 20, "cut": z(body[:9]) + z(body[9:])[:-5], "rest": z(body) + b"more", "huge": z(body[:9]) + z(b" " * 99)}
+    for name, data in cases.items():
+        (tmp_path / name).write_bytes(data)
+    got = {r.path.rsplit("/", 1)[1]: (r.body, r.error) for r in wire.read_batches(spark, str(tmp_path), most=50).collect()}
+    fine, bad = (body.decode(), None), (None, "gunzip_failed")
+    assert got == {"one": fine, "two": fine, "padded": fine, "cut": bad, "rest": bad, "huge": (None, "too_large")}
+
+
+def test_points_count_by_the_rules_of_their_metric(spark):
+    from pulseframe.sources import normalise, wire
+
+    at_ = "2024-01-10 10:00:00 +0000"
+    points = {
+        "heart_rate": ("bpm", [{"Avg": 70}, {"qty": 71}, {"Min": 72, "Avg": 72, "Max": 72}, {"Min": 1, "Avg": 2, "Max": 3, "qty": 73}]),
+        "body_temperature": ("degC", [{"qty": 37, "Avg": 36, "Min": 35}, {"Avg": 36}]),
+        "blood_pressure": ("mmHg", [{"systolic": 120}, {"systolic": 120, "diastolic": 80}]),
+    }
+    doc = {"data": {"metrics": [{"name": n, "units": u, "data": [{"date": at_, **p} for p in ps]} for n, (u, ps) in points.items()]}}
+    batches = spark.createDataFrame([(1, 0, json.dumps(doc), None)], "subject_id long, batch int, body string, error string")
+    names = ["HeartRate", "BodyTemperature", "BloodPressureSystolic", "BloodPressureDiastolic"]
+    types = [(f"HKQuantityTypeIdentifier{n}", "raw", u, False, s) for n, u, s in zip(names, ("count/min", "degC", "mmHg", "mmHg"), (10, 100, 1, 1), strict=True)]
+    p = normalise.push_metrics(wire.push_documents(batches), spark.createDataFrame(types, "type string, regime string, unit string, opted_out boolean, scale int"))
+    got = sorted((r["name"], r.value_key, r.skip_reason) for r in p.collect() if r.skip_reason is None)
+    assert got == [("blood_pressure", 80, None), ("blood_pressure", 120, None), ("body_temperature", 3700, None), ("heart_rate", 720, None)]
+    refused = {r["name"]: r["counts"] for r in normalise.counters(p.where("skip_reason is not null"), "name").collect()}
+    assert refused == {"heart_rate": {"skipped_bad_point": 2, "skipped_aggregated": 1}, "body_temperature": {"skipped_bad_point": 1}, "blood_pressure": {"skipped_bad_point": 1}}
+
+
 def test_minute_counters_take_late_and_repeated_events_once(spark, tmp_path):
     from pulseframe.streaming import spool
 
