@@ -154,8 +154,7 @@ def resolve_workouts(incoming: DataFrame, known_ids: DataFrame, workouts: DataFr
     or created. Fingerprint: activity, start, end and source; with a tolerance: activity and a start
     within so many seconds."""
     i = incoming.join(known_ids.select("namespace", "external_id", F.col("workout_id").alias("__known"), F.col("subject_id").alias("__owner")), ["namespace", "external_id"], "left")
-    free = workouts.join(known_ids.select("workout_id", "namespace").withColumn("__has", F.lit(True)), "workout_id", "left")
-    free = free.select(F.col("workout_id").alias("__fit"), "subject_id", "activity", F.col("start_ts").alias("__s"), F.col("end_ts").alias("__e"), F.col("source_id").alias("__src"), F.col("namespace").alias("__ns"))
+    free = workouts.select(F.col("workout_id").alias("__fit"), "subject_id", "activity", F.col("start_ts").alias("__s"), F.col("end_ts").alias("__e"), F.col("source_id").alias("__src"))
     us = F.unix_micros
     if tolerance_s is None:
         same = (F.col("start_ts") == F.col("__s")) & (F.col("end_ts") == F.col("__e")) & F.col("source_id").eqNullSafe(F.col("__src"))
@@ -165,7 +164,8 @@ def resolve_workouts(incoming: DataFrame, known_ids: DataFrame, workouts: DataFr
         b = lambda c, d=0: F.floor((us(F.col(c)) + F.lit(d * tolerance_s * 1_000_000)) / F.lit(width)).cast("long")
         near = free.withColumn("__b", F.explode(F.array_distinct(F.array(b("__s", -1), b("__s"), b("__s", 1)))))
         hits = i.where("__known is null").withColumn("__b", b("start_ts")).join(near, ["subject_id", "activity", "__b"]).where(F.abs(us("start_ts") - us("__s")) <= tolerance_s * 1_000_000)
-    one = hits.where(~F.col("__ns").eqNullSafe(F.col("namespace"))).groupBy("namespace", "external_id").agg(F.countDistinct("__fit").alias("__n"), F.min("__fit").alias("__fit")).where("__n = 1")
+    taken = known_ids.select(F.col("workout_id").alias("__fit"), "namespace").distinct()
+    one = hits.join(taken, ["__fit", "namespace"], "left_anti").groupBy("namespace", "external_id").agg(F.countDistinct("__fit").alias("__n"), F.min("__fit").alias("__fit")).where("__n = 1")
     out = i.join(one.select("namespace", "external_id", "__fit"), ["namespace", "external_id"], "left")
     own = F.col("__owner") == F.col("subject_id")
     outcome = F.when(F.col("__known").isNotNull() & own, "known").when(F.col("__known").isNotNull(), "foreign").when(F.col("__fit").isNotNull(), "adopted").otherwise("created")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.timefns import night_date, quantise
-from ..store import kept, utc_day
+from ..store import kept, listing, utc_day
 
 #: Fixed values of the fixture.
 ZONES = ("UTC", "Asia/Kolkata", "Europe/Paris", "Asia/Kathmandu")
@@ -49,7 +49,12 @@ class Tables:
         return F.element_at(F.array(*map(F.lit, ZONES)), (user % 4 + 1).cast("int"))
 
     def kept(self, name: str, df: DataFrame, *partitions: str) -> DataFrame:
-        return kept(df, self.sf_dir, name, partitions)
+        return kept(df, self.listing, name, partitions)
+
+    @cached_property
+    def listing(self) -> str:
+        """What the folder's files are, so that tables derived from others are not taken for theirs."""
+        return listing(self.spark, self.sf_dir)
 
     @cached_property
     def subjects(self) -> DataFrame:

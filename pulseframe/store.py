@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import tempfile
 import uuid
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 #: Masters that run in the driver's own process.
 LOCAL = re.compile(r"local(\[.*\])?")
-#: Folders by application, source folder and name of the table.
+#: Folders by application, state of the source folder and name of the table.
 _KEPT: dict[tuple[str, str, str], str] = {}
 
 
@@ -37,8 +38,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def listing(spark: SparkSession, path: str) -> str:
+    """A digest of the names, sizes and times of the files under a path: another one where any of them changed."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files, found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(where, True), []
+    while files.hasNext():
+        f = files.next()
+        found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return hashlib.sha256(repr((path, sorted(found))).encode()).hexdigest()
+
+
 def kept(df: DataFrame, source: str, name: str, partitions: tuple[str, ...] = ()) -> DataFrame:
-    """df as it was derived first in this application from ``source``, read from its Parquet table.
+    """df as it was derived first in this application from ``source``, such as a ``listing``, read from its Parquet table.
 
     Rows are dealt by the partitions before they are written, so that a partition has few files; one that
     is too large for a task is split."""
