@@ -68,6 +68,32 @@ def current(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "commit").alias("r")).select(*keys, "r.*")
 
 
+@dataclass
+class Past:
+    """What was stored before a batch, as of one state of the store."""
+
+    store: Lake
+    state: dict
+    kinds: set[str]
+    months: list[str]
+    types: list[str]
+    subjects: list[int] | None
+
+    def has(self, kind: str) -> bool:
+        """Whether the batch has rows of a staged kind."""
+        return kind in self.kinds
+
+    def all(self, table: str) -> DataFrame:
+        return self.store.read(table, self.state)
+
+    def near(self, table: str, numbered: bool = False) -> DataFrame:
+        """A table's rows in the months, types and, if they are few, subjects of the batch."""
+        out = self.store.read(table, self.state, numbered).where(F.col("month").isin(*self.months))
+        if "type" in out.columns:
+            out = out.where(F.col("type").isin(*self.types))
+        return out.where(F.col("subject_id").isin(*self.subjects)) if "subject_id" in out.columns and self.subjects is not None else out
+
+
 @dataclass
 class Intake:
     """A store and the contract that payloads are read by.
@@ -128,25 +154,29 @@ class Intake:
         good = bodies.where("state = 'validated'").select("subject_id", "device_id", "batch", "body", F.lit(None).cast("string").alias("error"), "format")
         push = wire.push_documents(good.where("format = 'push'"))
         native = wire.native_documents(good.where("format = 'native'"))
+        fine = lambda rows: rows.where("skip_reason is null")
         points = kept_table(N.push_metrics(push, self.types), "points")
         samples = kept_table(self._samples(native), "samples")
         minutes = kept_table(self._minute_points(points, native, bodies), "minute-points")
         sessions = kept_table(self._sessions(push, native), "sessions")
         nights = kept_table(N.push_nights(push), "nights")
+        series, routes = kept_table(fine(N.push_series(push)), "series"), kept_table(fine(N.push_routes(push)), "routes")
         between("normalised")
-        fresh = kept_table(self._observations(points, samples, state), "fresh")
-        segments = kept_table(self._segments(samples, state), "segments")
-        cutovers, judged = self._minutes(minutes, state)
+        past = self._history(state, {"points": (points, "ts"), "samples": (samples, "start_ts"), "minutes": (minutes, "minute_ts"), "series": (series, "ts"), "routes": (routes, "ts")})
+        fresh = kept_table(self._observations(points, samples, past), "fresh")
+        cutovers, judged = self._minutes(minutes, past)
         cutovers, judged = kept_table(cutovers, "cutovers"), kept_table(judged, "judged")
-        placed = kept_table(self._resolved(sessions, state), "resolved")
         between("merged")
-        adds = {"observations": fresh.drop("name"), "segments": segments, "cutovers": cutovers}
+        adds = {"observations": fresh, "cutovers": cutovers}
         adds["minutes"] = judged.where("outcome in ('inserted', 'updated')").withColumn("month", month("minute_ts"))
         adds["conflicts"] = judged.where("outcome = 'conflict'").withColumn("month", month("minute_ts"))
-        adds["nights"] = M.first_of_batch(nights.where("skip_reason is null"), ["subject_id", "night", "channel"], [F.col("id").desc()])
-        adds |= self._stored_sessions(placed, push, state)
-        adds["sources"] = self._sources(state, points, samples, sessions)
-        adds["dirty"] = self._dirty(fresh, judged, cutovers, state)
+        adds["nights"] = M.first_of_batch(fine(nights), ["subject_id", "night", "channel"], [F.col("id").desc()])
+        if past.has("samples"):
+            adds["segments"] = self._segments(samples, past)
+        if not sessions.isEmpty():
+            adds |= self._stored_sessions(self._resolved(sessions, past), series, routes, past)
+        adds["sources"] = self._sources(past, points, samples, sessions)
+        adds["dirty"] = self._dirty(fresh, judged, cutovers, past)
         adds["ledger"] = self._ledger(bodies, points, samples, minutes, sessions, nights, fresh, judged)
         self.store.commit(adds, marks={"batch": batch})
         between("committed")
@@ -193,20 +223,23 @@ class Intake:
 
     # Merging
 
-    def _history(self, table: str, rows: DataFrame, ts: str, state: dict) -> DataFrame:
-        """A table's rows in the months, types and subjects of some rows, a minute more at the ends. What comes to the driver is
-        as many names as there are types and months, and 64 subjects at most."""
-        edges = F.explode(F.array(*[month(F.col(ts) + F.expr(f"INTERVAL {s} SECONDS")) for s in (-60, 60)]))
-        months = [r[0] for r in rows.where(F.col(ts).isNotNull()).select(edges).distinct().collect()]
-        out = self.store.read(table, state).where(F.col("month").isin(*months))
-        if "type" in out.columns and "type" in rows.columns:
-            out = out.where(F.col("type").isin(*[r[0] for r in rows.select("type").distinct().collect()]))
-        if "subject_id" in out.columns:
-            subjects = [r[0] for r in rows.select("subject_id").distinct().limit(65).collect()]
-            out = out.where(F.col("subject_id").isin(*subjects)) if len(subjects) <= 64 else out
-        return out
+    def _history(self, state: dict, staged: dict[str, tuple[DataFrame, str]]) -> Past:
+        """What is stored around the staged rows (rows, instant): their months, a minute more at the ends, and their types.
+        What comes to the driver is as many names as there are types and months, and 64 subjects at most."""
+        near = [month(F.col("at") + F.expr(f"INTERVAL {s} SECONDS")) for s in (-60, 60)]
+        kinds = [
+            df.select(F.lit(k).alias("kind"), F.col(ts).alias("at"), "subject_id", (F.col("type") if "type" in df.columns else F.lit(None).cast("string")).alias("type"))
+            for k, (df, ts) in staged.items()
+        ]
+        rows = reduce(DataFrame.unionByName, kinds).where("at is not null")
+        found = rows.groupBy("kind").agg(*[F.collect_set(m).alias(f"m{i}") for i, m in enumerate(near)], F.collect_set("type").alias("types")).collect()
+        subjects = [r[0] for r in rows.select("subject_id").distinct().limit(65).collect()]
+        return Past(
+            self.store, state, {r["kind"] for r in found}, sorted({m for r in found for m in (*r["m0"], *r["m1"])}), sorted({t for r in found for t in r["types"]}),
+            subjects if len(subjects) <= 64 else None,
+        )
 
-    def _observations(self, points: DataFrame, samples: DataFrame, state: dict) -> DataFrame:
+    def _observations(self, points: DataFrame, samples: DataFrame, past: Past) -> DataFrame:
         """The observations that are new: push points by content, against the other channel by coverage or closest match;
         native samples by uuid, and by content against rows without one."""
         push = points.where("skip_reason is null and regime = 'raw'").select(
@@ -218,44 +251,44 @@ class Intake:
             "uuid", "batch", F.col("type").alias("name"), "place",
         )
         order = [F.col("batch"), F.col("place")]
-        past = self._history("observations", push.select("subject_id", "type", "start_ts").unionByName(native.select("subject_id", "type", "start_ts")), "start_ts", state)
-        rows = M.not_in_history(M.first_of_batch(push, OBSERVED, order), past.where("origin = 'hae'"), OBSERVED)
+        held = past.near("observations")
+        rows = M.not_in_history(M.first_of_batch(push, OBSERVED, order), held.where("origin = 'hae'"), OBSERVED)
         again = [r[0] for r in self.types.where("reaggregated").select("type").collect()]
-        whole = self.store.read("observations", state).where(F.col("type").isin(*again) & (F.col("origin") == "health_xml"))
+        whole = past.all("observations").where(F.col("type").isin(*again) & (F.col("origin") == "health_xml"))
         apart = M.outside_coverage(rows.where(F.col("type").isin(*again)), whole)
         rest = kept_table(rows.where(~F.col("type").isin(*again)).withColumn("id", F.xxhash64(*OBSERVED)), "matchable")
-        exported = past.where("origin = 'health_xml'").withColumn("id", F.xxhash64(*OBSERVED, "end_ts", "batch"))
+        exported = held.where("origin = 'health_xml'").withColumn("id", F.xxhash64(*OBSERVED, "end_ts", "batch"))
         found = M.match_across(rest, exported)
         rest = rest.join(found, rest["id"] == found["in_id"], "left_anti").drop("id")
         pushed = apart.unionByName(rest)
         exact = [*OBSERVED, "category_value"]
-        own = M.not_in_history(M.first_of_batch(native, ["subject_id", "uuid"], order), past.where("uuid is not null"), ["subject_id", "uuid"])
-        own = M.not_in_history(own, past.where("uuid is null").select(*exact).unionByName(pushed.select(*exact)), exact)
+        own = M.not_in_history(M.first_of_batch(native, ["subject_id", "uuid"], order), held.where("uuid is not null"), ["subject_id", "uuid"])
+        own = M.not_in_history(own, held.where("uuid is null").select(*exact).unionByName(pushed.select(*exact)), exact)
         return pushed.unionByName(own).drop("place").withColumn("month", month("start_ts"))
 
-    def _segments(self, samples: DataFrame, state: dict) -> DataFrame:
+    def _segments(self, samples: DataFrame, past: Past) -> DataFrame:
         rows = samples.where("skip_reason is null and regime = 'sleep'").select(
             "subject_id", "uuid", source_id(), F.col("category_value").alias("stage"), "start_ts", "end_ts", F.struct("batch", "place").alias("id"), "batch"
         )
-        fresh = M.merge_sleep(rows, self._history("segments", rows, "start_ts", state))
+        fresh = M.merge_sleep(rows, past.near("segments"))
         return fresh.withColumn("month", month("start_ts"))
 
-    def _minutes(self, rows: DataFrame, state: dict) -> tuple[DataFrame, DataFrame]:
+    def _minutes(self, rows: DataFrame, past: Past) -> tuple[DataFrame, DataFrame]:
         """(new cutovers, minutes with an outcome). The first payload's device of a subject and type becomes its authority, from that
         payload's first minute on. Its later minutes are inserted, updated or duplicate; those of other devices
         duplicate or, once for each minute and device, conflict."""
         key = ["subject_id", "type"]
         fine = M.first_of_batch(rows.where("skip_reason is null"), ["batch", *key, "minute_ts"], [F.col("place").desc()]).withColumn("source_id", source_id())
-        known = self.store.read("cutovers", state)
+        known = past.all("cutovers")
         per = fine.groupBy(*key, "batch", "device_id").agg(F.min("minute_ts").alias("cutover_ts"))
         first = per.groupBy(*key).agg(F.min_by(F.struct("cutover_ts", "device_id"), "batch").alias("c")).select(*key, "c.cutover_ts", "c.device_id")
         new = first.join(known, key, "left_anti")
         authority = known.unionByName(new.select(*known.columns)).withColumnRenamed("device_id", "authority")
-        past = self._current_minutes(fine, state)
+        stored = current(past.near("minutes", numbered=True), [*key, "minute_ts"])
         fine = fine.join(authority, key)
         own = fine.where("device_id = authority and minute_ts >= cutover_ts")
         last = M.first_of_batch(own, [*key, "minute_ts"], [F.col("batch").desc()])
-        held = past.select(*key, "minute_ts", F.col("value").alias("held"))
+        held = stored.select(*key, "minute_ts", F.col("value").alias("held"))
         last = last.join(held, [*key, "minute_ts"], "left")
         outcome = F.when(F.col("held").isNull(), "inserted").when(F.col("held") != F.col("value"), "updated").otherwise("duplicate")
         last = last.withColumn("outcome", outcome).drop("held")
@@ -264,16 +297,16 @@ class Intake:
         others = fine.where("device_id <> authority").join(after, [*key, "minute_ts"], "left")
         same = others.where("held = value").withColumn("outcome", F.lit("duplicate"))
         unlike = M.first_of_batch(others.where("held is null or held <> value"), [*key, "minute_ts", "device_id"], [F.col("batch")])
-        quarantined = self._history("conflicts", fine, "minute_ts", state).select(*key, "minute_ts", "device_id", F.lit(True).alias("__there"))
+        quarantined = past.near("conflicts").select(*key, "minute_ts", "device_id", F.lit(True).alias("__there"))
         unlike = unlike.join(quarantined, [*key, "minute_ts", "device_id"], "left")
         unlike = unlike.withColumn("outcome", F.when(F.col("__there"), "conflict_duplicate").otherwise("conflict")).drop("__there")
         parts = [last, early, same.drop("held"), unlike.drop("held")]
         return new, reduce(DataFrame.unionByName, [p.drop("authority", "cutover_ts") for p in parts])
 
-    def _resolved(self, sessions: DataFrame, state: dict) -> DataFrame:
+    def _resolved(self, sessions: DataFrame, past: Past) -> DataFrame:
         """Sessions with workout_id and outcome: push sessions by their fingerprint, then native ones by a start within a second,
         also against those that the batch makes. A session whose id another subject holds is one of its own."""
-        ids, stored = self.store.read("session_ids", state), self.store.read("sessions", state).select("workout_id", "subject_id", "activity", "start_ts", "end_ts", "source_id")
+        ids, stored = past.all("session_ids"), past.all("sessions").select("workout_id", "subject_id", "activity", "start_ts", "end_ts", "source_id")
         fine = sessions.where("skip_reason is null").withColumn("source_id", source_id())
         made = F.xxhash64("namespace", "external_id", "subject_id")
         out = []
@@ -286,39 +319,34 @@ class Intake:
             out.append(new)
         return out[0].unionByName(out[1])
 
-    def _stored_sessions(self, placed: DataFrame, push: DataFrame, state: dict) -> dict[str, DataFrame]:
+    def _stored_sessions(self, placed: DataFrame, series: DataFrame, routes: DataFrame, past: Past) -> dict[str, DataFrame]:
+        """New sessions and ids, and the points and positions that the sessions don't hold yet."""
         new = placed.where("outcome in ('created', 'foreign')")
-        new = M.first_of_batch(new, ["workout_id"], [F.col("batch")]).join(self.store.read("sessions", state).select("workout_id"), "workout_id", "left_anti")
+        new = M.first_of_batch(new, ["workout_id"], [F.col("batch")]).join(past.all("sessions").select("workout_id"), "workout_id", "left_anti")
         ids = placed.where("outcome in ('created', 'adopted')").select("namespace", "external_id", "workout_id", "subject_id")
         where = placed.where("namespace = 'push'").select("subject_id", "external_id", "workout_id").distinct()
         out = {"sessions": new, "session_ids": ids}
-        for table, rows, keys in (("session_points", N.push_series(push), ["workout_id", "series", "ts"]), ("session_routes", N.push_routes(push), ["workout_id", "ts"])):
-            rows = kept_table(rows.where("skip_reason is null").join(where, ["subject_id", "external_id"]).drop("subject_id"), table)
-            rows = M.first_of_batch(rows, keys, [F.col("external_id")])
-            out[table] = M.not_in_history(rows, self._history(table, rows, "ts", state), keys).withColumn("month", month("ts"))
+        for table, kind, rows, keys in (("session_points", "series", series, ["workout_id", "series", "ts"]), ("session_routes", "routes", routes, ["workout_id", "ts"])):
+            if past.has(kind):
+                rows = M.first_of_batch(rows.join(where, ["subject_id", "external_id"]), keys, [F.col("external_id")])
+                out[table] = M.not_in_history(rows, past.near(table), keys).withColumn("month", month("ts"))
         return out
 
-    def _sources(self, state: dict, *rows: DataFrame) -> DataFrame:
+    def _sources(self, past: Past, *rows: DataFrame) -> DataFrame:
         """The sources whose names are new."""
         names = reduce(DataFrame.unionByName, [r.select(F.coalesce("source", F.lit("")).alias("name")) for r in rows]).distinct()
         names = names.unionByName(names.sparkSession.createDataFrame([("HealthKit",)], "name string")).distinct()
-        return names.join(self.store.read("sources", state), "name", "left_anti").withColumn("source_id", source_id("name"))
-
-    def _current_minutes(self, rows: DataFrame, state: dict) -> DataFrame:
-        """The stored minutes around some rows: of each the last committed."""
-        months = [r[0] for r in rows.select(month("minute_ts")).distinct().collect()]
-        past = self.store.read("minutes", state, numbered=True).where(F.col("month").isin(*months))
-        subjects = [r[0] for r in rows.select("subject_id").distinct().limit(65).collect()]
-        past = past.where(F.col("subject_id").isin(*subjects)) if len(subjects) <= 64 else past
-        return current(past, ["subject_id", "type", "minute_ts"])
+        return names.join(past.all("sources"), "name", "left_anti").withColumn("source_id", source_id("name"))
 
-    def _dirty(self, fresh: DataFrame, judged: DataFrame, cutovers: DataFrame, state: dict) -> DataFrame:
+    def _dirty(self, fresh: DataFrame, judged: DataFrame, cutovers: DataFrame, past: Past) -> DataFrame:
         """Ranges of the hours that really changed, and of exported rows that a new cutover puts out of force."""
         changed = fresh.where("value is not null").select("subject_id", "type", "start_ts")
         changed = changed.unionByName(judged.where("outcome in ('inserted', 'updated')").select("subject_id", "type", F.col("minute_ts").alias("start_ts")))
         ranges = M.dirty_ranges(changed, []).select("subject_id", "type", "from_ts", "to_ts")
         types = [r[0] for r in cutovers.select("type").distinct().collect()]
-        exported = self.store.read("observations", state).where(F.col("type").isin(*types) & (F.col("origin") == "health_xml"))
+        if not types:
+            return ranges
+        exported = past.all("observations").where(F.col("type").isin(*types) & (F.col("origin") == "health_xml"))
         return ranges.unionByName(M.cutover_ranges(cutovers, exported.select("subject_id", "type", "start_ts")))
 
     def _ledger(self, bodies: DataFrame, points: DataFrame, samples: DataFrame, minutes: DataFrame, sessions: DataFrame, nights: DataFrame, fresh: DataFrame, judged: DataFrame) -> DataFrame:

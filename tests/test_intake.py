@@ -98,7 +98,7 @@ def test_what_is_stored(whole):
     assert counts["d.json"]["step_count"] == {"accepted": 2, "minute_before_cutover": 1, "minute_updated": 1}
 
 
-@pytest.mark.parametrize("step", ["judged", "merged", "written"])
+@pytest.mark.parametrize("step", ["merged", "written"])
 def test_a_batch_that_dies_and_runs_again_gives_the_same_store(spark, tmp_path, whole, monkeypatch, step):
     took = intake.Intake(intake.lake(spark, str(tmp_path / "store")), *contract(spark))
     took.ingest(first(spark), 0)
