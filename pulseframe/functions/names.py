@@ -66,36 +66,62 @@ ACTIVITIES = {
     "Mind and Body": "MindAndBody",
     "Other": "Other",
 }
-#: Pattern, group and better direction of metrics; the first that an identifier holds counts.
+#: Pattern, group, family and better direction of metrics; the first that an identifier holds counts.
 CLASSES = [
-    ("HeartRateVariability|HeartRateRecovery", "heart", "higher-better"),
-    ("RestingHeartRate|WalkingHeartRateAverage", "heart", "lower-better"),
-    ("(High|Low|IrregularHeartRhythm)(HeartRate)?Event|AtrialFibrillation", "heart", "lower-better"),
-    ("BloodPressure|HeartRate|Cardio", "heart", "neutral"),
-    ("VO2Max", "heart", "higher-better"),
-    ("OxygenSaturation", "respiratory", "higher-better"),
-    ("RespiratoryRate|ForcedVital|PeakExpiratory", "respiratory", "neutral"),
-    ("Sleep", "sleep", "neutral"),
-    ("DietaryWater", "nutrition", "higher-better"),
-    ("AlcoholicBeverages|BloodAlcohol", "nutrition", "lower-better"),
-    ("Dietary", "nutrition", "neutral"),
-    ("SoundReduction", "audio", "higher-better"),
-    ("Headphone|Audio|Sound", "audio", "lower-better"),
-    ("WalkingSteadiness", "mobility", "higher-better"),
-    ("WalkingAsymmetry|DoubleSupport", "mobility", "lower-better"),
-    ("WalkingSpeed|WalkingStepLength|Stair(Ascent|Descent)Speed|SixMinuteWalkTest", "mobility", "higher-better"),
-    ("BodyFatPercentage", "body", "lower-better"),
-    ("LeanBodyMass", "body", "higher-better"),
-    ("BodyMass|WaistCircumference", "body", "lower-better"),
-    ("Height|BodyTemperature", "body", "neutral"),
-    ("StepCount|FlightsClimbed", "activity", "higher-better"),
-    ("BasalEnergyBurned", "activity", "neutral"),
-    ("EnergyBurned|AppleExerciseTime|AppleMoveTime|AppleStand", "activity", "higher-better"),
-    ("EffortScore|PhysicalEffort|DistanceCycling|Cycling(Cadence|Power|Speed|FunctionalThreshold)", "activity", "neutral"),
-    ("Rowing|Swimming|UnderwaterDepth|WaterTemperature|Running|Nike", "activity", "neutral"),
-    ("Distance", "activity", "higher-better"),
-    ("TimeInDaylight|Mindful", "other", "higher-better"),
-]
+    ("HeartRateVariability", "heart", "heart", "higher-better"),
+    ("HeartRateRecovery", "heart", "heart", "higher-better"),
+    ("RestingHeartRate|WalkingHeartRateAverage", "heart", "heart", "lower-better"),
+    ("(High|Low|IrregularHeartRhythm)(HeartRate)?Event", "heart", "heart", "lower-better"),
+    ("AtrialFibrillation", "heart", "heart", "lower-better"),
+    ("BloodPressure", "heart", "heart", "neutral"),
+    ("HeartRate|Cardio", "heart", "heart", "neutral"),
+    ("VO2Max", "heart", "heart", "higher-better"),
+    ("OxygenSaturation", "respiratory", "water", "higher-better"),
+    ("RespiratoryRate|ForcedVital|PeakExpiratory", "respiratory", "water", "neutral"),
+    ("Sleep", "sleep", "sleep", "neutral"),
+    ("DietaryWater", "nutrition", "water", "higher-better"),
+    ("DietaryEnergyConsumed", "nutrition", "energy", "neutral"),
+    ("AlcoholicBeverages|BloodAlcohol", "nutrition", "neutral", "lower-better"),
+    ("Dietary", "nutrition", "neutral", "neutral"),
+    ("SoundReduction", "audio", "neutral", "higher-better"),
+    ("Headphone", "audio", "neutral", "lower-better"),
+    ("Audio|Sound", "audio", "neutral", "lower-better"),
+    ("WalkingSteadiness", "mobility", "activity", "higher-better"),
+    ("WalkingAsymmetry|DoubleSupport", "mobility", "activity", "lower-better"),
+    ("WalkingSpeed|WalkingStepLength", "mobility", "activity", "higher-better"),
+    ("Stair(Ascent|Descent)Speed", "mobility", "activity", "higher-better"),
+    ("SixMinuteWalkTest", "mobility", "activity", "higher-better"),
+    ("BodyFatPercentage", "body", "water", "lower-better"),
+    ("LeanBodyMass", "body", "water", "higher-better"),
+    ("BodyMassIndex", "body", "water", "lower-better"),
+    ("BodyMass|WaistCircumference", "body", "water", "lower-better"),
+    ("Height", "body", "water", "neutral"),
+    ("BodyTemperature|BasalBodyTemperature", "body", "water", "neutral"),
+    ("StepCount", "activity", "activity", "higher-better"),
+    ("FlightsClimbed", "activity", "activity", "higher-better"),
+    ("BasalEnergyBurned", "activity", "energy", "neutral"),
+    ("EnergyBurned", "activity", "energy", "higher-better"),
+    ("AppleExerciseTime|AppleMoveTime", "activity", "activity", "higher-better"),
+    ("AppleStand", "activity", "activity", "higher-better"),
+    ("EffortScore|PhysicalEffort", "activity", "energy", "neutral"),
+    ("DistanceCycling|CyclingCadence|CyclingPower|CyclingSpeed|CyclingFunctionalThreshold", "activity", "distance", "neutral"),
+    ("Rowing", "activity", "distance", "neutral"),
+    ("Swimming|UnderwaterDepth|WaterTemperature", "activity", "water", "neutral"),
+    ("RunningPower", "activity", "power", "neutral"),
+    ("Running|Nike", "activity", "activity", "neutral"),
+    ("Distance", "activity", "activity", "higher-better"),
+    ("TimeInDaylight", "other", "neutral", "higher-better"),
+    ("Mindful", "other", "sleep", "higher-better"),
+]
+#: Identifiers whose direction is another than their rule's.
+DIRECTIONS = {
+    "HKQuantityTypeIdentifierRunningGroundContactTime": "lower-better",
+    "HKQuantityTypeIdentifierRunningVerticalOscillation": "lower-better",
+    "HKQuantityTypeIdentifierAppleSleepingBreathingDisturbances": "lower-better",
+    "HKDataTypeSleepDurationGoal": "neutral",
+    "HKQuantityTypeIdentifierDistanceWalkingRunning": "higher-better",
+    "HKCategoryTypeIdentifierAppleStandHour": "neutral",
+}
 #: The order of groups in the catalogue.
 GROUPS = ("heart", "respiratory", "body", "activity", "mobility", "sleep", "nutrition", "audio", "other")
 #: Label and family of each sport.
@@ -148,9 +174,14 @@ def metric_group(identifier: Column) -> Column:
     return _first_class(identifier, 1, "other")
 
 
+def metric_family(identifier: Column) -> Column:
+    """The family of a metric by the first rule that fits, else neutral."""
+    return _first_class(identifier, 2, "neutral")
+
+
 def better(identifier: Column) -> Column:
     """higher-better, lower-better or neutral."""
-    return _first_class(identifier, 2, "neutral")
+    return F.coalesce(lookup(DIRECTIONS, identifier), _first_class(identifier, 3, "neutral"))
 
 
 def group_rank(group: Column) -> Column:

@@ -173,15 +173,19 @@ def resolve_workouts(incoming: DataFrame, known_ids: DataFrame, workouts: DataFr
     return out.withColumn("outcome", outcome).withColumn("workout_id", F.when(F.col("outcome") == "known", F.col("__known")).when(F.col("outcome") == "adopted", F.col("__fit")).when(F.col("outcome") == "created", made)).drop("__known", "__owner", "__fit")
 
 
-def first_channel_wins(obs: DataFrame) -> DataFrame:
-    """Report of a repair: for types with both channels, rows of the later channel within the overlap
-    of one second more at both ends, which the earlier channel (by its first ingestion) replaces."""
+def later_channel_rows(obs: DataFrame) -> DataFrame:
+    """For types with both channels, the rows of the later channel within the overlap of one second more at both ends,
+    which the earlier channel (by its first ingestion) replaces."""
     g = obs.groupBy("subject_id", "type", "origin").agg(F.min("ingested_at").alias("since"), F.min("start_ts").alias("a"), F.max("start_ts").alias("b"))
     w = Window.partitionBy("subject_id", "type")
     both = g.withColumn("k", F.count("*").over(w)).where("k = 2").withColumn("place", F.row_number().over(w.orderBy("since", "origin")))
     span = both.groupBy("subject_id", "type").agg((F.max("a") - F.expr("INTERVAL 1 SECOND")).alias("lo"), (F.min("b") + F.expr("INTERVAL 1 SECOND")).alias("hi"), F.max(F.when(F.col("place") == 2, F.col("origin"))).alias("origin"))
-    rows = obs.join(span, ["subject_id", "type", "origin"]).where("start_ts between lo and hi")
-    return rows.groupBy("subject_id", "type", "origin").agg(F.count("*").alias("rows_replaced"))
+    return obs.join(span, ["subject_id", "type", "origin"]).where("start_ts between lo and hi").drop("lo", "hi")
+
+
+def first_channel_wins(obs: DataFrame) -> DataFrame:
+    """Report of a repair: how many rows of the later channel go."""
+    return later_channel_rows(obs).groupBy("subject_id", "type", "origin").agg(F.count("*").alias("rows_replaced"))
 
 
 def dirty_ranges(changed: DataFrame, category_types: list[str], ts: str = "start_ts") -> DataFrame:
@@ -251,6 +255,20 @@ def seed_taxonomy(known: DataFrame, contract: DataFrame, keys: list[str]) -> Dat
     return known.join(contract.select(*keys), keys, "left_anti").unionByName(contract)
 
 
+def checked_contract(contract: DataFrame, types: DataFrame, keys: list[str], key: str = "type") -> DataFrame:
+    """The contract, if each of its rows has its keys, once each, and a type that there is; else an error that names
+    some of those at fault."""
+    blank = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
+    faults = [
+        ("without a key", contract.where(blank)), ("twice", contract.groupBy(*keys).count().where("count > 1")),
+        ("of unknown types", contract.join(types.select(key), key, "left_anti")),
+    ]
+    for what, rows in faults:
+        if some := rows.select(*keys).limit(5).collect():
+            raise ValueError(f"rows of the contract {what}: {', '.join(str(tuple(r)) for r in some)}")
+    return contract
+
+
 def types_to_import(types: DataFrame, exported: DataFrame, only: list[str] | None = None) -> DataFrame:
     """The types of an import: those asked for, or those without an exported row yet."""
     return types.where(F.col("type").isin(*only)) if only is not None else types.join(exported.select("type").distinct(), "type", "left_anti")

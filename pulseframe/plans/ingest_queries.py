@@ -187,18 +187,46 @@ def native_samples(t: Tables):
     return s.groupBy("subject_id", F.coalesce("skip_reason", F.lit("accepted")).alias("outcome")).agg(F.count("*").alias("n"), F.sum("value_key").alias("keys"))
 
 
-@query("metric_classes", "SELECT * FROM (VALUES " + ", ".join(f"('{i}', '{g}', '{b}', '{l}', '{s}', {r})" for i, g, b, l, s, r in (
-    ("HKQuantityTypeIdentifierRestingHeartRate", "heart", "lower-better", "Resting heart rate", "resting-heart-rate", 1), ("HKQuantityTypeIdentifierHeartRateVariabilitySDNN", "heart", "higher-better", "Heart rate variability sdnn", "heart-rate-variability-sdnn", 1),
-    ("HKQuantityTypeIdentifierOxygenSaturation", "respiratory", "higher-better", "Oxygen saturation", "oxygen-saturation", 2), ("HKQuantityTypeIdentifierBodyMassIndex", "body", "lower-better", "Body mass index", "body-mass-index", 3),
-    ("HKQuantityTypeIdentifierAppleSleepingWristTemperature", "sleep", "neutral", "Apple sleeping wrist temperature", "apple-sleeping-wrist-temperature", 6), ("HKQuantityTypeIdentifierDietaryWater", "nutrition", "higher-better", "Dietary water", "dietary-water", 7),
-    ("HKQuantityTypeIdentifierDistanceCycling", "activity", "neutral", "Distance cycling", "distance-cycling", 4), ("HKQuantityTypeIdentifierInsulinDelivery", "other", "neutral", "Insulin delivery", "insulin-delivery", 9),
-)) + ") v(identifier, grp, better, label, slug, rank)")
+#: Expected classes: what stands behind the prefix, group, place of the group, family, direction, label and slug.
+CLASSED = """
+RestingHeartRate heart 1 heart lower-better Resting_heart_rate
+HeartRateVariabilitySDNN heart 1 heart higher-better Heart_rate_variability_sdnn
+HeartRate heart 1 heart neutral Heart_rate
+VO2Max heart 1 heart higher-better Vo2_max
+OxygenSaturation respiratory 2 water higher-better Oxygen_saturation
+BodyMassIndex body 3 water lower-better Body_mass_index
+LeanBodyMass body 3 water higher-better Lean_body_mass
+Height body 3 water neutral Height
+StepCount activity 4 activity higher-better Step_count
+BasalEnergyBurned activity 4 energy neutral Basal_energy_burned
+ActiveEnergyBurned activity 4 energy higher-better Active_energy_burned
+DistanceCycling activity 4 distance neutral Distance_cycling
+DistanceWalkingRunning activity 4 activity higher-better Distance_walking_running
+RunningPower activity 4 power neutral Running_power
+RunningGroundContactTime activity 4 activity lower-better Running_ground_contact_time
+WaterTemperature activity 4 water neutral Water_temperature
+WalkingSpeed mobility 5 activity higher-better Walking_speed
+AppleSleepingWristTemperature sleep 6 sleep neutral Apple_sleeping_wrist_temperature
+DietaryWater nutrition 7 water higher-better Dietary_water
+DietaryEnergyConsumed nutrition 7 energy neutral Dietary_energy_consumed
+DietaryZinc nutrition 7 neutral neutral Dietary_zinc
+HeadphoneAudioExposure audio 8 neutral lower-better Headphone_audio_exposure
+TimeInDaylight other 9 neutral higher-better Time_in_daylight
+InsulinDelivery other 9 neutral neutral Insulin_delivery
+""".split("\n")[1:-1]
+CLASSED_SQL = ", ".join(f"({i}, '{n}', '{g}', {r}, '{f}', '{b}', '{label.replace('_', ' ')}', '{label.lower().replace('_', '-')}')" for i, (n, g, r, f, b, label) in enumerate(map(str.split, CLASSED)))
+
+
+@query("metric_classes", f"""c(i, name, grp, rank, family, better, label, slug) AS (VALUES {CLASSED_SQL})
+SELECT subject_id, 'HKQuantityTypeIdentifier' || name AS identifier, grp, rank, family, better, label, slug, count(*) AS n FROM ev JOIN c ON i = k % {len(CLASSED)} GROUP BY ALL""")
 def metric_classes(t: Tables):
-    """Classes, labels and the catalogue's order of groups."""
-    names = ("RestingHeartRate", "HeartRateVariabilitySDNN", "OxygenSaturation", "BodyMassIndex", "AppleSleepingWristTemperature", "DietaryWater", "DistanceCycling", "InsulinDelivery")
+    """The metrics that each subject has, with class, label and place in the catalogue."""
+    names = F.array(*[F.lit(row.split()[0]) for row in CLASSED])
     i = F.col("identifier")
-    rows = t.spark.createDataFrame([(f"HKQuantityTypeIdentifier{n}",) for n in names], "identifier string")
-    return rows.select(i, N.metric_group(i).alias("grp"), N.better(i).alias("better"), N.label(i).alias("label"), N.slug(i).alias("slug"), N.group_rank(N.metric_group(i)).alias("rank"))
+    rows = t.events.select("subject_id", F.concat(F.lit("HKQuantityTypeIdentifier"), F.get(names, F.col("k") % len(CLASSED))).alias("identifier"))
+    g = rows.groupBy("subject_id", "identifier").agg(F.count("*").alias("n"))
+    group = N.metric_group(i)
+    return g.select("subject_id", i, group.alias("grp"), N.group_rank(group).alias("rank"), N.metric_family(i).alias("family"), N.better(i).alias("better"), N.label(i).alias("label"), N.slug(i).alias("slug"), "n")
 
 
 @query("formatted_values", """v AS (SELECT event_id, CAST(v AS DOUBLE) AS v FROM ev), r AS (SELECT *, CAST(floor(v * 20 + 0.5) AS BIGINT) AS s FROM v)

@@ -184,9 +184,10 @@ def first_channel_wins(t: Tables):
     return M.first_channel_wins(t.observations.where("type in ('purchase', 'signup')").withColumn("ingested_at", since))
 
 
-@query("taxonomy_seed", "SELECT * FROM (VALUES ('bpm', 'count/min'), ('steps', 'count'), ('old', 'x'), ('m', 'metre')) v(code, name)")
+@query("taxonomy_seed", """SELECT n_nationkey AS code, CASE WHEN n_nationkey % 2 = 0 THEN n_name WHEN n_nationkey % 3 = 0 THEN 'old ' || n_name END AS name, n_regionkey AS type FROM nation WHERE n_nationkey % 2 = 0 OR n_nationkey % 3 = 0""")
 def taxonomy_seed(t: Tables):
-    """Rows of the contract replace those there are, others stay, and a second run changes nothing."""
-    known = t.spark.createDataFrame([("old", "x"), ("bpm", "wrong")], "code string, name string")
-    contract = t.spark.createDataFrame([("bpm", "count/min"), ("steps", "count"), ("m", "metre")], "code string, name string")
+    """Rows of a checked contract replace those there are, others stay, and a second run changes nothing."""
+    rows = t.read("nation").select(F.col("n_nationkey").alias("code"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("type"))
+    known = rows.where("code % 3 = 0").withColumn("name", F.concat(F.lit("old "), "name"))
+    contract = M.checked_contract(rows.where("code % 2 = 0"), t.read("region").select(F.col("r_regionkey").alias("type")), ["code"])
     return M.seed_taxonomy(M.seed_taxonomy(known, contract, ["code"]), contract, ["code"])

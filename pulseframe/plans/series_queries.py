@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from ..functions.timefns import iso_week, local_day, local_midnight, percent_delta
+from ..lake import Lake
 from ..operators import sessions as X
 from ..operators import series as S
 from ..sources.canonical import CUMULATIVE, FROM_DAY, METRICS, TO_DAY, Tables
+from ..store import scratch_path
 from .registry import query
 from .windows import Range, comparison, granularity, months, parse_day, source_plan
 
@@ -346,13 +350,17 @@ def metric_window_stats(t: Tables):
 @query("rollup_by_month", ROLLUP_SQL + f"""
 SELECT subject_id, type, {TS.format('hour_utc')}, n, CAST(sum AS DOUBLE) AS sum, CAST(min AS DOUBLE) AS min, CAST(max AS DOUBLE) AS max FROM q4""")
 def rollup_by_month(t: Tables):
-    """The whole rollup rebuilt month by month."""
-    out = None
-    for r in months(LONG):
-        a, b = r.start.isoformat(), r.end.isoformat()
-        part = S.build_rollup(S.within(t.observations, "start_ts", a, b), S.within(t.minutes, "minute_ts", a, b), t.cutovers, t.priorities, t.sources, list(CUMULATIVE), ["purchase", "signup"])
-        out = part if out is None else out.unionByName(part)
-    return out
+    """The whole rollup rebuilt month by month, of all months that there are rows of, each committed when it is done."""
+    path = scratch_path(t.spark, "by-month")
+    lake = Lake(t.spark, path, {"rollup": "subject_id long, hour_utc timestamp, n long, sum double, min double, max double, type string, month string"}, {"rollup": ("month", "type")})
+    days = t.observations.select("utc_day").unionByName(t.minutes.select("utc_day"))
+    first, last = days.agg(F.min("utc_day"), F.max("utc_day")).first()
+    if first is not None:
+        for r in months(Range(first, last + timedelta(days=1))):
+            a, b = r.start.isoformat(), r.end.isoformat()
+            part = S.build_rollup(S.within(t.observations, "start_ts", a, b), S.within(t.minutes, "minute_ts", a, b), t.cutovers, t.priorities, t.sources, list(CUMULATIVE), ["purchase", "signup"])
+            lake.commit({}, {"rollup": part.withColumn("month", F.date_format("hour_utc", "yyyy-MM"))})
+    return lake.read("rollup").drop("month")
 
 
 @query("granted_daily", "g AS (SELECT subject_id FROM subj WHERE subject_id % 3 = 1), " + discrete_sql("purchase", "CAST(sum(value) AS DOUBLE) / count(value)") + " WHERE subject_id IN (SELECT subject_id FROM g)")

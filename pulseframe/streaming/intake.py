@@ -15,6 +15,7 @@ from ..functions.timefns import iso_date
 from ..lake import Lake
 from ..operators import merge as M
 from ..operators import series as S
+from ..operators import sessions as X
 from ..sources import normalise as N
 from ..sources import wire
 from ..store import kept_table
@@ -383,6 +384,51 @@ class Intake:
         rows = self.store.read("ledger", state, numbered=True)
         return rows.withColumn("state", F.when(ready, "rollups_ready").otherwise(F.col("state"))).drop("commit")
 
+    def repair_channels(self, regimes: tuple[str, ...] = ("raw",)) -> DataFrame | None:
+        """Deletes the observations of a later channel where the earlier one has the range too, in one commit that writes the touched
+        partitions anew and makes their hours dirty. The number of rows by (subject_id, type, origin); None where none goes,
+        as in a second run."""
+        state = self.store.state()
+        some = [r["type"] for r in self.types.select("type", "regime").collect() if r["regime"] in regimes]
+        obs = self.store.read("observations", state, numbered=True).where(F.col("type").isin(*some)).withColumnRenamed("commit", "ingested_at")
+        gone = kept_table(M.later_channel_rows(obs), "gone")
+        parts = [tuple(r) for r in gone.select("type", "month").distinct().collect()]
+        if not parts:
+            return None
+        at = reduce(lambda a, b: a | b, [(F.col("type") == t) & (F.col("month") == m) for t, m in parts])
+        # A channel's rows of a range go together, so the same join finds them in the partitions.
+        keys = ["subject_id", "type", "origin", "start_ts", "batch", "uuid", "source_id", "value_key", "category_value"]
+        left = kept_table(M.not_in_history(self.store.read("observations", state).where(at), gone, keys), "left")
+        dirty = M.dirty_ranges(gone.where("value is not null"), []).select("subject_id", "type", "from_ts", "to_ts")
+        drops = [f"type={t}/month={m}" for t, m in parts]
+        self.store.commit({"dirty": dirty}, {"observations": left}, drops={"observations": drops})
+        return gone.groupBy("subject_id", "type", "origin").agg(F.count("*").alias("rows_deleted"))
+
+    def merge_sessions(self) -> DataFrame | None:
+        """Deletes sessions that are alike in all their business columns but for the one that stays, and points its ids, series and
+        positions to that. Groups of which several have such rows are left as they are. (workout_id, keep) of those deleted;
+        None where none is."""
+        state = self.store.state()
+        stored = {t: self.store.read(t, state) for t in ("sessions", "session_ids", "session_points", "session_routes")}
+        children = reduce(DataFrame.unionByName, [stored[t].select("workout_id") for t in stored if t != "sessions"])
+        alike = [c for c in stored["sessions"].columns if c not in ("workout_id", "stats")]
+        rows = stored["sessions"].withColumn("stats_text", F.to_json(F.array_sort(F.map_entries("stats"))))
+        groups = X.identical_sessions(rows, children, [*alike, "stats_text"]).where("keep is not null")
+        ids = groups.select(F.explode("ids").alias("id"), "keep").where("id <> keep")
+        gone = kept_table(ids.select(F.col("id").cast("long").alias("workout_id"), F.col("keep").cast("long").alias("keep")), "merged")
+        if gone.isEmpty():
+            return None
+        replaced, drops = {}, {}
+        for table, df in stored.items():
+            moved = df.join(gone, "workout_id", "left")
+            moved = moved.where("keep is null").drop("keep") if table == "sessions" else moved.withColumn("workout_id", F.coalesce("keep", "workout_id")).drop("keep")
+            if table != "sessions" and df.join(gone, "workout_id", "left_semi").isEmpty():
+                continue
+            replaced[table] = kept_table(moved.select(*df.columns), table)
+            drops[table] = list(state["tables"].get(table, {}))
+        self.store.commit({}, replaced, drops=drops)
+        return gone
+
     def drain(self, priorities: DataFrame | None = None) -> int | None:
         """Brings the rollup up to date with all commits so far, and marks them, in one commit: only partitions of
         type and month that hold dirty hours are read and replaced, and only those hours rebuilt. The commit's number; None

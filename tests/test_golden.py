@@ -205,3 +205,12 @@ def test_export(spark, tmp_path):
     for _ in range(2):
         wire.write_rows(rows.withColumn("day", F.to_date("start_ts")), str(tmp_path / "sink"), "type", "day")
     assert spark.read.parquet(str(tmp_path / "sink")).where("type = 'HR' and day = '2024-01-10'").count() == 2
+
+
+def test_contracts_are_checked(spark):
+    types = spark.createDataFrame([("a",), ("b",)], "type string")
+    rows = lambda *r: spark.createDataFrame(list(r), "code int, type string")
+    assert M.checked_contract(rows((1, "a"), (2, "b")), types, ["code"]).count() == 2
+    for bad, what in ((rows((None, "a")), "without a key"), (rows((1, "a"), (1, "b")), "twice"), (rows((1, "weight"),), "unknown types")):
+        with pytest.raises(ValueError, match=what):
+            M.checked_contract(bad, types, ["code"])

@@ -148,6 +148,40 @@ def test_the_rollup_is_brought_up_to_date_by_partition(spark, tmp_path):
     assert {r.hour_utc.strftime("%d %H"): (r.n, r.sum) for r in later.read("rollup").where(F.col("type") == HEART).collect()} == {"30 22": (4, 248.0), "31 00": (1, 70.0), "02 22": (1, 50.0)}
 
 
+def test_the_later_channel_is_repaired(spark, tmp_path):
+    took = intake.Intake(intake.lake(spark, str(tmp_path / "store")), *contract(spark))
+    month = F.lit("2024-01")
+    rows = lambda origin, minutes, value: spark.range(1).select(
+        F.explode(F.lit(minutes)).alias("minute"), F.lit(origin).alias("origin"), F.lit(value).alias("value")
+    ).select(
+        F.lit(1).alias("subject_id"), F.lit(1).alias("source_id"), (F.lit("2024-01-10 00:00:00").cast("timestamp") + F.make_dt_interval(mins=F.col("minute"))).alias("start_ts"), F.lit(None).cast("timestamp").alias("end_ts"),
+        F.lit(0).alias("tz_offset_min"), "value", F.lit(1).alias("value_key"), F.lit(None).cast("int").alias("category_value"), "origin", F.lit(None).cast("string").alias("uuid"), F.lit("b").alias("batch"), F.lit(HEART).alias("type"), month.alias("month"),
+    )
+    took.store.commit({"observations": rows("health_xml", [0, 60, 120, 180], 1.0)})
+    took.store.commit({"observations": rows("hae", [90, 91, 175, 185, 400], 2.0)})
+    took.store.commit({"observations": rows("hae", [500], 3.0).withColumn("subject_id", F.lit(2))})
+    assert [tuple(r) for r in took.repair_channels().collect()] == [(1, HEART, "hae", 3)]
+    left = sorted((r.subject_id, r.origin, r.value) for r in took.observations().collect())
+    assert left == [(1, "hae", 2.0)] * 2 + [(1, "health_xml", 1.0)] * 4 + [(2, "hae", 3.0)]
+    assert took.repair_channels() is None
+    took.drain()
+    assert {r.hour_utc.hour: (r.n, r.sum) for r in took.store.read("rollup").where("subject_id = 1").collect()} == {1: (1, 1.0), 2: (1, 1.0)}  # the hours that lost rows
+
+
+def test_sessions_that_are_alike_become_one(spark, tmp_path):
+    took = intake.Intake(intake.lake(spark, str(tmp_path / "store")), *contract(spark))
+    session = lambda i, activity, stats=None: (i, 1, activity, 5, FROM, FROM + timedelta(minutes=30), 0, None, 60.0, None, 1.5, None, stats or {"a": "1", "b": "2"})
+    rows = [session(10, "Run"), session(11, "Run"), session(12, "Run"), session(20, "Row"), session(21, "Row"), session(30, "Walk"), session(31, "Walk", {"a": "2"}), session(40, "Swim"), session(41, "Swim")]
+    took.store.commit({
+        "sessions": spark.createDataFrame(rows, intake.SCHEMAS["sessions"]), "session_ids": spark.createDataFrame([("push", "x", 11, 1), ("push", "y", 40, 1), ("push", "z", 41, 1)], intake.SCHEMAS["session_ids"]),
+        "session_points": spark.createDataFrame([(11, "s", FROM, 1.0, "2024-01")], intake.SCHEMAS["session_points"]),
+    })
+    assert sorted(tuple(r) for r in took.merge_sessions().collect()) == [(10, 11), (12, 11), (21, 20)]
+    assert sorted(r.workout_id for r in took.store.read("sessions").collect()) == [11, 20, 30, 31, 40, 41]
+    assert [r.workout_id for r in took.store.read("session_points").collect()] == [11]
+    assert took.merge_sessions() is None
+
+
 def test_files_that_land_are_taken_once(spark, tmp_path):
     land = tmp_path / "land" / "push" / "subject=4" / "device=1"
     land.mkdir(parents=True)
