@@ -9,8 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.timefns import iso_date, push_date, quantise
-from ..functions.units import convert, elevation_m, source_name
+from ..functions.timefns import iso_date, quantise
 from ..shipping import ship
 from .normalise import UUID
 
@@ -122,50 +121,6 @@ def native_samples(batches: DataFrame, units: DataFrame, categories: DataFrame,
     return s.withColumn("start_ts", a).withColumn("end_ts", b).withColumn("tz_offset_min", off).withColumn("value_key", quantise(F.col("value"), 1000)).withColumn("skip_reason", reason).drop("__unit", "__known", "start", "end")
 
 
-RECORD = "_type string, _sourceName string, _unit string, _value string, _startDate string, _endDate string"
-NESTED = f"Record array<struct<{RECORD.replace(' ', ':').replace(',:', ',')}>>"
-SESSION = (
-    "_workoutActivityType string, _sourceName string, _startDate string, _endDate string, _duration double, _durationUnit string, "
-    "WorkoutStatistics array<struct<_type:string,_sum:double,_unit:string>>, MetadataEntry array<struct<_key:string,_value:string>>"
-)
-
-
-def read_export(spark: SparkSession, path: str, types: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(records, workouts) of an XML export. Records nested in a correlation or workout are left out.
-
-    types: (type, unit, kind) of the contract; with it records of unknown types and quantities in units that
-    don't convert are refused, and values are in the types' units."""
-    tag = lambda name, schema: spark.read.format("xml").option("rowTag", name).schema(schema).load(path)
-    records, sessions = tag("Record", RECORD), tag("Workout", f"{SESSION}, {NESTED}")
-    cols = records.columns
-    inner = tag("Correlation", NESTED).unionByName(sessions.select("Record")).select(F.explode("Record").alias("r")).select("r.*")
-    left = records.withColumn("__n", F.lit(1)).unionByName(inner.withColumn("__n", F.lit(-1))).groupBy(*cols).agg(F.sum("__n").alias("__n")).where("__n > 0")
-    rows = left.withColumn("__i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n")))).drop("__n", "__i")
-    (a, off), (b, _) = push_date(F.col("_startDate")), push_date(F.col("_endDate"))
-    rows = rows.select(
-        F.col("_type").alias("type"), source_name(F.col("_sourceName")).alias("source"), F.col("_unit").alias("unit"), F.col("_value").try_cast("double").alias("value"), F.col("_value").alias("raw_value"),
-        a.alias("start_ts"), b.alias("end_ts"), off.alias("tz_offset_min"),
-    )
-    reason = F.when(F.col("start_ts").isNull(), "bad_date").when(F.abs("tz_offset_min") > 900, "bad_offset").when(F.col("value").isNull() & F.col("unit").isNotNull(), "bad_value")
-    if types is not None:
-        known = types.select("type", F.col("unit").alias("__to"), F.col("kind").alias("__kind"))
-        rows = rows.join(F.broadcast(known), "type", "left")
-        value = F.when(F.col("__kind") == "quantity", convert(F.col("value"), F.col("unit"), F.col("__to")))
-        reason = reason.when(F.col("__kind").isNull(), "unknown_type").when((F.col("__kind") == "quantity") & value.isNull(), "unit_mismatch")
-        rows = rows.withColumn("skip_reason", reason).withColumn("value", value).drop("__to", "__kind")
-    else:
-        rows = rows.withColumn("skip_reason", reason)
-    stat = lambda like: F.get(F.filter("WorkoutStatistics", lambda s: s["_type"].contains(like)), F.lit(0))
-    meta = lambda k: F.get(F.filter("MetadataEntry", lambda m: m["_key"] == k), F.lit(0))["_value"]
-    dist, energy = stat("Distance"), stat("ActiveEnergyBurned")
-    workouts = sessions.select(
-        F.regexp_replace("_workoutActivityType", "^HKWorkoutActivityType", "").alias("activity"), source_name(F.col("_sourceName")).alias("source"), push_date(F.col("_startDate"))[0].alias("start_ts"), push_date(F.col("_endDate"))[0].alias("end_ts"),
-        convert(F.col("_duration"), F.coalesce("_durationUnit", F.lit("min")), F.lit("s")).alias("duration_s"), F.coalesce(convert(dist["_sum"], dist["_unit"], F.lit("m")), dist["_sum"] * 1000).alias("distance_m"),
-        convert(energy["_sum"], energy["_unit"], F.lit("kJ")).alias("energy_kj"), (meta("HKIndoorWorkout") == "1").alias("indoor"), elevation_m(meta("HKElevationAscended")).alias("elevation_up_m"),
-    )
-    return rows, workouts
-
-
 def write_rows(rows: DataFrame, path: str, *partitions: str) -> None:
     """Bulk sink: rows appended by partition, dealt so that a partition gets few files. Spark's committer
     shows a job's files all at once when it ends."""

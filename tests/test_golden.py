@@ -188,20 +188,20 @@ def test_minute_counters_take_late_and_repeated_events_once(spark, tmp_path):
 
 
 def test_export(spark, tmp_path):
-    from pulseframe.sources import wire
+    from pulseframe.sources import export, wire
 
     rec = '<Record type="HR" sourceName="W" unit="count/min" value="{}" startDate="2024-01-10 10:0{}:00 +0000" endDate="2024-01-10 10:00:00 +0000"/>'
     (tmp_path / "export.xml").write_text(
         "<HealthData>" + rec.format(60, 0) + "<Correlation>" + rec.format(70, 1) + '</Correlation><Workout workoutActivityType="HKWorkoutActivityTypeRunning" sourceName="W" duration="30" durationUnit="min" startDate="2024-01-10 10:00:00 +0000" endDate="2024-01-10 10:30:00 +0000">'
         '<WorkoutStatistics type="HKQuantityTypeIdentifierDistanceWalkingRunning" sum="5" unit="km"/><MetadataEntry key="HKIndoorWorkout" value="0"/><MetadataEntry key="HKElevationAscended" value="1710 cm"/></Workout></HealthData>'
     )
-    rows, workouts = wire.read_export(spark, str(tmp_path / "export.xml"))
+    rows, workouts = export.read_export(spark, str(tmp_path / "export.xml"))
     assert [r.value for r in rows.collect()] == [60.0]
     w = workouts.first()
     assert (w.activity, w.duration_s, w.distance_m, w.indoor, round(w.elevation_up_m, 6)) == ("Running", 1800.0, 5000.0, False, 17.1)
     types = spark.createDataFrame([("HR", "count/s", "quantity")], "type string, unit string, kind string")
-    assert [(r.value, r.skip_reason) for r in wire.read_export(spark, str(tmp_path / "export.xml"), types)[0].collect()] == [(None, "unit_mismatch")]
-    assert [r.skip_reason for r in wire.read_export(spark, str(tmp_path / "export.xml"), types.limit(0))[0].collect()] == ["unknown_type"]
+    assert [(r.value, r.skip_reason) for r in export.read_export(spark, str(tmp_path / "export.xml"), types)[0].collect()] == [(None, "unit_mismatch")]
+    assert [r.skip_reason for r in export.read_export(spark, str(tmp_path / "export.xml"), types.limit(0))[0].collect()] == ["unknown_type"]
     for _ in range(2):
         wire.write_rows(rows.withColumn("day", F.to_date("start_ts")), str(tmp_path / "sink"), "type", "day")
     assert spark.read.parquet(str(tmp_path / "sink")).where("type = 'HR' and day = '2024-01-10'").count() == 2
@@ -214,3 +214,49 @@ def test_contracts_are_checked(spark):
     for bad, what in ((rows((None, "a")), "without a key"), (rows((1, "a"), (1, "b")), "twice"), (rows((1, "weight"),), "unknown types")):
         with pytest.raises(ValueError, match=what):
             M.checked_contract(bad, types, ["code"])
+
+
+ELEMENT = '<Record type="HR" sourceName="{}" unit="count/min" value="{}" startDate="2024-01-10 10:00:00 +0000" endDate="2024-01-10 10:00:00 +0000"'
+SESSION = '<Workout workoutActivityType="HKWorkoutActivityTypeRunning" sourceName="W &amp; V" duration="{}" durationUnit="min" startDate="2024-01-10 10:00:00 +0000" endDate="2024-01-10 11:00:00 +0000"'
+
+
+def exported(n):
+    """n blocks of elements, nested and not, with the values that count."""
+    out, want = ['<?xml version="1.0"?>\n<!DOCTYPE HealthData [\n<!ELEMENT Record (MetadataEntry*)>\n]>\n<HealthData>\n'], []
+    for k in range(n):
+        nested = ELEMENT.format("W", -1) + "/>"
+        out += [ELEMENT.format("A &lt;b&gt; &quot;c&quot; &#233;\u00a0", k), '>\n<MetadataEntry key="HKIndoorWorkout" value="1"/>\n</Record>\n']
+        out += ["<Correlation type='x'>\n", nested * 3, ELEMENT.format("W", -1), '><MetadataEntry key="a" value="b"/></Record></Correlation>\n']
+        out += [SESSION.format(k), '>\n<WorkoutStatistics type="HKQuantityTypeIdentifierDistanceCycling" sum="2" unit="km"/>\n<WorkoutStatistics type="HKQuantityTypeIdentifierDistanceWalkingRunning" sum="500" unit="m"/>\n', nested]
+        out += ['<WorkoutActivity uuid="u">\n<WorkoutStatistics type="HKQuantityTypeIdentifierDistanceCycling" sum="99" unit="km"/>\n<MetadataEntry key="HKIndoorWorkout" value="1"/></WorkoutActivity>\n']
+        out += ['<WorkoutRoute><MetadataEntry key="HKElevationAscended" value="9 m"/></WorkoutRoute><MetadataEntry key="HKElevationAscended" value="150 cm"/>\n</Workout>\n', SESSION.format(k), "/>\n"]
+        want.append(float(k))
+    return "".join([*out, "</HealthData>\n"]), want
+
+
+def test_export_is_read_by_ranges_with_what_is_open_around_them(spark, tmp_path):
+    import zipfile
+
+    from pulseframe.sources import export
+
+    text, want = exported(40)
+    (tmp_path / "export.xml").write_text(text)
+    with zipfile.ZipFile(tmp_path / "export.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("apple/other.xml", "<a/>")
+        z.writestr("apple/export.xml", text)
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for path, most in (("export.xml", "3333"), ("export.zip", "8000")):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", most)
+            rows, workouts = export.read_export(spark, str(tmp_path / path))
+            got = rows.collect()
+            assert sorted(r.value for r in got) == want and {r.source for r in got} == {'A <b> "c" é'}
+            w = workouts.toPandas()
+            assert len(w) == 80 and set(w["source"]) == {"W & V"}
+            full = w[w["distance_m"].notna()]
+            assert len(full) == 40 and set(full["distance_m"]) == {2500.0} and set(full["elevation_up_m"]) == {1.5} and full["indoor"].isna().all()
+            assert sorted(full["duration_s"]) == [k * 60.0 for k in range(40)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    ranges = export.elements(spark, str(tmp_path / "export.xml"))
+    assert "Scan xml" not in ranges._jdf.queryExecution().toString()
