@@ -9,6 +9,8 @@ from ..functions.timefns import iso_date, push_date
 from ..operators import merge as M
 from ..operators import series as S
 from ..sources.canonical import CUMULATIVE, METRICS, Tables
+from ..store import scratch_path
+from ..streaming import authority
 from .registry import query
 from .series_queries import ROLLUP_SQL, built
 
@@ -91,6 +93,29 @@ def channel_match(t: Tables):
     return M.match_across(incoming, existing, "existing")
 
 
+@query("authority_stream", """base AS (SELECT subject_id, type, minute_ts, CAST(value AS DOUBLE) AS value, source_id % 2 AS device, CAST(epoch(minute_ts) AS BIGINT) // 60 % 3 AS b FROM mins),
+r AS (SELECT * FROM base UNION ALL SELECT subject_id, type, minute_ts, value + CASE WHEN CAST(epoch(minute_ts) AS BIGINT) % 120 = 0 THEN 1 ELSE 0 END, 9, b + 1 FROM base),
+f AS (SELECT subject_id, type, arg_min(device, (b, device)) AS owner, min((b, device)) AS first FROM r GROUP BY 1, 2),
+c AS (SELECT f.subject_id, f.type, owner, min(minute_ts) AS cutover FROM f JOIN r ON r.subject_id = f.subject_id AND r.type = f.type AND (r.b, r.device) = f.first GROUP BY 1, 2, 3),
+h AS (SELECT r.subject_id, r.type, r.minute_ts, r.value FROM r JOIN c ON r.subject_id = c.subject_id AND r.type = c.type WHERE device = owner AND minute_ts >= cutover)
+SELECT r.subject_id, r.type, CASE WHEN device = owner THEN CASE WHEN r.minute_ts < cutover THEN 'before_cutover' ELSE 'inserted' END WHEN h.value = r.value THEN 'duplicate' ELSE 'conflict' END AS outcome, count(*) AS n
+FROM r JOIN c ON r.subject_id = c.subject_id AND r.type = c.type LEFT JOIN h ON h.subject_id = r.subject_id AND h.type = r.type AND h.minute_ts = r.minute_ts GROUP BY 1, 2, 3""")
+def authority_stream(t: Tables):
+    """Device authority as state of a stream that takes four batches, late minutes among them; a ninth device sends each
+    minute again a batch later, every second one with another value."""
+    device, at = (F.col("source_id") % 2).cast("long"), F.unix_seconds("minute_ts")
+    base = t.minutes.select("subject_id", "type", "minute_ts", F.col("value").cast("double").alias("value"), device.alias("device_id"), F.floor(at / 60).cast("long").alias("m"))
+    echo = base.withColumns({"value": F.col("value") + F.when(at % 120 == 0, 1).otherwise(0), "device_id": F.lit(9).cast("long")})
+    rows = base.withColumn("b", F.col("m") % 3).unionByName(echo.withColumn("b", F.col("m") % 3 + 1))
+    rows = rows.withColumn("batch", F.concat_ws("-", "b", "device_id")).withColumn("place", F.lit(0)).drop("m")
+    root = scratch_path(t.spark, "authority")
+    for b in range(4):
+        rows.where(F.col("b") == b).drop("b").write.mode("append").parquet(f"{root}/landed")
+        authority.run(t.spark.readStream.schema(rows.drop("b").schema).parquet(f"{root}/landed"), f"{root}/judged", f"{root}/checkpoint")
+    out = t.spark.read.schema(f"{authority.JUDGED}, minute_ts timestamp").parquet(f"{root}/judged")
+    return out.groupBy("subject_id", "type", "outcome").agg(F.count("*").alias("n"))
+
+
 @query("workout_identity", """k AS (SELECT workout_id, subject_id FROM wk WHERE workout_id % 4 = 0),
 f AS (SELECT subject_id, activity, start_ts, end_ts, count(*) AS n, min(workout_id) AS fit FROM wk WHERE workout_id % 4 <> 0 GROUP BY 1, 2, 3, 4)
 SELECT wk.workout_id AS external_id, CASE WHEN k.workout_id IS NOT NULL THEN 'known' WHEN n = 1 AND wk.workout_id % 4 <> 3 THEN 'adopted' ELSE 'created' END AS outcome
