@@ -14,9 +14,9 @@ from ..shipping import ship
 from .common import fold
 from .toxicity import labelled
 
-#: Most labelled rows that a fit takes, a parameter of ``fit``, and most pieces that teach a dictionary:
-#: those of the least hashes among all pieces of the rows' whole texts.
-MAX_FIT, MAX_PIECES = 6_000, 12_000
+#: Most labelled rows that a fit takes, a parameter of ``fit``; pieces for each of them that teach a dictionary, another: those
+#: of the least hashes among all pieces of the rows' whole texts. Rows of either label without which there is no fit.
+MAX_FIT, PIECES, LEAST_ROWS = 6_000, 2, 20
 #: Bytes of a dictionary, bytes of a piece that teaches one, and the level of compression.
 DICTIONARY, PIECE, LEVEL = 64 * 1024, 2_048, 3
 #: Fixed value: how trained dictionaries begin.
@@ -69,7 +69,7 @@ def pieces(rows: DataFrame) -> DataFrame:
     return rows.select(F.col("label").cast("int"), "text").mapInArrow(cut, "label int, piece binary")
 
 
-def _sample(rows: DataFrame, label: int, most: int = MAX_PIECES) -> list[bytes]:
+def _sample(rows: DataFrame, label: int, most: int) -> list[bytes]:
     """The pieces of one label with the least hashes, wherever in a text they stand."""
     mine = pieces(rows.where(F.col("label") == label))
     return [bytes(r["piece"]) for r in mine.orderBy(F.xxhash64("piece", F.lit(29)), "piece").limit(most).select("piece").toLocalIterator()]
@@ -123,18 +123,19 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", limit: int = MAX_FIT, id_col: str = "doc_id", text_col: str = "text") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", limit: int = MAX_FIT, id_col: str = "doc_id", text_col: str = "text", each: int = PIECES) -> Model:
     """Half of at most ``limit`` labelled rows makes the dictionaries, half calibrates the difference by
-    logistic regression. Without rows of both labels the score is the labels' rate (0.5 for none)."""
+    logistic regression. A dictionary learns from ``each`` times ``limit`` pieces of 2,048 bytes of its label's texts at most; pieces
+    under 16 bytes teach nothing. With fewer than 20 rows of either label the score is the labels' rate (0.5 for none)."""
     spark = docs.sparkSession
     ship(spark)
     rows = labelled(docs, labels, label, limit, id_col, text_col)
     train = rows.where("part in (0, 1)")
     counts = rows.groupBy("label").count().collect()
     n = {r["label"]: r["count"] for r in counts}
-    if min(n.get(0, 0), n.get(1, 0)) < 20 or train.select("label").distinct().count() < 2:
+    if min(n.get(0, 0), n.get(1, 0)) < LEAST_ROWS or train.select("label").distinct().count() < 2:
         return Model(spark, None, [n.get(1, 0) / sum(n.values()) if n else 0.5], [])
-    packed = Packed(*(_dictionary(_sample(train, v), DICTIONARY) for v in (1, 0)))
+    packed = Packed(*(_dictionary(_sample(train, v, each * limit), DICTIONARY) for v in (1, 0)))
     shared = spark.sparkContext.broadcast(packed)
 
     @F.pandas_udf("array<double>")

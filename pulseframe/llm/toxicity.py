@@ -165,7 +165,8 @@ def calibrated(p: Column, steps: list[tuple[float, float]]) -> Column:
 
 def isotonic_steps(p: np.ndarray, y: np.ndarray, least: float = 1e-3) -> list[tuple[float, float]]:
     """Pool adjacent violators over a bounded calibration sample: (score, probability) at the middle
-    of each pool, rates shrunk a little so that none is exactly 0 or 1."""
+    of each pool, rates shrunk a little so that none is exactly 0 or 1. Of more than 40 pools the ones whose rates differ least
+    from their neighbours' are left out, as each is a branch of the score's expression."""
     order = np.argsort(p, kind="stable")
     pools: list[list[float]] = []  # sum of y, weight, sum of p
     for q, v in zip(p[order], y[order], strict=True):
@@ -197,7 +198,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int = M
     """Three quarters of the labelled rows teach lexicon and trees, one quarter the calibration.
 
     At most ``limit`` labelled rows are used, whole texts; the lexicon is counted and the trees are
-    fitted by Spark. Without rows of both labels the score is the labels' rate (0.5 for none)."""
+    fitted by Spark. With fewer than 20 rows of either label the score is the labels' rate (0.5 for none)."""
     spark = docs.sparkSession
     ship(spark)
     rows = labelled(docs, labels, label, limit, id_col, text_col)
