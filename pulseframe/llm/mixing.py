@@ -49,11 +49,10 @@ def raked(cells: DataFrame, powers: dict[str, float] | None = None, targets: dic
     follow ``powers``; values that an explicit margin doesn't name get no weight.
 
     A sweep scales each margin in turn by its target over its sum: a partial aggregate joined back, so that
-    a value with most of the cells is no group of one task. Each round makes two sweeps and writes them in the
-    shared folder with the errors that the second met. The next begins where the logarithms of the weights lead
-    to at the pace of these two: sweeps end at the same weights from there, as only factors of margins have
-    changed, but need far fewer rounds where cells are sparse. If a round so begun has a larger error, the next
-    is a plain one."""
+    a value with most of the cells is no group of one task. Each sweep is written in the shared folder, and two
+    make a round. The next begins where the logarithms of the weights lead to at the pace of these two: sweeps end
+    at the same weights from there, as only factors of margins have changed, but need far fewer rounds where cells are
+    sparse. If a round so begun has a larger error, the next is a plain one."""
     powers = POWERS | (powers or {})
     some = cells.where("n > 0")
     total = some.agg(F.sum("n")).first()[0]
@@ -71,8 +70,8 @@ def raked(cells: DataFrame, powers: dict[str, float] | None = None, targets: dic
         out = out.join(sums.select(m, (F.col("t") / F.lit(float(whole))).alias(f"t_{m}")), m)
     out, best, since, before, ahead = written(out, "raked"), float("inf"), 0, float("inf"), False
     while True:
-        one = _sweep(out.withColumn("w0", F.col("w"))).withColumn("w1", F.col("w"))
-        out = written(_sweep(one), "raked")
+        one = written(_sweep(out.withColumn("w0", F.col("w"))).drop("off"), "raked")
+        out = written(_sweep(one.withColumn("w1", F.col("w"))), "raked")
         step, turn = F.ln("w1") - F.ln("w0"), F.ln("w") - 2 * F.ln("w1") + F.ln("w0")
         fine = (F.col("w") > 0) & (F.col("w0") > 0)
         sums = [F.sum(F.when(fine, step * step)), F.sum(F.when(fine, turn * turn)), F.sum(F.abs(F.col("w") - F.col("w1")))]
@@ -85,7 +84,9 @@ def raked(cells: DataFrame, powers: dict[str, float] | None = None, targets: dic
         pace = (r / v) ** 0.5 if r and v else 1.0
         if ahead := pace > 1.0 and not worse:
             led = F.exp(F.ln("w0") + 2 * pace * step + pace * pace * turn)
-            out = out.withColumn("w", F.when(fine & ~F.isnan(led) & (led > 0) & (led < 1e6), led).otherwise(F.col("w")))
+            led = F.when(fine & ~F.isnan(led) & (led > 0) & (led < 1e6), led).otherwise(F.col("w"))
+            # In a table of its own: the sweeps' code is the same each time, and compiled once.
+            out = written(out.withColumn("w", led), "raked")
         out = out.drop("off", "w0", "w1")
 
 
