@@ -124,3 +124,15 @@ def intake_rollup(t: Tables):
     """The stored rollup after two drains of what the batches made dirty."""
     r = stored(t).store.read("rollup")
     return r.select("subject_id", "type", "hour_utc", "n", F.round("sum", 6).alias("sum"), "min", "max")
+
+
+@query("intake_inventory", STORED + " SELECT subject_id, type, count(*) AS n, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_ts, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_ts FROM o GROUP BY 1, 2")
+def intake_inventory(t: Tables):
+    """Counts and coverage of the stored observations, from summaries that the commits keep."""
+    return stored(t).inventory()
+
+
+@query("intake_newest", STORED + ", q AS (SELECT *, row_number() OVER (PARTITION BY subject_id, type ORDER BY ts DESC, v DESC NULLS LAST, category DESC NULLS LAST) AS rn FROM o) SELECT subject_id, type, strftime(ts, '%Y-%m-%d %H:%M:%S') AS start_ts, v AS value FROM q WHERE rn <= 5")
+def intake_newest(t: Tables):
+    """the five newest observations of each subject and type, read from the newest month back."""
+    return stored(t).newest(5).select("subject_id", "type", "start_ts", "value")

@@ -40,9 +40,11 @@ SCHEMAS = {
     "dirty": "subject_id long, type string, from_ts timestamp, to_ts timestamp",
     "ledger": "path string, sha256 string, subject_id long, device_id long, format string, state string, error string, counts string, "
     "first_ts timestamp, last_ts timestamp, batch string",
+    "summaries": "subject_id long, n long, first_ts timestamp, last_ts timestamp, type string",
     "rollup": "subject_id long, hour_utc timestamp, n long, sum double, min double, max double, type string, month string",
 }
 BY = {t: ("type", "month") for t in ("observations", "minutes", "rollup")} | {t: ("month",) for t in ("conflicts", "segments", "session_points", "session_routes")}
+BY["summaries"] = ("type",)
 #: Formats by the first part of a payload's path, which names the subject and the device too.
 FORMATS = {"push": "push", "native": "native"}
 PATH = r"(push|native)/subject=(\d+)/device=(\d+)/"
@@ -63,6 +65,11 @@ def source_id(name: str = "source") -> Column:
     return F.xxhash64(F.coalesce(name, F.lit(""))).alias("source_id")
 
 
+def summary(observations: DataFrame) -> DataFrame:
+    """(subject_id, type, n, first_ts, last_ts) of some observations; those of parts of them add up."""
+    return observations.groupBy("subject_id", "type").agg(F.count("*").alias("n"), F.min("start_ts").alias("first_ts"), F.max("start_ts").alias("last_ts"))
+
+
 def current(rows: DataFrame, keys: list[str]) -> DataFrame:
     """The last committed row of each key."""
     rest = [c for c in rows.columns if c not in (*keys, "commit")]
@@ -168,7 +175,7 @@ class Intake:
         cutovers, judged = self._minutes(minutes, past)
         cutovers, judged = kept_table(cutovers, "cutovers"), kept_table(judged, "judged")
         between("merged")
-        adds = {"observations": fresh, "cutovers": cutovers}
+        adds = {"observations": fresh, "summaries": summary(fresh), "cutovers": cutovers}
         adds["minutes"] = judged.where("outcome in ('inserted', 'updated')").withColumn("month", month("minute_ts"))
         adds["conflicts"] = judged.where("outcome = 'conflict'").withColumn("month", month("minute_ts"))
         adds["nights"] = M.first_of_batch(fine(nights), ["subject_id", "night", "channel"], [F.col("id").desc()])
@@ -384,6 +391,33 @@ class Intake:
         rows = self.store.read("ledger", state, numbered=True)
         return rows.withColumn("state", F.when(ready, "rollups_ready").otherwise(F.col("state"))).drop("commit")
 
+    def inventory(self) -> DataFrame:
+        """(subject_id, type, n, first_ts, last_ts) of all observations, from the summaries that commits keep: no
+        observation is read."""
+        rows = self.store.read("summaries").groupBy("subject_id", "type")
+        return rows.agg(F.sum("n").alias("n"), F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"))
+
+    def newest(self, k: int) -> DataFrame:
+        """The newest k observations of each subject and type, of equal instants those with the largest value, source and uuid.
+
+        Months are read from the newest back, each only for the subjects and types that lack rows still and have some that
+        early, until all have theirs: where all push daily that is the last month, however long the history."""
+        state, key = self.store.state(), ["subject_id", "type"]
+        rows = self.store.read("observations", state)
+        order = [F.col(c).desc_nulls_last() for c in ("start_ts", "value", "source_id", "uuid", "category_value")]
+        place = F.row_number().over(Window.partitionBy(*key).orderBy(*order))
+        lack = kept_table(self.inventory().select(*key, F.least("n", F.lit(k)).alias("lack"), month("first_ts").alias("first")), "lack")
+        found = []
+        for m in sorted({p.rpartition("month=")[2] for p in state["tables"].get("observations", {})}, reverse=True):
+            some = rows.where(F.col("month") == m).join(lack.where(F.col("first") <= m), key)
+            part = kept_table(some.withColumn("place", place).where("place <= lack").drop("place", "lack", "first"), "newest")
+            found.append(part)
+            got = part.groupBy(*key).agg(F.count("*").alias("got"))
+            lack = kept_table(lack.join(got, key, "left").withColumn("lack", F.col("lack") - F.coalesce("got", F.lit(0))).where("lack > 0").drop("got"), "lack")
+            if lack.isEmpty():
+                break
+        return reduce(DataFrame.unionByName, found) if found else rows.limit(0)
+
     def repair_channels(self, regimes: tuple[str, ...] = ("raw",)) -> DataFrame | None:
         """Deletes the observations of a later channel where the earlier one has the range too, in one commit that writes the touched
         partitions anew and makes their hours dirty. The number of rows by (subject_id, type, origin); None where none goes,
@@ -401,7 +435,12 @@ class Intake:
         left = kept_table(M.not_in_history(self.store.read("observations", state).where(at), gone, keys), "left")
         dirty = M.dirty_ranges(gone.where("value is not null"), []).select("subject_id", "type", "from_ts", "to_ts")
         drops = [f"type={t}/month={m}" for t, m in parts]
-        self.store.commit({"dirty": dirty}, {"observations": left}, drops={"observations": drops})
+        # First and last instants can't be taken back, so the summaries of the types are made anew.
+        types = sorted({t for t, _ in parts})
+        rest = self.store.read("observations", state).where(F.col("type").isin(*types) & ~at).select("subject_id", "type", "start_ts")
+        summaries = summary(rest.unionByName(left.select("subject_id", "type", "start_ts")))
+        drops = {"observations": drops, "summaries": [f"type={t}" for t in types]}
+        self.store.commit({"dirty": dirty}, {"observations": left, "summaries": summaries}, drops=drops)
         return gone.groupBy("subject_id", "type", "origin").agg(F.count("*").alias("rows_deleted"))
 
     def merge_sessions(self) -> DataFrame | None:

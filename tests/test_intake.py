@@ -160,7 +160,9 @@ def test_the_later_channel_is_repaired(spark, tmp_path):
     took.store.commit({"observations": rows("health_xml", [0, 60, 120, 180], 1.0)})
     took.store.commit({"observations": rows("hae", [90, 91, 175, 185, 400], 2.0)})
     took.store.commit({"observations": rows("hae", [500], 3.0).withColumn("subject_id", F.lit(2))})
+    took.store.commit({"summaries": intake.summary(took.observations())})
     assert [tuple(r) for r in took.repair_channels().collect()] == [(1, HEART, "hae", 3)]
+    assert sorted((r.subject_id, r.n) for r in took.inventory().collect()) == [(1, 6), (2, 1)]
     left = sorted((r.subject_id, r.origin, r.value) for r in took.observations().collect())
     assert left == [(1, "hae", 2.0)] * 2 + [(1, "health_xml", 1.0)] * 4 + [(2, "hae", 3.0)]
     assert took.repair_channels() is None
@@ -168,6 +170,32 @@ def test_the_later_channel_is_repaired(spark, tmp_path):
     assert {r.hour_utc.hour: (r.n, r.sum) for r in took.store.read("rollup").where("subject_id = 1").collect()} == {1: (1, 1.0), 2: (1, 1.0)}  # the hours that lost rows
 
 
+def test_newest_rows_and_inventory(spark, tmp_path):
+    took = intake.Intake(intake.lake(spark, str(tmp_path / "store")), *contract(spark))
+    far = 60 * 24 * 40
+    took.ingest(file(spark, ("push", 1, "a", push([(0, 60), (-far, 50), (-far - 1, 51), (-3 * far, 40), (5, 61)]))), 0)
+    took.ingest(file(spark, ("push", 1, "b", push([(5, 62), (-2 * far, 45)]))), 1)
+    newest = lambda k: sorted(r.value for r in took.newest(k).collect())
+    assert newest(1) == [62.0] and newest(2) == [61.0, 62.0] and newest(5) == [50.0, 51.0, 60.0, 61.0, 62.0] and len(newest(99)) == 7
+    (r,) = took.inventory().collect()
+    assert (r.n, r.first_ts.date(), r.last_ts.minute) == (7, (FROM - timedelta(minutes=3 * far)).date(), 5)
+    assert "observations" not in took.inventory()._jdf.queryExecution().toString()
+
+
+def test_one_subject_reads_the_files_that_hold_it(spark, tmp_path):
+    """Folders are sorted by subject, so that a file's statistics keep readers of one subject from others."""
+    lake = intake.lake(spark, str(tmp_path / "l"))
+    rows = spark.range(40_000).select((F.col("id") % 400).alias("subject_id"), F.lit(HEART).alias("type"), F.lit("2024-01").alias("month"), F.timestamp_seconds("id").alias("start_ts"), F.lit(1.0).alias("value"))
+    rest = [c for c in intake.SCHEMAS["observations"].split(", ") if c.split()[0] not in rows.columns]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small rows would go to one file
+    try:
+        lake.commit({"observations": rows.select("*", *[F.lit(None).cast(c.split()[1]).alias(c.split()[0]) for c in rest])})
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    bounds = [(r.a, r.b, r.n) for r in lake.read("observations").groupBy(F.input_file_name().alias("f")).agg(F.min("subject_id").alias("a"), F.max("subject_id").alias("b"), F.count("*").alias("n")).collect()]
+    assert len(bounds) > 1 and sum(a <= 123 <= b for a, b, _ in bounds) == 1
+
+
 def test_sessions_that_are_alike_become_one(spark, tmp_path):
     took = intake.Intake(intake.lake(spark, str(tmp_path / "store")), *contract(spark))
     session = lambda i, activity, stats=None: (i, 1, activity, 5, FROM, FROM + timedelta(minutes=30), 0, None, 60.0, None, 1.5, None, stats or {"a": "1", "b": "2"})
