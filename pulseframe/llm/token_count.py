@@ -18,8 +18,8 @@ from ..shipping import ship
 PIECES = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 #: A space that white space precedes, or that white space or the end follows.
 LOOSE = regex.compile(r"\s (?=\s|\Z)|  | \Z")
-#: Pieces whose counts a worker remembers; beyond that it starts anew.
-MEMO = 200_000
+#: Chunks and pieces whose counts a worker remembers, each; beyond that it starts anew.
+MEMO = 1_000_000
 MEMO_BYTES = 64
 
 
@@ -43,6 +43,7 @@ class Counter:
         self.added = [a["content"] for a in d.get("added_tokens", [])]
         self.cut = regex.compile("|".join(regex.escape(a) for a in sorted(self.added, key=len, reverse=True))) if self.added else None
         self.memo: dict[str, int] = {}
+        self.pieces: dict[str, int] = {}
 
     def merges(self, piece: str) -> int:
         """Tokens of one piece: its bytes less the merges made, always the lowest-ranked adjacent
@@ -71,7 +72,18 @@ class Counter:
         return count
 
     def _whole(self, chunk: str) -> int:
-        return sum(map(self.merges, PIECES.findall(chunk)))
+        """Chunks differ in the signs after a word more than in their words, so words are remembered too."""
+        memo, total = self.pieces, 0
+        for x in PIECES.findall(chunk):
+            n = memo.get(x)
+            if n is None:
+                n = self.merges(x)
+                if len(x) <= MEMO_BYTES:
+                    if len(memo) >= MEMO:
+                        memo.clear()
+                    memo[x] = n
+            total += n
+        return total
 
     def _plain(self, text: str) -> int:
         """Between a sign and a space that one sign follows a new piece always begins, so texts are
