@@ -163,11 +163,18 @@ def occurrence_days(obs: DataFrame, axis: DataFrame, type_: str, mode: str, from
     return axis.select("subject_id", "day").join(rows.groupBy("subject_id", "day").agg(v.alias("value")), ["subject_id", "day"], "left")
 
 
+def reduced(aggregation: str, value: Column) -> Column:
+    """One value of a series: the last measured for states, the sum for sums and durations, else the mean of measured
+    days; null where nothing was measured."""
+    if aggregation == "latest":
+        return F.max_by(value, F.when(value.isNotNull(), F.col("day")))
+    return F.sum(value) if aggregation in ("sum", "duration") else F.avg(value)
+
+
 def reduce_window(series: DataFrame, aggregation: str) -> DataFrame:
-    """One value of a window for each subject: the last measured for states, the sum for sums and
-    durations, else the mean of measured days; null where nothing was measured."""
-    v = {"latest": F.expr("max_by(value, day) FILTER (WHERE value IS NOT NULL)"), "sum": F.sum("value"), "duration": F.sum("value")}.get(aggregation, F.avg("value"))
-    return series.groupBy("subject_id").agg(v.alias("value"), F.min("value").alias("low"), F.max("value").alias("high"), F.count("value").alias("measured"))
+    """One value of a window for each subject, with the lowest and highest and the number of measured days."""
+    v = F.col("value")
+    return series.groupBy("subject_id").agg(reduced(aggregation, v).alias("value"), F.min(v).alias("low"), F.max(v).alias("high"), F.count(v).alias("measured"))
 
 
 def rolling_mean(series: DataFrame, k: int) -> DataFrame:
@@ -235,12 +242,25 @@ def within(rows: DataFrame, ts: str, from_day: str, to_day: str) -> DataFrame:
 
 
 def window_stats(series: DataFrame, aggregation: str, window: tuple[str, str], before: tuple[str, str], lower_is_better: bool | None) -> DataFrame:
-    """One row for each subject: a window's value by its aggregation with the one of the window before, the
+    """One row for each subject with days in the window: its value by its aggregation with the one of the window before, the
     change in per cent and whether it is good, the first days of the lowest and highest value, and the
     measured days. series: (subject_id, day, value) over both windows, read once."""
-    inside = lambda w: series.where((F.col("day") >= w[0]) & (F.col("day") < w[1]))
-    now, then = reduce_window(inside(window), aggregation), reduce_window(inside(before), aggregation).select("subject_id", F.col("value").alias("before"))
-    days = inside(window).where("value is not null").groupBy("subject_id").agg(F.min(F.struct("value", "day")).alias("lo"), F.max(F.struct("value", (-F.datediff("day", F.lit("1970-01-01"))).alias("early"), "day")).alias("hi"))
-    out = now.join(then, "subject_id", "left").join(days, "subject_id", "left")
+    in_ = lambda w: (F.col("day") >= w[0]) & (F.col("day") < w[1])
+    now, then = F.when(in_(window), F.col("value")), F.when(in_(before), F.col("value"))
+    first = F.when(now.isNotNull(), F.struct(now.alias("value"), "day"))
+    top = F.when(now.isNotNull(), F.struct(now.alias("value"), (-F.datediff("day", F.lit("1970-01-01"))).alias("early"), "day"))
+    out = series.groupBy("subject_id").agg(
+        F.count_if(in_(window)).alias("days"), reduced(aggregation, now).alias("value"), reduced(aggregation, then).alias("before"), F.min(first).alias("lo"), F.max(top).alias("hi"), F.count(now).alias("measured"),
+    ).where("days > 0")
     delta = percent_delta(F.col("value"), F.col("before"))
-    return out.select("subject_id", "value", "before", delta.alias("delta"), trend_quality(delta, lower_is_better).alias("quality"), "low", F.col("lo.day").alias("low_day"), "high", F.col("hi.day").alias("high_day"), "measured")
+    return out.select("subject_id", "value", "before", delta.alias("delta"), trend_quality(delta, lower_is_better).alias("quality"), F.col("lo.value").alias("low"), F.col("lo.day").alias("low_day"), F.col("hi.value").alias("high"), F.col("hi.day").alias("high_day"), "measured")
+
+
+def viewer_subjects(users: DataFrame, grants: DataFrame, subjects: DataFrame) -> DataFrame:
+    """(viewer_id, subject_id, tz): the subject that each viewer sees: of those granted to a user who isn't disabled the
+    oldest that is live, of equal ages the smallest id. users: (viewer_id, disabled_at); grants: (viewer_id, subject_id);
+    subjects: (subject_id, tz, purge_state, created_at). Viewers without one have no row."""
+    live = subjects.where("purge_state = 'live'").select("subject_id", "tz", "created_at")
+    own = grants.join(users.where("disabled_at is null").select("viewer_id"), "viewer_id", "left_semi").join(live, "subject_id")
+    oldest = own.groupBy("viewer_id").agg(F.min(F.struct("created_at", "subject_id", "tz")).alias("s"))
+    return oldest.select("viewer_id", "s.subject_id", "s.tz")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.timefns import freshness, local_day
+from ..functions.timefns import freshness, local_day, percent_delta
 from ..operators import catalogue as C
 from ..operators import series as S
 from ..operators.sessions import identical_sessions
@@ -117,11 +117,17 @@ def sync_overview(t: Tables):
     return o.withColumn("state", freshness(F.col("last_visible"), F.lit("2024-01-31").cast("timestamp"), F.col("failed"), F.col("pending")))
 
 
-@query("ingest_comparison", BATCH + """ SELECT subject_id, sum(points) FILTER (WHERE day >= DATE '2024-01-16') AS now, sum(points) FILTER (WHERE day < DATE '2024-01-16') AS before FROM b GROUP BY 1""")
+@query("ingest_comparison", BATCH + """, q AS (SELECT subject_id, sum(points) FILTER (WHERE day >= DATE '2024-01-16') AS now, sum(points) FILTER (WHERE day < DATE '2024-01-16') AS before FROM b GROUP BY 1),
+y AS (SELECT subject_id, CAST(round((max(CAST(start_ts AS DATE)) - min(CAST(start_ts AS DATE))) / 365.25) AS BIGINT) AS covered_years FROM wh GROUP BY 1)
+SELECT q.subject_id, now, before, round((now - before) * 100.0 / nullif(before, 0), 6) AS delta, covered_years FROM q LEFT JOIN y USING (subject_id)""")
 def ingest_comparison(t: Tables):
-    """Null-preserving sums of two windows."""
+    """Null-preserving sums of two windows with their change, and the years that a subject's sessions cover."""
     b, late = t.batches.withColumn("points", C.points_of("counts")), F.col("day") >= "2024-01-16"
-    return b.groupBy("subject_id").agg(F.sum(F.when(late, F.col("points"))).alias("now"), F.sum(F.when(~late, F.col("points"))).alias("before"))
+    out = b.groupBy("subject_id").agg(F.sum(F.when(late, F.col("points"))).alias("now"), F.sum(F.when(~late, F.col("points"))).alias("before"))
+    day = F.to_date("start_ts")
+    years = t.history.groupBy("subject_id").agg(F.round(F.datediff(F.max(day), F.min(day)) / 365.25).cast("long").alias("covered_years"))
+    delta = percent_delta(F.col("now"), F.col("before"))
+    return out.withColumn("delta", F.round(delta, 6)).join(years, "subject_id", "left")
 
 
 @query("data_totals", f"""n(kind, subject_id, n) AS (SELECT 'observations', subject_id, count(*) FROM obs GROUP BY 2 UNION ALL SELECT 'minutes', subject_id, count(*) FROM mins GROUP BY 2 UNION ALL SELECT 'segments', subject_id, count(*) FROM seg GROUP BY 2 UNION ALL SELECT 'workouts', subject_id, count(*) FROM wk GROUP BY 2),

@@ -371,6 +371,19 @@ def granted_daily(t: Tables):
     return S.daily_discrete(rows, axis_, "purchase", "average", FROM_DAY, TO_DAY)
 
 
+@query("viewer_context", """s AS (SELECT subject_id, min(tz) AS tz, min(ts) AS created FROM ev GROUP BY 1), g AS (SELECT DISTINCT k AS viewer_id, subject_id FROM ev),
+o AS (SELECT viewer_id, s.*, row_number() OVER (PARTITION BY viewer_id ORDER BY created, subject_id) AS rn FROM g JOIN s USING (subject_id) WHERE subject_id % 4 <> 3 AND viewer_id % 5 <> 0)
+SELECT viewer_id, subject_id, tz FROM o WHERE rn = 1""")
+def viewer_context(t: Tables):
+    """Each enabled viewer's oldest live subject."""
+    e = t.events
+    state = F.when(F.col("subject_id") % 4 == 3, "purged").otherwise("live")
+    subjects = e.groupBy("subject_id").agg(F.min("tz").alias("tz"), F.min("ts").alias("created_at")).withColumn("purge_state", state)
+    grants = e.select(F.col("k").alias("viewer_id"), "subject_id").distinct()
+    users = e.select(F.col("k").alias("viewer_id")).distinct().withColumn("disabled_at", F.when(F.col("viewer_id") % 5 == 0, F.lit("2024-01-01")))
+    return S.viewer_subjects(users, grants, subjects)
+
+
 @query("iso_weeks", f"SELECT DISTINCT strftime({DAY}, '%Y-%m-%d') AS day, strftime({DAY}, '%G-W%V') AS week FROM obs UNION SELECT '2024-12-30', '2025-W01' UNION SELECT '2023-01-01', '2022-W52'")
 def iso_weeks(t: Tables):
     """H13."""
