@@ -256,6 +256,18 @@ def window_stats(series: DataFrame, aggregation: str, window: tuple[str, str], b
     return out.select("subject_id", "value", "before", delta.alias("delta"), trend_quality(delta, lower_is_better).alias("quality"), F.col("lo.value").alias("low"), F.col("lo.day").alias("low_day"), F.col("hi.value").alias("high"), F.col("hi.day").alias("high_day"), "measured")
 
 
+def occurrence_stats(days: DataFrame, window: tuple[str, str], before: tuple[str, str], elapsed: int) -> DataFrame:
+    """(subject_id, total, previous, delta, measured, days): occurrences of the first ``elapsed`` days of a window and of the window
+    before, the change in per cent (null without earlier ones), and the window's days with some and in all. days:
+    (subject_id, day, value) on a dense axis over both windows."""
+    inside = (F.col("day") >= window[0]) & (F.col("day") < window[1])
+    gone = inside & (F.col("day") < F.date_add(F.lit(window[0]).cast("date"), elapsed))
+    earlier = (F.col("day") >= before[0]) & (F.col("day") < before[1])
+    total = lambda c: F.coalesce(F.sum(F.when(c, F.col("value"))), F.lit(0.0))
+    out = days.groupBy("subject_id").agg(total(gone).alias("total"), total(earlier).alias("previous"), F.count(F.when(inside, F.col("value"))).alias("measured"), F.count_if(inside).alias("days"))
+    return out.select("subject_id", "total", "previous", percent_delta(F.col("total"), F.col("previous")).alias("delta"), "measured", "days")
+
+
 def viewer_subjects(users: DataFrame, grants: DataFrame, subjects: DataFrame) -> DataFrame:
     """(viewer_id, subject_id, tz): the subject that each viewer sees: of those granted to a user who isn't disabled the
     oldest that is live, of equal ages the smallest id. users: (viewer_id, disabled_at); grants: (viewer_id, subject_id);
