@@ -72,6 +72,12 @@ def kept_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop(spark: SparkSession, path: str) -> None:
+    """Deletes a table whose readers are done."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def utc_day(ts: str):
     """The partition of an instant."""
     return F.to_date(F.col(ts)).alias("utc_day")

@@ -3,6 +3,7 @@
 import gzip
 import hashlib
 import json
+import shutil
 from datetime import datetime, timedelta, timezone
 
 import pytest
@@ -71,9 +72,21 @@ def content(took):
 
 
 @pytest.fixture(scope="module")
-def whole(spark, tmp_path_factory):
-    took = intake.Intake(intake.lake(spark, str(tmp_path_factory.mktemp("whole"))), *contract(spark))
-    took.ingest(first(spark), 0)
+def begun(spark, tmp_path_factory):
+    """Makes copies of a store that has taken the first batch."""
+    root = tmp_path_factory.mktemp("begun") / "store"
+    intake.Intake(intake.lake(spark, str(root)), *contract(spark)).ingest(first(spark), 0)
+
+    def copy(where):
+        shutil.copytree(root, where)
+        return intake.Intake(intake.lake(spark, str(where)), *contract(spark))
+
+    return copy
+
+
+@pytest.fixture(scope="module")
+def whole(spark, begun, tmp_path_factory):
+    took = begun(tmp_path_factory.mktemp("whole") / "store")
     took.ingest(second(spark), 1)
     return took, content(took)
 
@@ -99,9 +112,8 @@ def test_what_is_stored(whole):
 
 
 @pytest.mark.parametrize("step", ["merged", "written"])
-def test_a_batch_that_dies_and_runs_again_gives_the_same_store(spark, tmp_path, whole, monkeypatch, step):
-    took = intake.Intake(intake.lake(spark, str(tmp_path / "store")), *contract(spark))
-    took.ingest(first(spark), 0)
+def test_a_batch_that_dies_and_runs_again_gives_the_same_store(spark, tmp_path, begun, whole, monkeypatch, step):
+    took = begun(tmp_path / "store")
     before = content(took)
 
     def die(at):
@@ -128,10 +140,9 @@ def test_replays_change_nothing(spark, tmp_path, whole):
     assert [r.state for r in again.ledger().where("path like '%2.json'").collect()] == ["duplicate"] * 2
 
 
-def test_the_rollup_is_brought_up_to_date_by_partition(spark, tmp_path):
+def test_the_rollup_is_brought_up_to_date_by_partition(spark, tmp_path, begun):
     root = str(tmp_path / "store")
-    took = intake.Intake(intake.lake(spark, root), *contract(spark))
-    took.ingest(first(spark), 0)
+    took = begun(root)
     took.drain()
     assert took.ledger().where("state = 'rollups_ready'").count() == 2 and took.drain() is None
     version = took.store.version()
