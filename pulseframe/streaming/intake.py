@@ -172,12 +172,16 @@ class Intake:
         between("normalised")
         past = self._history(state, {"points": (points, "ts"), "samples": (samples, "start_ts"), "minutes": (minutes, "minute_ts"), "series": (series, "ts"), "routes": (routes, "ts")})
         fresh = kept_table(self._observations(points, samples, past), "fresh")
-        cutovers, judged = self._minutes(minutes, past)
-        cutovers, judged = kept_table(cutovers, "cutovers"), kept_table(judged, "judged")
+        none = lambda fields: self.store.spark.createDataFrame([], fields)
+        cutovers, judged = none(SCHEMAS["cutovers"]), none("subject_id long, type string, minute_ts timestamp, batch string, name string, outcome string")
+        adds = {"observations": fresh, "summaries": summary(fresh)}
+        if past.has("minutes"):
+            cutovers, judged = self._minutes(minutes, past)
+            cutovers, judged = kept_table(cutovers, "cutovers"), kept_table(judged, "judged")
+            adds["cutovers"] = cutovers
+            adds["minutes"] = judged.where("outcome in ('inserted', 'updated')").withColumn("month", month("minute_ts"))
+            adds["conflicts"] = judged.where("outcome = 'conflict'").withColumn("month", month("minute_ts"))
         between("merged")
-        adds = {"observations": fresh, "summaries": summary(fresh), "cutovers": cutovers}
-        adds["minutes"] = judged.where("outcome in ('inserted', 'updated')").withColumn("month", month("minute_ts"))
-        adds["conflicts"] = judged.where("outcome = 'conflict'").withColumn("month", month("minute_ts"))
         adds["nights"] = M.first_of_batch(fine(nights), ["subject_id", "night", "channel"], [F.col("id").desc()])
         if past.has("samples"):
             adds["segments"] = self._segments(samples, past)
