@@ -5,7 +5,9 @@ import os
 from oracle import same
 from pyspark.sql import functions as F
 
-from pulseframe.plans import catalog
+from pulseframe.plans import catalog, ingest_queries
+from pulseframe.sources import normalise, wire
+from pulseframe.sources.canonical import Tables
 
 DIR = "/root/testdata/sf0.001"
 
@@ -24,3 +26,11 @@ def folder(spark, tmp_path, **changed):
 def test_values_of_zero_are_formatted(spark, tmp_path):
     where = folder(spark, tmp_path, events=lambda e: e.withColumn("value", F.when(F.col("event_id") % 5 == 0, 0.0).otherwise(F.col("value"))))
     assert same(catalog.QUERIES["formatted_values"](spark, where), catalog.ORACLES["formatted_values"], where)
+
+
+def test_payloads_are_parsed_once(spark):
+    """One parse for all of a payload's series and points, refused ones too."""
+    t = Tables(spark, DIR)
+    for rows in (normalise.push_series(ingest_queries.push(t, "sessions")), normalise.push_routes(ingest_queries.push(t, "sessions")), normalise.native_sessions(wire.native_documents(ingest_queries.native(t, "sessions")))):
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("from_json(") == 1 and plan.count("parseJson(") == 1
