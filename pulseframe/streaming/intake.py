@@ -3,9 +3,10 @@ with its ledger and dirty hours in one step; then the rollup takes the dirty hou
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
-from functools import reduce
+from functools import reduce, wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,6 +77,31 @@ def current(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "commit").alias("r")).select(*keys, "r.*")
 
 
+@contextmanager
+def dealt(spark: SparkSession) -> Iterator[None]:
+    """Joins are dealt by key meanwhile, none by sending a side whole through the driver because its files look small: packed
+    tables of payloads, subjects and minutes take many times their size there, and an intake has dozens of such joins.
+    Tables with a row for each type are still sent, as they ask for it."""
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "-1")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def joins_dealt(step: Callable) -> Callable:
+    """A method of Intake that plans and runs its joins so."""
+
+    @wraps(step)
+    def run(self, *args, **kwargs):
+        with dealt(self.store.spark):
+            return step(self, *args, **kwargs)
+
+    return run
+
+
 @dataclass
 class Past:
     """What was stored before a batch, as of one state of the store."""
@@ -134,7 +160,7 @@ class Intake:
         arrived = F.concat_ws("|", F.date_format("modificationTime", "yyyyMMddHHmmssSSSSSS"), "path")
         at = lambda i: F.regexp_extract("path", PATH, i)
         order = F.concat_ws("|", F.when(at(1) == "native", "1").otherwise("0"), arrived)
-        rows = wire.unpacked_files(files).join(files.select("path", order.alias("batch")), "path")
+        rows = wire.unpacked_files(files.withColumn("batch", order), kept=("batch",))
         named = F.regexp_extract("path", NAMED, 1)
         error = F.coalesce(F.when(at(1) == "", "path_invalid"), F.when((named != "") & (named != F.col("sha256")), "sha256_mismatch"), "error")
         return rows.select("path", at(2).try_cast("long").alias("subject_id"), at(3).try_cast("long").alias("device_id"), at(1).alias("format"), "batch", "sha256", "body", error.alias("error"))
@@ -142,16 +168,18 @@ class Intake:
     def judged(self, files: DataFrame, state: dict) -> DataFrame:
         """The payloads with the state that they start with: validated, failed or duplicate."""
         rows = kept_table(self.received(files), "received")
+        rows = rows.withColumn("__text", F.col("body"))
         push = wire.parsed(rows.where("format = 'push'"), wire.PUSH, F.col("doc.data").isNotNull()).drop("doc")
         native = wire.parsed(rows.where("format = 'native'"), wire.NATIVE, F.col("doc.format").endswith("native/1")).drop("doc")
         rest = rows.where("format not in ('push', 'native')").drop("body")
-        found = rows.select("batch", "body").join(push.unionByName(native).unionByName(rest), "batch")
+        found = push.unionByName(native).unionByName(rest).withColumnRenamed("__text", "body")
         stored = self.store.read("ledger", state).where("state = 'normalized'").select("subject_id", "sha256", F.lit(True).alias("__stored")).distinct()
         first = Window.partitionBy("subject_id", "sha256", F.col("error").isNull()).orderBy("batch")
         found = found.withColumn("__n", F.row_number().over(first)).join(stored, ["subject_id", "sha256"], "left")
         start = F.when(F.col("error").isNotNull(), "failed").when(F.col("__stored") | (F.col("__n") > 1), "duplicate").otherwise("validated")
         return found.withColumn("state", start).drop("__n", "__stored")
 
+    @joins_dealt
     def ingest(self, files: DataFrame, batch: int, between: Callable[[str], None] = lambda step: None) -> None:
         """foreachBatch over files (path, modificationTime, content). between: called after each step, for tests that stop there."""
         if self.done(batch):
@@ -160,8 +188,9 @@ class Intake:
         bodies = kept_table(self.judged(files, state), "bodies")
         between("judged")
         good = bodies.where("state = 'validated'").select("subject_id", "device_id", "batch", "body", F.lit(None).cast("string").alias("error"), "format")
-        push = wire.push_documents(good.where("format = 'push'"))
-        native = wire.native_documents(good.where("format = 'native'"))
+        # Kept as columns, so that each reader takes the fields that it needs and none parses again.
+        push = kept_table(wire.push_documents(good.where("format = 'push'")), "push")
+        native = kept_table(wire.native_documents(good.where("format = 'native'")), "native")
         fine = lambda rows: rows.where("skip_reason is null")
         points = kept_table(N.push_metrics(push, self.types), "points")
         samples = kept_table(self._samples(native), "samples")
@@ -200,7 +229,7 @@ class Intake:
         known = self.types.select("type", "regime", "unit", "scale", "opted_out", "kind")
         s = native.select("subject_id", "batch", F.posexplode("doc.samples").alias("place", "s")).select("subject_id", "batch", "place", "s.*")
         s = s.join(F.broadcast(known.withColumnRenamed("unit", "to")), "type", "left")  # a row for each type
-        s = s.join(self.categories.select("type", "category", F.lit(True).alias("known")), ["type", "category"], "left")
+        s = s.join(F.broadcast(self.categories.select("type", "category", F.lit(True).alias("known"))), ["type", "category"], "left")  # rows of the contract
         (start, offset), (end, _) = iso_date(F.col("start")), iso_date(F.col("end"))
         cat, sleep = F.col("kind") == "category", F.col("regime") == "sleep"
         reason = (
@@ -401,6 +430,7 @@ class Intake:
         rows = self.store.read("summaries").groupBy("subject_id", "type")
         return rows.agg(F.sum("n").alias("n"), F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"))
 
+    @joins_dealt
     def newest(self, k: int) -> DataFrame:
         """The newest k observations of each subject and type, of equal instants those with the largest value, source and uuid.
 
@@ -422,6 +452,7 @@ class Intake:
                 break
         return reduce(DataFrame.unionByName, found) if found else rows.limit(0)
 
+    @joins_dealt
     def repair_channels(self, regimes: tuple[str, ...] = ("raw",)) -> DataFrame | None:
         """Deletes the observations of a later channel where the earlier one has the range too, in one commit that writes the touched
         partitions anew and makes their hours dirty. The number of rows by (subject_id, type, origin); None where none goes,
@@ -447,6 +478,7 @@ class Intake:
         self.store.commit({"dirty": dirty}, {"observations": left, "summaries": summaries}, drops=drops)
         return gone.groupBy("subject_id", "type", "origin").agg(F.count("*").alias("rows_deleted"))
 
+    @joins_dealt
     def merge_sessions(self) -> DataFrame | None:
         """Deletes sessions that are alike in all their business columns but for the one that stays, and points its ids, series and
         positions to that. Groups of which several have such rows are left as they are. (workout_id, keep) of those deleted;
@@ -472,6 +504,7 @@ class Intake:
         self.store.commit({}, replaced, drops=drops)
         return gone
 
+    @joins_dealt
     def drain(self, priorities: DataFrame | None = None) -> int | None:
         """Brings the rollup up to date with all commits so far, and marks them, in one commit: only partitions of
         type and month that hold dirty hours are read and replaced, and only those hours rebuilt. The commit's number; None

@@ -5,9 +5,10 @@ import os
 from oracle import same
 from pyspark.sql import functions as F
 
-from pulseframe.plans import catalog, ingest_queries
+from pulseframe.plans import catalog, ingest_queries, intake_queries
 from pulseframe.sources import normalise, wire
 from pulseframe.sources.canonical import Tables
+from pulseframe.streaming import intake
 
 DIR = "/root/testdata/sf0.001"
 
@@ -34,3 +35,25 @@ def test_payloads_are_parsed_once(spark):
     for rows in (normalise.push_series(ingest_queries.push(t, "sessions")), normalise.push_routes(ingest_queries.push(t, "sessions")), normalise.native_sessions(wire.native_documents(ingest_queries.native(t, "sessions")))):
         plan = rows._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("from_json(") == 1 and plan.count("parseJson(") == 1
+
+
+def test_an_intake_sends_no_table_of_subjects_through_the_driver(spark):
+    """Joins are dealt by key however small the files are, and the session's setting is as it was."""
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    took = intake_queries.stored(Tables(spark, DIR))
+    before = spark.conf.get(name)
+    with intake.dealt(spark):
+        held = took.store.read("observations").join(took.inventory(), ["subject_id", "type"])
+        plan = held._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan and spark.conf.get(name) == before
+    assert all(hasattr(getattr(intake.Intake, step), "__wrapped__") for step in ("ingest", "drain", "newest"))
+
+
+def test_received_payloads_are_read_once(spark):
+    """Neither the files nor the bodies are read again to find their order or their text."""
+    files = spark.createDataFrame([("/l/push/subject=1/device=2/a.json", None, b'{"data": {}}')], "path string, modificationTime timestamp, content binary")
+    took = intake.Intake(intake.lake(spark, "/nowhere"), *intake_queries.contract(Tables(spark, DIR)))
+    rows = took.received(files)
+    assert "Join" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    (r,) = rows.collect()
+    assert (r.subject_id, r.device_id, r.format, r.batch, r.body, r.error) == (1, 2, "push", "0|/l/push/subject=1/device=2/a.json", '{"data": {}}', None)
