@@ -7,9 +7,11 @@ from itertools import accumulate, combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..shipping import ship
 from .common import written
@@ -28,6 +30,9 @@ ODD = tuple(f"odd{k}" for k in range(8))
 SKETCH = ("digest", "fp", "n", *ODD)
 #: Columns of the hashes before a bucket's in a set's own order, 0 for none.
 BEFORE = ("p1", "p2", "p3", "p4")
+#: Bits of the filter of texts that are read again, as a power of two: 4 MB whatever the input. The fuller it is
+#: the more texts are shuffled; none that is wanted is left out.
+FILTER = 25
 
 
 def _masks(distance: int) -> list[int]:
@@ -222,6 +227,67 @@ def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), text.alias("text"))
 
 
+def _packed(batches, parts: int):
+    """(part, digests, counts, hashes) from rows (digest, first): of each batch the different sets with hashes in
+    a part of the hashes, how many each has there, and these."""
+    for batch in batches:
+        digest, at = np.unique(np.asarray(batch.column(0)), return_index=True)
+        if not len(digest):
+            continue
+        first = batch.column(1).take(pa.array(at))
+        ends = np.concatenate([[0], np.cumsum(pc.list_value_length(first).to_numpy(zero_copy_only=False))])
+        items = first.flatten().to_numpy().view(np.uint64)
+        own = np.repeat(np.arange(len(digest)), np.diff(ends))
+        part = (items % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        part, own, items = part[order], own[order], items[order].view(np.int64)
+        cuts = np.flatnonzero(np.diff(part, prepend=-1)) if len(part) else np.empty(0, np.int64)
+        rows = []
+        for lo, hi in zip(cuts, [*cuts[1:], len(part)], strict=True):
+            sets, counts = np.unique(own[lo:hi], return_counts=True)
+            rows.append((int(part[lo]), digest[sets].tobytes(), counts.astype("<i4").tobytes(), items[lo:hi].tobytes()))
+        cols = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.binary(), pa.binary()))]
+        yield pa.RecordBatch.from_arrays(cols, names=["part", "digests", "counts", "hashes"])
+
+
+def _shared(batches):
+    """(digest, k, lo) from sorted rows of ``_packed``: the sets that hold a hash that two different ones or more
+    hold, and the least of these. Copies of a set count once."""
+    now, held = None, []
+
+    def found():
+        k, digest = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+        order = np.lexsort((digest, k))
+        k, digest = k[order], digest[order]
+        one = np.concatenate([[True], (k[1:] != k[:-1]) | (digest[1:] != digest[:-1])])
+        k, digest = k[one], digest[one]
+        starts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+        n = np.diff(np.append(starts, len(k)))
+        lo, many = np.repeat(digest[starts], n), np.repeat(n > 1, n)
+        whole = pa.RecordBatch.from_arrays([pa.array(c[many]) for c in (digest, k, lo)], names=["digest", "k", "lo"])
+        for at in range(0, len(whole), 65_536):
+            yield whole.slice(at, 65_536)
+
+    for batch in batches:
+        for part, *packed in zip(*batch.columns, strict=True):
+            if held and part.as_py() != now:
+                yield from found()
+                held = []
+            now = part.as_py()
+            digests, counts, hashes = (np.frombuffer(c.as_py(), t) for c, t in zip(packed, ("<i8", "<i4", "<i8"), strict=True))
+            held.append((hashes, np.repeat(digests, counts)))
+    if held:
+        yield from found()
+
+
+def shared_hashes(rows: DataFrame) -> DataFrame:
+    """(digest, k, lo): of the hashes ``first`` of each set those that another set has too, and the least set of
+    those with it. rows: (digest, first). Sets and hashes go to the parts of the hashes once, packed by batches."""
+    parts = 2 * max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = rows.select("digest", "first").mapInArrow(lambda b: _packed(b, parts), "part long, digests binary, counts binary, hashes binary")
+    return dealt.repartition(parts // 2, "part").sortWithinPartitions("part").mapInArrow(_shared, "digest long, k long, lo long")
+
+
 def _met(batches, distance: int, least: float):
     """Pairs (a, b) of digests, a > b, from groups of sorted rows (k, i, j, class, digest, fp, n, odd…, p…):
     those of unlike classes that may be similar. A pair that shares one of the hashes before k met in that
@@ -259,12 +325,34 @@ def _met(batches, distance: int, least: float):
         yield out([pairs(held[0])])
 
 
+def _wanted(keys: DataFrame) -> np.ndarray:
+    """One bit for each key by its first bits; what comes to the driver is bounded by the filter's own size."""
+    at = F.shiftrightunsigned("key", 64 - FILTER)
+    words = keys.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("word"))
+    found = words.agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).toArrow()
+    out = np.zeros(1 << (FILTER - 6), np.uint64)
+    out[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def _filtered(batches, bits):
+    """The rows whose last column, a key, is in the filter."""
+    for batch in batches:
+        at = np.asarray(batch.column(batch.num_columns - 1)).view(np.uint64) >> np.uint64(64 - FILTER)
+        yield batch.filter(pa.array((bits.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) > 0))
+
+
 def _verified(pairs: DataFrame, reps: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
     """The pairs (a, b) of digests whose sets have a Jaccard similarity of at least ``least``. Only texts
-    that are in a pair are dealt to it, each read in whole."""
+    that are in a pair are dealt to it, each read in whole; a filter keeps most others from the shuffle."""
+    spark = pairs.sparkSession
     both = pairs.select(F.col("a").alias("digest")).union(pairs.select("b")).distinct()
-    wanted = reps.join(both, "digest").select("digest", F.col("at.doc_id").alias("doc_id"), F.col("at.mark").alias("mark"))
-    texts = written(texts.join(wanted, ["doc_id", "mark"]).select("digest", "text").dropDuplicates(["digest"]), "similar-texts")
+    key = F.xxhash64("doc_id", "mark").alias("key")
+    wanted = written(reps.join(both, "digest").select("digest", F.col("at.doc_id").alias("doc_id"), F.col("at.mark").alias("mark")), "similar-wanted")
+    bits = spark.sparkContext.broadcast(_wanted(wanted.select(key)))
+    some = texts.select("doc_id", "mark", "text", key).mapInArrow(lambda b: _filtered(b, bits), "doc_id long, mark long, text string, key long")
+    texts = written(some.join(wanted, ["doc_id", "mark"]).select("digest", "text").dropDuplicates(["digest"]), "similar-texts")
+    bits.unpersist()
 
     def run(batches):
         last, of_last = None, None
@@ -307,11 +395,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     reps = written(rows.groupBy("digest").agg(F.min(F.struct("doc_id", "mark")).alias("at"), *[F.first(c).alias(c) for c in SKETCH[1:]]), "shingle-reps")
     ids = reps.select("digest", F.col("at.doc_id").alias("rep"))
     same = rows.select("digest", "doc_id").join(ids, "digest").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    one = reps.select("digest", F.col("at.doc_id").alias("doc_id"), F.col("at.mark").alias("mark"))
-    posts = rows.join(one, ["digest", "doc_id", "mark"], "left_semi").select("digest", "first", F.posexplode("first").alias("at", "k"))
-    posts = posts.select("digest", "k", *[F.coalesce(F.get("first", F.col("at") - d), F.lit(0)).alias(c) for d, c in enumerate(BEFORE, 1)])
-    least_of = posts.groupBy("k").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo <> hi").select("k", "lo")
-    shared = written(posts.join(least_of, "k"), "shingles-shared")
+    shared = written(shared_hashes(rows), "shingles-shared")
     size = lambda c: reps.select(F.col("digest").alias(c), *[F.col(x).alias(f"{c}_{x}") for x in SKETCH[1:]])
     unlike = " + ".join(f"bit_count(a_{x} ^ b_{x})" for x in ODD)
     close = (
@@ -324,11 +408,14 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = written(same.unionByName(edges(_verified(stars, reps, texts, width, least))), "similar-edges")
     classes = components(found)
     linked = ids.join(classes, ids["rep"] == classes["node"], "left").select("digest", F.coalesce("component", "rep").alias("c"))
-    rest = shared.select("digest", "k", *BEFORE).join(linked, "digest")
+    rest = shared.select("digest", "k").join(linked, "digest")
     mixed = rest.groupBy("k").agg(F.count("*").alias("m"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("k", F.ceil(F.col("m") / chunk).alias("g"))
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # Hashes that two classes share are all in mixed buckets, so these alone are looked at for earlier ones.
+    own = Window.partitionBy("digest").orderBy("k")
     met = (
         rest.join(mixed, "k")
+        .withColumns({c: F.lag("k", d, 0).over(own) for d, c in enumerate(BEFORE, 1)})
         .join(reps.select(*SKETCH), "digest")
         .withColumn("mine", F.pmod(F.xxhash64("digest"), F.col("g")))
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1)))

@@ -7,6 +7,7 @@ import pytest
 from test_text_operators import key, plain_fingerprint
 
 import corpus_pipeline as cp
+from pulseframe.llm import simhash
 
 
 @pytest.fixture(scope="module")
@@ -90,3 +91,35 @@ def test_near_copies_with_edits_go(spark):
     docs = spark.createDataFrame([(i, " ".join(w), "en", "a", 1) for i, w in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = {r.doc_id for r in cp.drop_near_copies(spark, docs, "").collect()}
     assert got == {i for i in sets if root(i) == i} and len(got) < len(sets) - 60
+
+
+def shuffled(spark) -> int:
+    none = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, none, None).iterator()
+    total = 0
+    while stages.hasNext():
+        total += stages.next().shuffleWriteBytes()
+    return total
+
+
+def test_near_copies_shuffle_less_than_the_texts(spark):
+    rng = random.Random(5)
+    rows = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(3000))) for i in range(120)]
+    rows += [(200, rows[7][1] + " more"), (201, rows[7][1]), (202, rows[9][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    before = shuffled(spark)
+    got = {(r.doc_id, r.component_id) for r in simhash.similar_groups(docs).collect()}
+    assert got == {(7, 7), (200, 7), (201, 7), (9, 9), (202, 9)}
+    assert shuffled(spark) - before < sum(len(t) for _, t in rows) / 2
+
+
+def test_shared_hashes_count_copies_of_a_set_once(spark):
+    rng = random.Random(6)
+    sets = {d * 7919 - 50: sorted(rng.sample(range(-40, 400), rng.randrange(6))) for d in range(90)}
+    rows = [(d, ks) for d, ks in sets.items() for _ in range(1 + d % 3)]
+    holders = {}
+    for d, ks in sets.items():
+        for k in ks:
+            holders.setdefault(k, set()).add(d)
+    got = simhash.shared_hashes(spark.createDataFrame(rows, "digest long, first array<long>").repartition(4)).collect()
+    assert sorted(map(tuple, got)) == sorted((d, k, min(ds)) for k, ds in holders.items() if len(ds) > 1 for d in ds)
