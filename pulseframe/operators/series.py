@@ -149,11 +149,25 @@ def bucket_axis(subjects: DataFrame, from_day: str, to_day: str, width_s: int) -
 
 
 def bucket_series(rows: DataFrame, subjects: DataFrame, from_day: str, to_day: str, width_s: int, ts: str, value: Column, extras: list[Column] | None = None) -> DataFrame:
-    """Values per bucket on a dense axis anchored at local midnight."""
-    t0 = local_midnight(F.lit(from_day).cast("date"), F.col("tz"))
+    """Values per bucket on a dense axis anchored at local midnight. subjects: one row for each.
+
+    Only measured buckets and a row for each subject are shuffled. Each of them yields the empty buckets up to the
+    next one of its subject, so that the dense axis is made where it is read and is neither dealt nor joined."""
+    t0, t1 = local_midnight(F.lit(from_day).cast("date"), F.col("tz")), local_midnight(F.lit(to_day).cast("date"), F.col("tz"))
     binned = in_window(rows, ts, from_day, to_day).withColumn("bucket", bin_start(F.col(ts), t0, width_s))
-    agg = binned.groupBy("subject_id", "bucket").agg(value.alias("value"), *(extras or []))
-    return bucket_axis(subjects, from_day, to_day, width_s).join(agg, ["subject_id", "bucket"], "left")
+    inside = binned.where((F.col("bucket") >= t0) & (F.col("bucket") < t1) & F.col("subject_id").isNotNull())
+    agg = inside.groupBy("subject_id", "bucket").agg(value.alias("value"), *(extras or []))
+    names = [c for c in agg.columns if c not in ("subject_id", "bucket")]
+    begins = subjects.select("subject_id", t0.alias("bucket"), t1.alias("stop"), F.lit(0).alias("measured"))
+    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # A number given keeps small shuffles from being read by one task, which would make the whole axis.
+    both = agg.withColumn("measured", F.lit(1)).unionByName(begins, allowMissingColumns=True).repartition(parts, "subject_id")
+    w = Window.partitionBy("subject_id").orderBy("bucket", "measured")
+    runs = both.withColumns({"stop": F.first("stop").over(w), "next": F.lead("bucket").over(w)}).where("stop is not null")
+    runs = runs.withColumn("end", F.coalesce("next", "stop")).where("bucket < end")
+    axis = F.explode(F.sequence("bucket", F.timestamp_micros(F.unix_micros("end") - 1), F.expr(f"INTERVAL {width_s} SECONDS")))
+    dense = runs.select("subject_id", F.col("bucket").alias("begin"), axis.alias("bucket"), *names)
+    return dense.select("subject_id", "bucket", *[F.when(F.col("bucket") == F.col("begin"), F.col(c)).alias(c) for c in names])
 
 
 def occurrence_days(obs: DataFrame, axis: DataFrame, type_: str, mode: str, from_day: str, to_day: str) -> DataFrame:
