@@ -3,6 +3,8 @@
 import random
 from datetime import datetime, timedelta, timezone
 
+import pandas as pd
+
 from pulseframe.streaming import authority
 
 FIELDS = "subject_id long, type string, minute_ts timestamp, device_id long, value double, batch string, place int"
@@ -44,3 +46,57 @@ def test_stream_equals_a_plain_version(spark, tmp_path):
     assert spark.conf.get(authority.PROVIDER[0]) == provider
     got = [(r.subject_id, r.type, r.minute_ts, r.device_id, r.value, r.batch, r.outcome) for r in spark.read.parquet(out).collect()]
     assert sorted(got) == plain(batches) and len({r[-1] for r in got}) == 6
+
+
+class Counted:
+    """A map of state that counts its accesses."""
+
+    def __init__(self, calls):
+        self.held, self.calls = {}, calls
+
+    def containsKey(self, key):  # noqa: N802
+        self.calls.append(key)
+        return key in self.held
+
+    def getValue(self, key):  # noqa: N802
+        self.calls.append(key)
+        return self.held[key]
+
+    def updateValue(self, key, value):  # noqa: N802
+        self.calls.append(key)
+        self.held[key] = value
+
+
+class Handle:
+    def __init__(self, calls):
+        self.calls = calls
+
+    def getMapState(self, *_):  # noqa: N802
+        return Counted(self.calls)
+
+    def getValueState(self, *_):  # noqa: N802
+        return Owner()
+
+
+class Owner:
+    held = None
+
+    def exists(self):
+        return self.held is not None
+
+    def get(self):
+        return self.held
+
+    def update(self, held):
+        self.held = held
+
+
+def test_state_is_not_accessed_for_each_minute():
+    calls, a = [], authority.Authority()
+    a.init(Handle(calls))
+    rows = [("0-0", 0, d, m * 60_000_000, float(m + d * (m % 2))) for d in (1, 2) for m in range(500)]
+    names = ["batch", "place", "device_id", "minute", "value"]
+    for want in ({"inserted": 500, "duplicate": 250, "conflict": 250}, {"duplicate": 750, "conflict_duplicate": 250}):
+        out = [x for df in a.handleInputRows((1, "a"), iter([pd.DataFrame(rows[:300], columns=names), pd.DataFrame(rows[300:], columns=names)]), None) for x in df["outcome"]]
+        assert {x: out.count(x) for x in set(out)} == want
+    assert len(calls) <= 12
