@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..shipping import ship
+from ..store import drop_table, tidied
 from .common import written
 from .graph import components
 
@@ -21,6 +22,10 @@ from .graph import components
 WIDTHS = (11, 11, 11, 11, 10, 10)
 #: Members of one bucket that one group of a task holds twice at most.
 CHUNK = 128
+#: A hash that more sets of unlike classes share goes last in the order in which they are looked through again.
+HOT = 4 * CHUNK
+#: Orders that are tried at most; the number changes no result.
+ORDERS = 4
 SEED = 42
 #: Sets with fewer shingles are told apart by their parities alone: the estimate of SimHashes' distances is
 #: for many.
@@ -196,30 +201,44 @@ def _least(n: int, least: float) -> int:
     return n - math.ceil(least * n - 1e-9) + 1 if n else 0
 
 
+def _digest(items: np.ndarray) -> np.int64:
+    return np.uint64(xxhash.xxh64_intdigest(items.tobytes(), SEED)).view(np.int64)
+
+
+def _odd(items: np.ndarray, size: int) -> np.ndarray:
+    """``size`` parities of hashes by their last bits; size is a power of two."""
+    return np.packbits((np.bincount(items & (size - 1), minlength=size) & 1).astype(np.uint8), bitorder="little")
+
+
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, parts)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *parts])))
+
+
 def _sets(docs: DataFrame, id_col: str, text_col: str, width: int, least: float) -> DataFrame:
-    """(doc_id, mark, digest, fp, n, odd…, first) of rows with an id: hash of the text, hash of the set of its
-    shingles, the set's SimHash, its size, the parities of its hashes by their last 9 bits, and the least of
-    its hashes that similar sets must share."""
+    """(doc_id, mark, digest, fp, n, odd…, p, wide, first) of rows with an id: hash of the text, hash of the set of
+    its shingles, the set's SimHash, its size, the parities of its hashes by their last 9 bits, how many of its least
+    hashes similar sets must share one of, and these with some more. wide: of larger sets a parity for each
+    hash or more, by their last bits."""
     ship(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
-            rows, first = [], [np.empty(0, np.int64)]
+            rows, wide, first = [], [], []
             for t in batch.column(2):
                 items = shingles(t.as_py(), width)
+                n, p = len(items), _least(len(items), least)
                 ones = np.zeros(64, dtype=np.int64)
-                for k in range(0, len(items), 50_000):
+                for k in range(0, n, 50_000):
                     ones += np.unpackbits(items[k : k + 50_000].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-                fp = np.packbits((2 * ones > len(items)).astype(np.uint8), bitorder="little").view(np.int64)[0]
-                odd = np.packbits((np.bincount(items & (64 * len(ODD) - 1), minlength=64 * len(ODD)) & 1).astype(np.uint8), bitorder="little").view(np.int64)
-                first.append(items[: _least(len(items), least)])
-                rows.append((np.uint64(xxhash.xxh64_intdigest(items.tobytes(), SEED)).view(np.int64), fp, len(items), *odd, len(first[-1])))
-            ends = np.cumsum([0, *(r[-1] for r in rows)])
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(first)))
-            cols = [pa.array([r[i] for r in rows], pa.int64()) for i in range(3 + len(ODD))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols, lists], names=["doc_id", "mark", *SKETCH, "first"])
+                fp = np.packbits((2 * ones > n).astype(np.uint8), bitorder="little").view(np.int64)[0]
+                wide.append(_odd(items, 1 << (n - 1).bit_length()).tobytes() if n > 64 * len(ODD) else b"")
+                first.append(items[: p + p // 8 + 8])
+                rows.append((_digest(items), fp, n, *_odd(items, 64 * len(ODD)).view(np.int64), p))
+            cols = [pa.array([r[i] for r in rows], pa.int64()) for i in range(4 + len(ODD))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols, pa.array(wide, pa.binary()), _lists(first)], names=["doc_id", "mark", *SKETCH, "p", "wide", "first"])
 
-    return _marked(docs, id_col, text_col).mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", "mark", *SKETCH)) + ", first array<long>")
+    return _marked(docs, id_col, text_col).mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", "mark", *SKETCH, "p")) + ", wide binary, first array<long>")
 
 
 def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -288,6 +307,50 @@ def shared_hashes(rows: DataFrame) -> DataFrame:
     return dealt.repartition(parts // 2, "part").sortWithinPartitions("part").mapInArrow(_shared, "digest long, k long, lo long")
 
 
+def _rare_first(items: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, int]:
+    """The hashes with those of the sorted array ``hot`` last, and how many are not of these."""
+    often = hot[np.minimum(np.searchsorted(hot, items), len(hot) - 1)] == items
+    return np.concatenate([items[~often], items[often]]), len(items) - int(often.sum())
+
+
+def _reordered(batches, hot):
+    """(digest, first, key) from rows (digest, key, n, p, first): the first p hashes of the set when the hot ones
+    stand last. A list that has too few others is left empty, and its key told: that text is to be read again."""
+    for batch in batches:
+        digest, key, n, p, first = batch.columns
+        ends = np.concatenate([[0], np.cumsum(pc.list_value_length(first).to_numpy(zero_copy_only=False))]).astype(np.int64)
+        flat, lists, again = first.flatten().to_numpy(), [], []
+        for k, (size, least) in enumerate(zip(n.to_pylist(), p.to_pylist(), strict=True)):
+            items, rare = _rare_first(flat[ends[k] : ends[k + 1]], hot.value)
+            again.append(rare < least and len(items) < size)
+            lists.append(items[: 0 if again[-1] else least])
+        yield pa.RecordBatch.from_arrays([digest, _lists(lists), pc.if_else(pa.array(again, pa.bool_()), key, pa.scalar(None, pa.int64()))], names=["digest", "first", "key"])
+
+
+def _read_again(batches, bits, hot, width: int, least: float):
+    """(digest, first), as of ``_reordered``, from the texts (text, key) whose keys are in the filter."""
+    for batch in _filtered(batches, bits):
+        sets = [shingles(t.as_py(), width) for t in batch.column(0)]
+        lists = [_rare_first(x, hot.value)[0][: _least(len(x), least)] for x in sets]
+        yield pa.RecordBatch.from_arrays([pa.array([_digest(x) for x in sets], pa.int64()), _lists(lists)], names=["digest", "first"])
+
+
+def _rarely_shared(rows: DataFrame, texts: DataFrame, hot: np.ndarray, width: int, least: float) -> DataFrame:
+    """``shared_hashes`` of the sets when the hashes ``hot`` stand last in the order of all: similar sets share one
+    of their first p in any order."""
+    sc, key = rows.sparkSession.sparkContext, F.xxhash64("doc_id", "mark").alias("key")
+    hot = sc.broadcast(np.sort(hot))
+    lists = rows.select("digest", key, "n", "p", "first").mapInArrow(lambda b: _reordered(b, hot), "digest long, first array<long>, key long")
+    bits = sc.broadcast(_wanted(lists.where("key is not null").select("key")))
+    lists = lists.where("key is null").select("digest", "first")
+    if bits.value.any():
+        lists = lists.union(texts.select("text", key).mapInArrow(lambda b: _read_again(b, bits, hot, width, least), "digest long, first array<long>"))
+    out = written(shared_hashes(lists), "shingles-rare")
+    bits.unpersist()
+    hot.unpersist()
+    return out
+
+
 def _met(batches, distance: int, least: float):
     """Pairs (a, b) of digests, a > b, from groups of sorted rows (k, i, j, class, digest, fp, n, odd…, p…):
     those of unlike classes that may be similar. A pair that shares one of the hashes before k met in that
@@ -342,10 +405,30 @@ def _filtered(batches, bits):
         yield batch.filter(pa.array((bits.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) > 0))
 
 
+def _allowed(batches, least: float):
+    """The pairs (a, b) from rows (a, b, n, m, x, y) with the sets' sizes and wide parities that these don't
+    rule out. The longer parities are folded to the length of the others, which are then by the same bits."""
+    for batch in batches:
+        a, b, *rest = batch.columns
+        kept = []
+        for k, (n, m, x, y) in enumerate(zip(*(c.to_pylist() for c in rest), strict=True)):
+            x, y = sorted((np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)), key=len)
+            while len(y) > len(x) > 0:
+                y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+            if not len(x) or int(np.bitwise_count(x ^ y).sum()) <= (1 - least) / (1 + least) * (n + m) + 1e-9:
+                kept.append(k)
+        rows = pa.array(kept, pa.int64())
+        yield pa.RecordBatch.from_arrays([a.take(rows), b.take(rows)], names=["a", "b"])
+
+
 def _verified(pairs: DataFrame, reps: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
     """The pairs (a, b) of digests whose sets have a Jaccard similarity of at least ``least``. Only texts
-    that are in a pair are dealt to it, each read in whole; a filter keeps most others from the shuffle."""
+    that are in a pair are dealt to it, each read in whole; a filter keeps most others from the shuffle, and pairs
+    that the wide parities rule out get none."""
     spark = pairs.sparkSession
+    sizes = lambda c, n, x: reps.select(F.col("digest").alias(c), F.col("n").alias(n), F.col("wide").alias(x))
+    pairs = pairs.join(sizes("a", "n", "x"), "a").join(sizes("b", "m", "y"), "b").select("a", "b", "n", "m", "x", "y")
+    pairs = written(pairs.mapInArrow(lambda b: _allowed(b, least), "a long, b long"), "pairs-allowed")
     both = pairs.select(F.col("a").alias("digest")).union(pairs.select("b")).distinct()
     key = F.xxhash64("doc_id", "mark").alias("key")
     wanted = written(reps.join(both, "digest").select("digest", F.col("at.doc_id").alias("doc_id"), F.col("at.mark").alias("mark")), "similar-wanted")
@@ -371,10 +454,12 @@ def _verified(pairs: DataFrame, reps: DataFrame, texts: DataFrame, width: int, l
 
     side = lambda c: texts.select(F.col("digest").alias(c), F.col("text").alias(f"{c}_text"))
     met = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_text", "b_text")
-    return written(met.mapInArrow(run, "a long, b long"), "similar")
+    out = written(met.mapInArrow(run, "a long, b long"), "similar")
+    drop_table(texts)
+    return out
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, distance: int = 22, least: float = 0.8, chunk: int = CHUNK) -> DataFrame:
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, distance: int = 22, least: float = 0.8, chunk: int = CHUNK, hot: int = HOT) -> DataFrame:
     """(doc_id, component_id) of the ids that a chain of texts with a Jaccard similarity of at least
     ``least`` links to another; every link is verified on the whole sets of shingles.
 
@@ -384,18 +469,29 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     of its 512 parities, so more unlike parities than the similarity allows such shingles rule a pair out,
     without an error. SimHashes more than ``distance`` bits apart do so but for sets of fewer than SURE
     shingles; by a binomial estimate 22 bits leave out fewer than 1 in 10,000 of the pairs at 0.8, and
-    fewer above.
+    fewer above. Large sets fill 512 parities, so theirs are more, and pairs are held against these before
+    any text is dealt to them.
 
     First each set is compared with one of each bucket, the least; a group of near copies falls into one
     class by that, however large, with work in proportion to its size. Then sets of buckets that still hold
-    several classes are compared with those of other classes, in pairs of chunks."""
+    several classes are compared with those of other classes, in pairs of chunks. That grows with the square
+    of a bucket, so hashes that more than ``hot`` sets of such a bucket hold are put last in the order of all
+    hashes, if copies of sets in their chunks come to an eighth of all, and the sets' first hashes are found
+    anew: any one order will do, and in this one sets that only share common shingles don't meet.
+
+    What was shuffled goes at the end of each query, and tables when their readers are done."""
+    with tidied(docs.sparkSession):
+        return _similar_groups(docs, id_col, text_col, width, distance, least, chunk, hot)
+
+
+def _similar_groups(docs: DataFrame, id_col: str, text_col: str, width: int, distance: int, least: float, chunk: int, hot: int) -> DataFrame:
     spark = docs.sparkSession
     texts = _marked(docs, id_col, text_col)
     rows = written(_sets(docs, id_col, text_col, width, least), "shingles")
-    reps = written(rows.groupBy("digest").agg(F.min(F.struct("doc_id", "mark")).alias("at"), *[F.first(c).alias(c) for c in SKETCH[1:]]), "shingle-reps")
+    reps = written(rows.groupBy("digest").agg(F.min(F.struct("doc_id", "mark")).alias("at"), *[F.first(c).alias(c) for c in (*SKETCH[1:], "wide")]), "shingle-reps")
     ids = reps.select("digest", F.col("at.doc_id").alias("rep"))
     same = rows.select("digest", "doc_id").join(ids, "digest").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    shared = written(shared_hashes(rows), "shingles-shared")
+    shared = written(shared_hashes(rows.select("digest", F.expr("slice(first, 1, cast(p as int))").alias("first"))), "shingles-shared")
     size = lambda c: reps.select(F.col("digest").alias(c), *[F.col(x).alias(f"{c}_{x}") for x in SKETCH[1:]])
     unlike = " + ".join(f"bit_count(a_{x} ^ b_{x})" for x in ODD)
     close = (
@@ -407,9 +503,22 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     edges = lambda true: true.join(ids.toDF("a", "x"), "a").join(ids.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     found = written(same.unionByName(edges(_verified(stars, reps, texts, width, least))), "similar-edges")
     classes = components(found)
-    linked = ids.join(classes, ids["rep"] == classes["node"], "left").select("digest", F.coalesce("component", "rep").alias("c"))
+    linked = written(ids.join(classes, ids["rep"] == classes["node"], "left").select("digest", F.coalesce("component", "rep").alias("c")), "similar-classes")
+    mixed = lambda rest: rest.groupBy("k").agg(F.count("*").alias("m"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1")
     rest = shared.select("digest", "k").join(linked, "digest")
-    mixed = rest.groupBy("k").agg(F.count("*").alias("m"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("k", F.ceil(F.col("m") / chunk).alias("g"))
+    common = np.empty(0, np.int64)
+    for _ in range(ORDERS):
+        more = mixed(rest).where(F.col("m") > hot).select("k", (F.col("m") * (F.ceil(F.col("m") / chunk) - 1)).alias("copies")).toArrow()
+        k, copies = (more.column(c).to_numpy().astype(np.int64) for c in ("k", "copies"))
+        new = ~np.isin(k, common)
+        if copies[new].sum() <= shared.count() / 8:
+            break
+        drop_table(shared)
+        common = np.concatenate([common, k[new]])
+        shared = _rarely_shared(rows, texts, common, width, least)
+        rest = shared.select("digest", "k").join(linked, "digest")
+    drop_table(rows)
+    mixed = mixed(rest).select("k", F.ceil(F.col("m") / chunk).alias("g"))
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     # Hashes that two classes share are all in mixed buckets, so these alone are looked at for earlier ones.
     own = Window.partitionBy("digest").orderBy("k")
@@ -424,9 +533,11 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         .sortWithinPartitions("k", "i", "j")
     )
     pairs = met.mapInArrow(lambda batches: _met(batches, distance, least), "a long, b long").distinct()
-    # A set has met the least of its buckets before.
+    # Pairs of a set and the least of a bucket have been verified before.
     pairs = written(pairs.join(stars, ["a", "b"], "left_anti"), "pairs")
+    drop_table(shared)
     more = written(found.unionByName(edges(_verified(pairs, reps, texts, width, least))), "similar-edges")
+    drop_table(reps)
     return components(more).select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
 
 

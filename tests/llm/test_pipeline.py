@@ -2,7 +2,10 @@
 
 import random
 import re
+from types import SimpleNamespace
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from test_text_operators import key, plain_fingerprint
 
@@ -123,3 +126,101 @@ def test_shared_hashes_count_copies_of_a_set_once(spark):
             holders.setdefault(k, set()).add(d)
     got = simhash.shared_hashes(spark.createDataFrame(rows, "digest long, first array<long>").repartition(4)).collect()
     assert sorted(map(tuple, got)) == sorted((d, k, min(ds)) for k, ds in holders.items() if len(ds) > 1 for d in ds)
+
+
+def test_common_shingles_bring_no_sets_together(spark):
+    rng = random.Random(7)
+    common = [[f"c{i}x{j}" for j in range(5)] for i in range(30)]
+    rows = [(i, " ".join(" ".join([*c, f"w{rng.randrange(10**9)}"]) for c in rng.sample(common, 30))) for i in range(2100)]
+    rows.append((2100, rows[5][1] + " more"))
+    before = shuffled(spark)
+    got = {(r.doc_id, r.component_id) for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"), chunk=16).collect()}
+    assert got == {(5, 5), (2100, 5)}
+    assert shuffled(spark) - before < 2.5 * sum(len(t) for _, t in rows)
+
+
+def test_texts_stay_out_of_pairs_that_share_a_line_alone(spark):
+    rng = random.Random(8)
+    line = " ".join(f"w{rng.randrange(10**6)}" for _ in range(100))
+    rows = [(i, " ".join([line, *(f"w{rng.randrange(10**6)}" for _ in range(3000 + 40 * i))])) for i in range(40)]
+    rows.append((99, rows[3][1] + " more"))
+    before, key = shuffled(spark), "spark.sql.autoBroadcastJoinThreshold"
+    spark.conf.set(key, -1)
+    try:
+        got = {(r.doc_id, r.component_id) for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"), distance=64).collect()}
+    finally:
+        spark.conf.unset(key)
+    assert got == {(3, 3), (99, 3)}
+    assert shuffled(spark) - before < 2 * sum(len(t) for _, t in rows)
+
+
+def test_near_copies_leave_no_tables_and_shuffles(spark):
+    def files():
+        disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().iterator()
+        found = set()
+        while disk.hasNext():
+            found.add(disk.next().getName())
+        return {f for f in found if f.startswith("shuffle_")}
+
+    rng = random.Random(9)
+    rows = [(i, " ".join(f"w{rng.randrange(40)}" for _ in range(60))) for i in range(50)]
+    docs = spark.createDataFrame([*rows, (50, rows[4][1])], "doc_id long, text string")
+    docs.collect()
+    before = files()
+    groups = simhash.similar_groups(docs)
+    assert not files() - before
+    assert {tuple(r) for r in groups.collect()} == {(4, 4), (50, 4)}
+
+
+def similar_by_force(rows):
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(max(1, len(t.split()) - 4))} for i, t in rows}
+    group = {i: i for i in sets}
+    for i in sets:
+        for j in sets:
+            if j < i and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((group[i], group[j]))
+                group = {k: a if g == b else g for k, g in group.items()}
+    return {(i, g) for i, g in group.items() if list(group.values()).count(g) > 1}
+
+
+@pytest.mark.parametrize("hot", [1, 3, 10**9])
+def test_any_order_of_hashes_finds_the_same(spark, hot):
+    rng = random.Random(10)
+    common = [[f"c{i}x{j}" for j in range(8)] for i in range(12)]
+    rows = []
+    for i in range(60):
+        w = [x for c in rng.sample(common, rng.randrange(1, 8)) for x in c]
+        w += [f"w{rng.randrange(10**6)}" for _ in range(rng.choice([0, 3, 40, 700]))]
+        rows.append((len(rows), " ".join(w)))
+        if i % 4 == 0:
+            for k in rng.sample(range(len(w)), max(1, len(w) // 40)):
+                w[k] = "edited"
+            rows.append((len(rows), " ".join(w)))
+    got = simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), distance=64, chunk=2, hot=hot)
+    assert {tuple(r) for r in got.collect()} == similar_by_force(rows)
+
+
+def test_hot_hashes_stand_last_and_short_lists_are_read_again():
+    sets = [[1, 2, 3, 4, 5], [1, 2, 3], [2, 3], [2, 7, 9], []]
+    size, least = [9, 3, 2, 30, 0], [3, 2, 1, 3, 0]
+    cols = [pa.array([10, 11, 12, 13, 14]), pa.array([20, 21, 22, 23, 24]), pa.array(size), pa.array(least), pa.array(sets, pa.list_(pa.int64()))]
+    hot = SimpleNamespace(value=np.array([2, 3]))
+    out = next(simhash._reordered([pa.RecordBatch.from_arrays(cols, names=["digest", "key", "n", "p", "first"])], hot)).to_pydict()
+    assert out == {"digest": [10, 11, 12, 13, 14], "first": [[1, 4, 5], [1, 2], [2], [], []], "key": [None, None, None, 23, None]}
+
+
+def test_parities_rule_no_similar_pair_out():
+    rng = np.random.default_rng(3)
+    rows, near = [], []
+    for k in range(200):
+        n = int(rng.integers(520, 9000))
+        x, share = rng.integers(-(2**62), 2**62, n), rng.choice([0.1, 0.6, 0.89, 0.95])
+        y = np.concatenate([x[: int(share * n)], rng.integers(-(2**62), 2**62, n - int(share * n))])[int(rng.integers(0, 3)) :]
+        common = len(np.intersect1d(x, y))
+        near.append(common / (len(x) + len(y) - common))
+        rows.append((k, -k, n, len(y), *(simhash._odd(s, 1 << (len(s) - 1).bit_length()).tobytes() for s in (x, y))))
+    rows.append((200, -200, 100, 90, b"", b""))
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=list("abnmxy"))
+    kept = set(next(simhash._allowed([batch], 0.8)).column(0).to_pylist())
+    assert {k for k, j in enumerate(near) if j >= 0.8} <= kept and 200 in kept
+    assert not {k for k, j in enumerate(near) if j < 0.6} & kept and min(near) < 0.1 < 0.8 < max(near)
